@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, sharding, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, mixing, pii, quality_gbdt, quality_rules, sharding, simhash, substring_dedup
 from .runtime import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -26,6 +30,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op5_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbdt.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed_lines", exact_dedup.sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
@@ -39,12 +47,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("repeats")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_simhash, op4_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_sharding, op10_mixing)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_bpe, op3_simhash, op4_exact_dedup, op5_quality_gbdt, op6_line_dedup, op7_substring_dedup, op8_sharding, op9_quality_rules, op10_mixing
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
