@@ -1 +1,3 @@
-"""Registered queries over the standard tables."""
+"""Registered queries over the standard tables; importing this registers them."""
+
+from . import entities, evidence, ops, search, texts  # noqa: F401
