@@ -21,12 +21,12 @@ def geo_score(metres: Column) -> Column:
 
 def geo_bonus(km: Column, reach: float = 50.0) -> Column:
     """M04."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - km / reach), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1 - km / reach)
 
 
 def distance_score(metres: Column) -> Column:
     """exp(-d/750); .5 without a distance."""
-    return F.coalesce(F.exp(-F.greatest(metres, F.lit(0.0)) / 750), F.lit(0.5))
+    return F.when(metres.isNull(), 0.5).otherwise(F.exp(-F.greatest(metres, F.lit(0.0)) / 750))
 
 
 def cell(value: Column, size: float) -> Column:

@@ -15,7 +15,8 @@ DECAY_DAYS = {"hours": 45.0, "status": 45.0, "phone": 180.0, "website": 180.0, "
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null: least and greatest would pass over it."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -24,7 +25,7 @@ def lookup(table: dict, key: Column, default) -> Column:
 
 def age_days(then: Column, now: Column) -> Column:
     """Not below 0; null without a time."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 86_400e6)
+    return F.when(then.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 86_400e6))
 
 
 def freshness(published: Column, now: Column, lane: Column | None = None) -> Column:
