@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import pickle
 import sys
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 #: Bytes of text encoded at once, tokens rendered at once, and pre-tokens that a worker remembers.
-CHUNK, BLOCK, MEMO = 1 << 20, 1 << 18, 1_500_000
+CHUNK, BLOCK, MEMO = 1 << 20, 1 << 18, 1_000_000
 #: The one pattern that pieces() implements. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTER, NUMBER, OTHER, WHITE = range(4)
@@ -264,6 +265,17 @@ def encoded_chunk(tokenizer: Tokenizer, raw: np.ndarray, offsets: np.ndarray):
     return ids, before, decoded
 
 
+_OPEN: dict[str, Tokenizer] = {}
+
+
+def _opened(name: str, image: bytes) -> Tokenizer:
+    """The tokenizer of this worker, which keeps one: later queries with the same tables share it."""
+    if name not in _OPEN:
+        _OPEN.clear()
+        _OPEN[name] = pickle.loads(image)
+    return _OPEN[name]
+
+
 def tokenized(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, digests: bool = True) -> DataFrame:
     """Encode each whole text and decode the ids. One row for each row of docs: doc_id and n_tokens, then
     with digests ids_sha256 and decoded_sha256, else ids array<int> and decoded binary.
@@ -273,11 +285,12 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, digests:
     """
     if pattern != PATTERN:
         raise ValueError("only PATTERN is implemented")
-    tables = docs.sparkSession.sparkContext.broadcast(Tokenizer(load_ranks(ranks_path)))
+    image = pickle.dumps(Tokenizer(load_ranks(ranks_path)), protocol=5)
+    tables = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(image).hexdigest(), image))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        tokenizer = tables.value
+        tokenizer = _opened(*tables.value)
         for batch, raw, offsets in tk.chunks(batches, limit=CHUNK):
             ids, before, decoded = encoded_chunk(tokenizer, raw, offsets)
             marks, counts = list(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)), pa.array(np.diff(before), pa.int64())
