@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import SPACE, text_of, written
 
@@ -111,8 +113,6 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     key = F.transform(F.array_sort(F.array_distinct(names)), lambda x: F.coalesce(F.concat(F.lit("s"), x), F.lit("~")))
     sized = docs.select(docs.doc_id.cast("long").alias("doc_id"), n_words(text_of(docs)).alias("size"), F.to_json(key).alias("pattern"), F.get(key, F.lit(0)).alias("first"))
     sized = written(sized.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(FINE)).cast("int")), "sized")
-    import json
-
     found = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -135,8 +135,6 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     source_df = spark.createDataFrame([(s, int(n), float(targets[s])) for s, n in source_size.items()], "first string, source_size long, target double")
 
     # the hash bin of each pattern where the rest is reached: sums of bins, FINE a pattern at most
-    from pyspark.sql.window import Window
-
     bins = sized.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
     order = Window.partitionBy("pattern").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("n").over(order)).join(F.broadcast(plan_df), "pattern")
@@ -157,5 +155,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as many times as the mix takes it, columns unchanged. Rows of a repeated
     doc_id follow the first decision for it; rows with a null doc_id go."""
     taken = mix(docs, **options).where("repeats > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n"))
-    joined = docs.join(taken, docs.doc_id.cast("long") == F.col("__id"))
+    joined = docs.join(taken.hint("merge"), docs.doc_id.cast("long") == F.col("__id"))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])

@@ -303,8 +303,8 @@ def unpacked(batches, text: str = "text"):
     """Batches with the text column as it was before packed(), a part of a batch at a time."""
     open_up = zstandard.ZstdDecompressor()
     for whole in batches:
-        for at in range(0, whole.num_rows, 2048):
-            batch = whole.slice(at, 2048)
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
             where = batch.schema.get_field_index("__packed")
             texts = pa.array([None if b is None else open_up.decompress(b).decode() for b in batch.column(where).to_pylist()], pa.large_string())
             names = [text if i == where else n for i, n in enumerate(batch.schema.names)]
@@ -324,7 +324,8 @@ def repeated_runs(docs: DataFrame, kind: str, length: int, seed: int, within: bo
     found = written(dealt.mapInArrow(_settle_seeds, "doc long, seed boolean, runs binary"), "seeds")
     seeds = found.where("seed").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
     texts = packed(plain)
-    held = texts.join(seeds, texts.doc_id == seeds.doc).select("doc_id", "__packed", "runs")
+    # a merge join at every size: the list of seeds grows with the corpus, so it is never broadcast
+    held = texts.join(seeds.hint("merge"), texts.doc_id == seeds.doc).select("doc_id", "__packed", "runs")
     windows = held.mapInArrow(_window_rows(kind, length), _ROWS_DDL)
     dealt = windows.repartition(F.col("key")).sortWithinPartitions("key", "span", "doc")
     more = dealt.mapInArrow(_settle_windows(length), "doc long, seed boolean, runs binary")

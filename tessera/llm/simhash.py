@@ -180,4 +180,4 @@ def dedup_near(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Of repeated rows of the staying doc_id all stay."""
     found = near_duplicates(docs.where("doc_id is not null"), distance)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs.doc_id.cast("long") == F.col("__gone"), "left_anti")

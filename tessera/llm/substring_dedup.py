@@ -18,7 +18,7 @@ def apply_runs(docs: DataFrame, runs: DataFrame, out_ddl: str, worker) -> DataFr
     """docs (doc_id, text and more) left-joined with their runs, given to a batch worker with the
     texts restored and a last column __runs (null: none)."""
     texts = packed(docs)
-    joined = texts.join(runs.withColumnsRenamed({"doc": "__doc", "runs": "__runs"}), texts.doc_id == F.col("__doc"), "left").drop("__doc")
+    joined = texts.join(runs.withColumnsRenamed({"doc": "__doc", "runs": "__runs"}).hint("merge"), texts.doc_id == F.col("__doc"), "left").drop("__doc")
     return joined.mapInArrow(lambda batches: worker(unpacked(batches)), out_ddl)
 
 
@@ -75,13 +75,13 @@ def _grouped(rows, most: int = 512):
 
 
 ORACLE = r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM w WHERE len(words) >= 13),
 keyed AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS body FROM win),
 least AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY body) AS least FROM keyed),
 cut AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(pos, pos + 13)) AS p FROM least WHERE least < doc_id) GROUP BY doc_id),
 kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
-    CASE WHEN gone IS NULL THEN words ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), p -> NOT list_contains(gone, p)))) END AS rest
+    CASE WHEN gone IS NULL THEN words ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(gone, p)))) END AS rest
   FROM w LEFT JOIN cut ON w.doc_id = cut.doc_id)
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(rest, ' '), '')) AS kept_sha256 FROM kept
 """
