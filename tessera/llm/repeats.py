@@ -241,14 +241,22 @@ def _window_rows(kind: str, length: int):
             head = _heads(d1, d2)
             covered = doc > doc[head][np.cumsum(head) - 1]
             docs, runs = pack_runs(doc[covered], at[covered], at[covered] + length)
-            sent = ~covered
+            # of a window that its document repeats, one row with all its places
+            sent = np.flatnonzero(~covered)
+            first = np.flatnonzero(head[sent])
+            size = np.diff(np.append(first, len(sent)))
+            places = [None] * len(first)
+            for k in np.flatnonzero(size > 1):
+                here = at[sent[first[k] : first[k] + size[k]]]
+                places[k] = np.stack(tk.merged(here, here + length), 1).astype("<i4").tobytes()
+            sent = sent[first]
             yield _batch(
                 _ROWS,
                 np.concatenate([d1[sent], _signed(tk.mix(docs.astype(np.int64).view(tk.U)))]),
                 np.concatenate([d2[sent], np.zeros(len(docs), np.int64)]),
                 np.concatenate([doc[sent], docs]),
                 np.concatenate([at[sent], np.full(len(docs), COVERED)]),
-                [None] * int(sent.sum()) + runs,
+                places + runs,
             )
 
     return run
@@ -269,15 +277,23 @@ def _settle_windows(length: int):
                 if not batch.num_rows:
                     continue
             rows = _columns(batch)
+            many = ~batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            ahead = 0
             if held is not None:
+                ahead = 1
                 rows = [np.append(v, x) for v, x in zip(held, rows, strict=True)]
             d1, d2, doc, at = rows
             head = _heads(d1, d2)
             first = doc[head][np.cumsum(head) - 1]
             covered = doc > first
-            docs, runs = pack_runs(doc[covered], at[covered], at[covered] + length)
+            single = covered & ~np.append(np.zeros(ahead, bool), many)
+            docs, runs = pack_runs(doc[single], at[single], at[single] + length)
             if len(docs):
                 yield _batch(_FOUND, docs, np.zeros(len(docs), bool), runs)
+            several = pa.array(covered[ahead:] & many)
+            part = batch.filter(several)
+            if part.num_rows:
+                yield _batch(_FOUND, part.column(2), np.zeros(part.num_rows, bool), part.column(4))
             held = (d1[-1], d2[-1], first[-1], 0)
 
     return run
