@@ -241,6 +241,21 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+def _bytes_in(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_OPENS, _SHUTS, _BEGINS = _bytes_in(b"[({<"), _bytes_in(b"])}>"), _bytes_in(b".@aA")
+_BLANKS = _bytes_in(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")  # \s of one byte; the others are odd
+
+
+def _cases(names) -> list[str]:
+    """The names in the forms that differ once ASCII letters are folded."""
+    return [*names, *(up for n in names if (up := "".join(c if c < "\x80" else c.upper() for c in n)) != n)]
+
+
 def _hashes(names) -> np.ndarray:
     rows = [n.encode() for n in names]
     size = np.array([len(r) for r in rows])
@@ -254,30 +269,33 @@ def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 def hints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts that can hold plain identifiers, and texts that can hold disguised ones; the tests never
-    miss, they only spare the others."""
+    miss, they only spare the others: each alternative of the transducers' patterns has its mark here."""
     kind = _CLASS[raw]
     plain = tk.counts_by_text(offsets, kind == 1) > 0
     odd = tk.counts_by_text(offsets, kind == 2) > 0
     starts, ends, before = tk.spans_of(raw, offsets, _BREAKS)
     words = tk.unit_hashes(raw, starts, ends, _FOLD)
     short = ends - starts <= 8
-    digit = np.zeros(len(words), bool)
-    digit[short] = _among(words[short], _hashes(DIGITS))
-    pair = digit.copy()
-    pair[1:] &= digit[:-1]
-    pair[:1] = False
-    dots = np.zeros(len(words), bool)
+    digit, dots = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    digit[short] = _among(words[short], _hashes(_cases(DIGITS)))
     dots[short] = _among(words[short], _hashes([*DOTS, *ATS[1:]]))
-    apart = tk.counts_by_text(offsets, (raw == 64) & np.append((raw[1:] == 32) | (raw[1:] == 93) | (raw[1:] == 41) | (raw[1:] == 125) | (raw[1:] == 62) | tk.SPACES[raw[1:]], True)) > 0
-    lone = np.zeros(len(raw), bool)
+    found = np.zeros(len(raw), bool)
     if len(raw):
-        opened = (raw == 40) | (raw == 91) | (raw == 123) | (raw == 60) | tk.SPACES[raw]
-        lone[1:] = (raw[1:] == 64) & opened[:-1]
-        # "(at) host.com": a bracket before at, the dot plain
-        lone[1:-1] |= ((raw[:-2] == 40) | (raw[:-2] == 91) | (raw[:-2] == 123) | (raw[:-2] == 60)) & ((raw[1:-1] | 32) == 97)
-        lone[2:] |= (raw[1:-1] == 95) & ((raw[2:] | 32) == 97)
-    bracket = tk.counts_by_text(offsets, lone) > 0
-    hidden = odd | (tk.counts_by_text(before, pair) > 0) | (tk.counts_by_text(before, dots) > 0) | apart | bracket
+        after = np.append(raw[1:], 32)
+        found = (raw == 64) & (_BLANKS[after] | _SHUTS[after])
+        found[1:] |= (raw[1:] == 64) & (_BLANKS | _OPENS)[raw[:-1]]
+        # a bracket, up to three blanks and what begins at, arroba, @ or a dot
+        opened = _OPENS[raw]
+        for _ in range(4):
+            opened = np.append(False, opened[:-1])
+            found |= opened & _BEGINS[raw]
+            opened &= _BLANKS[raw]
+        # _at_, -at-
+        joined = (raw == 45) | (raw == 95)
+        found[3:] |= joined[:-3] & ((raw[1:-2] | 32) == 97) & ((raw[2:-1] | 32) == 116) & joined[3:]
+        # signs of multiplication and division end a word, but their bytes don't break it
+        found[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    hidden = odd | (tk.counts_by_text(before, digit) > 1) | (tk.counts_by_text(before, dots) > 0) | (tk.counts_by_text(offsets, found) > 0)
     return plain, hidden
 
 

@@ -91,3 +91,51 @@ def test_hints_never_miss(spark):
         raw = np.frombuffer(text.encode(), np.uint8)
         _, hidden = pii.hints(raw, np.array([0, len(raw)]))
         assert hidden[0] or pii.all_spans(text)[0] == pii.all_spans(text)[1], text
+
+
+MISSED = [
+    "john@example[.]com",
+    "john at example (.) com",
+    "john [ at ] example.com",
+    "john-at-example.com",
+    "john{\n arroba }example.com",
+    "+1 five 0 nine 5 five 5 6 nine 7 three 1",
+    "+1 FÜNF 0 NEUN 5 FÜNF 5 6 NEUN 7 DREI 1",
+    "×one two×three four five six seven eight nine one two three four five six",
+]
+
+
+def test_disguises_without_another_hint_are_found(spark):
+    rows = {r.doc_id: r for r in pii.find_personal_data(frame(spark, MISSED)).collect()}
+    for i, text in enumerate(MISSED):
+        spans = pii.all_spans(text)[1]
+        assert rows[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans), text
+    assert all(rows[i].n_disguised for i in range(7))
+
+
+def test_hints_hold_every_alternative():
+    import numpy as np
+
+    rng = random.Random(4)
+    blanks = ["", " ", "\t", " \n ", "\x1c", "\x85", "\u2003"]
+    opens, shuts = "[({<", "])}>"
+    blank = lambda: rng.choice(blanks)
+    wrap = lambda x: blank() + rng.choice(opens) + blank() + x + blank() + rng.choice(shuts) + blank()
+    case = lambda x: rng.choice([x, x.upper(), x.title()])
+    ats = lambda: case(rng.choice([wrap("at"), wrap("arroba"), wrap("@"), wrap("a"), " at ", " arroba ", "_at_", "-at-", " @", "@ ", " @ ", "@", "@"]))
+    dots = lambda: case(rng.choice([wrap(rng.choice([*pii.DOTS, "."])), f" {rng.choice(pii.DOTS)} ", "_dot_", "-dot-", "."]))
+    number = lambda: rng.choice([case(rng.choice(list(pii.DIGITS))), str(rng.randint(0, 9))])
+    texts = []
+    for _ in range(6000):
+        texts.append("jo" + dots() + "hn" + ats() + "example" + dots() + "com")
+        texts.append("+1 " + "".join(number() + rng.choice([" ", "-", ", ", "/"]) for _ in range(10)) + number())
+        texts.append(dots().join(rng.choice([str(rng.randint(0, 255)), number()]) for _ in range(4)))
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    hidden = pii.hints(np.frombuffer(b"".join(data), np.uint8), offsets)[1].tolist()
+    found = 0
+    for text, h in zip(texts, hidden, strict=True):
+        base, spans = pii.all_spans(text)
+        found += base != spans
+        assert h or base == spans, text
+    assert found > 3000
