@@ -50,8 +50,11 @@ _HIDDEN_DOT = re.compile(rf"\s{{0,3}}{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}\s{{0,3}}|
 _BEFORE_DOT = re.compile(rf"(?:{_HIDDEN_DOT.pattern})$", re.I)
 _HIDDEN_AT = re.compile(rf"\s{{0,3}}{_OPEN}(?:at|arroba|@|a){_SHUT}\s{{0,3}}|\s{{1,3}}(?:at|arroba)\s{{1,3}}|_at_|-at-|\s{{1,3}}@\s{{0,3}}|@\s{{1,3}}|@", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_NUMBER = re.compile(r"[0-9]+|\+|\b(?:" + "|".join(sorted([*DIGITS, *SIGNS], key=len, reverse=True)) + r")\b", re.I)
+_NUMBER = re.compile(rf"[0-9]+|\+|{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}|" + r"\b(?:" + "|".join(sorted([*DIGITS, *SIGNS], key=len, reverse=True)) + r")\b", re.I)
 _GAP = re.compile(r"[\s,;:()\-/]{0,4}$")
+#: A disguised dot with a figure on both sides.
+_FIGURE_DOT = re.compile(rf"(?<=[0-9])(?:{_HIDDEN_DOT.pattern})(?=[0-9])", re.I)
+_BOXED_DOT = re.compile(rf"{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -147,7 +150,8 @@ def seen_as(text: Traced) -> Traced:
 
 
 def spelled_out(text: Traced) -> Traced:
-    """Transducer 2: runs of at least four digits or signs, two spelled digits among them, to figures."""
+    """Transducer 2: runs of at least four digits or signs (bracketed dots too), two spelled digits or
+    one and three dots among them, to figures."""
     runs: list[list[re.Match]] = []
     for m in _NUMBER.finditer(text.text):
         gap = text.text[runs[-1][-1].end() : m.start()] if runs else "x"
@@ -157,17 +161,23 @@ def spelled_out(text: Traced) -> Traced:
             runs.append([m])
     edits = []
     for run in runs:
-        words = [m.group().lower() for m in run]
+        words = ["dot" if _BOXED_DOT.fullmatch(m.group()) else m.group().lower() for m in run]
         while words and words[-1] in SIGNS:
             run, words = run[:-1], words[:-1]
-        if len(words) >= 4 and sum(w in DIGITS for w in words) >= 2:
+        spelled = sum(w in DIGITS for w in words)
+        if len(words) >= 4 and (spelled >= 2 or (spelled and sum(w in DOTS for w in words) >= 3)):
             edits.append((run[0].start(), run[-1].end(), "".join(DIGITS.get(w) or SIGNS.get(w) or w for w in words)))
             # one range of source characters: a figure can't be cut out of the run
     return text.rewritten(edits)
 
 
+def dotted(text: Traced) -> Traced:
+    """Transducer 3: disguised dots between figures to dots."""
+    return text.rewritten([(m.start(), m.end(), ".") for m in _FIGURE_DOT.finditer(text.text)])
+
+
 def hidden_emails(text: Traced) -> list[tuple[int, int]]:
-    """Transducer 3: at and dot disguises. Source ranges of addresses with at least one disguise."""
+    """Transducer 4: at and dot disguises. Source ranges of addresses with at least one disguise."""
     found, done, plain = [], 0, text.text
     for m in _HIDDEN_AT.finditer(plain):
         if m.start() < done:
@@ -217,8 +227,8 @@ def all_spans(text: str, disguised: bool = True) -> tuple[list[tuple[str, int, i
     found = set(base)
     if disguised:
         seen = seen_as(Traced(text))
-        figures = spelled_out(seen)
-        more = [(k, *t.source(a, b)) for t in (seen, figures) for k, a, b in plain_spans(t.text)]
+        figures, points = spelled_out(seen), dotted(seen)
+        more = [(k, *t.source(a, b)) for t in (seen, figures, points) for k, a, b in plain_spans(t.text)]
         more += [("email", *r) for r in hidden_emails(seen)]
         found |= {(k, a, b) for k, a, b in more if not any(k == x and c <= a and b <= d for x, c, d in base)}
     order = lambda s: sorted(s, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

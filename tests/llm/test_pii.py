@@ -139,3 +139,28 @@ def test_hints_hold_every_alternative():
         found += base != spans
         assert h or base == spans, text
     assert found > 3000
+
+
+@pytest.mark.parametrize(
+    "kind,hidden",
+    [
+        ("ip", "192 dot 168 dot 1 dot 7"),
+        ("ip", "192[.]168[.]1[.]7"),
+        ("ip", "192 (dot) 168 { Punkt } 1-dot-7"),
+        ("ip", "192_dot_168.1 punto 7"),
+        ("ip", "１９２[.]168.1.7"),
+        ("ip", "one nine two [dot] one six eight (.) one [.] seven"),
+        ("ip", "192 dot 168 dot one dot 7"),
+        ("phone", "+1 509 dot 555 dot 6973"),
+    ],
+)
+def test_disguised_dots_between_figures(spark, kind, hidden):
+    texts = [hidden, f"see {hidden}, yes", f"5 é {hidden}"]
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, texts, 1)).collect()}
+    for i, at in enumerate((0, 4, 4)):
+        assert f"{kind}:{at}:{at + len(hidden)}" in rows[i].split(","), rows[i]
+
+
+@pytest.mark.parametrize("clean", ["5 point 3 and 12 dot 4", "1 dot 2 dot 300 dot 4", "192[.]168[.]1", "[1] [.] [2]"])
+def test_other_dots_make_no_address(clean):
+    assert pii.all_spans(clean)[1] == []
