@@ -116,6 +116,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     found = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    named = {tuple(json.loads(r["pattern"])): r["pattern"] for r in found}  # as Spark writes it: escapes differ from json.dumps
     sizes = {tuple(json.loads(r["pattern"])): r["n"] for r in found}
     source_size: dict = {}
     for p, n in sizes.items():
@@ -129,7 +130,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     for p, n in sizes.items():
         took = sum(flow[p].values())
         whole = min(most, int((took + 1e-6 * max(n, 1)) // n)) if n else 0
-        plan.append((json.dumps(list(p), ensure_ascii=False, separators=(",", ":")), whole, float(max(0.0, took - whole * n)) if whole < most else 0.0))
+        plan.append((named[p], whole, float(max(0.0, took - whole * n)) if whole < most else 0.0))
     spark = docs.sparkSession
     plan_df = spark.createDataFrame(plan, "pattern string, whole int, rest double")  # MOST_PATTERNS rows at most
     source_df = spark.createDataFrame([(s, int(n), float(targets[s])) for s, n in source_size.items()], "first string, source_size long, target double")

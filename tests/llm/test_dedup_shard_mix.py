@@ -78,3 +78,9 @@ def test_mix_meets_targets(spark):
     out = mixing.mixed_documents(docs.withColumn("whole", F.lit(1)))
     assert out.columns == [*docs.columns, "whole"] and out.count() == sum(r.repeats for r in rows)
     assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_mix_keeps_sources_with_control_characters(spark):
+    names = ["a", "b\x0b", "\x1a\x1f", 'q"\\/', "é\x0e", "\x7f\x01\n\t"]
+    docs = spark.createDataFrame([(i, "w " * 9, s) for i, s in enumerate(names * 3)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == list(range(18))
