@@ -69,7 +69,7 @@ def query_coverage(spark, sf_dir):
 def fixed_chunks(spark, sf_dir):
     """X29, K27."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.fixed_chunks(F.col("text"))).alias("i", "c"))
-    return d.select("doc_id", F.concat(F.col("doc_id"), F.lit("#p_"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("passage_id"), F.col("c.start").alias("start"), F.length("c.text").alias("n"), F.md5(F.encode("c.text", "UTF-8")).alias("digest"))
+    return d.select("doc_id", F.concat(F.col("doc_id"), F.lit("#p_"), F.format_string("%03d", F.col("i"))).alias("passage_id"), F.col("c.start").alias("start"), F.length("c.text").alias("n"), F.md5(F.encode("c.text", "UTF-8")).alias("digest"))
 
 
 @query("offset_passages", "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 800) / 600.0) AS INT), 0) * 600 + 1, 600)) AS start FROM documents WHERE length(text) > 0) SELECT doc_id, start, least(start + 800, length(text)) AS stop, md5(substr(text, start + 1, 800)) AS digest FROM s")

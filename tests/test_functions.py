@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo, scores, text, urls
 from tessera.operators import serving
+from tessera.plans import texts
 from tessera.sources import files, pages
 
 
@@ -82,3 +83,9 @@ def test_opening_hours(spark):
     assert one(spark, serving.open_at(night, F.lit(60)), serving.open_at(night, F.lit(600)), serving.open_at(F.lit(None).cast(hours), F.lit(1)), serving.open_at(F.array().cast(hours), F.lit(1))) == (True, False, None, False)
     assert one(spark, *[serving.minutes(F.lit(x)) for x in ("08:30", "24:00", "8:61", "x")]) == (510, 1440, None, None)
     assert serving.parse_bbox("1,2,3,4") == (1, 2, 3, 4) and serving.parse_bbox("3,2,1,4") is None and serving.parse_bbox("a") is None
+
+
+def test_passage_ids_of_long_documents_stay_apart(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 602_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.passage_id for r in texts.fixed_chunks(spark, str(tmp_path)).collect()}
+    assert len(ids) == 1004 and {"1#p_000", "1#p_100", "1#p_1000", "1#p_1003"} <= ids
