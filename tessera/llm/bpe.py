@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
 import pickle
 import sys
 
@@ -137,7 +138,7 @@ class PerfectHash:
 
 class Tokenizer:
     """Encodes texts chunk by chunk. Each distinct pre-token of a chunk is resolved once: from those seen
-    before, by the perfect hash if it is a token itself, else by merging."""
+    before, by the perfect hash (and its bytes) if it is a token itself, else by merging."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.classes = character_classes()
@@ -165,14 +166,12 @@ class Tokenizer:
 
     @staticmethod
     def hashes_of(rows: list[bytes]) -> np.ndarray:
-        size = np.array([len(r) for r in rows], np.int64)
-        ends = np.cumsum(size)
-        return tk.unit_hashes(np.frombuffer(b"".join(rows), np.uint8), ends - size, ends)
+        return tk.digests(rows)[:, 0]
 
     def forget(self) -> None:
-        self.seen = np.zeros(0, tk.U)  # hashes of pre-tokens, ascending; then where their ids are
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.seen: dict[bytes, int] = {}  # pre-tokens by their bytes, numbered
+        self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # where the ids of each are
+        self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def merged(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is left: a heap of
@@ -201,39 +200,35 @@ class Tokenizer:
                 heapq.heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def learn(self, hashes: np.ndarray, rows: list[bytes]) -> None:
-        """Remember the encodings of new pre-tokens."""
-        if len(self.seen) + len(rows) > MEMO:
-            self.forget()
-        found = self.perfect.find(hashes)
+    def learn(self, rows: list[bytes]) -> None:
+        """Remember the encodings of new pre-tokens, behind those known."""
         flat, count = [], []
-        for at, row in zip(found.tolist(), rows, strict=True):
+        for at, row in zip(self.perfect.find(self.hashes_of(rows)).tolist(), rows, strict=True):
             ids = [int(self.ids[at])] if at >= 0 and self.tokens[at] == row else self.merged(row)
             flat += ids
             count.append(len(ids))
-        count = np.array(count, np.int64)
-        seen = np.concatenate([self.seen, hashes])
-        order = np.argsort(seen, kind="stable")
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])[order]
-        self.count = np.concatenate([self.count, count])[order]
-        self.seen, self.flat = seen[order], np.concatenate([self.flat, np.array(flat, np.int32)])
+        known, now = len(self.seen), len(self.seen) + len(rows)
+        self.seen.update(zip(rows, range(known, now), strict=True))
+        if now > len(self.count):
+            self.begin, self.count = (np.concatenate([x, np.zeros(now, np.int64)]) for x in (self.begin, self.count))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + len(flat), np.int32)])
+        self.count[known:now] = count
+        self.begin[known:now] = self.used + np.cumsum(count) - count
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many come before each text."""
+        """The ids of all texts, and how many come before each text. Pre-tokens are told apart by their bytes."""
         starts = pieces(raw, offsets, self.classes)
-        ends = np.append(starts[1:], len(raw))
-        hashes, first, which = np.unique(tk.unit_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):
-            at = np.minimum(np.searchsorted(self.seen, hashes), max(len(self.seen) - 1, 0))
-            new = self.seen[at] != hashes if len(self.seen) else np.ones(len(hashes), bool)
-            if not new.any():
-                break
-            if len(self.seen) + new.sum() > MEMO:
-                self.forget()
-                new[:] = True
-            data = raw.tobytes()
-            self.learn(hashes[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        ids = _gather(self.flat, self.begin[at][which], size := self.count[at][which])
+        which, rows = tk.coded(raw, starts, np.append(starts[1:], len(raw)))
+        if len(self.seen) > MEMO:
+            self.forget()
+        new = [r for r in rows if r not in self.seen]
+        if new:
+            self.learn(new)
+        at = np.array([self.seen[r] for r in rows], np.int64)[which]
+        ids = _gather(self.flat, self.begin[at], size := self.count[at])
         before = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(size, out=before[1:])
         return ids, before[np.searchsorted(starts, offsets)]
@@ -261,7 +256,7 @@ def encoded_chunk(tokenizer: Tokenizer, raw: np.ndarray, offsets: np.ndarray):
     ids, before = tokenizer.encode(raw, offsets)
     decoded = b"".join(tokenizer.decode(ids[a : a + BLOCK]) for a in range(0, len(ids), BLOCK))
     if decoded != raw.tobytes():
-        raise ValueError("two pre-tokens share a 64-bit hash")
+        raise AssertionError("the decoded bytes differ from the text")
     return ids, before, decoded
 
 
@@ -276,6 +271,20 @@ def _opened(name: str, image: bytes) -> Tokenizer:
     return _OPEN[name]
 
 
+_SHIPPED: dict[tuple, object] = {}
+
+
+def shipped(context, ranks_path: str):
+    """The broadcast of (name, pickled tokenizer), built once for a context and file: the tables have the vocabulary's size."""
+    key = (context.applicationId, ranks_path, os.path.getmtime(ranks_path))
+    if key not in _SHIPPED:
+        _SHIPPED.clear()
+        image = pickle.dumps(Tokenizer(load_ranks(ranks_path)), protocol=5)
+        _SHIPPED[key] = context.broadcast((hashlib.sha256(image).hexdigest(), image))
+        tk.give_back()
+    return _SHIPPED[key]
+
+
 def tokenized(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, digests: bool = True) -> DataFrame:
     """Encode each whole text and decode the ids. One row for each row of docs: doc_id and n_tokens, then
     with digests ids_sha256 and decoded_sha256, else ids array<int> and decoded binary.
@@ -285,8 +294,7 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, digests:
     """
     if pattern != PATTERN:
         raise ValueError("only PATTERN is implemented")
-    image = pickle.dumps(Tokenizer(load_ranks(ranks_path)), protocol=5)
-    tables = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(image).hexdigest(), image))
+    tables = shipped(docs.sparkSession.sparkContext, ranks_path)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):

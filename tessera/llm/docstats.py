@@ -29,13 +29,9 @@ _BYTES = {
 }
 
 
-def _of_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Hashes that differ between texts."""
-    return tk.mix(hashes ^ tk.mix(text.astype(tk.U) + tk.U(1)))
-
-
 def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple]:
     """COUNTS of each text as int64 arrays, and the words: (hashes, text of each, how many before each text).
+    Words and lines are compared by their bytes.
 
     word_chars: code points in words. n_dup_lines: lines with a word equal to an earlier line of the
     text. n_repeat_words: words in three-word windows found twice or more in the text.
@@ -46,23 +42,21 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray],
     out["n_words"] = np.diff(before)
     inside = ~tk.SPACES[raw] & _BYTES["n_chars"][raw]
     out["word_chars"] = tk.counts_by_text(offsets, inside)
-    hashes, text = tk.unit_hashes(raw, starts, ends), np.repeat(np.arange(n), np.diff(before))
-    own = _of_text(hashes, text)
-    room = tk.U(max(n - 1, 1).bit_length())  # the text in the upper bits, so one sort of plain numbers does
-    packed = np.sort(text.astype(tk.U) << (tk.U(64) - room) | own >> room)
-    fresh = np.ones(len(packed), bool)
-    fresh[1:] = packed[1:] != packed[:-1]
-    out["n_distinct"] = np.bincount((packed[fresh] >> (tk.U(64) - room)).astype(np.int64), minlength=n)
+    codes, distinct = tk.coded(raw, starts, ends)
+    hashes, text = tk.digests(distinct)[codes, 0], np.repeat(np.arange(n), np.diff(before))
+    own = text * max(len(distinct), 1) + codes  # below bytes squared
+    fresh = np.sort(own)
+    fresh = fresh[np.append(True, fresh[1:] != fresh[:-1])] if len(fresh) else fresh
+    out["n_distinct"] = np.bincount(fresh // max(len(distinct), 1), minlength=n)
     out["longest"] = np.zeros(n, np.int64)
     full = out["n_words"] > 0
     if full.any():
         out["longest"][full] = np.maximum.reduceat(ends - starts, before[:-1][full])
     out["n_repeat_words"] = np.zeros(n, np.int64)
-    if len(own) >= 3:
-        grams = tk.fixed_digest(own, 3, 0)
-        at = np.flatnonzero(text[:-2] == text[2:])
-        _, which, times = np.unique(grams[at], return_inverse=True, return_counts=True)
-        twice = at[times[which] > 1]
+    at = np.flatnonzero(text[:-2] == text[2:])
+    if len(at):
+        which = tk.groups_of(text[at], codes[at], codes[at + 1], codes[at + 2])
+        twice = at[np.bincount(which)[which] > 1]
         covered = np.zeros(len(own), bool)
         for k in range(3):
             covered[twice + k] = True
@@ -73,7 +67,7 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray],
     np.cumsum(~tk.SPACES[raw], out=filled[1:])
     with_word = filled[ends] > filled[starts]
     line_text = np.repeat(np.arange(n), np.diff(before))[with_word]
-    lines = _of_text(tk.unit_hashes(raw, starts[with_word], ends[with_word]), line_text)
-    _, first = np.unique(lines, return_index=True)
+    codes, distinct = tk.coded(raw, starts[with_word], ends[with_word])
+    _, first = np.unique(line_text * max(len(distinct), 1) + codes, return_index=True)
     out["n_dup_lines"] = np.bincount(line_text, minlength=n) - np.bincount(line_text[first], minlength=n)
     return out, (hashes, text, np.concatenate([[0], np.cumsum(out["n_words"])]))

@@ -1,4 +1,4 @@
-"""Line dedup: runs of lines that stand earlier are deleted, by winnowing over line hashes."""
+"""Line dedup: runs of lines, and long lines, that stand earlier are deleted, by winnowing over line hashes."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from .substring_dedup import apply_runs
 
 RUN_LINES = 3
 SEED_LINES = 2
+LONE_WORDS = 13
 
 
 def _cut_lines(batches):
@@ -38,11 +39,11 @@ def _cut_lines(batches):
             yield batch, i, n, len(gone), b"\n".join([data[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN_LINES, seed: int = SEED_LINES) -> DataFrame:
-    r"""Delete every run of `run` or more lines that also stands earlier: in a document with a smaller
-    doc_id, or before in the same text. Lines are split at \n and compared byte by byte; lines without
-    a word are never part of a run and never deleted. Runs are judged on the input. Kept lines are
-    joined by \n again.
+def dedup_lines(docs: DataFrame, run: int = RUN_LINES, seed: int = SEED_LINES, lone: int = LONE_WORDS) -> DataFrame:
+    r"""Delete every run of `run` or more lines, and every line of `lone` or more words (0: none by itself),
+    that also stands earlier: in a document with a smaller doc_id, or before in the same text. Lines are
+    split at \n and named by 128-bit digests of their bytes; lines without a word are never part of a run
+    and never deleted. Runs are judged on the input. Kept lines are joined by \n again.
 
     All columns of docs return, text replaced, then n_lines (lines with a word) and n_removed_lines;
     columns of docs with those names go. Null text stays null. Null doc_id: never changed nor matched
@@ -51,7 +52,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN_LINES, seed: int = SEED_LINES) -
     docs = docs.drop("n_lines", "n_removed_lines")
     names = docs.columns
     at, ident = names.index("text"), F.col("doc_id").cast("long")
-    found = repeated_runs(docs.select(ident.alias("doc_id"), "text"), "line", run, seed, within=True)
+    found = repeated_runs(docs.select(ident.alias("doc_id"), "text"), "line", run, seed, within=True, lone_words=lone)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed_lines long"
 
     def give(batch, rows):
@@ -78,8 +79,9 @@ ORACLE = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
 full_ AS (SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 win AS (SELECT doc_id, pos, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c FROM full_ WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-late AS (SELECT doc_id, pos FROM win WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) > 1),
-gone AS (SELECT DISTINCT f.doc_id, f.k FROM full_ f JOIN late ON f.doc_id = late.doc_id AND f.pos BETWEEN late.pos AND late.pos + 2),
+late AS (SELECT doc_id, pos, 3 AS n FROM win WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) > 1
+  UNION ALL SELECT doc_id, pos, 1 FROM full_ WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 13 QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.k FROM full_ f JOIN late ON f.doc_id = late.doc_id AND f.pos BETWEEN late.pos AND late.pos + late.n - 1),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL) AS body FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(f.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed_lines, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id

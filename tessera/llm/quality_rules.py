@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .docstats import counts
 from .labelled import training_rows
+from .runtime import written
 
-TRAIN_ROWS = 2_500
+#: Rows trained on, and entries of their sparse matrix that the driver takes; both hold at any input size.
+TRAIN_ROWS, MOST_ENTRIES = 5_000, 2 << 20
 BITS = 18
-STEPS, RATE, L2, LEAST_ROWS = 100, 0.5, 1e-6, 3
+STEPS, RATE, L2, LEAST_ROWS = 60, 0.5, 1e-6, 3
 THRESHOLD = 0.3
 LEAST_WORDS = 50
-BLOCKS = 3  # single words, pairs of words, four bytes
+BLOCKS = 3  # single words, pairs of words, four characters
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -33,21 +35,25 @@ def hashed(raw: np.ndarray, offsets: np.ndarray, words: tuple):
     np.cumsum(same, out=kept[1 : len(same) + 1])
     kept[len(same) + 1 :] = kept[len(same)] if len(same) else 0
     yield pairs[same[: len(pairs)]].astype(np.int32), kept[before]
-    n = len(raw) - 3
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+    lead = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(raw & 0xC0 != 0x80, out=lead[1:])
+    chars = lead[offsets]  # code points before each text
+    n = len(points) - 3
     if n <= 0:
         yield np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         return
-    code = raw[:n].astype(np.uint32)
+    code = np.zeros(n, tk.U)
+    for k in range(4):
+        code = code * tk.BASES[0] + points[k : k + n]
+    slot = (tk.mix(code) >> shift).astype(np.int32)
+    inside = np.ones(len(points), bool)
     for k in (1, 2, 3):
-        code = code << np.uint32(8) | raw[k : k + n]
-    slot = (code * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32)
-    ok = np.zeros(n + 1, np.int64)
-    inside = np.ones(len(raw), bool)
-    for k in (1, 2, 3):
-        at = offsets[1:] - k
+        at = chars[1:] - k
         inside[at[at >= 0]] = False
+    ok = np.zeros(n + 1, np.int64)
     np.cumsum(inside[:n], out=ok[1:])
-    yield slot[inside[:n]], ok[np.minimum(offsets, n)]
+    yield slot[inside[:n]], ok[np.minimum(chars, n)]
 
 
 @dataclass
@@ -72,50 +78,75 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
 
 
-def design(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values of the sparse matrix of slot shares."""
-    rows, columns, values = [], [], []
-    for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        offsets = np.array([0, len(raw)])
-        starts, ends, before = tk.spans_of(raw, offsets)
-        words = (tk.unit_hashes(raw, starts, ends), np.zeros(len(starts), np.int64), before)
-        for b, (slots, _) in enumerate(hashed(raw, offsets, words)):
-            if len(slots):
-                slot, n = np.unique(slots, return_counts=True)
-                rows.append(np.full(len(slot), i))
-                columns.append(slot.astype(np.int64) + (b << BITS))
-                values.append(n / len(slots))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-
-
-def train(texts: list[str], y: np.ndarray) -> Model:
-    """AdaGrad on the logistic loss over four fifths of the rows, on slots that LEAST_ROWS rows use, then Platt's scaling on the other fifth.
+def shares(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its slots of all blocks (ascending, block x 2**BITS + slot) and their shares of the block."""
+    starts, ends, before = tk.spans_of(raw, offsets)
+    words = (tk.named(raw, starts, ends)[0], np.repeat(np.arange(len(offsets) - 1), np.diff(before)), before)
+    blocks = list(hashed(raw, offsets, words))
+    out = []
+    for i in range(len(offsets) - 1):
+        slots, values = [], []
+        for b, (all_slots, at) in enumerate(blocks):
+            slot, n = np.unique(all_slots[at[i] : at[i + 1]], return_counts=True)
+            slots.append(slot + np.int32(b << BITS))
+            values.append((n / max(n.sum(), 1)).astype(np.float32))
+        out.append((np.concatenate(slots).astype(np.int32), np.concatenate(values)))
+    return out
+
+
+def _share_batches(batches):
+    for batch, raw, offsets in tk.chunks(batches):
+        rows = shares(raw, offsets)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], ["doc_id", "label", "slots", "shares"])
+
+
+def _use_batches(batches):
+    """How many rows of each label use each slot, over the rows of a task."""
+    uses = np.zeros((2, BLOCKS << BITS), np.int64)
+    for batch in batches:
+        for label, slots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            uses[label, np.frombuffer(slots, np.int32)] += 1
+    at = np.flatnonzero(uses.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(uses[0, at]), pa.array(uses[1, at])], ["slot", "n0", "n1"])
+
+
+def chosen_slots(n0: np.ndarray, n1: np.ndarray, rows: tuple[int, int], most: int) -> np.ndarray:
+    """Which slots are trained on: those that tell the labels apart best (chi-square), as long as the
+    entries of all add up to at most `most`."""
+    n, total = n0 + n1, max(sum(rows), 1)
+    expected = n * (rows[1] / total)
+    spread = np.maximum(n * (rows[0] / total) * (rows[1] / total) * (total - n + 1) / total, 1e-9)
+    order = np.lexsort((np.arange(len(n)), -((n1 - expected) ** 2) / spread))
+    return np.sort(order[: np.searchsorted(np.cumsum(n[order]), most, "right")])
+
+
+def train(cut: np.ndarray, columns: np.ndarray, values: np.ndarray, used: np.ndarray, y: np.ndarray) -> Model:
+    """AdaGrad on the logistic loss over four fifths of the rows, then Platt's scaling on the other fifth.
+    Row i has the entries cut[i] to cut[i + 1] of columns (places in used) and values; used: the slots.
     Without rows of both classes the model gives the share of label 1 (one where there are no rows)."""
     share = float(np.clip(y.mean() if len(y) else 1.0, 1e-3, 1 - 1e-3))
     log_odds = float(np.log(share / (1 - share)))
-    empty = np.zeros((BLOCKS, 1 << BITS), np.float32)
+    weights = np.zeros(BLOCKS << BITS, np.float32)
     if len(y) < 10 or y.min() == y.max():
-        return Model(empty, 0.0, 0.0, log_odds)
-    r, c, v = design(texts)
-    frequent = np.bincount(c, minlength=BLOCKS << BITS) >= LEAST_ROWS
-    r, c, v = r[frequent[c]], c[frequent[c]], v[frequent[c]]
-    used, c = np.unique(c, return_inverse=True)
+        return Model(weights.reshape(BLOCKS, -1), 0.0, 0.0, log_odds)
+    size = np.diff(cut)
     fit_rows = np.arange(len(y)) % 5 != 0
     w, bias, squares = np.zeros(len(used)), log_odds, np.full(len(used), 1e-12)
     n = fit_rows.sum()
+    total = np.zeros(len(columns) + 1)
+
+    def margins():
+        np.cumsum(w[columns] * values, out=total[1:])
+        return total[cut[1:]] - total[cut[:-1]] + bias
+
     for _ in range(STEPS):
-        margin = np.bincount(r, weights=w[c] * v, minlength=len(y)) + bias
-        error = np.where(fit_rows, 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y, 0) / n
-        grad = np.bincount(c, weights=error[r] * v, minlength=len(used)) + L2 * w
+        error = np.where(fit_rows, 1 / (1 + np.exp(-np.clip(margins(), -40, 40))) - y, 0) / n
+        grad = np.bincount(columns, weights=np.repeat(error, size) * values, minlength=len(used)) + L2 * w
         squares += grad**2
         w -= RATE * grad / np.sqrt(squares)
         bias -= RATE * error.sum()
-    margin = np.bincount(r, weights=w[c] * v, minlength=len(y)) + bias
+    margin = margins()
     slope, shift = platt(margin[~fit_rows], y[~fit_rows])
-    weights = empty.ravel()
     weights[used] = w
     return Model(weights.reshape(BLOCKS, -1), bias, slope, shift)
 
@@ -142,10 +173,38 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, f
     return float(max(theta[0], 0.0)), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Train on at most `most` labelled rows outside the held-out fold; their texts reach the driver."""
-    rows = sorted(training_rows(docs, labels, most).select("doc_id", "text", "label").toLocalIterator())
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.float64))
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int = MOST_ENTRIES) -> Model:
+    """Train on at most `most` labelled rows outside the held-out fold. Executors turn whole texts into slots;
+    the driver gets one row a slot that LEAST_ROWS rows use, then the rows' entries in chosen slots, at most
+    `entries` in all, so its memory depends neither on the length of texts nor on their number."""
+    rows = written(training_rows(docs, labels, most).mapInArrow(_share_batches, "doc_id long, label int, slots binary, shares binary"), "shares")
+    uses = rows.select("label", "slots").mapInArrow(_use_batches, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    uses = uses.where(F.col("n0") + F.col("n1") >= LEAST_ROWS).toPandas().sort_values("slot")
+    marks = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    picked = chosen_slots(uses["n0"].to_numpy(), uses["n1"].to_numpy(), (marks.get(0, 0), marks.get(1, 0)), entries)
+    used = uses["slot"].to_numpy()[picked].astype(np.int32)
+    del uses
+    shared = docs.sparkSession.sparkContext.broadcast(used)  # BLOCKS x 2**BITS numbers at most
+
+    def narrowed(batches):
+        slots = shared.value
+        for batch in batches:
+            places, values = [], []
+            for s, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                _, place, at = np.intersect1d(slots, np.frombuffer(s, np.int32), assume_unique=True, return_indices=True)
+                places.append(place.astype(np.int32).tobytes())
+                values.append(np.frombuffer(v, np.float32)[at].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "label", "places", "shares"])
+
+    kept = rows.mapInArrow(narrowed, "doc_id long, label int, places binary, shares binary").toPandas().sort_values(["doc_id", "label"])
+    shared.destroy()
+    columns, values = (np.frombuffer(b"".join(kept[k]), t) for k, t in (("places", np.int32), ("shares", np.float32)))
+    cut = np.concatenate([[0], np.cumsum([len(p) // 4 for p in kept["places"]], dtype=np.int64)])
+    y = kept["label"].to_numpy(np.float64)
+    del kept
+    model = train(cut, columns, values, used, y)
+    tk.give_back()
+    return model
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:

@@ -13,6 +13,9 @@ document with a smaller id, in time and space linear in the text:
 3. Extension. The windows of kept stretches, left and right of the seed, are compared by 128-bit
    digests, again dealt out and sorted. What is covered merges into maximal runs.
 
+A unit is named by a keyed 128-bit digest of its bytes. Seeds and extents take one half each, windows
+both, so units or windows that share one 64-bit hash don't meet.
+
 No pairs are made: a row meets the smallest id of its run only. Before each exchange a chunk
 of documents keeps one row per owner or window and settles the rest itself, so a passage that
 a third of all documents share costs a row per chunk and not one per document.
@@ -85,31 +88,53 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _seed_rows(kind: str, length: int, seed: int, within: bool):
+def _stretches(left, right, before, text_of, length: int, seed: int):
+    """Neighbouring windows with one owner: (first unit, end, owner, digest of the extent), and every window with both digests."""
+    n = len(left) - length + 1
+    window = np.flatnonzero(np.arange(n) + length <= before[text_of[:n] + 1]) if n > 0 else np.zeros(0, np.int64)
+    if not len(window):
+        none = np.zeros(0, np.int64)
+        return (none, none, none, none), (none, none, none)
+    grams, windows = tk.fixed_digest(left, seed, 0), tk.fixed_digest(right, length, 1)
+    owner = grams[:n].copy()
+    for j in range(1, length - seed + 1):
+        np.minimum(owner, grams[j : j + n], out=owner)
+    own = owner[window]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1)))
+    s, last = window[first], window[np.append(first[1:], len(window)) - 1]
+    span = _signed(tk.ranged_digest(windows, s, last + 1, 2))
+    return (s, last + length, _signed(own[first]), span), (window, tk.fixed_digest(left, length, 1)[window], windows[window])
+
+
+def _later(text: np.ndarray, at: np.ndarray, *digests: np.ndarray) -> np.ndarray:
+    """Positions whose digests stand before in the same text."""
+    order = np.lexsort((at, *digests, text))
+    return at[order][~_heads(text[order], *(d[order] for d in digests))]
+
+
+def _seed_rows(kind: str, length: int, seed: int, within: bool, lone_words: int):
     def run(batches):
         for batch, raw, offsets in tk.chunks(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             starts, ends, before = units(kind, raw, offsets)
-            if len(starts) < length:
+            if not len(starts):
                 continue
-            hashes = tk.unit_hashes(raw, starts, ends)
-            per_text = np.diff(before)
-            text_of = np.repeat(np.arange(len(ids)), per_text)
-            grams = tk.fixed_digest(hashes, seed, 0)
-            n = len(hashes) - length + 1
-            owner = grams[:n].copy()
-            for j in range(1, length - seed + 1):
-                np.minimum(owner, grams[j : j + n], out=owner)
-            window = np.flatnonzero(np.arange(n) + length <= before[text_of[:n] + 1])
-            if not len(window):
+            left, right = tk.named(raw, starts, ends)
+            text_of = np.repeat(np.arange(len(ids)), np.diff(before))
+            (s, e, key, span), (window, d1, d2) = _stretches(left, right, before, text_of, length, seed)
+            w = _later(text_of[window], window, d2, d1) if within else window[:0]
+            w_end = w + length
+            if lone_words:
+                begins = tk.spans_of(raw, offsets)[0]
+                lone = np.flatnonzero(np.searchsorted(begins, ends) - np.searchsorted(begins, starts) >= lone_words)
+                s, e = np.append(s, lone), np.append(e, lone + 1)
+                key, span = np.append(key, _signed(tk.mix(left[lone] + tk.BASES[0]))), np.append(span, _signed(right[lone]))
+                if within:
+                    more = _later(text_of[lone], lone, right[lone], left[lone])
+                    w, w_end = np.append(w, more), np.append(w_end, more + 1)
+            if not len(s):
                 continue
-            own = owner[window]
-            new = np.append(True, (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1))
-            first = np.flatnonzero(new)
-            s = window[first]
-            e = window[np.append(first[1:], len(window)) - 1] + length
-            key, text = _signed(own[first]), text_of[s]
-            span = np.maximum(_signed(tk.ranged_digest(hashes, s, e, 1)), MARK + 1)
+            text, span = text_of[s], np.maximum(span, MARK + 1)
             doc = ids[text]
             order = np.lexsort((s, doc, span, key))
             key, span, doc, s, e, text = key[order], span[order], doc[order], s[order], e[order], text[order]
@@ -127,14 +152,7 @@ def _seed_rows(kind: str, length: int, seed: int, within: bool):
             marks = np.unique(key[seeds])
             base = before[text]
             s, e = s - base, e - base
-            again = [np.zeros(0, np.int64)] * 3
-            if within:
-                digest = tk.fixed_digest(hashes, length, 2)[window]
-                where = text_of[window]
-                order = np.lexsort((window, digest, where))
-                later = ~_heads(where[order], digest[order])
-                w = window[order][later]
-                again = [ids[text_of[w]], w - before[text_of[w]], w - before[text_of[w]] + length]
+            again = [ids[text_of[w]], w - before[text_of[w]], w_end - before[text_of[w]]]
             c_docs, c_runs = pack_runs(np.append(doc[covered], again[0]), np.append(s[covered], again[1]), np.append(e[covered], again[2]))
             r_docs, r_runs = pack_runs_apart(doc[seeds], s[seeds], e[seeds])
             count = (int(sent.sum()), len(marks), len(c_docs), len(r_docs))
@@ -223,7 +241,7 @@ def _window_rows(kind: str, length: int):
         for batch, raw, offsets in tk.chunks(unpacked(batches)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             starts, ends, before = units(kind, raw, offsets)
-            hashes = tk.unit_hashes(raw, starts, ends)
+            left, right = tk.named(raw, starts, ends)
             at, text = [], []
             for i, blobs in enumerate(batch.column(2).to_pylist()):
                 s, e = unpack_runs(blobs)
@@ -234,7 +252,7 @@ def _window_rows(kind: str, length: int):
                 text.append(np.full(len(w), i))
             at, text = np.concatenate(at), np.concatenate(text)
             where = at + before[text]
-            d1, d2 = _signed(tk.fixed_digest(hashes, length, 1)[where]), _signed(tk.fixed_digest(hashes, length, 2)[where])
+            d1, d2 = _signed(tk.fixed_digest(left, length, 1)[where]), _signed(tk.fixed_digest(right, length, 2)[where])
             doc = ids[text]
             order = np.lexsort((at, doc, d2, d1))
             d1, d2, doc, at = d1[order], d2[order], doc[order], at[order]
@@ -327,15 +345,16 @@ def unpacked(batches, text: str = "text"):
             yield pa.RecordBatch.from_arrays([texts if i == where else c for i, c in enumerate(batch.columns)], names)
 
 
-def repeated_runs(docs: DataFrame, kind: str, length: int, seed: int, within: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, kind: str, length: int, seed: int, within: bool = False, lone_words: int = 0) -> DataFrame:
     """docs: columns doc_id (long) and text. One row for each document with a covered window:
     doc long, runs array<binary> of [start, end) int32 pairs, in units of the document.
 
-    within: windows that occur earlier in the same document are covered as well.
+    within: windows that occur earlier in the same document are covered as well. lone_words: a unit of that
+    many words or more is a window by itself too.
     Null ids take no part. A document of fewer than `length` units has no window.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = plain.mapInArrow(_seed_rows(kind, length, seed, within), _ROWS_DDL)
+    rows = plain.mapInArrow(_seed_rows(kind, length, seed, within, lone_words), _ROWS_DDL)
     dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "span", "doc")
     found = written(dealt.mapInArrow(_settle_seeds, "doc long, seed boolean, runs binary"), "seeds")
     seeds = found.where("seed").groupBy("doc").agg(F.collect_list("runs").alias("runs"))

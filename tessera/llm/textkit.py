@@ -1,12 +1,14 @@
 """Vectorised kernels over Arrow text columns: units (words or lines), hashes, sequence digests.
 
-All arithmetic is modulo 2**64 on numpy uint64. A unit's hash sums a random table entry of each
-byte times an odd power of its offset, then mixes; it depends on the bytes alone.
+Units are told apart by their bytes: coded() numbers the distinct ones of a chunk through Arrow's
+dictionary encoding, and what leaves a chunk is named by a keyed BLAKE2 digest of 128 bits, as two
+independent halves. unit_hashes() is a fast hash that may only propose. Arithmetic is modulo 2**64.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,7 @@ BASES = [U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0xA0761D6478BD642F)]
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
+_KEY = b"tessera units"
 
 
 def powers(n: int, which: int = 0) -> np.ndarray:
@@ -139,6 +142,50 @@ def unit_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
     return mix(out)
 
 
+def coded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each byte span among the distinct ones, and those. Spans are ascending, apart and not empty."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    size = ends - starts
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    if offsets[-1] == ends[-1] - starts[0]:
+        data = raw[starts[0] : ends[-1]]
+    else:
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[starts] += 1
+        step[ends] -= 1
+        data = raw[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    units = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    found = units.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def digests(rows: list[bytes]) -> np.ndarray:
+    """Two 64-bit halves (columns) of each row's keyed BLAKE2 digest."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(r, digest_size=16, key=_KEY).digest() for r in rows]), U).reshape(-1, 2)
+
+
+def named(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both digest halves of each span."""
+    codes, rows = coded(raw, starts, ends)
+    halves = digests(rows)
+    return halves[codes, 0], halves[codes, 1]
+
+
+def groups_of(*columns: np.ndarray) -> np.ndarray:
+    """The number of each row of non-negative integer columns among the distinct rows: exact, by packing
+    as many columns into a word as fit."""
+    out = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        width = int(c.max()) + 1 if len(c) else 1
+        if int(out.max(initial=0)) >= (2**62) // width:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * width + c
+    return np.unique(out, return_inverse=True)[1]
+
+
 def fixed_digest(hashes: np.ndarray, length: int, which: int) -> np.ndarray:
     """Digest of the `length` hashes from each position on; positions too near the end are left out."""
     n = len(hashes) - length + 1

@@ -62,3 +62,17 @@ def test_query_rows(spark, reference):
     rows = bpe.tokenized(frame(spark, texts), PATH, digests=False).collect()
     assert all(bytes(r.decoded) == (texts[r.doc_id] or "").encode() and r.ids == reference.encode_ordinary(texts[r.doc_id] or "") for r in rows)
     assert bpe.tokenized(frame(spark, ["a"]).where("false"), PATH).count() == 0
+
+
+def test_pre_tokens_with_one_weak_hash(spark, reference):
+    from .test_repeats import twins
+
+    texts = [*twins(), " ".join(twins()), "x " * 3 + twins()[1]]
+    got = {r.doc_id: r.ids for r in bpe.tokenized(frame(spark, texts), PATH, digests=False).collect()}
+    assert all(got[i] == reference.encode_ordinary(t) for i, t in enumerate(texts))
+
+
+def test_rows_with_null_or_repeated_id_and_clashing_columns(spark, reference):
+    docs = frame(spark, ["a b", "c d e"]).selectExpr("CAST(NULL AS long) AS doc_id", "text", "1 AS n_tokens", "'x' AS ids", "2 AS decoded_sha256")
+    rows = bpe.tokenized(docs.union(docs), PATH).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((None, len(reference.encode_ordinary(t))) for t in ["a b", "c d e"] * 2)

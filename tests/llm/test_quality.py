@@ -94,10 +94,36 @@ def test_margins_are_means_of_weights():
     for i, b in enumerate(blobs):
         one, at = np.frombuffer(b, np.uint8), np.array([0, len(b)])
         assert abs(together[i] - model.margins(one, at, docstats.counts(one, at)[1])[0]) < 1e-5
-        r, c, v = quality_rules.design([texts[i]])
+        c, v = quality_rules.shares(one, at)[0]
         assert abs(together[i] - 0.5 - (model.weights.ravel()[c] * v).sum()) < 1e-5
 
 
+def test_character_grams_are_of_code_points():
+    text = "añbé€😀x"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(raw)])
+    *_, (slots, before) = quality_rules.hashed(raw, offsets, docstats.counts(raw, offsets)[1])
+    assert before.tolist() == [0, len(text) - 3] and len(set(slots.tolist())) == len(text) - 3
+
+
+def test_slots_are_chosen_within_the_bound():
+    n0, n1 = np.array([50, 0, 25, 3]), np.array([50, 40, 25, 0])
+    assert quality_rules.chosen_slots(n0, n1, (100, 100), 10_000).tolist() == [0, 1, 2, 3]
+    assert quality_rules.chosen_slots(n0, n1, (100, 100), 45).tolist() == [1, 3]
+
+
+def test_few_entries_still_separate(spark):
+    texts, marks = sample(4, 150)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = frame(spark, texts)
+    model = quality_rules.fit(docs, labels, entries=2000)
+    assert np.count_nonzero(model.weights) < 200
+    rows = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels, model=model).collect()}
+    assert np.mean([rows[i] == bool(q) for i, q, _ in marks]) > 0.9
+    twice = docs.union(docs).union(docs.selectExpr("CAST(NULL AS long)", "text", "lang", "source", "n_chars"))
+    assert quality_rules.judge(twice, labels, model=model).count() == 3 * docs.count()
+
+
 def test_empty_tables(spark):
     docs, labels = frame(spark, ["a b"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     none = docs.where("false")

@@ -37,15 +37,17 @@ def test_substring_matches_brute_force(spark, monkeypatch, seed, small):
     assert got == brute_words(texts)
 
 
-def brute_lines(texts, t=3):
+def brute_lines(texts, t=3, lone=13):
     units = [[(k, x) for k, x in enumerate((text or "").split("\n")) if words(x)] for text in texts]
-    least = {}
+    least, first = {}, {}
     for i, u in enumerate(units):
+        for a, (_, x) in enumerate(u):
+            first.setdefault(x, (i, a))
         for a in range(len(u) - t + 1):
             least.setdefault(tuple(x for _, x in u[a : a + t]), (i, a))
     out = {}
     for i, (text, u) in enumerate(zip(texts, units)):
-        cut = set()
+        cut = {k for a, (k, x) in enumerate(u) if len(words(x)) >= lone and first[x] < (i, a)}
         for a in range(len(u) - t + 1):
             if least[tuple(x for _, x in u[a : a + t])] < (i, a):
                 cut |= {k for k, _ in u[a : a + t]}
@@ -58,6 +60,8 @@ def test_lines_match_brute_force(spark, seed):
     rng = random.Random(seed)
     lines = ["alpha beta", "gamma", "", " ", "delta é", "eps", "zeta zeta", "eta\t", "theta\r"]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 25))) for _ in range(40)] + [None, "", "one", "\n\n", "\n".join(["same"] * 30)]
+    long = [" ".join(f"w{j}" for j in range(n)) for n in (12, 13, 14, 60)]
+    texts += ["\n".join(rng.choice(lines + long * 2) for _ in range(rng.randint(0, 12))) for _ in range(20)] + [long[1], long[1], long[0], long[0]]
     texts += texts[:4] + ["\n".join(f"line {i}" for i in range(3000))] * 2
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in dedup_lines(frame(spark, texts)).collect()}
     assert got == brute_lines(texts)
@@ -99,3 +103,34 @@ def test_empty_table_and_clashing_names(spark):
     assert substring_digests(ids).where("n_removed > 0").count() == 0
     twice = odd.select("doc_id", "text").union(odd.select("doc_id", "text"))
     assert substring_digests(twice).count() == 2 * odd.count()
+
+
+def twins():
+    """Two words of 1,024 letters that a polynomial in any odd base maps to one number modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_units_with_one_weak_hash_stay_apart(spark):
+    import numpy as np
+
+    from tessera.llm import textkit as tk
+
+    one, two = twins()
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    assert len(set(tk.unit_hashes(raw, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    body = [f"word{i}" for i in range(12)]
+    texts = [" ".join([*body, one]), " ".join([*body, two]), "\n".join(["x", "y", one]), "\n".join(["x", "y", two]), "\n".join([one, "p q"] * 3), "\n".join([two, "p q"] * 3)]
+    texts += [" ".join([one, two] * 20), " ".join([two, one] * 20)]
+    got = {r[0]: tuple(r)[1:] for r in substring_digests(frame(spark, texts)).collect()}
+    assert got == brute_words(texts) and got[1][1] == 0
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in dedup_lines(frame(spark, texts)).collect()} == brute_lines(texts)
+    from tessera.llm import docstats
+
+    from .test_quality import brute_counts
+
+    blobs = ["\n".join(["a b " + w, "c", "d"]) for w in (one, two)]
+    blob = "\n".join(blobs)
+    got, _ = docstats.counts(np.frombuffer(blob.encode(), np.uint8), np.array([0, len(blob)]))
+    want = brute_counts(blob)
+    assert {k: int(got[k][0]) for k in want} == want
