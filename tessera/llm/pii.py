@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import sys
@@ -81,7 +82,7 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans, leftmost and non-overlapping within a kind, in order of kind."""
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -94,29 +95,34 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Traced:
-    """A normalised text that knows the source range of each of its characters."""
+    """A normalised text that knows the source range of each of its characters: pieces copied from a parent
+    text or put for a range of it, so the cost is that of the edits."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
-        self.text = text
-        self.start = list(range(len(text))) if start is None else start
-        self.end = list(range(1, len(text) + 1)) if end is None else end
+    def __init__(self, text: str, parent: Traced | None = None, begins: list[int] = (), pieces: list[tuple[int, int, bool]] = ()):
+        self.text, self.parent, self.begins, self.pieces = text, parent, begins, pieces
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        if self.parent is None:
+            return a, b
+        k, n = bisect.bisect_right(self.begins, a) - 1, bisect.bisect_right(self.begins, b - 1) - 1
+        first, _, copied = self.pieces[k]
+        begin, end, last_copied = self.pieces[n]
+        return self.parent.source(first + (a - self.begins[k] if copied else 0), begin + b - self.begins[n] if last_copied else end)
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> Traced:
         """Replace ranges (ascending, apart) by new characters; each of those has the whole range as source."""
-        out, start, end, at = [], [], [], 0
+        if not edits:
+            return self
+        out, begins, pieces, at, size = [], [], [], 0, 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
-            out.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            if new:
-                out.append(new)
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
+            for x, y, part, copied in ((at, a, self.text[at:a], True), (a, b, new, False)):
+                if part:
+                    out.append(part)
+                    begins.append(size)
+                    pieces.append((x, y, copied))
+                    size += len(part)
             at = b
-        return Traced("".join(out), start, end)
+        return Traced("".join(out), self, begins, pieces)
 
 
 def _look(c: str) -> str | None:
@@ -162,8 +168,10 @@ def spelled_out(text: Traced) -> Traced:
     edits = []
     for run in runs:
         words = ["dot" if _BOXED_DOT.fullmatch(m.group()) else m.group().lower() for m in run]
-        while words and words[-1] in SIGNS:
-            run, words = run[:-1], words[:-1]
+        n = len(words)
+        while n and words[n - 1] in SIGNS:
+            n -= 1
+        run, words = run[:n], words[:n]
         spelled = sum(w in DIGITS for w in words)
         if len(words) >= 4 and (spelled >= 2 or (spelled and sum(w in DOTS for w in words) >= 3)):
             edits.append((run[0].start(), run[-1].end(), "".join(DIGITS.get(w) or SIGNS.get(w) or w for w in words)))
@@ -176,26 +184,58 @@ def dotted(text: Traced) -> Traced:
     return text.rewritten([(m.start(), m.end(), ".") for m in _FIGURE_DOT.finditer(text.text)])
 
 
+class _Domains:
+    """Labels joined by plain or disguised dots. Ends are remembered, so that many beginnings cost one walk."""
+
+    def __init__(self, text: str):
+        self.text, self.run, self.known = text, (0, 0), {}
+
+    def label_end(self, at: int) -> int:
+        """Where the label that `at` lies in ends; at itself if none."""
+        if not self.run[0] <= at < self.run[1]:
+            m = _LABEL.match(self.text, at)
+            if not m:
+                return at
+            self.run = m.span()
+        return self.run[1]
+
+    def rest(self, end: int) -> tuple[int, int, bool, int]:
+        """What follows a label that ends at `end`: (end of all, beginning of the last label or -1, a dot is
+        disguised, dots)."""
+        path, text = [], self.text
+        while end not in self.known:
+            dot = _HIDDEN_DOT.match(text, end)
+            at = dot.end() if dot else end + 1 if text[end : end + 1] == "." else None
+            stop = self.label_end(at) if at is not None else None
+            if stop is None or stop == at:
+                self.known[end] = (end, -1, False, 0)
+                break
+            path.append((end, at, bool(dot)))
+            end = stop
+        for start, at, disguised in reversed(path):
+            stop, last, hidden, dots = self.known[end]
+            self.known[start] = (stop, at if last < 0 else last, hidden or disguised, dots + 1)
+            end = start
+        return self.known[end]
+
+
 def hidden_emails(text: Traced) -> list[tuple[int, int]]:
     """Transducer 4: at and dot disguises. Source ranges of addresses with at least one disguise."""
     found, done, plain = [], 0, text.text
+    domains = _Domains(plain)
     for m in _HIDDEN_AT.finditer(plain):
         if m.start() < done:
             continue
         bare = m.group().strip().lower() in ATS
-        label = _LABEL.match(plain, m.end())
-        if not label or (bare and not plain[m.start() - 1 : m.start()].isalnum()):
+        label = domains.label_end(m.end())
+        if label == m.end() or (bare and not plain[m.start() - 1 : m.start()].isalnum()):
             continue
-        end, last, hidden, dots = label.end(), label.group(), False, 0
-        while True:
-            dot = _HIDDEN_DOT.match(plain, end)
-            at = dot.end() if dot else end + 1 if plain[end : end + 1] == "." else None
-            label = _LABEL.match(plain, at) if at is not None else None
-            if not label:
-                break
-            hidden, dots, end, last = hidden or bool(dot), dots + 1, label.end(), label.group()
+        end, last, hidden, dots = domains.rest(label)
+        if not dots:
+            continue
+        last = plain[last:end]
         sure = last.lower() in BARE_ENDINGS if bare or m.group() != "@" else last.isalpha() and len(last) >= 2
-        if not dots or not sure or (bare and not hidden):
+        if not sure or (bare and not hidden):
             continue
         start = m.start()
         while True:
@@ -220,6 +260,12 @@ def hidden_emails(text: Traced) -> list[tuple[int, int]]:
     return found
 
 
+def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """One of the spans (apart, ascending) holds [a, b)."""
+    k = bisect.bisect_right(spans, a, key=lambda s: s[0]) - 1
+    return k >= 0 and b <= spans[k][1]
+
+
 def all_spans(text: str, disguised: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), by start and then kind. A disguised find is added unless it equals or
     lies in a base span of its kind; one that reaches beyond a base span stands beside it."""
@@ -230,7 +276,8 @@ def all_spans(text: str, disguised: bool = True) -> tuple[list[tuple[str, int, i
         figures, points = spelled_out(seen), dotted(seen)
         more = [(k, *t.source(a, b)) for t in (seen, figures, points) for k, a, b in plain_spans(t.text)]
         more += [("email", *r) for r in hidden_emails(seen)]
-        found |= {(k, a, b) for k, a, b in more if not any(k == x and c <= a and b <= d for x, c, d in base)}
+        spans = {k: [(a, b) for x, a, b in base if x == k] for k in KINDS}  # apart, ascending
+        found |= {(k, a, b) for k, a, b in more if not _inside(spans[k], a, b)}
     order = lambda s: sorted(s, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return order(base), order(found)
 

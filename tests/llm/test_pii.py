@@ -164,3 +164,24 @@ def test_disguised_dots_between_figures(spark, kind, hidden):
 @pytest.mark.parametrize("clean", ["5 point 3 and 12 dot 4", "1 dot 2 dot 300 dot 4", "192[.]168[.]1", "[1] [.] [2]"])
 def test_other_dots_make_no_address(clean):
     assert pii.all_spans(clean)[1] == []
+
+
+def test_long_parts_and_dense_texts_take_linear_time():
+    import time
+
+    assert pii.plain_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.plain_spans("9" * 5000 + ".1.1.1") == []
+    for bit in ("x-at-", "a.b@", "+", "x-at-x.x", "a dot b at ", "1[.]", "one ", "(at)", "a@b.c "):
+        began = time.time()
+        pii.all_spans(bit * (1_000_000 // len(bit)))
+        assert time.time() - began < 10, bit
+
+
+def test_rows_with_awkward_ids_and_columns(spark):
+    from .fixtures import frame
+
+    docs = frame(spark, ["a@b.c", None, ""])
+    assert pii.find_personal_data(docs.where("false")).count() == 0
+    odd = docs.selectExpr("CAST(NULL AS long) AS doc_id", "text", "1 AS spans", "2 AS n_email", "'x' AS base_sha256")
+    rows = pii.find_personal_data(odd.union(odd)).collect()
+    assert sorted((r.doc_id, r.n_email, r.spans) for r in rows) == sorted([(None, 1, "email:0:5"), (None, 0, ""), (None, 0, "")] * 2)
