@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores
 
@@ -30,14 +31,48 @@ def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
-def provider_health(calls: DataFrame, by: str, outcome: str, latency: str, target: float = 100.0) -> DataFrame:
-    """Shares of outcomes, mean latency, p50 and p95 by rounded index, and a weighted health."""
-    o = F.col(outcome)
-    rate = lambda v: F.avg((o == v).cast("double"))
-    stats = calls.groupBy(by).agg(F.count("*").alias("n"), rate("ok").alias("ok_rate"), rate("timeout").alias("timeout_rate"), rate("error").alias("error_rate"), F.avg(latency).alias("mean"), F.array_sort(F.collect_list(latency)).alias("__all"))
-    speed = scores.clamp(F.lit(target) / F.greatest(F.col("mean"), F.lit(1e-9)))
-    health = 0.6 * F.col("ok_rate") + 0.2 * (1 - F.col("error_rate")) + 0.2 * speed
-    return stats.select(by, "n", *[F.round(c, 6).alias(c) for c in ("ok_rate", "timeout_rate", "error_rate", "mean")], scores.rounded_index(F.col("__all"), 0.5).alias("p50"), scores.rounded_index(F.col("__all"), 0.95).alias("p95"), F.round(health, 6).alias("health"))
+#: What a call's outcome is worth. Fixed values.
+OUTCOME_QUALITY = {"success": 1.0, "empty": 0.5, "timeout": 0.1, "rate_limited": 0.15, "captcha": 0.0, "error": 0.2}
+
+
+def rounded_index_percentiles(df: DataFrame, by: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """M24 without a list of all values: each distinct value's count, then running counts; the element at
+    p x (n - 1), rounded half to even. Memory is a row a distinct value, over all tasks of a group's sort."""
+    counts = df.groupBy(by, value).agg(F.count("*").alias("__c"))
+    over = Window.partitionBy(by)
+    run = counts.withColumn("__upto", F.sum("__c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(over))
+    at = lambda p: F.min(F.when(F.col("__upto") > F.bround(F.lit(p) * (F.col("__n") - 1)), F.col(value)))
+    return run.groupBy(by).agg(*[at(p).alias(name) for name, p in ps.items()])
+
+
+def provider_health(calls: DataFrame, by: str, target_ms: float = 2500.0, enough_results: float = 5.0) -> DataFrame:
+    """Calls (by, outcome, latency_ms, result_count, usable_result_count): shares of outcomes, mean latency, p50 and
+    p95 by rounded index, a health score and its status (healthy from .7, degraded from .3)."""
+    rate = lambda *v: F.avg(F.col("outcome").isin(*v).cast("double"))
+    stats = calls.groupBy(by).agg(
+        F.count("*").alias("n"), rate("success").alias("success_rate"), rate("success", "empty").alias("ok_rate"), rate("timeout").alias("timeout_rate"), rate("captcha").alias("captcha_rate"), rate("rate_limited").alias("rate_limited_rate"), rate("empty").alias("empty_rate"),
+        F.avg("latency_ms").alias("avg_latency_ms"), F.avg("result_count").alias("avg_result_count"), F.avg((F.col("usable_result_count") > 0).cast("double")).alias("relevant_result_rate"), F.avg(scores.lookup(OUTCOME_QUALITY, F.col("outcome"), 0.2)).alias("__quality"),
+    )
+    both = stats.join(rounded_index_percentiles(calls, by, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}), by)
+    p50 = F.col("p50_latency_ms")
+    speed = F.when((p50 <= target_ms) | (p50 <= 0), 1.0).otherwise(F.lit(target_ms) / p50)
+    health = scores.clamp(0.55 * F.col("__quality") + 0.20 * F.least(F.lit(1.0), F.col("avg_result_count") / enough_results) + 0.15 * speed + 0.10 * (1 - F.col("captcha_rate")))
+    both = both.withColumn("health_score", health)
+    status = F.when(F.col("health_score") >= 0.7, "healthy").when(F.col("health_score") >= 0.3, "degraded").otherwise("unhealthy")
+    shares = ("success_rate", "ok_rate", "timeout_rate", "captcha_rate", "rate_limited_rate", "empty_rate", "avg_latency_ms", "avg_result_count", "relevant_result_rate")
+    return both.select(by, "n", *[F.round(c, 6).alias(c) for c in shares], "p50_latency_ms", "p95_latency_ms", F.round("health_score", 6).alias("health_score"), status.alias("status"))
+
+
+def engine_rates(calls: DataFrame, by: str, least: int = 5) -> DataFrame:
+    """Calls (by, ts, outcome): failure, 429 and captcha rates, failures in a row at the end, and whether the
+    engine is to be disabled: from `least` calls on, at .5, .3 and .2 of them or five failures in a row."""
+    failed = ~F.col("outcome").isin("success", "empty")
+    last_good = F.max(F.when(~failed, F.col("ts")))
+    per = calls.groupBy(by).agg(F.count("*").alias("n"), F.avg(failed.cast("double")).alias("failure_rate"), F.avg((F.col("outcome") == "rate_limited").cast("double")).alias("rate_429"), F.avg((F.col("outcome") == "captcha").cast("double")).alias("captcha_rate"), last_good.alias("__good"))
+    streak = calls.join(per.select(by, "__good"), by).where(F.col("__good").isNull() | (F.col("ts") > F.col("__good"))).groupBy(by).agg(F.count("*").alias("consecutive_failures"))
+    out = per.join(streak, by, "left").fillna(0, ["consecutive_failures"])
+    disable = (F.col("n") >= least) & ((F.col("failure_rate") >= 0.5) | (F.col("rate_429") >= 0.3) | (F.col("captcha_rate") >= 0.2) | (F.col("consecutive_failures") >= 5))
+    return out.select(by, "n", *[F.round(c, 6).alias(c) for c in ("failure_rate", "rate_429", "captcha_rate")], "consecutive_failures", disable.alias("disabled"))
 
 
 def quality_overview(log: DataFrame) -> DataFrame:
@@ -50,9 +85,19 @@ def daily_trend(log: DataFrame, ts: str, value: str) -> DataFrame:
     return log.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("requests"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.sum(value), 4).alias("total_value"))
 
 
-def query_quality(n_results: Column, latency_ms: Column, relevance: Column, unique_share: Column) -> Column:
-    """.30 coverage (ten results suffice) + .30 relevance + .25 latency (0 from 5 s) + .15 unique domains."""
-    return 0.30 * F.least(n_results / 10, F.lit(1.0)) + 0.30 * scores.clamp(relevance) + 0.25 * scores.clamp(1 - latency_ms / 5000) + 0.15 * unique_share
+def query_quality(results: Column, latency_ms: Column, relevance: Column, domains: Column, error: Column) -> dict[str, Column]:
+    """Quality and its parts. relevance: array of scores; domains: array of names. .30 coverage (three results
+    suffice) + .30 mean relevance + .25 latency (0 from 10 s on, 1 up to 0) + .15 unique domains; all 0 on an error."""
+    named = F.filter(domains, lambda d: d.isNotNull() & (d != ""))
+    parts = {
+        "coverage": F.when(results > 0, F.least(results / 3, F.lit(1.0))).otherwise(0.0),
+        "relevance": F.when(F.size(relevance) > 0, scores.clamp(F.aggregate(relevance, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(relevance))).otherwise(0.0),
+        "dedup_ratio": F.when(F.size(named) > 0, F.size(F.array_distinct(named)) / F.size(named)).otherwise(1.0),
+    }
+    speed = F.when(latency_ms <= 0, 1.0).when(latency_ms >= 10_000, 0.0).otherwise(1 - latency_ms / 10_000)
+    quality = scores.clamp(0.30 * parts["coverage"] + 0.30 * parts["relevance"] + 0.25 * speed + 0.15 * parts["dedup_ratio"])
+    bad = error.isNotNull() & (error != "")
+    return {k: F.when(bad, 0.0).otherwise(F.round(v, 4)) for k, v in ({"quality": quality} | parts).items()}
 
 
 def domain_jaccard(a: DataFrame, b: DataFrame, by: str, item: str) -> DataFrame:

@@ -9,9 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
 
-#: Weight of each component. Parameters of the rank.
-WEIGHTS = {"text": 0.30, "distance": 0.20, "category": 0.12, "confidence": 0.08, "freshness": 0.08, "sources": 0.05, "status": 0.05, "rating": 0.07, "popularity": 0.05}
-STATUS = {"open": 1.0, "unknown": 0.5, "temporarily_closed": 0.2, "permanently_closed": 0.0}
+#: Weight of each component, score of each status, related categories. Fixed values.
+WEIGHTS = {"text": 0.30, "distance": 0.20, "category": 0.08, "confidence": 0.08, "freshness": 0.07, "sources": 0.06, "status": 0.06, "rating_quality": 0.06, "popularity": 0.04, "open_now_boost": 0.05}
+STATUS = {"open": 1.0, "unknown": 0.6, "temporarily_closed": 0.25, "permanently_closed": 0.0}
+RELATED = {
+    "food": ("retail",), "retail": ("food",), "lodging": ("tourism",), "tourism": ("lodging", "culture"), "culture": ("tourism",),
+    "finance": ("services",), "services": ("finance",), "office": ("industrial",), "industrial": ("office",),
+}
+SOURCES_ENOUGH = 3
+
+
+def weights_of(raw: str | None) -> dict[str, float]:
+    """WEIGHTS with the known, non-negative numbers of a JSON object put over them; else WEIGHTS."""
+    import json
+
+    try:
+        given = json.loads(raw or "")
+    except ValueError:
+        given = None
+    given = given if isinstance(given, dict) else {}
+    return WEIGHTS | {k: float(v) for k, v in given.items() if k in WEIGHTS and isinstance(v, (int, float)) and v >= 0}
 
 
 @dataclass(frozen=True)
@@ -65,35 +82,53 @@ def candidates(places: DataFrame, spec: Spec) -> DataFrame:
     return rows.where(F.col("distance_m") <= spec.radius_m)
 
 
-def place_search(places: DataFrame, spec: Spec) -> DataFrame:
-    """Places (place_id, name, category, lat, lon, admin_unit_id, status, confidence, freshness, rating,
-    review_count, source_count): the ranked best."""
-    rows = candidates(places, spec)
-    asked = [t for t in spec.q.lower().split() if len(t) >= 2]
-    if asked:
-        folded = text.fold(F.col("name"))
-        hits = sum((folded.contains(t).cast("int") for t in asked), F.lit(0))
-        rows = rows.withColumn("lexical", hits / len(asked)).where("lexical > 0")
-    else:
-        rows = rows.withColumn("lexical", F.lit(0.0))
+def category_score(asked: str | None, found: Column) -> Column:
+    """.5 where none is asked, .3 for a place without one, 1 equal, .6 related, else 0."""
+    if not asked:
+        return F.lit(0.5)
+    near = [c for c, others in RELATED.items() if asked in others]
+    return F.when(found.isNull() | (found == ""), 0.3).when(found == asked, 1.0).when(found.isin(*near), 0.6).otherwise(0.0)
+
+
+def ranked(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Rows with relevance (null or not positive: no text match), distance_m and the place's fields. Adds
+    score and rating_quality; the best spec.limit. Text counts relative to the best relevance."""
+    best = rows.agg(F.coalesce(F.max("relevance"), F.lit(0.0)).alias("__best"))  # one row
+    rows = rows.join(F.broadcast(best))
     parts = {
-        "text": F.col("lexical"),
+        "text": F.when(F.col("relevance") > 0, F.least(F.lit(1.0), F.col("relevance") / F.col("__best"))).otherwise(0.0),
         "distance": geo.distance_score(F.col("distance_m")),
-        "category": F.lit(0.5) if not spec.category else F.lit(1.0),
-        "confidence": scores.clamp(F.col("confidence")),
-        "freshness": scores.clamp(F.col("freshness")),
-        "sources": F.least(F.lit(1.0), F.col("source_count") / 5),
-        "status": scores.lookup(STATUS, F.col("status"), 0.5),
-        "rating": scores.bayesian_rating(F.col("rating"), F.col("review_count")),
+        "category": category_score(spec.category, F.col("category")),
+        "confidence": scores.clamp(F.coalesce(F.col("confidence"), F.lit(0.0))),
+        "freshness": scores.clamp(F.coalesce(F.col("freshness"), F.lit(0.0))),
+        "sources": scores.clamp(F.coalesce(F.col("source_count"), F.lit(0)) / SOURCES_ENOUGH),
+        "status": scores.lookup(STATUS, F.coalesce(F.col("status"), F.lit("unknown")), STATUS["unknown"]),
+        "rating_quality": scores.bayesian_rating(F.col("rating"), F.col("review_count")),
         "popularity": scores.popularity(F.col("review_count")),
+        "open_now_boost": F.when(F.col("open_now"), 1.0).when(~F.col("open_now"), 0.0).otherwise(0.5) if "open_now" in rows.columns else F.lit(0.5),
     }
     score: Column = sum((spec.weights[k] * v for k, v in parts.items()), F.lit(0.0))
-    rows = rows.withColumn("score", F.round(score, 9)).withColumn("rating_quality", parts["rating"])
+    rows = rows.withColumn("score", F.round(score, 9)).withColumn("rating_quality", parts["rating_quality"]).drop("__best")
     tail = [F.asc_nulls_last("distance_m"), F.col("place_id")]
-    order = {"distance": [F.asc_nulls_last("distance_m"), F.desc("score"), F.col("place_id")], "rating": [F.desc("rating_quality"), F.desc("score"), *tail], "popularity": [F.desc_nulls_last("review_count"), F.desc("score"), *tail]}
+    order = {"distance": [F.asc_nulls_last("distance_m"), F.desc("score"), F.col("place_id")], "rating": [F.desc("rating_quality"), F.desc("score"), *tail], "popularity": [F.desc(F.coalesce("review_count", F.lit(0))), F.desc("score"), *tail]}
     return rows.orderBy(*order.get(spec.sort or "", [F.desc("score"), *tail])).limit(spec.limit)
 
 
+def place_search(places: DataFrame, spec: Spec) -> DataFrame:
+    """Places (place_id, name, category, lat, lon, admin_unit_id, status, confidence, freshness, rating,
+    review_count, source_count; open_now if known): the ranked best. Relevance is the share of the asked words in
+    the name."""
+    rows = candidates(places, spec)
+    asked = [t for t in spec.q.lower().split() if len(t) >= 2]
+    if asked:
+        folded = text.fold(F.col("name"))
+        hits = sum((folded.contains(t).cast("int") for t in asked), F.lit(0))
+        rows = rows.withColumn("relevance", hits / len(asked)).where("relevance > 0")
+    else:
+        rows = rows.withColumn("relevance", F.lit(0.0))
+    return ranked(rows, spec)
+
+
 def autocomplete(places: DataFrame, prefix: str, limit: int = 10, lat: float | None = None, lon: float | None = None) -> DataFrame:
     """Names with a token that begins so; nearness halves every 2 km squared-wise."""
     if len(prefix) < 2:

@@ -103,8 +103,8 @@ _NEAR = sql_haversine("15.5", "105.5", "lat", "lon")
 
 
 @query("place_search", f"""WITH {PLACES}, c AS (SELECT *, {_NEAR} AS distance_m FROM places WHERE status IN ('open', 'unknown', 'temporarily_closed')),
-s AS (SELECT place_id, distance_m, round(0.30 * 0 + 0.20 * exp(-distance_m / 750) + 0.12 * 0.5 + 0.08 * confidence + 0.08 * freshness + 0.05 * least(1.0, source_count / 5) + 0.05 * CASE status WHEN 'open' THEN 1.0 ELSE 0.5 END
- + 0.07 * least(1.0, (coalesce(rating, 3.5) * review_count + 35.0) / (review_count + 10.0) / 5.0) + 0.05 * least(1.0, ln(1 + review_count) / ln(1001)), 9) AS score FROM c WHERE distance_m <= 50000)
+s AS (SELECT place_id, distance_m, round(0.30 * 0 + 0.20 * exp(-distance_m / 750) + 0.08 * 0.5 + 0.08 * confidence + 0.07 * freshness + 0.06 * least(1.0, source_count / 3) + 0.06 * CASE status WHEN 'open' THEN 1.0 ELSE 0.6 END
+ + 0.06 * least(1.0, (coalesce(rating, 3.5) * review_count + 35.0) / (review_count + 10.0) / 5.0) + 0.04 * least(1.0, ln(1 + review_count) / ln(1001)) + 0.05 * 0.5, 9) AS score FROM c WHERE distance_m <= 50000)
 SELECT place_id, round(distance_m, 3) AS distance_m, score FROM s ORDER BY score DESC, s.distance_m, place_id LIMIT 20""")
 def place_search(spark, sf_dir):
     """A top-k report around a point."""

@@ -36,11 +36,13 @@ def quota_check(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("requests")).where("requests >= 3")
 
 
-@query("query_quality", "SELECT event_id, round(0.30 * least((event_id % 15) / 10, 1.0) + 0.30 * greatest(0.0, least(1.0, value / 200)) + 0.25 * greatest(0.0, least(1.0, 1 - (event_id % 6000) / 5000)) + 0.15 * ((event_id % 4) / 4.0), 9) AS quality FROM events")
+@query("query_quality", """WITH q AS (SELECT user_id, count(*) AS n, min(event_id) % 12000 - 100 AS ms, list(value / 200) AS rel, list(CASE WHEN event_id % 3 > 0 THEN event_type END) AS doms, max(CASE WHEN event_id % 97 = 0 THEN 'x' END) AS err FROM events GROUP BY 1),
+p AS (SELECT user_id, err, ms, least(n / 3, 1.0) AS coverage, greatest(0.0, least(1.0, list_avg(rel))) AS relevance, CASE WHEN len(list_filter(doms, lambda d: d IS NOT NULL)) > 0 THEN list_unique(doms) / len(list_filter(doms, lambda d: d IS NOT NULL)) ELSE 1.0 END AS dedup_ratio FROM q)
+SELECT user_id, CASE WHEN err IS NULL THEN round(0.30 * coverage + 0.30 * relevance + 0.25 * CASE WHEN ms <= 0 THEN 1.0 WHEN ms >= 10000 THEN 0.0 ELSE 1 - ms / 10000 END + 0.15 * dedup_ratio, 4) ELSE 0.0 END AS quality, CASE WHEN err IS NULL THEN round(coverage, 4) ELSE 0.0 END AS coverage, CASE WHEN err IS NULL THEN round(relevance, 4) ELSE 0.0 END AS relevance, CASE WHEN err IS NULL THEN round(dedup_ratio, 4) ELSE 0.0 END AS dedup_ratio FROM p""")
 def query_quality(spark, sf_dir):
-    """A03."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.round(evaluation.query_quality(F.expr("event_id % 15"), F.expr("event_id % 6000"), F.col("value") / 200, F.expr("(event_id % 4) / 4D")), 9).alias("quality"))
+    """A user's events as the results of one query."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.expr("min(event_id) % 12000 - 100").alias("ms"), F.expr("collect_list(value / 200)").alias("rel"), F.expr("collect_list(CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END)").alias("doms"), F.expr("max(CASE WHEN event_id % 97 = 0 THEN 'x' END)").alias("err"))
+    return e.select("user_id", *[c.alias(k) for k, c in evaluation.query_quality(F.col("n"), F.col("ms"), F.col("rel"), F.col("doms"), F.col("err")).items()])
 
 
 @query("latency_summary", "SELECT event_type, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
@@ -50,16 +52,30 @@ def latency_summary(spark, sf_dir):
 
 
 _OUTCOME = "CASE event_id % 10 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' ELSE 'ok' END"
+_CALLS = "SELECT event_type AS provider, event_id AS ts, CASE event_id % 12 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' WHEN 2 THEN 'captcha' WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'empty' ELSE 'success' END AS outcome, value * 60 AS latency_ms, event_id % 9 AS result_count, event_id % 3 AS usable_result_count FROM events"
 
 
-@query("provider_health", f"""WITH c AS (SELECT event_type AS provider, {_OUTCOME} AS outcome, value FROM events),
-s AS (SELECT provider, count(*) AS n, avg(CAST(outcome = 'ok' AS INT)) AS ok_rate, avg(CAST(outcome = 'timeout' AS INT)) AS timeout_rate, avg(CAST(outcome = 'error' AS INT)) AS error_rate, avg(value) AS mean, list_sort(list(value)) AS v FROM c GROUP BY 1)
-SELECT provider, n, round(ok_rate, 6) AS ok_rate, round(timeout_rate, 6) AS timeout_rate, round(error_rate, 6) AS error_rate, round(mean, 6) AS mean, v[CAST(round_even(0.5 * (n - 1), 0) AS INT) + 1] AS p50, v[CAST(round_even(0.95 * (n - 1), 0) AS INT) + 1] AS p95,
-round(0.6 * ok_rate + 0.2 * (1 - error_rate) + 0.2 * greatest(0.0, least(1.0, 100.0 / greatest(mean, 1e-9))), 6) AS health FROM s""")
+@query("provider_health", f"""WITH c AS ({_CALLS}),
+s AS (SELECT provider, count(*) AS n, avg(CAST(outcome = 'success' AS INT)) AS success_rate, avg(CAST(outcome IN ('success', 'empty') AS INT)) AS ok_rate, avg(CAST(outcome = 'timeout' AS INT)) AS timeout_rate, avg(CAST(outcome = 'captcha' AS INT)) AS captcha_rate, avg(CAST(outcome = 'rate_limited' AS INT)) AS rate_limited_rate,
+ avg(CAST(outcome = 'empty' AS INT)) AS empty_rate, avg(latency_ms) AS avg_latency_ms, avg(result_count) AS avg_result_count, avg(CAST(usable_result_count > 0 AS INT)) AS relevant_result_rate, list_sort(list(latency_ms)) AS v,
+ avg(CASE outcome WHEN 'success' THEN 1.0 WHEN 'empty' THEN 0.5 WHEN 'timeout' THEN 0.1 WHEN 'rate_limited' THEN 0.15 WHEN 'captcha' THEN 0.0 ELSE 0.2 END) AS quality FROM c GROUP BY 1),
+p AS (SELECT *, v[CAST(round_even(0.5 * (n - 1), 0) AS INT) + 1] AS p50_latency_ms, v[CAST(round_even(0.95 * (n - 1), 0) AS INT) + 1] AS p95_latency_ms FROM s),
+h AS (SELECT *, least(1.0, 0.55 * quality + 0.20 * least(1.0, avg_result_count / 5) + 0.15 * CASE WHEN p50_latency_ms <= 2500 THEN 1.0 ELSE 2500 / p50_latency_ms END + 0.10 * (1 - captcha_rate)) AS health FROM p)
+SELECT provider, n, round(success_rate, 6) AS success_rate, round(ok_rate, 6) AS ok_rate, round(timeout_rate, 6) AS timeout_rate, round(captcha_rate, 6) AS captcha_rate, round(rate_limited_rate, 6) AS rate_limited_rate, round(empty_rate, 6) AS empty_rate, round(avg_latency_ms, 6) AS avg_latency_ms, round(avg_result_count, 6) AS avg_result_count,
+ round(relevant_result_rate, 6) AS relevant_result_rate, p50_latency_ms, p95_latency_ms, round(health, 6) AS health_score, CASE WHEN health >= 0.7 THEN 'healthy' WHEN health >= 0.3 THEN 'degraded' ELSE 'unhealthy' END AS status FROM h""")
 def provider_health(spark, sf_dir):
-    """A17, A34, M24."""
-    c = table(spark, sf_dir, "events").selectExpr("event_type AS provider", f"{_OUTCOME} AS outcome", "value")
-    return evaluation.provider_health(c, "provider", "outcome", "value")
+    """A17, M24."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("tessera_events")
+    return evaluation.provider_health(spark.sql(_CALLS.replace("FROM events", "FROM tessera_events")), "provider")
+
+
+@query("engine_rates", f"""WITH c AS ({_CALLS}), g AS (SELECT provider, max(ts) FILTER (WHERE outcome IN ('success', 'empty')) AS good FROM c GROUP BY 1),
+s AS (SELECT c.provider, count(*) AS n, avg(CAST(outcome NOT IN ('success', 'empty') AS INT)) AS failure_rate, avg(CAST(outcome = 'rate_limited' AS INT)) AS rate_429, avg(CAST(outcome = 'captcha' AS INT)) AS captcha_rate, count(*) FILTER (WHERE good IS NULL OR ts > good) AS consecutive_failures FROM c JOIN g ON c.provider = g.provider GROUP BY 1)
+SELECT provider, n, round(failure_rate, 6) AS failure_rate, round(rate_429, 6) AS rate_429, round(captcha_rate, 6) AS captcha_rate, consecutive_failures, n >= 5 AND (failure_rate >= 0.5 OR rate_429 >= 0.3 OR captcha_rate >= 0.2 OR consecutive_failures >= 5) AS disabled FROM s""")
+def engine_rates(spark, sf_dir):
+    """A34, R06."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("tessera_events")
+    return evaluation.engine_rates(spark.sql(_CALLS.replace("FROM events", "FROM tessera_events")), "provider")
 
 
 @query("rolling_health", f"""WITH c AS (SELECT event_type AS provider, event_id, ts, CAST({_OUTCOME} = 'ok' AS INT) AS ok FROM events)
