@@ -16,7 +16,13 @@ STATUSES = {
     "closed_permanently": "permanently_closed", "permanently_closed": "permanently_closed", "closed": "permanently_closed", "dong cua": "permanently_closed", "da dong cua": "permanently_closed", "ngung hoat dong": "permanently_closed",
 }
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with")
-NEGATIONS = ("not", "no", "never", "without", "false", "deny", "denies", "denied", "không", "chưa", "chẳng")
+#: Words that claims don't count as keywords, and words that deny. Fixed values.
+CLAIM_STOPWORDS = tuple(
+    """the a an and or of in on at to for with by from as is are was were be been has have had do does did will would can could may might should this that these those it its he she they we you i not no but
+    if than then so also such into about over under between after before during which who whom whose there here their our your his her them us me my
+    là gì có mới nhất hôm nay của và hay không được như thế nào cách làm với cho về từ đến tại trên dưới cũng đã sẽ đang theo một hai ba bốn năm sáu bảy tám chín""".split()
+)
+NEGATIONS = tuple("not no never none without deny denied denies refute refuted refutes false incorrect wrong misleading fake untrue disproven disproved contradicts không chưa chẳng sai".split())
 
 
 def fold(x: Column) -> Column:
@@ -85,6 +91,11 @@ def norm_status(x: Column) -> Column:
     return F.when(s != "", F.coalesce(F.try_element_at(table, s), F.try_element_at(table, folded), F.when(folded.contains("permanent"), "permanently_closed"), F.when(folded.contains("temporar"), "temporarily_closed")))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row: inside lambdas a plain expression runs again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(x: Column) -> Column:
     """Lower-case words of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -96,8 +107,8 @@ def tokenize(x: Column) -> Column:
 
 
 def keywords(x: Column) -> Column:
-    """Words of two or more characters that are no stopwords."""
-    return F.filter(words(x), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+    """Words of two or more characters that carry a claim."""
+    return F.filter(words(x), lambda t: (F.length(t) > 1) & ~t.isin(*CLAIM_STOPWORDS))
 
 
 def sentences(x: Column) -> Column:
@@ -133,21 +144,25 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def _runs(w: Column, n: int, most: int | None = None) -> Column:
+    """The n-word windows of an array of words, joined by spaces; of the first `most` positions."""
+    last = F.size(w) - n + 1 if most is None else F.least(F.size(w) - n + 1, F.lit(most))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def phrase_bonus(query: Column, text: Column) -> Column:
     """.15 for each three-word run of the query in the text, .10 for each two-word run, .3 at most."""
-    q, low = tokenize(query), F.lower(text)
 
-    def hits(n: int, gain: float) -> Column:
-        runs = F.when(F.size(q) >= n, F.transform(F.sequence(F.lit(1), F.size(q) - (n - 1)), lambda i: F.array_join(F.slice(q, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        return F.size(F.filter(runs, lambda r: low.contains(r))) * gain
+    def hits(q: Column, low: Column, n: int, gain: float) -> Column:
+        return F.size(F.filter(_runs(q, n), lambda r: low.contains(r))) * gain
 
-    return F.least(hits(3, 0.15) + hits(2, 0.10), F.lit(0.3))
+    return let(F.struct(tokenize(query).alias("q"), F.lower(text).alias("low")), lambda v: F.least(hits(v.q, v.low, 3, 0.15) + hits(v.q, v.low, 2, 0.10), F.lit(0.3)))
 
 
 def title_boost(query_tokens: Column, title: Column) -> Column:
     """A quarter of the share of query tokens that the title has."""
-    t = tokenize(title)
-    return F.when((F.size(query_tokens) == 0) | (F.size(t) == 0), 0.0).otherwise(F.size(F.filter(query_tokens, lambda x: F.array_contains(t, x))) / F.size(query_tokens) * 0.25)
+    found = lambda t: F.size(F.filter(query_tokens, lambda x: F.array_contains(t, x))) / F.size(query_tokens) * 0.25
+    return let(tokenize(title), lambda t: F.when((F.size(query_tokens) == 0) | (F.size(t) == 0), 0.0).otherwise(found(t)))
 
 
 def supports(claim: Column, source: Column, least: float = 0.4) -> Column:
@@ -158,10 +173,13 @@ def supports(claim: Column, source: Column, least: float = 0.4) -> Column:
 
 def negated_near(claim: Column, source: Column, reach: int = 5) -> Column:
     """Part of X39: a negation within `reach` words of a keyword of the claim."""
-    k, t = F.array_distinct(keywords(claim)), words(source)
     no = F.array(*map(F.lit, NEGATIONS))
-    spots = F.filter(F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t))).otherwise(F.array().cast("array<int>")), lambda i: F.array_contains(k, F.element_at(t, i)))
-    return F.exists(spots, lambda i: F.arrays_overlap(F.slice(t, F.greatest(i - reach, F.lit(1)), i - F.greatest(i - reach, F.lit(1)) + reach + 1), no))
+
+    def near(v: Column) -> Column:
+        spots = F.filter(F.when(F.size(v.t) > 0, F.sequence(F.lit(1), F.size(v.t))).otherwise(F.array().cast("array<int>")), lambda i: F.array_contains(v.k, F.element_at(v.t, i)))
+        return F.exists(spots, lambda i: F.arrays_overlap(F.slice(v.t, F.greatest(i - reach, F.lit(1)), i - F.greatest(i - reach, F.lit(1)) + reach + 1), no))
+
+    return let(F.struct(F.array_distinct(keywords(claim)).alias("k"), words(source).alias("t")), near)
 
 
 def contradicts(claim: Column, source: Column, least: float = 0.4) -> Column:
@@ -191,10 +209,14 @@ def offset_passages(x: Column, size: int = 800, stride: int = 600) -> Column:
 
 def shingles(x: Column, n: int = 3, most: int = 600) -> Column:
     """Distinct n-word windows of the first `most` positions, as the first 32 bits of their SHA-1."""
-    w = words(x)
-    last = F.least(F.size(w) - n + 1, F.lit(most))
-    runs = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(runs, lambda r: F.conv(F.substring(F.sha1(F.encode(r, "UTF-8")), 1, 8), 16, 10).cast("long")))
+    named = lambda r: F.conv(F.substring(F.sha1(F.encode(r, "UTF-8")), 1, 8), 16, 10).cast("long")
+    return let(words(x), lambda w: F.array_distinct(F.transform(_runs(w, n, most), named)))
+
+
+def word_shingles(x: Column, n: int = 5) -> Column:
+    """Distinct n-word windows of a whole text as 64-bit hashes; of fewer words, all of them as one."""
+    whole = lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(_runs(w, n))
+    return let(words(x), lambda w: F.array_distinct(F.transform(whole(w), lambda r: F.xxhash64(r))))
 
 
 def numbers(x: Column, most: int = 10) -> Column:

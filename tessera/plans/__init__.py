@@ -1,3 +1,3 @@
 """Registered queries over the standard tables; importing this registers them."""
 
-from . import entities, evidence, more, ops, search, texts  # noqa: F401
+from . import authority, entities, evidence, more, ops, search, texts  # noqa: F401
