@@ -30,8 +30,8 @@ _BYTES = {
 
 
 def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple]:
-    """COUNTS of each text as int64 arrays, and the words: (hashes, text of each, how many before each text).
-    Words and lines are compared by their bytes.
+    """COUNTS of each text as int64 arrays, and the words: (feature hashes, text of each, how many
+    before each text). Words and lines are compared by their bytes.
 
     word_chars: code points in words. n_dup_lines: lines with a word equal to an earlier line of the
     text. n_repeat_words: words in three-word windows found twice or more in the text.
@@ -43,7 +43,7 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray],
     inside = ~tk.SPACES[raw] & _BYTES["n_chars"][raw]
     out["word_chars"] = tk.counts_by_text(offsets, inside)
     codes, distinct = tk.coded(raw, starts, ends)
-    hashes, text = tk.digests(distinct)[codes, 0], np.repeat(np.arange(n), np.diff(before))
+    hashes, text = tk.slots_of(distinct)[codes], np.repeat(np.arange(n), np.diff(before))
     own = text * max(len(distinct), 1) + codes  # below bytes squared
     fresh = np.sort(own)
     fresh = fresh[np.append(True, fresh[1:] != fresh[:-1])] if len(fresh) else fresh
@@ -63,9 +63,7 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray],
         out["n_repeat_words"] = tk.counts_by_text(before, covered)
     starts, ends, before = tk.lines_of(raw, offsets)
     out["n_lines"] = np.diff(before)
-    filled = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(~tk.SPACES[raw], out=filled[1:])
-    with_word = filled[ends] > filled[starts]
+    with_word = tk.holds_word(raw, starts, ends)
     line_text = np.repeat(np.arange(n), np.diff(before))[with_word]
     codes, distinct = tk.coded(raw, starts[with_word], ends[with_word])
     _, first = np.unique(line_text * max(len(distinct), 1) + codes, return_index=True)

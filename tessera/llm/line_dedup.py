@@ -21,9 +21,7 @@ def _cut_lines(batches):
     for batch, raw, offsets in tk.chunks(batches):
         runs = batch.column(batch.schema.get_field_index("__runs")).to_pylist()
         starts, ends, before = tk.lines_of(raw, offsets)
-        filled = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(~tk.SPACES[raw], out=filled[1:])
-        full = filled[ends] > filled[starts]
+        full = tk.holds_word(raw, starts, ends)
         data = raw.tobytes()
         for i, blobs in enumerate(runs):
             a, b = before[i], before[i + 1]

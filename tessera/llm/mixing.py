@@ -14,9 +14,10 @@ from .runtime import SPACE, text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
-MOST_PATTERNS = 100_000
+#: Overlapping patterns that the flow takes, and sources in all; more are refused.
+MOST_PATTERNS, MOST_SOURCES = 2_000, 1_000_000
 SEED = 11
-FINE = 1 << 16
+LEVELS, FINE = 3, 256
 
 
 def n_words(text: Column) -> Column:
@@ -94,30 +95,43 @@ def route(sizes: dict[tuple, int], targets: dict, most: int = MOST_REPEATS) -> d
     return out
 
 
+def planned(sizes: dict[tuple, int], targets: dict, most: int = MOST_REPEATS) -> dict[tuple, dict]:
+    """route() for the patterns of sources that overlap with others; a source whose documents have no other takes
+    what it needs of its own, which is the same."""
+    shared = {s for p in sizes if len(p) > 1 for s in p}
+    alone = {p: {p[0]: min(float(most * n), targets[p[0]])} for p, n in sizes.items() if len(p) == 1 and p[0] not in shared}
+    rest = {p: n for p, n in sizes.items() if p not in alone}
+    return alone | (route(rest, {s: targets[s] for s in shared}, most) if rest else {})
+
+
 def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, size (words), source_size and target of its (first) source,
-    taken (words the mix takes, a whole number of times its size), repeats (that number).
+    taken (words the mix takes, a whole number of times its size), repeats (that number), serves (map of each of
+    its sources to the share of the taken words that counts for it) and text_hash.
 
     sources: an array column of the sources a document belongs to; by default its one `source`.
     Sources in code-point order, null last, weigh `weights`, repeating; targets see water_filled.
-    1. Documents aggregate to patterns, the sets of their sources: one row a pattern reaches the driver,
-       and more than MOST_PATTERNS are refused. 2. route() sends their capacity to the quotas. 3. In a
-       pattern with flow q times its size every document is taken floor(q) times, and the rest goes to
-       documents in the order of a seeded hash of doc_id: whole hash bins below the bin where the sum
-       reaches it, and in that bin row by row; documents that would pass the sum by over half are left.
-
-    Null text has size 0 and is never taken. Null doc_id and repeated rows count as rows of their own,
-    equal ones in one place of the order. Other columns are ignored. Reruns agree.
+    1. Documents aggregate to patterns, the sets of their sources: one row a pattern reaches the driver; more than
+    MOST_SOURCES patterns, or MOST_PATTERNS of several sources, are refused. 2. planned() sends their capacity
+    to the quotas. 3. In a pattern with flow q times its size every document is taken floor(q) times, and the rest
+    goes to documents in the order of a seeded hash of doc_id and text. Where the sum reaches the rest is found by
+    LEVELS rounds of FINE hash bins, each within the bin before, and in the last bin row by row; documents that
+    would pass the sum by over half are left. So no task puts more than FINE bins or a FINE ** LEVELS-th of a
+    pattern in order.
+
+    Null text has size 0 and is never taken. Null and repeated doc_id count as rows of their own, spread by their
+    text; equal rows lie at one place of the order. Other columns are ignored. Reruns agree.
     """
     names = F.array(docs["source"].cast("string")) if sources is None else sources
     key = F.transform(F.array_sort(F.array_distinct(names)), lambda x: F.coalesce(F.concat(F.lit("s"), x), F.lit("~")))
-    sized = docs.select(docs.doc_id.cast("long").alias("doc_id"), n_words(text_of(docs)).alias("size"), F.to_json(key).alias("pattern"), F.get(key, F.lit(0)).alias("first"))
-    sized = written(sized.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(FINE)).cast("int")), "sized")
-    found = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    body = text_of(docs)
+    sized = docs.select(docs.doc_id.cast("long").alias("doc_id"), n_words(body).alias("size"), F.to_json(key).alias("pattern"), F.get(key, F.lit(0)).alias("first"), F.xxhash64(body, F.lit(seed)).alias("text_hash"))
+    sized = written(sized.withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(seed))), "sized")
+    found = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     named = {tuple(json.loads(r["pattern"])): r["pattern"] for r in found}  # as Spark writes it: escapes differ from json.dumps
     sizes = {tuple(json.loads(r["pattern"])): r["n"] for r in found}
+    if len(found) > MOST_SOURCES or sum(len(p) > 1 for p in sizes) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_SOURCES} membership patterns, or {MOST_PATTERNS} of several sources")
     source_size: dict = {}
     for p, n in sizes.items():
         for s in p:
@@ -125,36 +139,45 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     ordered = sorted(source_size, key=lambda s: (s == "~", s))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(ordered)}
     targets = water_filled(source_size, weight, float(sum(sizes.values())), most)
-    flow = route(sizes, targets, most)
+    flow = planned(sizes, targets, most)
     plan = []
     for p, n in sizes.items():
         took = sum(flow[p].values())
         whole = min(most, int((took + 1e-6 * max(n, 1)) // n)) if n else 0
-        plan.append((named[p], whole, float(max(0.0, took - whole * n)) if whole < most else 0.0))
+        serves = {s[1:] if s != "~" else None: f / took for s, f in flow[p].items() if took and f}
+        plan.append((named[p], whole, float(max(0.0, took - whole * n)) if whole < most else 0.0, json.dumps([[k, v] for k, v in serves.items()])))
     spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "pattern string, whole int, rest double")  # MOST_PATTERNS rows at most
+    plan_df = spark.createDataFrame(plan, "pattern string, whole int, rest double, serves string")  # a row a pattern; the size decides how it is joined
     source_df = spark.createDataFrame([(s, int(n), float(targets[s])) for s, n in source_size.items()], "first string, source_size long, target double")
 
-    # the hash bin of each pattern where the rest is reached: sums of bins, FINE a pattern at most
-    bins = sized.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
-    order = Window.partitionBy("pattern").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("n").over(order)).join(F.broadcast(plan_df), "pattern")
-    edge = bins.where("upto > rest and upto - n <= rest").groupBy("pattern").agg(F.min(F.struct("bin", F.expr("upto - n").alias("below"))).alias("e"))
-    edge = edge.select("pattern", F.col("e.bin").alias("edge"), F.col("e.below").alias("below"))
-    known = sized.join(F.broadcast(plan_df), "pattern").join(F.broadcast(edge), "pattern", "left")
-    # rows of the edge bins alone, a FINE-th of a pattern, are put in order
-    last = known.where("bin = edge")
-    last = last.withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("pattern").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    bits = FINE.bit_length() - 1
+    bin_of = lambda level: F.expr(f"CAST(shiftrightunsigned(place, {64 - bits * (level + 1)}) & {FINE - 1} AS int)")
+    known = sized.join(plan_df.drop("serves"), "pattern")
+    open_, edges = known, plan_df.select("pattern", F.array().cast("array<int>").alias("edge"), F.lit(0).cast("double").alias("below"))
+    for level in range(LEVELS):
+        bins = open_.withColumn("bin", bin_of(level)).groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("n")).join(edges, "pattern")
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy("pattern").orderBy("bin"))  # FINE bins a pattern
+        reached = bins.withColumn("upto", upto).where("upto > rest and upto - n <= rest").groupBy("pattern").agg(F.min(F.struct("bin", F.expr("upto - n").alias("below"), "edge")).alias("e"))
+        edges = written(reached.select("pattern", F.concat("e.edge", F.array("e.bin")).alias("edge"), F.col("e.below").alias("below")), "edges")
+        open_ = known.join(edges.select("pattern", "edge"), "pattern").where(" and ".join(["true", *(f"shiftrightunsigned(place, {64 - bits * (k + 1)}) & {FINE - 1} = edge[{k}]" for k in range(level + 1))])).drop("edge")
+    mine = F.array(*[bin_of(k) for k in range(LEVELS)])
+    all_known = known.join(edges, "pattern", "left").withColumn("mine", mine)
+    # rows of the edge bins alone are put in order
+    last = all_known.where("mine = edge")
+    order = Window.partitionBy("pattern").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("upto", F.col("below") + F.sum("size").over(order))
     last = last.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
-    rest = known.where("edge is null or bin <> edge").withColumn("extra", F.coalesce((F.col("bin") < F.col("edge")).cast("int"), F.when(F.col("rest") > 0, F.lit(1)).otherwise(F.lit(0))))
-    out = last.unionByName(rest).join(F.broadcast(source_df), "first")
+    before = F.coalesce((F.col("mine") < F.col("edge")).cast("int"), (F.col("rest") > 0).cast("int"))
+    rest = all_known.where("edge is null or mine <> edge").withColumn("extra", before)
+    out = last.unionByName(rest).join(source_df, "first").join(plan_df.select("pattern", "serves"), "pattern")
     repeats = F.least(F.col("whole") + F.col("extra"), F.lit(most))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), F.when(F.col("size") > 0, repeats).otherwise(F.lit(0)).alias("repeats"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), F.when(F.col("size") > 0, repeats).otherwise(F.lit(0)).alias("repeats"), "serves", "text_hash")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as many times as the mix takes it, columns unchanged. Rows of a repeated
-    doc_id follow the first decision for it; rows with a null doc_id go."""
-    taken = mix(docs, **options).where("repeats > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n"))
-    joined = docs.join(taken.hint("merge"), docs.doc_id.cast("long") == F.col("__id"))
+def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """docs with each row as many times as the mix takes it, columns unchanged. A decision belongs to a doc_id (null
+    too) and text: rows that repeat both follow the largest."""
+    taken = mix(docs, seed=seed, **options).where("repeats > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.max("repeats").alias("__n"))
+    mine = F.xxhash64(text_of(docs), F.lit(seed))
+    joined = docs.withColumn("__t", mine).join(taken.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])

@@ -314,10 +314,7 @@ def _cases(names) -> list[str]:
 
 
 def _hashes(names) -> np.ndarray:
-    rows = [n.encode() for n in names]
-    size = np.array([len(r) for r in rows])
-    ends = np.cumsum(size)
-    return np.sort(tk.unit_hashes(np.frombuffer(b"".join(rows), np.uint8), ends - size, ends))
+    return np.sort(tk.slots_of([n.encode() for n in names]))
 
 
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:

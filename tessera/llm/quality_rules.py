@@ -81,7 +81,7 @@ class Model:
 def shares(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its slots of all blocks (ascending, block x 2**BITS + slot) and their shares of the block."""
     starts, ends, before = tk.spans_of(raw, offsets)
-    words = (tk.named(raw, starts, ends)[0], np.repeat(np.arange(len(offsets) - 1), np.diff(before)), before)
+    words = (tk.unit_hashes(raw, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(before)), before)
     blocks = list(hashed(raw, offsets, words))
     out = []
     for i in range(len(offsets) - 1):

@@ -52,7 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("repeats")
+    return mixing.mix(documents(spark, sf_dir)).drop("repeats", "serves", "text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,9 +44,7 @@ def units(kind: str, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     if kind == "word":
         return tk.spans_of(raw, offsets)
     starts, ends, before = tk.lines_of(raw, offsets)
-    filled = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(~tk.SPACES[raw], out=filled[1:])
-    full = filled[ends] > filled[starts]
+    full = tk.holds_word(raw, starts, ends)
     kept = np.zeros(len(full) + 1, np.int64)
     np.cumsum(full, out=kept[1:])
     return starts[full], ends[full], kept[before]

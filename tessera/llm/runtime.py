@@ -16,30 +16,46 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+_tables: list[tuple[str, str]] = []  # application and path of each table written
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there, so a lost
     executor costs a reread and several consumers share one computation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/tessera-{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append((app, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that written() has left for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def tables_written() -> int:
+    """A mark for release(): how many tables there are so far."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that written() has left for this application since a mark, but for the last `keep`.
+    Only for tables whose readers have run."""
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    for one, path in _tables[since : len(_tables) - keep]:
+        if one == app:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _tables[since : len(_tables) - keep]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

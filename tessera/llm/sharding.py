@@ -19,6 +19,7 @@ SAMPLE_PER_RANGE = 16
 CELL_ROWS = 4096
 ROW_BYTES = 16
 SEED = 97
+EVEN = 1.005
 
 
 def _splitters(keys: DataFrame, total: int, ranges: int, seed: int) -> np.ndarray:
@@ -44,16 +45,40 @@ def _range_of(splitters: np.ndarray):
 
 
 def _cuts(sizes: dict, unit: float) -> dict:
-    return {k: int(np.ceil(v / unit)) for k, v in sizes.items() if v > 2 * unit}
+    return {k: int(np.ceil(v / unit)) for k, v in sizes.items() if v > unit}
 
 
-def _lookup(cuts: dict, key) -> "F.Column":
-    """How many parts a range has; cuts holds only overfull ranges, of which there are at most
-    total / (2 x unit), a number that doesn't grow with the data."""
+def _lookup(cuts: dict, key, default: int = 1) -> "F.Column":
+    """How many parts a range or text has; cuts holds only overfull ones, of which there are at most
+    total / unit, a number that doesn't grow with the data."""
     if not cuts:
-        return F.lit(1)
+        return F.lit(default)
     table = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])
-    return F.coalesce(F.element_at(table, key), F.lit(1))
+    return F.coalesce(F.element_at(table, key), F.lit(default))
+
+
+def _placed(sizes: dict, shards: int) -> tuple[list[tuple[str, int]], float]:
+    """Cells to shards, largest first, each to the lightest shard; and the heaviest shard's size."""
+    load = [(0, s) for s in range(shards)]
+    chosen = []
+    for cell, n in sorted(sizes.items(), key=lambda x: (-x[1], str(x[0]))):
+        weight, shard = heapq.heappop(load)
+        chosen.append((cell, shard))
+        heapq.heappush(load, (weight + n, shard))
+    return chosen, max(weight for weight, _ in load)
+
+
+def _text_parts(texts: dict, others: dict, shards: int, unit: float) -> dict:
+    """Into how many parts each large text goes: none if one shard has room for it and the shards still come out even,
+    to EVEN; else into parts of half a shard, a quarter and so on, down to a range's size."""
+    mean = (sum(texts.values()) + sum(others.values())) / shards
+    size = mean
+    while True:
+        parts = _cuts(texts, size)
+        cells = others | {(k, i): v / parts.get(k, 1) for k, v in texts.items() for i in range(parts.get(k, 1))}
+        if size <= 2 * unit or _placed(cells, shards)[1] <= EVEN * mean:
+            return parts
+        size /= 2
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -62,9 +87,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 
     Records are ordered by a hash of their text, so equal texts lie together. Splitters from a
     size-weighted sample cut the order into shards x RANGES_PER_SHARD ranges; ranges are then
-    measured over all rows, overfull ones are subdivided by another hash of the text, and those that
-    one hot text still overfills by a hash of doc_id. Ranges go to shards largest first, each to the
-    lightest shard, so equal texts share a shard unless they fill more than two ranges.
+    measured over all rows and overfull ones are subdivided by another hash of the text. A text that alone
+    fills over a range is a cell of its own, cut by a hash of doc_id only if it exceeds a shard or the shards
+    would not come out even. Cells go to shards largest first, each to the lightest shard, so equal texts
+    share a shard but for those. Texts count as equal by a 64-bit hash: a clash puts two together, no more.
 
     Slots count from 0 in each shard without gaps: rows fall into cells of about CELL_ROWS by a hash
     of doc_id, are numbered in the cell, and cells are offset by the counts before them.
@@ -85,21 +111,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     ranged = written(keys.withColumn("range", _range_of(splitters)("key")), "ranged")
 
     sizes = {r[0]: r[1] for r in ranged.groupBy("range").agg(F.sum("size")).toLocalIterator()}
-    by_text = _cuts(sizes, unit)
-    parted = ranged.withColumn("part", F.pmod(F.xxhash64("key", F.lit(seed + 1)), _lookup(by_text, F.col("range"))).cast("int"))
-    parted = parted.withColumn("cell_key", F.concat_ws(":", "range", "part"))
-    sizes = {r[0]: r[1] for r in parted.groupBy("cell_key").agg(F.sum("size")).toLocalIterator()}
-    by_row = _cuts(sizes, unit)
-    parted = parted.withColumn("row_part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), _lookup(by_row, F.col("cell_key"))).cast("int"))
-    parted = parted.withColumn("cell_key", F.concat_ws(":", "cell_key", "row_part"))
+    full = _cuts(sizes, 2 * unit)
+    large = ranged.where(F.col("range").isin(*full)) if full else ranged.where("false")
+    texts = {r[0]: r[1] for r in large.groupBy("key").agg(F.sum("size").alias("n")).where(F.col("n") > unit).toLocalIterator()}  # shards x ranges at most
+    alone = F.col("key").isin(*texts) if texts else F.lit(False)
+    part = F.pmod(F.xxhash64("key", F.lit(seed + 1)), _lookup(full, F.col("range"))).cast("int")
+    parted = ranged.withColumn("cell_key", F.when(alone, F.concat_ws(":", F.lit("t"), "key")).otherwise(F.concat_ws(":", "range", part)))
     sizes = {r[0]: r[1] for r in parted.groupBy("cell_key").agg(F.sum("size")).toLocalIterator()}
-
-    load = [(0, s) for s in range(shards)]
-    chosen = []
-    for cell, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        weight, shard = heapq.heappop(load)
-        chosen.append((cell, shard))
-        heapq.heappush(load, (weight + n, shard))
+    cuts = _text_parts(texts, {k: v for k, v in sizes.items() if not k.startswith("t")}, shards, unit)
+    if cuts:
+        row_part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), _lookup(cuts, F.col("key"))).cast("int")
+        parted = parted.withColumn("cell_key", F.when(F.col("key").isin(*cuts), F.concat_ws(":", "cell_key", row_part)).otherwise(F.col("cell_key")))
+        sizes = {r[0]: r[1] for r in parted.groupBy("cell_key").agg(F.sum("size")).toLocalIterator()}
+    chosen, _ = _placed(sizes, shards)
     spark = docs.sparkSession
     table = spark.createDataFrame(chosen, "cell_key string, shard int")  # bounded by shards x ranges x 2
     placed = parted.join(F.broadcast(table), "cell_key").select("doc_id", "size", "text_crc32", "key", "shard")

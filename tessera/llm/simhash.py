@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkit as tk
 from .components import components
@@ -21,6 +22,10 @@ SHINGLE_WORDS = 3
 DISTANCE = 3
 SEED = 42
 BLOCK = 2048
+#: A key of more distinct fingerprints than MANY is cut by the other half's bytes in the kernel; keys that hold
+#: over a HOT_KEYS-th of a sample's index rows (and HOT_LEAST of them) are cut before the exchange.
+MANY, HOT_KEYS, HOT_LEAST, SAMPLE = 2048, 4000, 32, 64
+SLICE = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INDEX = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
@@ -50,12 +55,22 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE
     digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(data[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last] + length[last]).tolist(), strict=True)], tk.U, len(first))
     full = n > 0
-    cut = (np.cumsum(n) - n)[full]
-    votes = np.empty((int(full.sum()), 64), np.int64)
-    for bit in range(64):
-        votes[:, bit] = np.add.reduceat(((h >> tk.U(bit)) & tk.U(1)).astype(np.uint8), cut, dtype=np.int64)
-    bits = votes * 2 > n[full][:, None]
-    out[full] = (bits.astype(tk.U) << np.arange(64, dtype=tk.U)).sum(1, dtype=tk.U)
+    out[full] = majority(h, n[full])
+    return out
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each of the runs of n hashes (none empty), the bits set in over half."""
+    out = np.zeros(len(n), tk.U)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):  # slices of a bounded number of unpacked bits, but for a single long text
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        begin = int(ends[at] - n[at])
+        bits = np.unpackbits(h[begin : ends[to - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.add.reduceat(bits, ends[at:to] - n[at:to] - begin, axis=0, dtype=np.int32)
+        out[at:to] = np.packbits(votes * 2 > n[at:to, None], axis=1, bitorder="little").view(tk.U).ravel()
+        at = to
     return out
 
 
@@ -71,12 +86,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def variants_of(fps: np.ndarray) -> np.ndarray:
-    """Index keys, 64 for each fingerprint: a half with one bit left out, and which half and bit."""
+    """Index keys, 64 for each fingerprint: a half with one bit left out, and which half and bit. The lowest bit
+    of a key is 1 if the half is the upper one."""
     fps = fps.view(tk.U)[:, None]
     bit = np.arange(32, dtype=tk.U)
     low, high = fps & tk.U(0xFFFFFFFF), fps >> tk.U(32)
     keys = [half & ~(tk.U(1) << bit) | (bit << tk.U(32)) | tk.U(which << 37) for which, half in enumerate((low, high))]
-    return np.concatenate(keys, 1)
+    return np.concatenate([tk.mix(k) & ~tk.U(1) | tk.U(which) for which, k in enumerate(keys)], 1)
 
 
 def _index_batches(batches):
@@ -84,7 +100,7 @@ def _index_batches(batches):
         fps = batch.column(0).to_numpy()
         for at in range(0, len(fps), 20_000):
             part = fps[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(tk.mix(variants_of(part).ravel()).view(np.int64)), pa.array(np.repeat(part, 64))], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(variants_of(part).ravel().view(np.int64)), pa.array(np.repeat(part, 64))], schema=_INDEX)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,12 +124,27 @@ def forest_of(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]
     return out
 
 
+def links_of(key: int, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """forest_of() for the fingerprints of one key. They agree in its half but for a bit, so of those at `distance` or
+    fewer, 3 at most, one of the other half's four bytes is equal too: many are compared byte by byte."""
+    if len(fps) <= MANY:
+        return forest_of(fps, distance)
+    shift, out = 0 if key & 1 else 32, []
+    for part in range(4):
+        octet = (fps >> np.int64(shift + 8 * part)) & np.int64(255)
+        order = np.argsort(octet, kind="stable")
+        cuts = np.searchsorted(octet[order], np.arange(257))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                out += forest_of(fps[order[a:b]], distance)
+    return out
+
+
 def _link_batches(distance: int):
-    """Rows sorted by (key, fp): verified links within each key, as forests."""
+    """Rows sorted by (key, sub, fp): verified links within each group, as forests."""
 
-    def links(key, fp):
-        head = np.append(True, key[1:] != key[:-1])
-        at = np.flatnonzero(head)
+    def links(key, sub, fp):
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])))
         size = np.diff(np.append(at, len(key)))
         pairs = []
         for n in np.unique(size[size > 1]):
@@ -124,36 +155,51 @@ def _link_batches(distance: int):
                 pairs.append(np.stack([a[near], b[near]], 1))
             else:
                 for x in begin:
-                    if f := forest_of(fp[x : x + n], distance):
+                    if f := links_of(int(key[x]), fp[x : x + n], distance):
                         pairs.append(np.array(f, np.int64))
         return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
 
+    def given(held):
+        found = links(*(np.concatenate(c) for c in zip(*held, strict=True))) if held else ()
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIR)
+
     def run(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = []  # pieces; the group that a batch ends with is carried on, joined once it is whole
         for batch in batches:
-            key, fp = np.append(key, batch.column(0).to_numpy()), np.append(fp, batch.column(1).to_numpy())
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            cut = int(np.searchsorted(key, key[-1]))
-            found = links(key[:cut], fp[:cut]) if cut else np.zeros((0, 2), np.int64)
-            key, fp = key[cut:], fp[cut:]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIR)
-        if len(key) > 1:
-            found = links(key, fp)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIR)
+            rows = [c.to_numpy() for c in batch.columns]
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            cut = int(np.argmax(same))
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0])):
+                held.append([c[:cut] for c in rows])
+                yield from given([h for h in held if len(h[0])])
+                held = []
+            held.append([c[cut:] for c in rows])
+        yield from given(held)
 
     return run
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """distinct: one column fp, no repeats. Links u, v whose components are those of all pairs at
-    `distance` or fewer differing bits."""
+    `distance` or fewer differing bits.
+
+    A hot key is one that holds many rows of a sample of a SAMPLE-th of the fingerprints; its rows are dealt by
+    the four bytes of the other half, one of which near fingerprints share. Any choice of hot keys gives the same
+    components; HOT_KEYS of them at most are broadcast.
+    """
     if distance > 3:
         raise ValueError("two segments with one wildcard bit cover distances up to 3")
     index = distinct.select("fp").mapInArrow(_index_batches, "key long, fp long")
-    dealt = index.repartition(F.col("key")).sortWithinPartitions("key", "fp")
+    sample = distinct.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(SAMPLE)) == 0)
+    rows = sample.count() * 64
+    hot = sample.mapInArrow(_index_batches, "key long, fp long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_LEAST, rows // HOT_KEYS)).select("key", F.lit(True).alias("hot"))
+    shift = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 0).otherwise(32)
+    octets = F.array(*[F.expr(f"CAST(shiftrightunsigned(fp, shift + {8 * p}) & 255 AS int) + {p << 8}") for p in range(4)])
+    dealt = index.join(F.broadcast(hot), "key", "left").withColumn("shift", shift).select("key", F.explode(F.when(F.col("hot"), octets).otherwise(F.array(F.lit(-1)))).alias("sub"), "fp")
+    dealt = dealt.repartition(F.col("key"), F.col("sub")).sortWithinPartitions("key", "sub", "fp")
     return dealt.mapInArrow(_link_batches(distance), "u long, v long").distinct()
 
 
@@ -181,3 +227,161 @@ def dedup_near(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     found = near_duplicates(docs.where("doc_id is not null"), distance)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone.hint("merge"), docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
+
+
+# Similar texts: the same signatures over wider fingerprints, for a similarity of five-word shingles.
+
+#: The index cuts 126 bits of a fingerprint of two-word shingles, which edits move less, into SEGMENTS of SEGMENT_BITS;
+#: what it proposes is decided by 128 bits of a fingerprint of five-word shingles: at most SIMILAR_BITS differ where
+#: the similarity (Jaccard) is about 0.8 or more.
+SEGMENTS, SEGMENT_BITS, SIMILAR_BITS = 6, 21, 22
+INDEX_WORDS, SIMILAR_WORDS = 2, 5
+HUBS = 64
+_WIDE = pa.schema([("key", pa.int32()), ("id", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
+
+
+def wide_fingerprints_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Four columns of 64 bits for each text: 128 bits over two-word shingles, 128 over five-word ones. Letters A-Z
+    are lowered; fewer words: the whole sequence; none: 0."""
+    raw = _LOWER[raw]
+    starts, ends, before = tk.spans_of(raw, offsets)
+    out = np.zeros((len(offsets) - 1, 4), tk.U)
+    count = np.diff(before)
+    full = np.flatnonzero(count)
+    if not len(full):
+        return out
+    halves = tk.named(raw, starts, ends)
+    for k, (half, size) in enumerate((h, n) for n in (INDEX_WORDS, SIMILAR_WORDS) for h in halves):
+        n = np.maximum(count[full] - size + 1, 1)
+        first = np.repeat(before[full], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        grams = tk.fixed_digest(half, size, k % 2)
+        few = count[full] < size  # their one shingle is the whole sequence
+        h = grams[np.minimum(first, max(len(grams) - 1, 0))] if len(grams) else np.zeros(len(first), tk.U)
+        h[(np.cumsum(n) - n)[few]] = tk.ranged_digest(half, before[full][few], before[full + 1][few], 2)
+        out[full, k] = majority(h, n)
+    return out
+
+
+def _wide_batches(batches):
+    for batch, raw, offsets in tk.chunks(batches):
+        f = wide_fingerprints_of(raw, offsets).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], ["doc_id", "a", "b", "c", "d"])
+
+
+def _wide_index(batches):
+    """SEGMENTS x SEGMENT_BITS rows for each fingerprint: a segment with one bit left out, its number and the bit's."""
+    bit = np.arange(SEGMENT_BITS, dtype=tk.U)
+    mask = tk.U((1 << SEGMENT_BITS) - 1)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 8192):
+            batch = whole.slice(start, 8192)
+            a, b, c, d, ident = (batch.column(k).to_numpy() for k in range(5))
+            keys = []
+            for word, word_of in enumerate((a, b)):
+                for s in range(SEGMENTS // 2):
+                    segment = (word_of.view(tk.U) >> tk.U(s * SEGMENT_BITS)) & mask
+                    left = segment[:, None] & ~(tk.U(1) << bit)
+                    # without the left-out bit the lower part stays and the upper part moves down
+                    low = left & ((tk.U(1) << bit) - tk.U(1))
+                    rest = low | (left >> (bit + tk.U(1))) << bit
+                    keys.append(rest | bit << tk.U(20) | tk.U((word * SEGMENTS // 2 + s) << 25))
+            n = SEGMENTS * SEGMENT_BITS
+            key = np.concatenate(keys, 1).ravel().astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, n)) for x in (ident, c, d))], schema=_WIDE)
+
+
+def wide_forest(ident: np.ndarray, c: np.ndarray, d: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """forest_of() over two-word fingerprints, as links of ids."""
+    left, out = np.arange(len(ident)), []
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = _distance(c[left], c[at]) + _distance(d[left], d[at]) <= bits
+            if near.any():
+                found = left[near]
+                out += [(int(ident[at]), int(ident[x])) for x in found]
+                frontier += found.tolist()
+                left = left[~near]
+    return out
+
+
+def _wide_links(bits: int):
+    """Rows sorted by (key, sub, id): links of each group, whose rows are at most MANY or a sub's share of a hot key."""
+
+    def links(key, sub, ident, c, d):
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])))
+        size = np.diff(np.append(at, len(key)))
+        two = at[size == 2]
+        near = _distance(c[two], c[two + 1]) + _distance(d[two], d[two + 1]) <= bits
+        pairs = [np.stack([ident[two[near]], ident[two[near] + 1]], 1)]
+        for x, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if f := wide_forest(ident[x : x + n], c[x : x + n], d[x : x + n], bits):
+                pairs.append(np.array(f, np.int64))
+        return np.unique(np.concatenate(pairs), axis=0)
+
+    def given(held):
+        if held:
+            found = links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIR)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [x.to_numpy() for x in batch.columns]
+            cut = int(np.argmax((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])))
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0])):
+                held.append([x[:cut] for x in rows])
+                yield from given([h for h in held if len(h[0])])
+                held = []
+            held.append([x[cut:] for x in rows])
+        yield from given(held)
+
+    return run
+
+
+def similar_links(nodes: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
+    """nodes: a, b, c, d (a fingerprint) and id. Links u, v of ids whose five-word fingerprints differ in at most
+    `bits` bits and whose two-word ones have a segment that differs in at most one: as forests of each index key.
+
+    A hot key, one that holds many rows of a sample, is dealt in parts by id, each with the same HUBS sampled rows of
+    the key, so that its parts hang together; HOT_KEYS of them at most are broadcast.
+    """
+    ddl = "key int, id long, c long, d long"
+    fields = ["a", "b", "c", "d", "id"]
+    index = nodes.select(*fields).mapInArrow(_wide_index, ddl)
+    sample = written(nodes.select(*fields).where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(SAMPLE)) == 0).mapInArrow(_wide_index, ddl), "sample")
+    least = max(HOT_LEAST, sample.count() // HOT_KEYS)
+    parts = F.ceil(F.col("n") * SAMPLE / MANY).cast("int")
+    hot = written(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("key", parts.alias("parts")), "hot_keys")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(SEED + 1)), "id")
+    hubs = sample.join(F.broadcast(hot), "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS)
+    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), "id", "c", "d")
+    sub = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id", F.lit(SEED + 2)), F.col("parts")).cast("int"))
+    dealt = index.join(F.broadcast(hot), "key", "left").select("key", sub.alias("sub"), "id", "c", "d").unionByName(hubs)
+    dealt = dealt.repartition(F.col("key"), F.col("sub")).sortWithinPartitions("key", "sub", "id")
+    return dealt.mapInArrow(_wide_links(bits), "u long, v long").where("u <> v").distinct()
+
+
+def similar_groups(docs: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
+    """doc_id long, component_id long (the smallest doc_id that links reach, itself included), one row for each row of
+    docs with a doc_id. Links: similar_links(); equal fingerprints are one node from the start. Texts without words are
+    alike; null counts as empty. The similarity is the fingerprints' estimate, and an edit to each of the segments hides
+    a pair: measured shares are in the README."""
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = written(plain.mapInArrow(_wide_batches, "doc_id long, a long, b long, c long, d long"), "wide")
+    print4 = ["a", "b", "c", "d"]
+    nodes = written(own.groupBy(*print4).agg(F.min("doc_id").alias("id")), "wide_nodes")
+    labels = components(similar_links(nodes, bits)).withColumnsRenamed({"node": "id", "component": "component_id"})
+    named = nodes.join(labels, "id", "left").select(*print4, F.coalesce("component_id", "id").alias("component_id"))
+    return own.join(named, print4).select("doc_id", "component_id")
+
+
+def dedup_similar(docs: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
+    """docs without the rows whose similar_groups() component has a smaller doc_id; rows with a null doc_id stay, and
+    so do all rows of a repeated doc_id that stays."""
+    gone = similar_groups(docs, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("merge"), docs.doc_id.cast("long") == F.col("__gone"), "left_anti")

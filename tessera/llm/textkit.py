@@ -118,6 +118,16 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.concatenate([[0], np.cumsum(per_text)])
 
 
+def holds_word(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each line of lines_of() holds a word."""
+    out = np.zeros(len(starts), bool)
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        # from each line to the next: line breaks between them are separators and change nothing
+        out[full] = np.logical_or.reduceat(~SPACES[raw[: ends[full[-1]]]], starts[full])
+    return out
+
+
 def unit_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each byte span, by slices of bounded size. Spans may be empty, not overlap."""
     out = np.zeros(len(starts), U)
@@ -174,6 +184,13 @@ def named(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return halves[codes, 0], halves[codes, 1]
 
 
+def slots_of(rows: list[bytes]) -> np.ndarray:
+    """A fast 64-bit hash of each distinct unit, for features that are hashed anyway."""
+    size = np.array([len(r) for r in rows], np.int64)
+    ends = np.cumsum(size)
+    return unit_hashes(np.frombuffer(b"".join(rows), np.uint8), ends - size, ends)
+
+
 def groups_of(*columns: np.ndarray) -> np.ndarray:
     """The number of each row of non-negative integer columns among the distinct rows: exact, by packing
     as many columns into a word as fit."""
@@ -210,9 +227,12 @@ def ranged_digest(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, whic
 
 def counts_by_text(positions_before: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of values over [before[i], before[i+1]), empty ranges as 0."""
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[positions_before[1:]] - total[positions_before[:-1]]
+    out = np.zeros(len(positions_before) - 1, np.int64)
+    full = np.flatnonzero(positions_before[1:] > positions_before[:-1])
+    if len(full):
+        values = values[: positions_before[-1]]
+        out[full] = np.add.reduceat(values.view(np.uint8) if values.dtype == bool else values, positions_before[full], dtype=np.int64)
+    return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

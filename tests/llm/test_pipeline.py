@@ -9,7 +9,7 @@ from tessera.llm import bpe, mixing, quality_rules
 
 from .test_quality import sample
 from .test_repeats import brute_lines
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_similar
 
 
 def table(spark, folder):
@@ -36,7 +36,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     cut = brute_lines([rows[i][1] for i in ids])
     texts = {i: cut[k][0] for k, i in enumerate(ids)}
     assert any(cut[k][2] for k in cut)
-    groups = brute_components([brute_fingerprint(texts[i]) for i in ids])
+    groups = brute_similar([texts[i] for i in ids])
     left = [i for k, i in enumerate(ids) if groups[k] == k]
     assert len(left) < len(ids)
     mixed = spark.createDataFrame([(i, texts[i], rows[i][3]) for i in left], "doc_id long, text string, source string")
@@ -48,3 +48,16 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         want += [(i, len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())] * n
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(want)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "mixing", "byte-level BPE"]
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    table(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.union(docs).union(docs.selectExpr("CAST(NULL AS long)", "text", "lang", "source", "n_chars"))
+    for k, rows in enumerate((docs.where("false"), odd)):
+        rows.write.parquet(f"{folder}/{k}/documents.parquet")
+        spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{folder}/{k}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/0").count() == 0
+    found = corpus_pipeline.run(spark, f"{folder}/1")
+    assert found.where("doc_id is null").count() > 0 and found.where("doc_id is not null").count() > 0

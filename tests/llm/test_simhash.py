@@ -79,3 +79,135 @@ def test_empty_and_null_rows(spark):
     got = sorted(map(tuple, simhash.near_duplicates(docs).select("doc_id", "component_id").collect()), key=str)
     assert got == [(2, 2), (2, 2), (3, 3), (5, 3), (None, 2)]
     assert sorted(str(r.doc_id) for r in simhash.dedup_near(docs).collect()) == ["2", "2", "3", "None"]
+
+
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    """With every shared key cut before the exchange, and in the kernel, the components are those of all pairs."""
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    values = {centre}
+    while len(values) < 400:
+        v = rng.choice(list(values)[-40:])
+        for b in rng.sample(range(64), rng.randint(1, 3)):
+            v ^= 1 << b
+        values.add(v)
+    values = sorted(values)
+    fps = np.array(values, np.uint64).view(np.int64)
+    want = brute_components(values)
+    monkeypatch.setattr(simhash, "HOT_LEAST", 1)
+    monkeypatch.setattr(simhash, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(v),) for v in fps], "fp long"))
+    found = {r.node: r.component for r in components(links).collect()}
+    groups = {}
+    for v, c in zip(fps.tolist(), want):
+        groups.setdefault(c, []).append(v)
+    for members in groups.values():
+        assert {found.get(v, v) for v in members} == {min(members)}
+    # the kernel: fingerprints of one key agree in the upper half
+    monkeypatch.setattr(simhash, "MANY", 5)
+    same = np.unique(fps & np.int64(0xFFFFFFFF) | np.int64(7 << 40))
+    got = simhash.links_of(1, same, 3)
+    roots = brute_components([int(x) for x in same])
+    parent = {int(x): int(x) for x in same}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        assert (a ^ b).bit_count() <= 3
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert len({root(int(x)) for x in same}) == len(set(roots))
+
+
+def brute_wide(text):
+    """The four 64-bit columns, with Python's integers."""
+    import hashlib
+
+    from tessera.llm import textkit as tk
+
+    m = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = words(low)
+    out = []
+    for k, size in enumerate((2, 2, 5, 5)):
+        half = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=16, key=b"tessera units").digest()[8 * (k % 2) : 8 * (k % 2) + 8], "little") for x in w]
+        base = int(tk.BASES[k % 2])
+        if len(w) >= size:
+            grams = []
+            for i in range(len(w) - size + 1):
+                acc = 0
+                for h in half[i : i + size]:
+                    acc = (acc * base + h) & m
+                grams.append(mix(acc))
+        elif w:
+            base = int(tk.BASES[2])
+            grams = [mix((sum(h * pow(base, i, 2**64) for i, h in enumerate(half)) + len(w) * 0xC2B2AE3D27D4EB4F) & m)]
+        else:
+            grams = []
+        out.append(sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in grams) > len(grams)))
+    return out
+
+
+def brute_similar(texts, bits=22):
+    prints = [brute_wide(t) for t in texts]
+    segments = [[v >> 21 * s & (1 << 21) - 1 for v in p[:2] for s in range(3)] for p in prints]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = sum((prints[i][k] ^ prints[j][k]).bit_count() for k in (2, 3))
+            if apart <= bits and any((x ^ y).bit_count() <= 1 for x, y in zip(segments[i], segments[j])):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def edited(seed=2, bases=12, copies=8, length=150):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(bases):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(length)]
+        out.append(" ".join(base))
+        for _ in range(copies):
+            body = list(base)
+            for _ in range(rng.randint(0, 6)):
+                body[rng.randrange(len(body))] = f"x{rng.randint(0, 99)}"
+            out.append(" ".join(body))
+    return out
+
+
+def test_similar_groups_match_brute_force(spark, monkeypatch):
+    texts = edited() + awkward(6)[:40] + [None, "", "one", "One", "one two three"]
+    want = dict(enumerate(brute_similar(texts)))
+    assert {r[0]: r[1] for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+    assert len(set(want.values())) < len(texts) - 60
+    monkeypatch.setattr(simhash, "HOT_LEAST", 0)
+    monkeypatch.setattr(simhash, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "MANY", 4)  # on the driver: every key is dealt in parts that share its hubs
+    assert {r[0]: r[1] for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+
+
+def test_dedup_similar_keeps_the_smallest_and_rows_without_id(spark):
+    texts = edited(5, 3, 4)
+    docs = frame(spark, texts).selectExpr("CASE WHEN doc_id <> 2 THEN doc_id END AS doc_id", "text", "1 AS a", "2 AS id", "3 AS sub", "4 AS component_id")
+    kept = simhash.dedup_similar(docs.union(docs))
+    groups = brute_similar([t for i, t in enumerate(texts) if i != 2])
+    ids = [i for i in range(len(texts)) if i != 2]
+    want = [i for k, i in enumerate(ids) if groups[k] == k]
+    assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want * 2 + [None] * 2))
+    assert simhash.similar_groups(docs.where("false")).count() == 0
