@@ -16,6 +16,11 @@ from . import text
 _EDGE = r"[^\p{L}\p{N}_]"
 
 
+def java(pattern: str) -> str:
+    """A pattern whose (?i) is to hold for all letters: Java takes it for ASCII alone, RE2 for all."""
+    return pattern.replace("(?i", "(?iu")
+
+
 def word_pattern(words) -> str:
     return rf"(?:^|{_EDGE})(?:{'|'.join(words)})(?:$|{_EDGE})"
 
@@ -117,7 +122,7 @@ REWRITE_TONES = "(?i)[àáảãạăắằẳẵặâấầẩẫậđèéẻẽ
 
 def stripped(q: Column) -> Column:
     """Without one leading filler."""
-    return F.trim(F.regexp_replace(q, NOISE, ""))
+    return F.trim(F.regexp_replace(q, java(NOISE), ""))
 
 
 def query_type(q: Column) -> Column:
@@ -217,17 +222,17 @@ def rewrites(q: Column, year: int, most: int = 3) -> Column:
     base = stripped(F.coalesce(q, F.lit("")))
 
     def of(s: Column) -> Column:
-        vi = s.rlike(REWRITE_TONES)
-        bare = F.regexp_replace(s, r"(?i)^\s*(?:so sánh|compare)\s+", "")
-        joined = F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:so sánh|compare|so với|và|and|between)(?![\p{{L}}\p{{N}}_])", " vs ")
+        vi = s.rlike(java(REWRITE_TONES))
+        bare = F.regexp_replace(s, r"(?iu)^\s*(?:so sánh|compare)\s+", "")
+        joined = F.regexp_replace(bare, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:so sánh|compare|so với|và|and|between)(?![\p{{L}}\p{{N}}_])", " vs ")
         sides = F.filter(F.transform(F.split(joined, "vs"), lambda p: F.regexp_replace(F.trim(p), r"^[?.]+|[?.]+$", "")), lambda p: p != "")
-        two = s.rlike(IS_COMPARE) & (F.size(sides) == 2) & F.forall(sides, lambda p: F.length(p) > 2)
+        two = s.rlike(java(IS_COMPARE)) & (F.size(sides) == 2) & F.forall(sides, lambda p: F.length(p) > 2)
         family_code = F.lower(s).rlike(IS_CODE)
         more = F.array_compact(F.array(
-            F.when(s.rlike(IS_DEFINITION) & ~s.rlike(HAS_MEANING), F.concat(s, F.when(vi, " nghĩa là").otherwise(" meaning definition"))),
-            F.when(s.rlike(IS_HOWTO) & ~s.rlike(HAS_EXAMPLE), F.concat(s, F.when(vi, " ví dụ hướng dẫn").otherwise(" example tutorial"))),
-            F.when(family_code & ~s.rlike(HAS_DOCS), F.concat(s, F.when(vi, " tài liệu ví dụ").otherwise(" docs example"))),
-            F.when(~s.rlike(HAS_YEAR) & s.rlike(IS_RECENT), F.concat(s, F.lit(f" {year}"))),
+            F.when(s.rlike(java(IS_DEFINITION)) & ~s.rlike(java(HAS_MEANING)), F.concat(s, F.when(vi, " nghĩa là").otherwise(" meaning definition"))),
+            F.when(s.rlike(java(IS_HOWTO)) & ~s.rlike(java(HAS_EXAMPLE)), F.concat(s, F.when(vi, " ví dụ hướng dẫn").otherwise(" example tutorial"))),
+            F.when(family_code & ~s.rlike(java(HAS_DOCS)), F.concat(s, F.when(vi, " tài liệu ví dụ").otherwise(" docs example"))),
+            F.when(~s.rlike(HAS_YEAR) & s.rlike(java(IS_RECENT)), F.concat(s, F.lit(f" {year}"))),
         ))
         tidy = lambda v: F.regexp_replace(F.trim(F.regexp_replace(v, r"\s+", " ")), r"^[ ?.]+|[ ?.]+$", "")
         found = F.filter(F.transform(F.concat(F.when(two, sides).otherwise(F.array().cast("array<string>")), more), tidy), lambda v: v != "")
@@ -252,12 +257,12 @@ def decomposed(q: Column, most: int = 2) -> Column:
     trimmed = F.trim(q)
 
     def parts_of(s: Column) -> Column:
-        raw = F.filter(F.transform(F.split(s, rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{alternatives(CONJUNCTIONS)})(?![\p{{L}}\p{{N}}_])"), lambda p: F.trim(p)), lambda p: p != "")
+        raw = F.filter(F.transform(F.split(s, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{alternatives(CONJUNCTIONS)})(?![\p{{L}}\p{{N}}_])"), lambda p: F.trim(p)), lambda p: p != "")
         few = F.when(F.size(raw) > most, F.concat(F.slice(raw, 1, most - 1), F.array(F.array_join(F.slice(raw, most, F.size(raw)), " ")))).otherwise(raw)
-        return F.transform(few, lambda p: F.trim(F.regexp_replace(p, rf"(?i)^(?:{alternatives(COMPARISON_PREFIXES)})", "")))
+        return F.transform(few, lambda p: F.trim(F.regexp_replace(p, rf"(?iu)^(?:{alternatives(COMPARISON_PREFIXES)})", "")))
 
     def carried(v: Column) -> Column:
-        entity = F.trim(F.regexp_replace(F.trim(F.get(v.parts, F.lit(0))), rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{alternatives(ASPECTS)})\s*$", ""))
+        entity = F.trim(F.regexp_replace(F.trim(F.get(v.parts, F.lit(0))), rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{alternatives(ASPECTS)})\s*$", ""))
         aspect = lambda p: F.lower(p).rlike(rf"^(?:{alternatives(ASPECTS)})")
         rest = F.transform(F.slice(v.parts, 2, most), lambda p: F.when(aspect(p) & (entity != "") & ~F.lower(p).contains(F.lower(entity)), F.concat(entity, F.lit(" "), p)).otherwise(p))
         return F.when((F.size(v.parts) <= 1) | (v.q == "") | F.lit(most <= 1), F.array(v.q)).otherwise(F.concat(F.slice(v.parts, 1, 1), rest))

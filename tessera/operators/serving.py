@@ -38,7 +38,7 @@ class Spec:
     q: str = ""
     lat: float | None = None
     lon: float | None = None
-    radius_m: float = 3000.0
+    radius_m: float = 2000.0
     category: str | None = None
     admin_unit_id: int | None = None
     statuses: tuple[str, ...] = ("open", "unknown", "temporarily_closed")

@@ -1,3 +1,3 @@
 """Registered queries over the standard tables; importing this registers them."""
 
-from . import authority, entities, evidence, identity, more, ops, search, texts, understanding  # noqa: F401
+from . import answers, authority, entities, evidence, identity, more, ops, search, texts, understanding  # noqa: F401
