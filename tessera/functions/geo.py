@@ -50,3 +50,9 @@ def box_of(ring: Column) -> Column:
     """Struct of least and greatest x and y."""
     xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """By atan2, on a sphere of 6,371 km."""
+    h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 6371.0 * 2 * F.atan2(F.sqrt(h), F.sqrt(F.greatest(F.lit(0.0), 1 - h)))

@@ -111,6 +111,11 @@ def keywords(x: Column) -> Column:
     return F.filter(words(x), lambda t: (F.length(t) > 1) & ~t.isin(*CLAIM_STOPWORDS))
 
 
+def index_terms(x: Column) -> Column:
+    """What the lexical lane indexes: words of two or more characters that are no stopwords."""
+    return F.filter(words(x), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+
+
 def sentences(x: Column) -> Column:
     """Split after . ! ? or at line breaks; empty parts go."""
     return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")

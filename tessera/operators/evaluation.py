@@ -25,10 +25,19 @@ def ranking_metrics(runs: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     )
 
 
+def ranked_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each distinct value of a group with __upto, how many rows have it or less, and __n, how many there are: a
+    histogram, so that no row or task holds a group's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    over = Window.partitionBy(*by)
+    return counts.withColumn("__upto", F.sum("__c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(over))
+
+
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and nearest-rank percentiles."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    at = lambda p: F.min(F.when(F.col("__upto") >= F.ceil(F.lit(p) * F.col("__n") - 1e-9), F.col(value)))
+    ranks = ranked_values(df, by, value).groupBy(*by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean")).join(ranks, by, "left")
 
 
 #: What a call's outcome is worth. Fixed values.
@@ -38,9 +47,7 @@ OUTCOME_QUALITY = {"success": 1.0, "empty": 0.5, "timeout": 0.1, "rate_limited":
 def rounded_index_percentiles(df: DataFrame, by: str, value: str, ps: dict[str, float]) -> DataFrame:
     """M24 without a list of all values: each distinct value's count, then running counts; the element at
     p x (n - 1), rounded half to even. Memory is a row a distinct value, over all tasks of a group's sort."""
-    counts = df.groupBy(by, value).agg(F.count("*").alias("__c"))
-    over = Window.partitionBy(by)
-    run = counts.withColumn("__upto", F.sum("__c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(over))
+    run = ranked_values(df, [by], value)
     at = lambda p: F.min(F.when(F.col("__upto") > F.bround(F.lit(p) * (F.col("__n") - 1)), F.col(value)))
     return run.groupBy(by).agg(*[at(p).alias(name) for name, p in ps.items()])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text, urls
+from . import ordered
 
 
 def reject_reasons(c=F.col) -> Column:
@@ -81,13 +82,12 @@ def due(frontier_rows: DataFrame, now: Column, n: int) -> DataFrame:
     return frontier_rows.where((F.col("status") == "pending") & (F.col("next_crawl") <= now)).orderBy(F.desc("priority"), "next_crawl", "url").limit(n)
 
 
-def polite_schedule(requests: DataFrame, gap_s: float = 2.0) -> DataFrame:
+def polite_schedule(requests: DataFrame, gap_s: float = 2.0, bucket_s: float = 3600.0) -> DataFrame:
     """Earliest start of each request of a domain, gap_s apart: max(ts_i, start_{i-1} + gap), in closed
-    form as a running maximum of ts - i x gap."""
-    w = Window.partitionBy("domain").orderBy("ts_s", "request_id")
-    i = F.row_number().over(w) - 1
-    lag = F.max(F.col("ts_s") - F.col("i") * gap_s).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("i", i).withColumn("start_s", lag + F.col("i") * gap_s).drop("i")
+    form as a running maximum of ts - i x gap, over buckets of time: a busy domain is many tasks."""
+    rows = ordered.positioned(requests, "domain", ["ts_s", "request_id"], F.floor(F.col("ts_s") / bucket_s))
+    rows = ordered.running_max(rows, "domain", F.col("ts_s") - F.col("__pos") * gap_s, "__lag")
+    return rows.withColumn("start_s", F.col("__lag") + F.col("__pos") * gap_s).drop("__lag", "__pos", "__bucket")
 
 
 def recrawl(pages: DataFrame) -> DataFrame:

@@ -20,22 +20,25 @@ def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
     """term, doc, tf, length: the inverted index as a table."""
-    terms = docs.select(F.col(doc_id).alias("doc"), text.keywords(F.col(body)).alias("terms"))
+    terms = docs.select(F.col(doc_id).alias("doc"), text.index_terms(F.col(body)).alias("terms"))
     return terms.select("doc", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 60, k1: float = 1.2, b: float = 0.75, body: str = "text") -> DataFrame:
     """Queries (query_id, query) against docs (doc_id, text): query_id, doc, score, rank.
 
-    Postings meet query terms in an equality join. Terms that no query has leave before the document
-    frequencies are counted; the corpus size and mean length come from one pass of two numbers.
+    One pass over the texts: each document gives its words and the empty word, whose count and mean length are those
+    of the corpus. Words that no query has leave before anything is counted.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(text.keywords(F.col("query")))).alias("term"))
-    stats = docs.select(F.size(text.keywords(F.col(body))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    index = postings(docs, body=body).join(wanted.select("term").distinct(), "term", "left_semi")
-    idf = index.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(text.index_terms(F.col("query")))).alias("term"))
+    asked = wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    terms = docs.select(F.col("doc_id").alias("doc"), text.index_terms(F.col(body)).alias("terms"))
+    rows = terms.select("doc", F.size("terms").alias("length"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    index = rows.join(asked, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    found = index.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    stats = found.where("term = ''").select(F.col("df").alias("n"), "mean")
     # one row of two numbers beside each term
-    idf = idf.join(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = found.where("term <> ''").drop("mean").join(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     hits = index.join(idf, "term").select("term", "doc", gain.alias("gain")).join(wanted, "term")
     scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum("gain"), 9).alias("score"))
@@ -43,35 +46,39 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 60, k1: float = 1.2,
 
 
 def _blocks(df: DataFrame, key: str, vec: str, names: tuple[str, str]) -> DataFrame:
+    """Rows packed into blocks of about BLOCK_ROWS by a hash of their key; their number follows the count."""
     rows = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("float")).alias("v"))
-    n = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(4096))).orderBy("id")
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(4096))).withColumn("part", F.floor((F.row_number().over(n) - 1) / BLOCK_ROWS))
-    return rows.groupBy((F.pmod("slot", F.lit(64))).alias("slot"), "part").agg(F.collect_list("id").alias(names[0]), F.collect_list("v").alias(names[1])).select(*names)
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("slot")).agg(F.collect_list("id").alias(names[0]), F.collect_list("v").alias(names[1])).select(*names)
+
+
+def _matrix(column: pa.ListScalar) -> np.ndarray:
+    """A list of vectors of one length as a matrix, from Arrow's buffer."""
+    vectors = column.values
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1).astype(np.float64)
 
 
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 60, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Exact cosine neighbours: query_id, doc, score, rank; the query's own row
-    is left out. Both sides are packed into blocks, and a pair of blocks is one matrix product that
-    gives its best k for each query; the winners of all blocks then meet in one ranking."""
+    is left out. Both sides are packed into blocks of about BLOCK_ROWS, and a pair of blocks is one matrix product
+    that gives its best k for each query; the winners of all blocks then meet in one ranking."""
     q, d = _blocks(queries, key, vec, ("qid", "qv")), _blocks(vectors, key, vec, ("did", "dv"))
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.array(row["qv"], np.float64), np.array(row["dv"], np.float64)
-                qid, did = np.array(row["qid"]), np.array(row["did"])
+            for i in range(batch.num_rows):
+                a, b = _matrix(batch.column(1)[i]), _matrix(batch.column(3)[i])
+                qid, did = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
                 norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
                 score = np.where(norms > 0, (a @ b.T) / np.where(norms > 0, norms, 1), 0.0)
                 score[qid[:, None] == did[None, :]] = -np.inf
                 m = min(k, len(did))
-                best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-                rows, cols = np.repeat(np.arange(len(qid)), m), best.ravel()
-                value = score[rows, cols]
-                edge = value >= np.repeat(np.partition(-score, m - 1, axis=1)[:, m - 1] * -1, m)
-                ok = np.isfinite(value) & edge
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows[ok]]), pa.array(did[cols[ok]]), pa.array(np.round(value[ok], 6))], ["query_id", "doc", "score"])
-
-    pairs = q.crossJoin(d)  # of blocks, each a matrix product
+                edge = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+                rows, cols = np.nonzero((score >= edge[:, None]) & np.isfinite(score))  # all that tie with the last
+                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(did[cols]), pa.array(np.round(score[rows, cols], 6))], ["query_id", "doc", "score"])
+
+    pairs = q.crossJoin(d)  # a stated query set against all rows, in blocks: each pair is a matrix product
     return top_k(pairs.mapInArrow(run, "query_id long, doc long, score double"), k, ["query_id"], F.desc("score"), "doc")
 
 

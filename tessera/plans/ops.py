@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..catalog import query
 from ..functions import scores
-from ..operators import evaluation, ingest
+from ..operators import evaluation, ingest, ordered
 from .common import NOW, table
 
 
@@ -83,8 +82,8 @@ SELECT provider, event_id, count(*) OVER w AS window_n, round(avg(ok) OVER w, 9)
 def rolling_health(spark, sf_dir):
     """The last 64 calls of each provider."""
     c = table(spark, sf_dir, "events").selectExpr("event_type AS provider", "event_id", "ts", f"CAST({_OUTCOME} = 'ok' AS int) AS ok")
-    w = Window.partitionBy("provider").orderBy("ts", "event_id").rowsBetween(-63, 0)
-    return c.select("provider", "event_id", F.count("*").over(w).alias("window_n"), F.round(F.avg("ok").over(w), 9).alias("ok_rate"))
+    out = ordered.rolling(c, "provider", ["ts", "event_id"], F.date_trunc("hour", "ts"), 64, window_n=F.count(F.lit(1)), ok_rate=F.avg("ok"))
+    return out.select("provider", "event_id", "window_n", F.round("ok_rate", 9).alias("ok_rate"))
 
 
 @query("recent_queries", "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 50")
