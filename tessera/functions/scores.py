@@ -98,3 +98,30 @@ def cosine(a: Column, b: Column) -> Column:
 def rounded_index(values: Column, p: float) -> Column:
     """Of a sorted array, the element at p x (n - 1) rounded half to even."""
     return F.try_element_at(values, F.bround(F.lit(p) * (F.size(values) - 1)).cast("int") + 1)
+
+
+def content_depth(content_length: Column, description: Column) -> Column:
+    """Of 4,000 characters of what was fetched, else of the description."""
+    n = F.coalesce(F.nullif(F.greatest(F.coalesce(content_length.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.length(F.coalesce(description, F.lit(""))).cast("double"))
+    return clamp(n / 4000)
+
+
+#: Authority by host in the older score. Fixed values.
+LEGACY_AUTHORITY = {
+    "chinhphu.vn": 0.98, "luatvietnam.vn": 0.85, "thuvienphapluat.vn": 0.85, "congan.bacgiang.gov.vn": 0.95, "cand.com.vn": 0.88, "baobacgiang.vn": 0.82, "vnexpress.net": 0.80, "tuoitre.vn": 0.80, "dantri.com.vn": 0.80, "thanhnien.vn": 0.78, "vietnamnet.vn": 0.78,
+    "github.com": 0.85, "docs.python.org": 0.90, "stackoverflow.com": 0.60, "facebook.com": 0.25, "twitter.com": 0.25, "reddit.com": 0.40, "tiktok.com": 0.20, "unknown": 0.12,
+}
+
+
+def legacy_source(relevance: Column, url: Column, query: Column, title: Column, description: Column) -> Column:
+    """.30 relevance + .25 authority + .20 x .5 freshness + .15 (.7 title + .3 description overlap)."""
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != ""))
+    q = words(query)
+    share = lambda x: F.size(F.array_intersect(q, words(x))) / F.greatest(F.size(q), F.lit(1))
+    host = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^www\.", "")
+    return relevance * 0.30 + lookup(LEGACY_AUTHORITY, host, 0.12) * 0.25 + 0.5 * 0.20 + (share(title) * 0.7 + share(description) * 0.3) * 0.15
+
+
+def cost(explicit: Column, default: float) -> Column:
+    """A42, an aggregate: the explicit costs and the default for the others."""
+    return F.round(F.sum(F.coalesce(explicit.cast("double"), F.lit(default))), 6)

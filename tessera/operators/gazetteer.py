@@ -82,7 +82,7 @@ def forward(units: DataFrame, moves: DataFrame, closure: DataFrame) -> tuple[Dat
     seen = start.select("key", F.col("start").alias("at"))
     front = seen
     for _ in range(20):
-        front = front.join(status.where("status <> 'current'"), "at").join(steps, F.col("at") == F.col("from_key")).select("key", F.col("to_key").alias("at")).distinct().join(seen, ["key", "at"], "left_anti")
+        front = front.join(status.where("status <> 'current'"), "at").join(steps, F.col("at") == F.col("from_key")).select("key", F.col("to_key").alias("at")).distinct().join(seen, ["key", "at"], "left_anti").persist()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -116,8 +116,8 @@ def resolve(queries: DataFrame, units: DataFrame, aliases: DataFrame, moves: Dat
     itself, a name before an alias, the hinted level, the deepest. 4. Matched units and their ancestors lead to the
     current ones.
     """
-    closure = graph.ancestors(units)
-    lead, edges = forward(units, moves, closure)
+    closure = graph.ancestors(units).persist()  # the units' tables are small and met many times
+    lead, edges = (t.persist() for t in forward(units, moves, closure))
     under = closure.select("key", "ancestor").unionByName(units.select("key", F.col("key").alias("ancestor")))
     province = under.join(units.where("admin_level = 1").select(F.col("key").alias("ancestor")), "ancestor").select("key", F.col("ancestor").alias("province"))
     goes = lead.join(province.withColumnRenamed("key", "successor"), "successor").select("key", F.col("province").alias("goes")).distinct()
@@ -127,7 +127,7 @@ def resolve(queries: DataFrame, units: DataFrame, aliases: DataFrame, moves: Dat
     hits = seg.where("term <> ''").join(named.unionByName(other), "term").groupBy("query_id", "place", "hint", "key", "admin_level", "name").agg(F.max("via").alias("via"))
     same = Window.partitionBy("query_id", "place")
     hits = hits.withColumn("levels", F.size(F.collect_set("admin_level").over(same))).withColumn("fits", F.max((F.col("admin_level") == F.col("hint")).cast("int")).over(same))
-    hits = hits.where((F.col("levels") == 1) | F.col("hint").isNull() | (F.coalesce("fits", F.lit(0)) == 0) | (F.col("admin_level") == F.col("hint"))).drop("levels", "fits")
+    hits = hits.where((F.col("levels") == 1) | F.col("hint").isNull() | (F.coalesce("fits", F.lit(0)) == 0) | (F.col("admin_level") == F.col("hint"))).drop("levels", "fits").persist()
     # province context
     first = hits.where("admin_level = 1")
     last = first.groupBy("query_id").agg(F.max("place").alias("place"))
@@ -135,7 +135,7 @@ def resolve(queries: DataFrame, units: DataFrame, aliases: DataFrame, moves: Dat
     pairs = first.select("query_id", "prov").join(hits.select("query_id", "place", "key"), "query_id")
     by_line = pairs.join(under, (pairs.key == under.key) & (pairs.prov == under.ancestor), "left_semi").select("query_id", "prov", "place", "key")
     by_move = pairs.join(goes.withColumnRenamed("goes", "g1"), "key").join(goes.select(F.col("key").alias("prov"), F.col("goes").alias("g2")), "prov").where("g1 = g2").select("query_id", "prov", "place", "key")
-    agreed = by_line.unionByName(by_move).distinct()
+    agreed = by_line.unionByName(by_move).distinct().persist()
     explained = agreed.groupBy("query_id", "prov").agg(F.countDistinct("place").alias("n"))
     scored = first.join(explained, ["query_id", "prov"], "left").withColumn("score", F.coalesce("n", F.lit(0)) * 10 + F.col("pvia"))
     context = scored.groupBy("query_id").agg(F.min_by(F.struct("prov", "pplace"), F.struct(-F.col("score"), "prov")).alias("c")).select("query_id", "c.prov", "c.pplace")

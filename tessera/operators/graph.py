@@ -13,7 +13,7 @@ def ancestors(units: DataFrame, most: int = 20) -> DataFrame:
     frontier = parents.select(F.col("child").alias("key"), F.col("parent").alias("ancestor"))
     levels = [frontier.withColumn("distance", F.lit(1))]
     for d in range(2, most + 1):
-        frontier = frontier.join(parents, F.col("ancestor") == F.col("child")).select("key", F.col("parent").alias("ancestor")).where("key <> ancestor").distinct()
+        frontier = frontier.join(parents, F.col("ancestor") == F.col("child")).select("key", F.col("parent").alias("ancestor")).where("key <> ancestor").distinct().persist()  # a round reads the one before
         if frontier.isEmpty():
             break
         levels.append(frontier.withColumn("distance", F.lit(d)))
@@ -33,7 +33,7 @@ def current_successors(units: DataFrame, moves: DataFrame, most: int = 20) -> Da
         here = frontier.join(status, "at")
         done = here.where("status = 'current'").select("key", F.col("at").alias("successor"))
         found = done if found is None else found.union(done)
-        frontier = here.where("status <> 'current'").join(moves, F.col("at") == F.col("from_key")).select("key", F.col("to_key").alias("at")).distinct()
+        frontier = here.where("status <> 'current'").join(moves, F.col("at") == F.col("from_key")).select("key", F.col("to_key").alias("at")).distinct().persist()
         if frontier.isEmpty():
             break
     return found.distinct()

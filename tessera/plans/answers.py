@@ -144,7 +144,7 @@ _OWN = {("p0", "xyz"): "office", ("*", "???"): "services"}
 
 
 def _pick(values, by):
-    lit = lambda v: "NULL" if v is None else "'" + v + "'"
+    lit = lambda v: "NULL" if v is None else "'" + str(v) + "'"
     return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values)) + " END"
 
 

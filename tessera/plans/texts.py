@@ -65,7 +65,7 @@ def query_coverage(spark, sf_dir):
     return out.where("coverage >= 0.5").select("item_id", "doc_id", F.round("coverage", 9).alias("coverage"))
 
 
-@query("fixed_chunks", "WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 600)) AS start FROM documents) SELECT doc_id, concat(doc_id, '#p_', lpad(CAST(start // 600 AS VARCHAR), 3, '0')) AS passage_id, start, length(substr(text, start + 1, 800)) AS n, md5(substr(text, start + 1, 800)) AS digest FROM s WHERE length(text) < 600000")
+@query("fixed_chunks", "WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 600)) AS start FROM documents) SELECT doc_id, concat(doc_id, '#p_', printf('%03d', start // 600)) AS passage_id, start, length(substr(text, start + 1, 800)) AS n, md5(substr(text, start + 1, 800)) AS digest FROM s")
 def fixed_chunks(spark, sf_dir):
     """X29, K27."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.fixed_chunks(F.col("text"))).alias("i", "c"))
@@ -147,7 +147,10 @@ def page_images(spark, sf_dir):
     return pages.images(table(spark, sf_dir, "pages")).select("page_id", "src", "image_id")
 
 
-@query("hamming_pairs", None)
+_HALF = "bit_count(xor(CAST('0x' || substr(h, {0}, 8) AS UBIGINT), CAST('0x' || substr(p, {0}, 8) AS UBIGINT)))"
+
+
+@query("hamming_pairs", f"WITH d AS (SELECT doc_id, substr(sha256(text), 1, 16) AS h, lag(substr(sha256(text), 1, 16)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) SELECT doc_id, CAST({_HALF.format(1)} + {_HALF.format(9)} AS INT) AS bits FROM d WHERE p IS NOT NULL")
 def hamming_pairs(spark, sf_dir):
     """Documents against the next one by id, bits between their 16-digit digests."""
     from pyspark.sql.window import Window

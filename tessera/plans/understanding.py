@@ -8,7 +8,7 @@ from ..catalog import query
 from ..functions import understanding as u
 from .common import table
 
-#: Questions about a part; {n} is its name and {b} its brand.
+#: Questions about a part; {n} is its name ("new", a word of time, as "fresh") and {b} its brand.
 _TEMPLATES = (
     "what is {n}", "so sánh {n} và {b}", "cách dùng {n} là gì", "latest news about {b}", "please compare {n} vs {b}", "giá vàng hôm nay", "python api error in {n}", "{b} price today", "how to install {n} with docker", "quán cà phê gần {b}", "nha thuoc gan day",
     "best {n} to buy", "review {b} and price", "rate limit of {n}", "kết quả bóng đá hôm qua", "deep dive analysis of {n}", "{n} design và giá", "cho tôi hỏi luật {b}", "docs.{b}.io guide", "thời tiết {n}", "{b} video tutorial", "open now {n} near me", "", "can you explain c++x {n}?", "machine learning {n} 2026", "khách sạn {b}",
@@ -18,7 +18,7 @@ _TEMPLATES = (
 def _asked_sql(cast: str) -> str:
     def built(t: str) -> str:
         t = "'" + t.replace("'", "''") + "'"
-        return "concat(" + t.replace("{n}", "', p_name, '").replace("{b}", "', p_brand, '") + ")"
+        return "concat(" + t.replace("{n}", "', replace(p_name, 'new', 'fresh'), '").replace("{b}", "', p_brand, '") + ")"
 
     return f"SELECT p_partkey, CASE p_partkey % {len(_TEMPLATES)} " + " ".join(f"WHEN {i} THEN {built(t)}" for i, t in enumerate(_TEMPLATES)) + " END AS q FROM part"
 
@@ -63,7 +63,24 @@ def query_profile(spark, sf_dir):
 
 
 
-@query("query_rewrites")
+#: What _TEMPLATES come to: variants and parts, by place; others stay as they are.
+_REWRITTEN = {
+    0: ("what is {n}|what is {n} meaning definition", None), 1: ("so sánh {n} và {b}|{n}|{b}", "{n}|{b}"), 2: ("cách dùng {n} là gì|cách dùng {n} là gì nghĩa là|cách dùng {n} là gì ví dụ hướng dẫn", None), 3: ("latest news about {b}|latest news about {b} 2024", None),
+    4: ("compare {n} vs {b}|{n}|{b}", "please compare {n}|{b}"), 5: ("giá vàng hôm nay|giá vàng hôm nay 2024", None), 6: ("python api error in {n}|python api error in {n} docs example", None), 7: ("{b} price today|{b} price today 2024", None),
+    8: ("how to install {n} with docker|how to install {n} with docker example tutorial|how to install {n} with docker docs example", None), 12: (None, "review {b}|review {b} price"), 16: (None, "{n} design|{n} giá"), 17: ("luật {b}", None),
+    23: ("explain c++x {n}?|explain c++x {n}? meaning definition|explain c++x {n}? docs example", None),
+}
+
+
+def _rewritten(k: int) -> str:
+    def built(t: str) -> str:
+        return "concat('" + t.replace("'", "''").replace("|", " | ").replace("{n}", "', replace(p_name, 'new', 'fresh'), '").replace("{b}", "', p_brand, '") + "')"
+
+    cases = [f"WHEN {i} THEN {built(row[k])}" for i, row in _REWRITTEN.items() if row[k]]
+    return f"CASE p_partkey % {len(_TEMPLATES)} {' '.join(cases)} ELSE q END"
+
+
+@query("query_rewrites", f"WITH a AS ({_ASKED.replace('p_partkey, CASE', 'p_partkey, p_name, p_brand, CASE')}) SELECT p_partkey, q, {_rewritten(0)} AS variants, {_rewritten(1)} AS parts FROM a")
 def query_rewrites(spark, sf_dir):
     """Variants and parts of every question, held to a plain version in the tests."""
     q = F.col("q")
