@@ -46,7 +46,7 @@ def visible_text(html: Column) -> Column:
     plain = F.regexp_replace(lines, r"<[^>]*>", "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def needs_browser(html: Column) -> Column:
