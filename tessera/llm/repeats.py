@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .runtime import written
 
+#: Bytes of text that the seed and window kernels take at once: they hold some thirty bytes for each byte of text.
+SEED_CHUNK = 1 << 20
 MARK = -(2**63)
 COVERED, SEED, LONE_MARK = -2, -3, -1
 _ROWS = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("runs", pa.binary())])
@@ -111,8 +113,10 @@ def _later(text: np.ndarray, at: np.ndarray, *digests: np.ndarray) -> np.ndarray
 
 
 def _seed_rows(kind: str, length: int, seed: int, within: bool, lone_words: int):
+    limit = SEED_CHUNK
+
     def run(batches):
-        for batch, raw, offsets in tk.chunks(batches):
+        for batch, raw, offsets in tk.chunks(batches, limit=limit):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             starts, ends, before = units(kind, raw, offsets)
             if not len(starts):
@@ -234,9 +238,10 @@ def _settled(rows, told):
 
 def _window_rows(kind: str, length: int):
     """From documents with their kept stretches: a row per window, the smallest id of a chunk only."""
+    limit = SEED_CHUNK
 
     def run(batches):
-        for batch, raw, offsets in tk.chunks(unpacked(batches)):
+        for batch, raw, offsets in tk.chunks(unpacked(batches), limit=limit):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             starts, ends, before = units(kind, raw, offsets)
             left, right = tk.named(raw, starts, ends)

@@ -31,7 +31,7 @@ def brute_words(texts, t=13):
 @pytest.mark.parametrize("seed,small", [(1, False), (2, True), (3, True)])
 def test_substring_matches_brute_force(spark, monkeypatch, seed, small):
     if small:  # chunks of a few documents, so that rows meet across chunks and batches
-        monkeypatch.setattr("tessera.llm.textkit.CHUNK_BYTES", 900)
+        monkeypatch.setattr("tessera.llm.repeats.SEED_CHUNK", 900)
     texts = awkward(seed)
     got = {r[0]: tuple(r)[1:] for r in substring_digests(frame(spark, texts, 5)).collect()}
     assert got == brute_words(texts)
