@@ -23,7 +23,7 @@ def _first(x: Column, pattern: str, group: int = 0) -> Column:
 
 
 def business(content: Column, query: Column, source_url: Column) -> Column:
-    """A struct of name, category, address, phone, hours, rating, website, lat, lon and description; null without a name
+    """A struct of name, category, address, phone, hours, rating, website, lat, lon and description; null without a name
     and any other sign of a business. The name is the first of five lines that fits, a quoted one, else the query."""
     body = F.trim(content)
     lines = F.transform(F.slice(F.split(body, r"\r?\n"), 1, 5), lambda x: F.regexp_replace(F.trim(x), r"^[#*\-=–]+|[#*\-=–]+$", ""))

@@ -138,7 +138,7 @@ def overlap(query_tokens: Column, text_tokens: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Over sets; two empty ones give 0."""
+    """Over sets; two empty ones give 0."""
     both = F.size(F.array_union(a, b))
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 

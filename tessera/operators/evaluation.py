@@ -126,3 +126,46 @@ def report_diff(new: DataFrame, base: DataFrame, lower_is_better: list[str]) ->
     both = new.withColumnRenamed("value", "new").join(base.withColumnRenamed("value", "base"), "metric")
     sign = F.when(F.col("metric").isin(*lower_is_better), -1).otherwise(1) * (F.col("new") - F.col("base"))
     return both.withColumn("verdict", F.when(sign > 1e-12, "+").when(sign < -1e-12, "-").otherwise("="))
+
+
+def over_quota(calls: DataFrame, key: str, ts: str, quota: int) -> DataFrame:
+    """keys and days with `quota` calls or more."""
+    return calls.groupBy(key, F.to_date(ts).alias("day")).agg(F.count("*").alias("requests")).where(F.col("requests") >= quota)
+
+
+def run_counters(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows (change_type) of a run as counters: seen, new, changed, unchanged, invalid, failed."""
+    kinds = ("new", "changed", "unchanged", "invalid", "failed")
+    return changes.groupBy(*(by or [])).agg(F.count("*").alias("seen"), *[F.count_if(F.col("change_type") == k).alias(k) for k in kinds])
+
+
+def mean_report(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """The number of queries and the mean of each metric over those that have it."""
+    return metrics.agg(F.count("*").alias("queries"), *[F.round(F.avg(n), 6).alias(n) for n in names])
+
+
+def authority_mean(rows: DataFrame, by: str, domain: str, scorer) -> DataFrame:
+    """The mean authority of a group's distinct domains; 0 without any."""
+    from ..functions import urls
+
+    each = rows.select(by, urls.normalize_domain(F.col(domain)).alias("d")).where("d <> ''").distinct()
+    found = each.groupBy(by).agg(F.round(F.avg(scorer(F.col("d"))), 4).alias("authority"))
+    return rows.select(by).distinct().join(found, by, "left").fillna(0.0, ["authority"])
+
+
+def shadow_summary(shadow: DataFrame) -> DataFrame:
+    """Shadow runs (recall, overlap, latency_ms): how many and their means."""
+    return shadow.agg(F.count("*").alias("runs"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}") for c in ("recall", "overlap", "latency_ms")])
+
+
+def answer_report(answers: DataFrame) -> DataFrame:
+    """Answers (answer, facts, cited, expected, citations, sources): every answer's metrics, 3 places; null where
+    there is nothing to measure."""
+    from . import answers as a
+
+    c = F.col
+    three = {
+        "fact_coverage": a.fact_coverage(c("answer"), c("facts")), "citation_precision": a.citation_precision(c("cited"), c("expected")), "citation_recall": a.citation_recall(c("cited"), c("expected")), "source_coverage": a.cited_source_coverage(c("cited"), c("sources")),
+        "unsupported_rate": a.unsupported_rate(c("citations")), "quote_rate": a.quote_rate(c("citations")),
+    }
+    return answers.select(*[x for x in answers.columns if x not in ("answer", "facts", "cited", "expected", "citations", "sources")], *[F.round(v, 3).alias(k) for k, v in three.items()])

@@ -43,3 +43,12 @@ def with_aliases(units: DataFrame, aliases: DataFrame) -> DataFrame:
     """Each unit with its aliases, sorted; none gives an empty array."""
     named = aliases.groupBy("key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     return units.join(named, "key", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def admin_graph(units: DataFrame, aliases: DataFrame, moves: DataFrame) -> DataFrame:
+    """Units (key, name, parent_key) with their aliases, children and moves as arrays: a row a unit."""
+    named = with_aliases(units, aliases)
+    below = units.where("parent_key is not null").groupBy(F.col("parent_key").alias("key")).agg(F.array_sort(F.collect_set("key")).alias("children"))
+    out = moves.groupBy(F.col("from_key").alias("key")).agg(F.array_sort(F.collect_set(F.struct("relation_type", "to_key"))).alias("moves"))
+    none = F.array().cast("array<string>")
+    return named.join(below, "key", "left").join(out, "key", "left").withColumn("children", F.coalesce("children", none))

@@ -93,3 +93,29 @@ def polite_schedule(requests: DataFrame, gap_s: float = 2.0, bucket_s: float = 3
 def recrawl(pages: DataFrame) -> DataFrame:
     """D10, D12."""
     return pages.withColumn("interval_h", scores.recrawl_hours(F.col("change_rate"))).withColumn("backoff_min", scores.backoff_minutes(F.col("failures")))
+
+
+def page(rows: DataFrame, key: str, after, n: int) -> DataFrame:
+    """The next n rows behind a key, in its order; the filter reaches the scan."""
+    return (rows if after is None else rows.where(F.col(key) > after)).orderBy(key).limit(n)
+
+
+def last_by_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Of rows with one key the last in order."""
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(order))).alias("r"))
+    return newest.select("r.*")
+
+
+def index_rows(docs: DataFrame, body: str = "text") -> DataFrame:
+    """Documents as index rows: content_hash, word_count and the 16-digit short hash."""
+    b = F.coalesce(F.col(body), F.lit(""))
+    return docs.withColumns({"content_hash": F.sha2(F.encode(b, "UTF-8"), 256), "word_count": F.size(F.filter(F.split(F.trim(b), r"\s+"), lambda w: w != "")), "simhash": text.short_hash(b, 16)})
+
+
+def new_places(rows: DataFrame, highest: int, parts: int = 256) -> DataFrame:
+    """Rows (key, lat, lon and more) as new places: ids behind the highest there is, gapless in the order of a hash of key, and
+    a point where both coordinates are. Rows are numbered in `parts` ranges of the hash, offset by their counts."""
+    spread = rows.withColumn("__all", F.lit(0)).withColumn("__h", F.pmod(F.xxhash64("key"), F.lit(1 << 30)))
+    ids = ordered.positioned(spread, "__all", ["__h", "key"], F.floor(F.col("__h") / ((1 << 30) // parts)))
+    point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
+    return ids.withColumn("place_id", F.col("__pos") + 1 + highest).withColumn("location", point).drop("__all", "__h", "__pos", "__bucket")

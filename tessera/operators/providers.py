@@ -134,3 +134,67 @@ class Registry:
         if out is None:
             raise ValueError("no source fits")
         return out
+
+
+#: What messages show each outcome, in the order tried. Fixed values.
+OUTCOMES = (("captcha", r"captcha|solvemedia|are you a robot|unusual traffic"), ("rate_limited", r"rate.?limit|too many requests|429"), ("timeout", r"time.?out|timed out|deadline exceeded"))
+
+
+def outcome_of(message: Column, status: Column | None = None) -> Column:
+    """Captcha, rate_limited, timeout or error by a failure's HTTP status, if there is one, and its message; a 401, 402
+    or 403 is a captcha only if its body says so."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    by_text = F.lit("error")
+    for name, pattern in reversed(OUTCOMES):
+        by_text = F.when(m.rlike(pattern), name).otherwise(by_text)
+    if status is None:
+        return by_text
+    wall = F.when(m.rlike(OUTCOMES[0][1]), "captcha").otherwise("error")
+    return F.when(status == 429, "rate_limited").when(status.isin(401, 402, 403), wall).when(status.isNotNull(), "error").otherwise(by_text)
+
+
+#: Signals in a query: whole words, and phrases anywhere. Fixed values.
+SIGNALS = {
+    "news": ("news|today|latest|breaking|announced?s?|launch(?:ed)?|released?s?|updated?s?|recall|earnings", "hôm nay|mới nhất|tin tức|tin nóng|vừa|ra mắt|công bố|phát hành"),
+    "legal": ("decree|circular|resolution|ordinance|statute|legislation|regulation|directive|bylaw|constitution|legal|lawsuit|compliance", r"nghị định|thông tư|bộ luật|luật|nghị quyết|pháp lệnh|quy định|quyết định|chính phủ|chủ trương|công văn|hiến pháp|pháp luật|chính sách|ban hành|gov\.vn|hóa đơn điện tử"),
+    "ecommerce": (r"price|cost|buy|bought|shop(?:ping)?|order|deal|discount|coupon|cheap(?:est)?|for sale|pre-?order|specs|vs", "giá|bao nhiêu tiền|mua|bán|đặt hàng|sản phẩm|khuyến mãi|giảm giá|cửa hàng|đại lý|trả góp|sale"),
+    "product": ("iphone|samsung|galaxy|xiaomi|oppo|pixel|macbook|laptop|điện thoại|smartphone|tablet|tai nghe|đồng hồ|rtx|gtx|cpu|gpu|máy tính|vinfast|vf-?[0-9]|airblade|vision|sh[- ]?mode|winner|exciter|sirius|xe máy|xe tay ga|ô tô|xe ô tô|xe điện", None),
+    "market": ("stock|stocks|forex|bond|commodity|commodities|bullion|exchange rate|interest rate|vn-?index|hsx|hnx|upcom", "giá vàng|vàng|ngoại tệ|tỷ giá|usd|euro|đô la|chứng khoán|cổ phiếu|trái phiếu|hàng hóa|xăng dầu|giá xăng|giá dầu|giá cà phê|giá gạo|giá lúa|giá heo|giá đất|giá nhà|bất động sản|bitcoin|lợi suất"),
+    "company": ("company|corporation|enterprise|revenue|profit|shareholder|ipo|listed|holding|conglomerate|tax code|business registration", "doanh thu|lợi nhuận|công ty|tập đoàn|thương hiệu|sếp|ceo|founder|hồ sơ doanh nghiệp|mã số thuế|niêm yết|cổ đông|pháp nhân|đăng ký kinh doanh|doanh nghiệp|trụ sở công ty"),
+    "finance": ("bank|banking|loan|mortgage|credit|debit|insurance|tax|budget|investment|investor|fund|deposit|savings|inflation|gdp", "tài chính|ngân hàng|vay|lãi suất|tín dụng|bảo hiểm|thuế|ngân sách|kho bạc|đầu tư|tiết kiệm|lạm phát|tổng sản phẩm quốc nội"),
+    "administrative": ("administrative|province|district|ward|commune|boundary|merger|province merger", "tỉnh thành|quận huyện|phường xã|địa giới|sáp nhập|hành chính|đơn vị hành chính|mã đơn vị|thành phố trực thuộc|trung ương"),
+    "medical": ("symptom|symptoms|disease|drug|dosage|dose|treatment|diagnosis|vaccine|clinic|hospital|pharmacy|medicine|medical|surgery|cancer", "bệnh|thuốc|triệu chứng|điều trị|viêm|ung thư|vaccine|tiêm|bệnh viện|phẫu thuật|dược|sức khỏe|khám|chẩn đoán|liều dùng"),
+    "document": ("template|form|declaration|document|paperwork|procedure|certificate|permit|application form", "biểu mẫu|mẫu đơn|hồ sơ|văn bản|giấy tờ|thủ tục|giấy phép|giấy chứng nhận|khai báo|mẫu cv"),
+    "places": ("near me|nearby|restaurant|hotel|cafe|coffee|barber|atm|gas station|directions|map", "nhà hàng|quán|khách sạn|địa chỉ|ở đâu|gần đây|gần tôi|bản đồ|tiệm|phở|bún|cà phê|trà sữa|siêu thị|bệnh viện|nhà thuốc"),
+    "academic": ("arxiv|paper|journal|conference|benchmark|thesis|doi|peer.?reviewed|study|survey of|sota|scientific|academic", "nghiên cứu|học thuật|luận văn|tạp chí khoa học"),
+    "code": ("function|class|method|endpoint|import|export|require|module|package|pip install|npm install|github|gitlab|stackoverflow|exception|traceback|stack trace|snippet|implementation of|compile|runtime error|debug", "```|cách (?:fix|sửa) lỗi|lỗi code"),
+    "forum": ("reddit|forum|stack ?exchange|quora|threads", "diễn đàn|hỏi đáp|kinh nghiệm|mọi người|voz|tinhte|webtretho"),
+    "social": ("tiktok|twitter|facebook|instagram|linkedin|youtube|threads|social media", "mạng xã hội|mọi người (?:nói|bàn|chia sẻ)"),
+    "image": ("image|images|photo|picture|logo|poster|wallpaper", "ảnh|hình ảnh|hình nền"),
+    "video": ("video|videos|clip|trailer|mp4|vlog", "youtube|phim|clip hướng dẫn"),
+    "opinion": ("review|reviews|opinion|worth it|should i|any good", "đánh giá|có nên|tốt không|so sánh|nhận xét"),
+}
+#: Weights of lanes that each signal asks for. Fixed values.
+LANES = {
+    "news": {"news": 1.0, "social": 0.5}, "legal": {"government": 1.0, "legal": 1.0, "general_web": 0.5, "news": 0.5, "social": 0.25}, "market": {"market": 1.0, "finance": 0.5, "news": 0.5}, "product": {"product": 1.0}, "shopping": {"ecommerce": 1.0, "places": 0.5},
+    "offers": {"ecommerce": 0.8, "product": 0.5}, "company": {"company": 1.0, "business": 0.8, "finance": 0.5, "news": 0.5}, "finance": {"finance": 0.8, "market": 0.5, "news": 0.5}, "administrative": {"administrative": 1.0, "places": 0.5, "government": 0.5}, "medical": {"medical": 0.8, "places": 0.25},
+    "document": {"document": 0.8, "government": 0.5, "legal": 0.25}, "places": {"places": 0.8, "ecommerce": 0.25}, "academic": {"academic": 0.8, "forum": 0.25}, "code": {"code": 0.8}, "talk": {"forum": 0.8, "social": 0.5}, "opinion": {"ecommerce": 0.5}, "social": {"social": 0.8}, "image": {"image": 0.8},
+    "video": {"video": 0.8}, "comparison": {"forum": 0.5, "ecommerce": 0.5}, "co": {"company": 1.0, "business": 0.8, "finance": 0.5}, "loc": {"places": 0.5, "administrative": 0.5}, "law": {"legal": 1.0, "government": 0.8, "document": 0.5}, "goods": {"product": 0.8, "ecommerce": 0.5}, "person": {"news": 0.5}, "event": {"document": 0.5, "news": 0.5},
+}
+ALL_LANES = "general_web news government legal places ecommerce forum social academic code video image index business company finance market administrative product medical document".split()
+
+
+def lane_weights(query: Column, entity_ids: Column | None = None) -> Column:
+    """Map of lane to weight: 0 off, the web .8 and the own index .5 always, else the greatest that a signal, the profile or
+    the kind of a known entity asks for. Prices of markets aren't shopping."""
+    q = F.lower(F.coalesce(query, F.lit("")))
+    found = {s: q.rlike(understanding.word_pattern([words]) + (f"|(?:{phrases})" if phrases else "")) for s, (words, phrases) in SIGNALS.items()}
+    p = understanding.profile(F.coalesce(query, F.lit("")))
+    on = {s: c for s, c in found.items() if s not in ("ecommerce", "forum")}
+    on |= {"news": found["news"] | p.freshness_required, "shopping": found["product"] & ~found["market"], "offers": found["ecommerce"] & ~found["product"] & ~found["market"], "talk": found["forum"] | found["opinion"], "comparison": p.intent == "comparison"}
+    if entity_ids is not None:
+        kinds = {"co": "co", "loc": "loc", "law": "legal", "goods": "product", "person": "person", "event": "event"}
+        on |= {k: F.exists(entity_ids, lambda e, v=v: e.startswith(v + ":")) for k, v in kinds.items()}
+    base = {"general_web": 0.8, "index": 0.5}
+    weight = lambda lane: F.greatest(F.lit(base.get(lane, 0.0)), F.lit(0.0), *[F.when(c, LANES[s][lane]).otherwise(0.0) for s, c in on.items() if lane in LANES.get(s, {})])
+    return F.create_map(*[x for lane in ALL_LANES for x in (F.lit(lane), weight(lane))])

@@ -151,3 +151,48 @@ def business_search(lanes: DataFrame, queries: DataFrame, most: int) -> tuple[Da
     merged = local.merged(lanes.withColumn("pos", F.col("lane") * 1_000_000 + F.col("pos")))
     enough = local.recall_gate(merged, queries, most)
     return retrieval.top_k(merged, most, ["query_id"], F.col("pos")), enough
+
+
+def evidence_batch(sources: DataFrame, bodies: DataFrame, most_passages: int = 12, most_per_source: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Sources (query_id, pos, url, query) with what was read (url, text or null, error): (passages, rows of the sources that
+    gave none and why). Each address once, private hosts refused, passages reranked and capped for the query and the source."""
+    from ..functions import text, urls
+    from . import rerank
+
+    first = retrieval.first_per_key(sources, ["query_id", "url"])
+    host = urls.host(F.col("url"))
+    read = first.join(bodies, "url", "left").withColumn("why", F.when(urls.private_host(host), "blocked_host").when(F.coalesce(F.col("text"), F.lit("")) == "", F.coalesce("error", F.lit("empty"))))
+    good = read.where("why is null").select("query_id", F.col("url").alias("source_id"), "query", F.posexplode(text.offset_passages(F.col("text"))).alias("pos", "c")).select("query_id", "source_id", "query", "pos", F.col("c.text").alias("text"))
+    return rerank.reranked_passages(good, most_passages, most_per_source), read.where("why is not null").select("query_id", "url", F.col("why").alias("error"))
+
+
+def answered(queries: DataFrame, cache: DataFrame, docs: DataFrame, name: str = "fast") -> DataFrame:
+    """Queries (query_id, suffix, query, embedding): cached answers where there are, else the summary of what the research
+    loop finds; query_id, answer and whether it is cached."""
+    from . import synthesis
+
+    known = cached_answers(queries, cache).withColumnRenamed("key", "answer").withColumn("cached", F.lit(True))
+    open_ = queries.select("query_id", "query").join(known, "query_id", "left_anti")
+    held, _ = research(docs, open_, name)
+    chunks = held.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")).alias("rank"), F.concat(F.lit("document "), "doc").alias("title"), F.concat(F.lit("doc:"), "doc").alias("url"), "text")
+    made = synthesis.summaries(chunks).select("query_id", F.col("summary").alias("answer"), F.lit(False).alias("cached"))
+    none = open_.join(made, "query_id", "left_anti").select("query_id", F.lit("No content available.").alias("answer"), F.lit(False).alias("cached"))
+    return known.select("query_id", "answer", "cached").unionByName(made).unionByName(none)
+
+
+def verified(texts: DataFrame, sources: DataFrame, **options) -> DataFrame:
+    """Texts (key, text) as claims against sources in clusters."""
+    from . import evidence
+
+    claims = evidence.claims_of(texts, "key", "text").where(F.size("keywords") > 0).withColumn("claim_key", F.concat_ws("/", "key", "claim_id"))
+    return evidence.verdicts(claims, sources, **options)
+
+
+def ingested(pushed: DataFrame, known: DataFrame, key: list[str], digest: str = "digest") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pushed records through the runner's steps: (accepted with change_type, rejected with reasons, counters)."""
+    from . import evaluation, ingest
+
+    good, bad = ingest.validated(pushed)
+    classed = ingest.change_classes(good, known, key, digest)
+    counted = classed.select("change_type").unionByName(bad.select(F.lit("invalid").alias("change_type")))
+    return classed, bad, evaluation.run_counters(counted)

@@ -117,3 +117,51 @@ def stale_places(links: DataFrame, version: str) -> DataFrame:
     """Links of places without any link of another matcher version (null counts as another)."""
     stale = links.where(~F.col("matcher_version").eqNullSafe(version)).select("place_id").distinct()
     return links.join(stale, "place_id", "left_anti")
+
+
+def signature(field: Column, value: Column) -> Column:
+    """What makes two values of a field the same: normal names, addresses, phones, sites, categories and statuses, places to a
+    hundred metres (lat,lon), else the value; what can't be normalised counts in lower case."""
+    from ..functions import labels, urls
+
+    plain = F.lower(F.trim(value))
+    at = F.split(value, ",")
+    lat, lon = F.get(at, F.lit(0)).try_cast("double"), F.get(at, F.lit(1)).try_cast("double")
+    cell = F.when(lat.isNotNull() & lon.isNotNull(), F.concat_ws(",", F.round(lat, 3).cast("string"), F.round(lon, 3).cast("string")))
+    own = (
+        F.when(field == "name", text.norm_name(value)).when(field == "address", text.norm_address(value)).when(field == "phone", F.coalesce(text.norm_phone(value), plain)).when(field == "website", F.coalesce(F.nullif(urls.website_domain(value), F.lit("")), plain))
+        .when(field == "category", F.coalesce(labels.category(F.array(value)), plain)).when(field == "status", F.coalesce(text.norm_status(value), plain)).when(field == "location", cell).otherwise(value)
+    )
+    return F.when(value.isNotNull(), own)
+
+
+def provenance(old: DataFrame, votes: DataFrame) -> DataFrame:
+    """Stored candidates (place_id, field, record_id, provider, value, weight, observed_at, chosen) after new votes: of the
+    places voted on none stays chosen but by the votes; a vote replaces the candidate of its record."""
+    names = ["place_id", "field", "record_id", "provider", "value", "weight", "observed_at", "chosen"]
+    key = ["place_id", "field", "record_id"]
+    voted = votes.select("place_id").distinct().withColumn("__voted", F.lit(True))
+    kept = old.join(votes.select(*key), key, "left_anti").join(voted, "place_id", "left")
+    kept = kept.withColumn("chosen", F.when(F.col("__voted"), False).otherwise(F.col("chosen")))
+    return kept.select(*names).unionByName(votes.select(*names))
+
+
+def brand_matches(records: DataFrame, businesses: DataFrame, places: DataFrame) -> DataFrame:
+    """Records (id, norm_name, category, phone, domain, admin) with the smallest business of the same name that has a place
+    with the same category, phone, domain or unit: four equality joins, not one with OR."""
+    named = records.join(businesses.select("business_id", F.col("norm_name").alias("bname")), F.col("norm_name") == F.col("bname")).select("id", "business_id", "category", "phone", "domain", "admin")
+    hits = None
+    for c in ("category", "phone", "domain", "admin"):
+        theirs = places.where(F.col(c).isNotNull()).select("business_id", F.col(c).alias("v")).distinct()
+        part = named.where(F.col(c).isNotNull()).join(theirs, (named.business_id == theirs.business_id) & (F.col(c) == F.col("v")), "left_semi").select("id", "business_id")
+        hits = part if hits is None else hits.unionByName(part)
+    return hits.groupBy("id").agg(F.min("business_id").alias("business_id"))
+
+
+def token_near_pairs(src: DataFrame, places: DataFrame, near_m: float = NEAR_M) -> DataFrame:
+    """As block_pairs(), but nearness counts only with a shared name token of three characters or more."""
+    pairs = block_pairs(src, places, near_m, most=10**9)
+    three = lambda c: F.filter(text.name_tokens(F.col(c)), lambda t: F.length(t) >= 3)
+    shared = F.arrays_overlap(three("s_name"), three("p_name"))
+    strong = F.coalesce(F.col("s_phone") == F.col("p_phone"), F.lit(False)) | F.coalesce(F.col("s_domain") == F.col("p_domain"), F.lit(False))
+    return pairs.where(strong | shared).drop("place_rank")

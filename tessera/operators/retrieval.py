@@ -188,3 +188,49 @@ def head_and_tail(chunks: DataFrame, by: str, pos: str, most: int = 8) -> DataFr
     w = Window.partitionBy(by)
     n, first = F.count("*").over(w), F.row_number().over(w.orderBy(pos))
     return chunks.withColumn("__n", n).withColumn("__i", first).where((F.col("__n") <= most) | (F.col("__i") <= most // 2) | (F.col("__i") > F.col("__n") - most // 2)).drop("__n", "__i")
+
+
+def union_lanes(lanes: dict[str, DataFrame], lane: str = "provider") -> DataFrame:
+    """The rows of all lanes under their names; columns that a lane lacks are null."""
+    out = None
+    for name, rows in lanes.items():
+        part = rows.withColumn(lane, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def hybrid(lanes: dict[str, DataFrame], k: int, rrf_k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
+    """Lanes of (query_id, key, rank) fused by reciprocal rank, the first k of each query: rrf, score (min-max
+    over the query), lanes (joined by +) and rank. A lane that gave nothing is simply not there."""
+    fused = rrf(union_lanes(lanes), rrf_k, weights)
+    fused = fused.select("query_id", "key", F.round("rrf", 9).alias("rrf"), F.round("score", 9).alias("score"), F.array_join("lanes", "+").alias("lanes"))
+    return top_k(fused, k, ["query_id"], F.desc("rrf"), "key")
+
+
+def multi_query(hits: DataFrame, quality: Column, k: int, deep: int = 20) -> DataFrame:
+    """Lists of sub-queries (query_id, provider, key, rank, and what `quality` reads) fused without weights; the first
+    `deep` are ordered anew by quality, the others follow in their order."""
+    facts = hits.groupBy("query_id", "key").agg(F.max(quality).alias("quality"))
+    first = top_k(rrf(hits).select("query_id", "key", "rrf"), 10**9, ["query_id"], F.desc("rrf"), "key").withColumnRenamed("rank", "fused_rank").join(facts, ["query_id", "key"])
+    order = [F.col("fused_rank") > deep, F.desc(F.when(F.col("fused_rank") <= deep, F.col("quality"))), F.col("fused_rank")]
+    return top_k(first, k, ["query_id"], *order).select("query_id", "key", F.round("quality", 9).alias("quality"), "fused_rank", "rank")
+
+
+def merged_passages(passages: DataFrame, most: int) -> DataFrame:
+    """Passages (query_id, url, chunk_index, score) of several rounds: the best score of each chunk, twice `most` in all."""
+    best = passages.groupBy("query_id", "url", "chunk_index").agg(F.max("score").alias("score"))
+    return top_k(best, 2 * most, ["query_id"], F.desc("score"), "url", "chunk_index")
+
+
+def url_aliases(rows: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
+    """Identity (address without scheme), its first address, and all of them, each once, in order."""
+    from ..functions import urls
+
+    each = rows.groupBy(urls.identity(F.col(url)).alias("identity"), F.col(url).alias("url")).agg(F.min(pos).alias("pos"))
+    listed = each.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("a"))
+    return listed.select("identity", F.col("a")[0].url.alias("first"), F.transform("a", lambda x: x.url).alias("aliases"))
+
+
+def recent(log: DataFrame, n: int, by: str = "id") -> DataFrame:
+    """The last n rows of a log."""
+    return log.orderBy(F.desc(by)).limit(n)

@@ -62,7 +62,7 @@ def parse_bbox(raw: str | None) -> tuple[float, float, float, float] | None:
 
 
 def candidates(places: DataFrame, spec: Spec) -> DataFrame:
-    """Filters that reach the scan (status, category, unit, box around the radius), then the distance."""
+    """Filters that reach the scan (status, category, unit, box around the radius), then the distance."""
     rows = places.where(F.col("status").isin(*spec.statuses))
     if spec.category:
         rows = rows.where(F.col("category") == spec.category)
@@ -115,7 +115,7 @@ def ranked(rows: DataFrame, spec: Spec) -> DataFrame:
 
 
 def place_search(places: DataFrame, spec: Spec) -> DataFrame:
-    """Places (place_id, name, category, lat, lon, admin_unit_id, status, confidence, freshness, rating,
+    """Places (place_id, name, category, lat, lon, admin_unit_id, status, confidence, freshness, rating,
     review_count, source_count; open_now if known): the ranked best. Relevance is the share of the asked words in
     the name."""
     rows = candidates(places, spec)
@@ -148,3 +148,47 @@ def minutes(clock: Column) -> Column:
     """HH:MM as minutes; 24:00 is 1440; malformed gives null."""
     ok = clock.rlike(r"^(?:[01]?[0-9]|2[0-4]):[0-5][0-9]$")
     return F.when(ok, F.split(clock, ":")[0].cast("int") * 60 + F.split(clock, ":")[1].cast("int"))
+
+
+def geo_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """Left (id, lat, lon) and right (place_id, lat, lon) rows within radius_m of each other, with distance_m: an
+    equality join on grid cells and their neighbours."""
+    size = radius_m / 111_000 * 1.1
+    a = left.where("lat is not null and lon is not null").withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("lat"), size)))).withColumn("cx", F.explode(geo.neighbours(geo.cell(F.col("lon"), size))))
+    b = right.where("lat is not null and lon is not null").withColumnsRenamed({"lat": "plat", "lon": "plon"}).withColumn("cy", geo.cell(F.col("plat"), size)).withColumn("cx", geo.cell(F.col("plon"), size))
+    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    return a.join(b, ["cy", "cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("cy", "cx")
+
+
+def in_polygons(points: DataFrame, shapes: DataFrame, cell: float = 0.25) -> DataFrame:
+    """Points (lon, lat) in the rings of shapes (unit, ring, admin_level if known): an equality join on the grid cells
+    that a ring's box covers, then its box, then ray casting; the deepest level first where levels are known."""
+    boxes = shapes.withColumn("box", geo.box_of(F.col("ring")))
+    span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long"))
+    boxes = boxes.withColumn("cx", F.explode(span(F.col("box.x0"), F.col("box.x1")))).withColumn("cy", F.explode(span(F.col("box.y0"), F.col("box.y1"))))
+    p = points.withColumn("cx", geo.cell(F.col("lon"), cell)).withColumn("cy", geo.cell(F.col("lat"), cell))
+    inside = F.col("lon").between(F.col("box.x0"), F.col("box.x1")) & F.col("lat").between(F.col("box.y0"), F.col("box.y1"))
+    return p.join(boxes, ["cx", "cy"]).where(inside).where(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).drop("cx", "cy", "box", "ring")
+
+
+#: Days by their names. Fixed values.
+DAYS = {"thứ hai": "monday", "thứ ba": "tuesday", "thứ tư": "wednesday", "thứ năm": "thursday", "thứ sáu": "friday", "thứ bảy": "saturday", "chủ nhật": "sunday"}
+
+
+def day_ranges(hours: Column, day: str) -> Column:
+    """Of hours (JSON: day to a list of ranges) the ranges of a day as structs (opens, closes) in minutes: null without the
+    day, empty if it is closed; what isn't a range is left out, a day and night is 0 to 1440."""
+    tidy = lambda s: text.squeezed(s)
+    days = F.from_json(hours, "map<string,array<string>>")
+    names = [day.lower(), *[k for k, v in DAYS.items() if v == day.lower()]]
+    mine = F.map_values(F.map_filter(days, lambda k, v: F.lower(tidy(k)).isin(*names)))
+    items = F.filter(F.get(mine, F.lit(0)), lambda i: ~F.lower(tidy(i)).isin("đóng cửa", "closed"))
+
+    def span(i: Column) -> Column:
+        parts = F.split(tidy(i), "[–—-]")
+        whole = F.lower(i).rlike(r"24\s*(?:hours?|hrs?|h)(?:$|[^\p{L}\p{N}_])|24/7|mở cửa cả ngày")
+        a, b = minutes(F.trim(F.get(parts, F.lit(0)))), minutes(F.trim(F.get(parts, F.lit(1))))
+        pair = F.when((F.size(parts) == 2) & a.isNotNull() & b.isNotNull(), F.struct(a.alias("opens"), b.alias("closes")))
+        return F.when(whole, F.struct(F.lit(0).alias("opens"), F.lit(1440).alias("closes"))).otherwise(pair)
+
+    return F.when(F.size(mine) > 0, F.filter(F.transform(items, span), lambda r: r.isNotNull()))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import geo
 from ..operators import graph, resolution, serving
 from .common import _LAT, _LON, NOW, PLACES, places, sql_haversine, table
 
@@ -116,12 +115,8 @@ def place_search(spark, sf_dir):
 def nearby_places(spark, sf_dir):
     """Every place within 20 km of every record, by grid cells."""
     src, _ = _sides(spark, sf_dir)
-    p = places(spark, sf_dir).select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    size = 20_000 / 111_000 * 1.1
-    s = src.withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("lat"), size)))).withColumn("cx", F.explode(geo.neighbours(geo.cell(F.col("lon"), size))))
-    p = p.withColumn("cy", geo.cell(F.col("plat"), size)).withColumn("cx", geo.cell(F.col("plon"), size))
-    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return s.join(p, ["cy", "cx"]).withColumn("distance_m", d).where("distance_m <= 20000").select("id", "place_id", F.round("distance_m", 3).alias("distance_m"))
+    p = places(spark, sf_dir).select("place_id", "lat", "lon")
+    return serving.geo_join(src.select("id", "lat", "lon"), p, 20_000.0).select("id", "place_id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("autocomplete", f"WITH {PLACES} SELECT place_id, name, 1.0 AS score FROM places WHERE regexp_matches(lower(name), '(^|\\s)supp') ORDER BY place_id LIMIT 10")
@@ -160,13 +155,10 @@ def units_with_aliases(spark, sf_dir):
 
 @query("points_in_polygons", f"WITH {PLACES} SELECT place_id, CASE WHEN lon >= 106.0 THEN 'east' ELSE 'west' END AS unit FROM places WHERE lon >= 102.5 AND lat >= 10.0 AND lon < 108.0 AND lat < 20.0")
 def points_in_polygons(spark, sf_dir):
-    """Points joined to polygons by bounding box and ray casting, the small side a
-    fixed set of shapes."""
+    """Points joined to polygons by grid cells, boxes and ray casting."""
     ring = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
-    shapes = spark.createDataFrame([("east", ring((106.0, 10.0), (108.0, 10.0), (108.0, 20.0), (106.0, 20.0))), ("west", ring((102.5, 10.0), (106.0, 10.0), (106.0, 20.0), (102.5, 20.0)))], "unit string, ring array<struct<x:double,y:double>>").withColumn("box", geo.box_of(F.col("ring")))
-    p = places(spark, sf_dir)
-    inside = (p.lon >= shapes.box.x0) & (p.lon <= shapes.box.x1) & (p.lat >= shapes.box.y0) & (p.lat <= shapes.box.y1)
-    return p.join(F.broadcast(shapes), inside).where(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("place_id", "unit")
+    shapes = spark.createDataFrame([("east", ring((106.0, 10.0), (108.0, 10.0), (108.0, 20.0), (106.0, 20.0))), ("west", ring((102.5, 10.0), (106.0, 10.0), (106.0, 20.0), (102.5, 20.0)))], "unit string, ring array<struct<x:double,y:double>>")
+    return serving.in_polygons(places(spark, sf_dir), shapes).select("place_id", "unit")
 
 
 @query("open_now", "SELECT place_id, CASE WHEN place_id % 5 = 0 THEN NULL WHEN place_id % 7 = 0 THEN false WHEN o < c THEN 630 >= o AND 630 < c ELSE 630 >= o OR 630 < c END AS open FROM (SELECT s_suppkey AS place_id, s_suppkey % 24 * 60 AS o, s_suppkey * 7 % 24 * 60 AS c FROM supplier)")

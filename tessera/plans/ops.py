@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import scores
-from ..operators import evaluation, ingest, ordered
+from ..operators import evaluation, ingest, ordered, providers, retrieval
 from .common import NOW, table
 
 
@@ -32,7 +32,7 @@ def usage_rollup(spark, sf_dir):
 @query("quota_check", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) >= 3")
 def quota_check(spark, sf_dir):
     """keys over their daily quota."""
-    return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("requests")).where("requests >= 3")
+    return evaluation.over_quota(table(spark, sf_dir, "events"), "user_id", "ts", 3)
 
 
 @query("query_quality", """WITH q AS (SELECT user_id, count(*) AS n, min(event_id) % 12000 - 100 AS ms, list(value / 200) AS rel, list(CASE WHEN event_id % 3 > 0 THEN event_type END) AS doms, max(CASE WHEN event_id % 97 = 0 THEN 'x' END) AS err FROM events GROUP BY 1),
@@ -89,17 +89,17 @@ def rolling_health(spark, sf_dir):
 @query("recent_queries", "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 50")
 def recent_queries(spark, sf_dir):
     """A top-k report."""
-    return table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(50).select("event_id", "event_type", "user_id")
+    return retrieval.recent(table(spark, sf_dir, "events"), 50, "event_id").select("event_id", "event_type", "user_id")
 
 
 _MSG = "CASE event_id % 6 WHEN 0 THEN 'Read timed out' WHEN 1 THEN 'HTTP 429 Too Many Requests' WHEN 2 THEN 'captcha required' WHEN 3 THEN 'connection refused' WHEN 4 THEN NULL ELSE 'ok' END"
 
 
-@query("outcome_classes", f"SELECT CASE WHEN m IS NULL OR m = 'ok' THEN 'ok' WHEN regexp_matches(lower(m), 'captcha|are you human') THEN 'captcha' WHEN regexp_matches(lower(m), '429|too many|rate.?limit') THEN 'rate_limited' WHEN regexp_matches(lower(m), 'time(d)? ?out') THEN 'timeout' ELSE 'error' END AS outcome, count(*) AS n FROM (SELECT {_MSG} AS m FROM events) GROUP BY 1")
+@query("outcome_classes", f"SELECT CASE WHEN m IS NULL OR m = 'ok' THEN 'ok' WHEN regexp_matches(lower(m), 'captcha|solvemedia|are you a robot|unusual traffic') THEN 'captcha' WHEN regexp_matches(lower(m), 'rate.?limit|too many requests|429') THEN 'rate_limited' WHEN regexp_matches(lower(m), 'time.?out|timed out|deadline exceeded') THEN 'timeout' ELSE 'error' END AS outcome, count(*) AS n FROM (SELECT {_MSG} AS m FROM events) GROUP BY 1")
 def outcome_classes(spark, sf_dir):
     """F41, F42, X78."""
-    m = F.lower(F.expr(_MSG))
-    out = F.when(m.isNull() | (m == "ok"), "ok").when(m.rlike("captcha|are you human"), "captcha").when(m.rlike("429|too many|rate.?limit"), "rate_limited").when(m.rlike("time(d)? ?out"), "timeout").otherwise("error")
+    m = F.expr(_MSG)
+    out = F.when(m.isNull() | (m == "ok"), "ok").otherwise(providers.outcome_of(m))
     return table(spark, sf_dir, "events").select(out.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

@@ -58,9 +58,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, key) AS ra
 )
 def hybrid_search(spark, sf_dir):
     """Lexical and vector lanes fused by reciprocal rank, the first 20 of each query."""
-    lanes = _lexical(spark, sf_dir).select("query_id", F.lit("lexical").alias("provider"), F.col("doc").alias("key"), "rank").unionByName(_dense(spark, sf_dir).select("query_id", F.lit("vector").alias("provider"), F.col("doc").alias("key"), "rank"))
-    fused = retrieval.rrf(lanes).select("query_id", "key", F.round("rrf", 9).alias("rrf"), F.round("score", 9).alias("score"), F.array_join("lanes", "+").alias("lanes"))
-    return retrieval.top_k(fused, 20, ["query_id"], F.desc("rrf"), "key")
+    lane = lambda rows: rows.select("query_id", F.col("doc").alias("key"), "rank")
+    return retrieval.hybrid({"lexical": lane(_lexical(spark, sf_dir)), "vector": lane(_dense(spark, sf_dir))}, 20)
 
 
 @query("sparse_topk", f"""WITH d AS (SELECT doc_id AS doc, term AS idx, count(*) AS weight FROM (SELECT doc_id, unnest({KEYWORDS.format(x='text')}) AS term FROM documents) GROUP BY 1, 2),
@@ -210,7 +209,7 @@ def golden_report(spark, sf_dir):
     k = hits(spark, sf_dir).groupBy("query_id", "key").agg(F.max("score").alias("score"))
     runs = retrieval.ranked(k, ["query_id"], F.desc("score"), F.col("key")).withColumnRenamed("rank", "pos")
     m = evaluation.ranking_metrics(runs, k.where("(query_id + key) % 5 = 0"), 20)
-    return m.agg(F.count("*").alias("queries"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"))
+    return evaluation.mean_report(m, ["mrr", "recall"])
 
 
 @query("report_overlap", f"""WITH {HITS}, a AS (SELECT DISTINCT query_id, key FROM hits WHERE provider = 'click'), b AS (SELECT DISTINCT query_id, key FROM hits WHERE provider = 'view'),

@@ -38,7 +38,7 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {"text/html": main_content,
 
 
 def extracted(bodies: DataFrame, content: str = "body", mime: str = "mime") -> DataFrame:
-    """bodies with `doc` by the first extractor that takes their type; null for other types and empty bodies."""
+    """Bodies with `doc` by the first extractor that takes their type; null for other types and empty bodies."""
     out = None
     for prefix, how in EXTRACTORS.items():
         test = F.lower(F.coalesce(mime, F.lit(""))).startswith(prefix)

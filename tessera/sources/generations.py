@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 class Generations:
-    """The table at `root`, a folder that driver and executors share."""
+    """The table at `root`, a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -32,10 +32,12 @@ def images(pages: DataFrame) -> DataFrame:
 
 
 def title(html: Column) -> Column:
+    """X46."""
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def html_language(html: Column) -> Column:
+    """X47, where the markup says it."""
     return F.lower(F.regexp_extract(html, r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z]+)""", 1))
 
 

@@ -302,3 +302,33 @@ def test_fields_text_functions(spark):
     row = df.select(text.phrase_bonus(F.col("q"), F.col("t")), text.title_boost(F.col("k"), F.col("h")), text.word_shingles(F.lit("x y"), 5), text.shingles(F.lit("x y"), 3)).first()
     assert row[0] == 0.1  # of the query's words, b to f, only "b c" stands in the text
     assert row[1] == 0.125 and len(row[2]) == 1 and row[3] == []
+
+
+def test_token_near_pairs(rows, spark, sf_dir):
+    from tessera.operators import resolution
+    from tessera.plans.entities import _sides
+
+    src, dst = ({r.id: r for r in t.collect()} for t in _sides(spark, sf_dir))
+    every = {(r.s_id, r.p_id) for r in resolution.block_pairs(*_sides(spark, sf_dir), most=10**9).select("s_id", "p_id").collect()}
+
+    def strong(s, p):
+        return (s.phone is not None and s.phone == p.phone) or (s.domain is not None and s.domain == p.domain) or any(len(t) >= 3 for t in set(s.name.split()) & set(p.name.split()))
+
+    assert {(r.s_id, r.p_id) for r in rows("token_near_pairs")} == {(a, b) for a, b in every if strong(src[a], dst[b])}
+
+
+def test_evidence_batch(rows, table):
+    want = set()
+    for d in table("documents"):
+        if d.doc_id % 9 == 0:
+            want.add((d.doc_id % 10, "http://10.0.0.1/x", "blocked_host"))
+        elif d.doc_id % 4 == 0 or not d.text:
+            want.add((d.doc_id % 10, f"http://d{d.doc_id}.com/", "timeout" if d.doc_id % 8 == 0 else "empty"))
+    assert {tuple(r) for r in rows("evidence_batch")} == want
+
+
+def test_answers(rows, table):
+    got = {r.query_id: r for r in rows("answers")}
+    assert set(got) == {b.item_id for b in table("benchmark")} and all(r.n > 0 for r in got.values()) and any(r.cached for r in got.values())
+    texts = {d.doc_id for d in table("documents")}
+    assert texts and all(not r.cached or r.n < 20 for r in got.values())
