@@ -198,3 +198,28 @@ def lane_weights(query: Column, entity_ids: Column | None = None) -> Column:
     base = {"general_web": 0.8, "index": 0.5}
     weight = lambda lane: F.greatest(F.lit(base.get(lane, 0.0)), F.lit(0.0), *[F.when(c, LANES[s][lane]).otherwise(0.0) for s, c in on.items() if lane in LANES.get(s, {})])
     return F.create_map(*[x for lane in ALL_LANES for x in (F.lit(lane), weight(lane))])
+
+
+#: Kinds of directly known sources: type, name, address and facts by their JSON paths ({} is the id asked for). Fixed values.
+DIRECT = {
+    "huggingface": ("model", "$.id", "https://huggingface.co/{}", {"downloads": "$.downloads", "likes": "$.likes", "tags": "$.tags"}), "github": ("repository", "$.full_name", "$.html_url|https://github.com/{}", {"stars": "$.stargazers_count", "forks": "$.forks_count", "language": "$.language"}),
+    "arxiv": ("paper", None, "https://arxiv.org/abs/{}", {}), "npm": ("package", "$.name", "https://www.npmjs.com/package/{}", {"version": "$.version", "description": "$.description"}),
+    "pypi": ("package", "$.info.name", "$.info.home_page|https://pypi.org/project/{}/", {"version": "$.info.version", "summary": "$.info.summary"}), "wikipedia": ("article", "$.title", "https://en.wikipedia.org/wiki/{}", {"extract": "$.extract"}),
+    "openrouter": ("model", "$.id", "https://openrouter.ai/{}", {"context_length": "$.context_length", "pricing": "$.pricing"}),
+}
+
+
+def direct_rows(fetched: DataFrame) -> DataFrame:
+    """Fetched (entity_type, entity_id, body: what the source's interface answered, null if it didn't): entity_id, name, type,
+    url and metadata of known kinds of sources; others give no row."""
+    out = None
+    ident = F.col("entity_id")
+    for kind, (type_, name, url, facts) in DIRECT.items():
+        at = lambda p: F.nullif(F.get_json_object("body", p), F.lit(""))
+        fixed = url.split("|")[-1].split("{}")
+        own = F.concat(F.lit(fixed[0]), F.replace(ident, F.lit(" "), F.lit("_")) if kind == "wikipedia" else ident, F.lit(fixed[1]))
+        place = F.coalesce(at(url.split("|")[0]), own) if "|" in url else own
+        known = F.create_map(*[x for k, p in facts.items() for x in (F.lit(k), F.substring(at(p), 1, 500) if k == "extract" else at(p))]) if facts else F.create_map().cast("map<string,string>")
+        rows = fetched.where((F.col("entity_type") == kind) & F.col("body").isNotNull()).select("entity_id", (F.coalesce(at(name), ident) if name else ident).alias("name"), F.lit(type_).alias("type"), place.alias("url"), known.alias("metadata"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -37,7 +37,7 @@ def lifecycle_status(tags: Column) -> Column:
 
 
 def way_centroids(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ways (way_id, refs array), nodes (node_id, lat, lon): each way's mean position."""
+    """Ways (way_id, refs array), nodes (node_id, lat, lon): each way's mean position."""
     refs = ways.select("way_id", F.explode(F.array_distinct("refs")).alias("node_id"))
     return refs.join(nodes, "node_id").groupBy("way_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 

@@ -169,3 +169,48 @@ def synced(write, attempts: int = 3) -> int:
             if n == attempts:
                 raise
     raise ValueError("attempts must be positive")
+
+
+def migrated(table: Generations, steps: list[tuple[str, object]]) -> list[str]:
+    """Named changes (name, table -> table) in order, each once: the ledger keeps the names applied, so running them again,
+    or more of them, applies only what is new. Returns what was applied now."""
+    done = list(table.state().get("migrations", []))
+    fresh = [(name, change) for name, change in steps if name not in done]
+    for name, change in fresh:
+        table.apply(change)
+        done.append(name)
+        table._save(migrations=done)
+    return [name for name, _ in fresh]
+
+
+class Lock:
+    """A lock as a file of the shared folder, made only if it isn't there: a token for its owner, a time to live after which
+    another may take it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._table = Generations(spark, root)
+
+    def acquire(self, key: str, ttl_s: float, now: float, token: str) -> bool:
+        if ttl_s <= 0:
+            raise ValueError("a lock needs a time to live")
+        fs, at = self._table._fs(), self._table._path(f"{key}.lock")
+        if fs.exists(at):
+            held = json.loads(self._table.spark.read.text(at.toString(), wholetext=True).collect()[0][0] or "{}")
+            if held.get("until", 0) > now:
+                return False
+            fs.delete(at, False)
+        try:
+            out = fs.create(at, False)  # fails if another made it first
+        except Exception:
+            return False
+        out.write(bytearray(json.dumps({"token": token, "until": now + ttl_s}).encode()))
+        out.close()
+        return True
+
+    def release(self, key: str, token: str) -> bool:
+        """Only the owner's token opens it."""
+        fs, at = self._table._fs(), self._table._path(f"{key}.lock")
+        if not token or not fs.exists(at):
+            return False
+        held = json.loads(self._table.spark.read.text(at.toString(), wholetext=True).collect()[0][0] or "{}")
+        return held.get("token") == token and bool(fs.delete(at, False))

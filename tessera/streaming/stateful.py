@@ -108,3 +108,25 @@ def ingest(rows: DataFrame, path: str, checkpoint: str, merge):
         merge(target, batch).write.mode("overwrite").parquet(f"{path}/gen={number}")
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def progress_listener(emit):
+    """A StreamingQueryListener that gives (event, data) to emit: started, progress (rows, rows a second, batch) and
+    done, as a server's event stream would send them."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            emit("started", {"id": str(event.id), "name": event.name})
+
+        def onQueryProgress(self, event):
+            p = event.progress
+            emit("progress", {"id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            emit("done", {"id": str(event.id), "error": event.exception})
+
+    return Listener()

@@ -91,3 +91,33 @@ def test_projection_of_one_place(spark):
     d = projection.project(place, found, F.expr("TIMESTAMP '2024-01-31 00:00:00'")).first()
     assert (d.place_id, d.business_id, d.aliases, d.status, d.confidence, d.freshness_score, d.source_count) == ("7", None, ["Pho 24"], "unknown", 0.0, 0.5, 0)
     assert (d.category_ids, d.phone, d.primary_image_url, d.opening_hours) == (["food"], ["+84"], "i1", '{"mon": []}')
+
+
+def test_migrations_apply_once_in_order(spark, tmp_path):
+    from tessera.sources.generations import migrated
+
+    g = Generations(spark, str(tmp_path / "places"))
+    g.rebuild(docs(spark, ("1", "a")))
+    steps = [("one", lambda t: t.withColumn("x", F.lit(1))), ("two", lambda t: t.withColumn("y", F.col("x") + 1))]
+    assert migrated(g, steps[:1]) == ["one"] and migrated(g, steps) == ["two"] and migrated(g, steps) == []
+    assert tuple(g.read().select("x", "y").first()) == (1, 2)
+
+
+def test_locks_have_owners_and_expire(spark, tmp_path):
+    from tessera.sources.generations import Lock
+
+    lock = Lock(spark, str(tmp_path / "locks"))
+    assert lock.acquire("a", 30, 100.0, "t1") and not lock.acquire("a", 30, 110.0, "t2")
+    assert not lock.release("a", "t2") and lock.acquire("a", 30, 200.0, "t3") and not lock.release("a", "t1") and lock.release("a", "t3")
+    assert lock.acquire("a", 30, 201.0, "t4") and not lock.release("b", "x")
+    with pytest.raises(ValueError):
+        lock.acquire("a", 0, 1.0, "t")
+
+
+def test_direct_rows(spark):
+    from tessera.operators import providers
+
+    rows = [("github", "a/b", '{"full_name": "A/B", "html_url": "http://g", "stargazers_count": 3}'), ("pypi", "p", '{"info": {"name": "P", "home_page": "", "version": "1"}}'), ("arxiv", "1", "<x/>"), ("wikipedia", "New York", '{"title": "New York", "extract": "city"}'), ("npm", "n", None), ("other", "o", "{}")]
+    got = {r.entity_id: (r.name, r.type, r.url, r.metadata) for r in providers.direct_rows(spark.createDataFrame(rows, "entity_type string, entity_id string, body string")).collect()}
+    assert got["a/b"] == ("A/B", "repository", "http://g", {"stars": "3", "forks": None, "language": None}) and got["p"][2] == "https://pypi.org/project/p/"
+    assert got["1"] == ("1", "paper", "https://arxiv.org/abs/1", {}) and got["New York"][2].endswith("New_York") and set(got) == {"a/b", "p", "1", "New York"}

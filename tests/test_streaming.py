@@ -60,3 +60,19 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     rows = [[("a", 1, at(0), True), ("a", 2, at(60), True)], [("a", 3, at(9 * 3600), True)], [("a", 4, at(30 * 3600), True)]]
     got = collected(stateful.sessions(stream(spark, tmp_path, rows), "key", "ts", "1 hour", "1 minute"), spark, "sessions_out")
     assert sorted(r.turns for r in got) == [1, 2]
+
+
+def test_progress_is_emitted(spark, tmp_path):
+    import time
+
+    seen = []
+    listener = stateful.progress_listener(lambda event, data: seen.append((event, data)))
+    spark.streams.addListener(listener)
+    try:
+        collected(stream(spark, tmp_path, [[("a", 1, at(0), True)]]), spark, "progress_out")
+        until = time.time() + 20
+        while time.time() < until and not any(e == "done" for e, _ in seen):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [e for e, _ in seen][0] == "started" and any(e == "progress" and d["rows"] == 1 for e, d in seen)
