@@ -58,7 +58,7 @@ def summaries(spark, sf_dir):
 
 
 _TURNS = "SELECT concat(conv_id, '-', turn) AS key, CASE WHEN turn % 4 = 1 THEN concat(text, chr(10), 'Sources:', chr(10), '- [1] x') ELSE text END AS answer FROM conversations WHERE role = 'assistant'"
-_QUOTES = "SELECT concat(conv_id, '-', turn + 1) AS key, concat('u', turn % 3) AS url, text AS quote FROM conversations WHERE role = 'user' UNION ALL SELECT concat(conv_id, '-', turn) AS key, 'own' AS url, substr(text, 1, CAST(floor(length(text) / 2) AS int)) AS quote FROM conversations WHERE role = 'assistant' AND turn % 3 = 1"
+_QUOTES = "SELECT concat(conv_id, '-', turn + 1) AS key, concat('u', turn % 3) AS url, text AS quote FROM conversations WHERE role = 'user' UNION ALL SELECT concat(conv_id, '-', turn) AS key, 'own' AS url, text AS quote FROM conversations WHERE role = 'assistant' AND turn % 3 = 1"
 _SETS = "list_distinct(list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> ''))"
 
 

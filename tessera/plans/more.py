@@ -111,8 +111,8 @@ def passage_rerank(spark, sf_dir):
 
 @query("result_rerank")
 def result_rerank(spark, sf_dir):
-    """Hits with a document's first 300 characters as snippet."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 300).alias("description"))
+    """Hits with a document's source as title and its text as description."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("title"), F.col("text").alias("description"))
     b = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS query")
     h = hits(spark, sf_dir).groupBy("query_id", "key").agg(F.max("score").alias("engine_score")).join(d, "key").join(b, "query_id").withColumn("authority", F.lit(0.5))
     return rerank.reranked_results(h).select("query_id", "key", "reranked")

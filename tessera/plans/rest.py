@@ -31,11 +31,11 @@ def citations(spark, sf_dir):
     return evidence.citations(c, s).select("claim_key", "source_id", "rank")
 
 
-@query("merged_history", """WITH t AS (SELECT conv_id, turn AS pos, role, substr(text, 1, 3) AS text, 0 AS part FROM conversations UNION ALL SELECT conv_id, turn, role, substr(text, 1, 3), 1 FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, 100 + turn, 'user', 'new', 1 FROM conversations),
+@query("merged_history", """WITH t AS (SELECT conv_id, turn AS pos, role, text, 0 AS part FROM conversations UNION ALL SELECT conv_id, turn, role, text, 1 FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, 100 + turn, 'user', 'new', 1 FROM conversations),
 f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conv_id, role, text ORDER BY part, pos) = 1) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS place, role, text FROM f""")
 def merged_history(spark, sf_dir):
     """Turns of a state and of a request, each once."""
-    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn AS pos", "role", "substr(text, 1, 3) AS text")
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn AS pos", "role", "text")
     more = c.where("pos % 2 = 0").unionByName(c.selectExpr("conv_id", "100 + pos AS pos", "'user' AS role", "'new' AS text"))
     return evidence.merged_history(c, more)
 
