@@ -16,6 +16,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 #: Overlapping patterns that the flow takes, and sources in all; more are refused.
 MOST_PATTERNS, MOST_SOURCES = 2_000, 1_000_000
+#: Tables of a row a pattern are broadcast up to that many rows, else joined by a shuffle.
+SMALL = 20_000
 SEED = 11
 LEVELS, FINE = 3, 256
 
@@ -150,18 +152,19 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     plan_df = spark.createDataFrame(plan, "pattern string, whole int, rest double, serves string")  # a row a pattern; the size decides how it is joined
     source_df = spark.createDataFrame([(s, int(n), float(targets[s])) for s, n in source_size.items()], "first string, source_size long, target double")
 
+    small = F.broadcast if len(plan) <= SMALL else (lambda df: df)
     bits = FINE.bit_length() - 1
     bin_of = lambda level: F.expr(f"CAST(shiftrightunsigned(place, {64 - bits * (level + 1)}) & {FINE - 1} AS int)")
-    known = sized.join(plan_df.drop("serves"), "pattern")
+    known = sized.join(small(plan_df.drop("serves")), "pattern")
     open_, edges = known, plan_df.select("pattern", F.array().cast("array<int>").alias("edge"), F.lit(0).cast("double").alias("below"))
     for level in range(LEVELS):
-        bins = open_.withColumn("bin", bin_of(level)).groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("n")).join(edges, "pattern")
+        bins = open_.withColumn("bin", bin_of(level)).groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("n")).join(small(edges), "pattern")
         upto = F.col("below") + F.sum("n").over(Window.partitionBy("pattern").orderBy("bin"))  # FINE bins a pattern
         reached = bins.withColumn("upto", upto).where("upto > rest and upto - n <= rest").groupBy("pattern").agg(F.min(F.struct("bin", F.expr("upto - n").alias("below"), "edge")).alias("e"))
         edges = written(reached.select("pattern", F.concat("e.edge", F.array("e.bin")).alias("edge"), F.col("e.below").alias("below")), "edges")
-        open_ = known.join(edges.select("pattern", "edge"), "pattern").where(" and ".join(["true", *(f"shiftrightunsigned(place, {64 - bits * (k + 1)}) & {FINE - 1} = edge[{k}]" for k in range(level + 1))])).drop("edge")
+        open_ = known.join(small(edges.select("pattern", "edge")), "pattern").where(" and ".join(["true", *(f"shiftrightunsigned(place, {64 - bits * (k + 1)}) & {FINE - 1} = edge[{k}]" for k in range(level + 1))])).drop("edge")
     mine = F.array(*[bin_of(k) for k in range(LEVELS)])
-    all_known = known.join(edges, "pattern", "left").withColumn("mine", mine)
+    all_known = known.join(small(edges), "pattern", "left").withColumn("mine", mine)
     # rows of the edge bins alone are put in order
     last = all_known.where("mine = edge")
     order = Window.partitionBy("pattern").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -169,7 +172,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     last = last.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
     before = F.coalesce((F.col("mine") < F.col("edge")).cast("int"), (F.col("rest") > 0).cast("int"))
     rest = all_known.where("edge is null or mine <> edge").withColumn("extra", before)
-    out = last.unionByName(rest).join(source_df, "first").join(plan_df.select("pattern", "serves"), "pattern")
+    out = last.unionByName(rest).join(small(source_df), "first").join(small(plan_df.select("pattern", "serves")), "pattern")
     repeats = F.least(F.col("whole") + F.col("extra"), F.lit(most))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), F.when(F.col("size") > 0, repeats).otherwise(F.lit(0)).alias("repeats"), "serves", "text_hash")
 
