@@ -24,7 +24,7 @@ BASES = [U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0xA0761D6478BD642F)]
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
-_KEY = b"tessera units"
+_KEYED = hashlib.blake2b(digest_size=16, key=b"tessera units")
 
 
 def powers(n: int, which: int = 0) -> np.ndarray:
@@ -168,13 +168,24 @@ def coded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
         data = raw[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     units = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     found = units.dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    return found.indices.to_numpy().astype(np.int64), _rows(found.dictionary)
+
+
+def _rows(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls; several times faster than to_pylist()."""
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def digests(rows: list[bytes]) -> np.ndarray:
     """Two 64-bit halves (columns) of each row's keyed BLAKE2 digest."""
-    blake = hashlib.blake2b
-    return np.frombuffer(b"".join([blake(r, digest_size=16, key=_KEY).digest() for r in rows]), U).reshape(-1, 2)
+    out = []
+    for r in rows:
+        one = _KEYED.copy()  # the key's block is hashed once
+        one.update(r)
+        out.append(one.digest())
+    return np.frombuffer(b"".join(out), U).reshape(-1, 2)
 
 
 def named(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
