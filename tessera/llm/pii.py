@@ -140,19 +140,21 @@ def _look(c: str) -> str | None:
 
 
 _LOOKS: dict[str, str] = {}
-_LOOK_CLASS: list[re.Pattern] = []
+_FAR = re.compile("[^\x00-\x7f]+")
 
 
-def _looks() -> re.Pattern:
-    if not _LOOK_CLASS:
+def _looks() -> dict[str, str]:
+    if not _LOOKS:
         _LOOKS.update((c, x) for c in map(chr, range(128, sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and (x := _look(c)) is not None)
-        _LOOK_CLASS.append(re.compile("[" + "".join(map(re.escape, _LOOKS)) + "]"))
-    return _LOOK_CLASS[0]
+    return _LOOKS
 
 
 def seen_as(text: Traced) -> Traced:
     """Transducer 1: homoglyphs and compatibility forms to ASCII, unseen characters away."""
-    return text.rewritten([(m.start(), m.end(), _LOOKS[m.group()]) for m in _looks().finditer(text.text)])
+    if text.text.isascii():
+        return text
+    looks = _looks()
+    return text.rewritten([(k, k + 1, looks[c]) for m in _FAR.finditer(text.text) for k, c in enumerate(m.group(), m.start()) if c in looks])
 
 
 def spelled_out(text: Traced) -> Traced:
