@@ -130,3 +130,17 @@ def test_empty_tables(spark):
     assert quality_gbdt.score_quality(none, labels).count() == 0 and quality_rules.judge(none, labels).count() == 0
     assert quality_gbdt.score_quality(docs, labels).first().score == 0.5
     assert quality_rules.judge(docs, labels).first().base_failed
+
+
+def test_scores_of_rows_without_or_with_a_repeated_id(spark):
+    texts, marks = sample(6, 60)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = frame(spark, texts).selectExpr("*", "1 AS score", "2 AS held_out", "'x' AS label", "3 AS predicted")
+    odd = docs.union(docs).union(docs.selectExpr("CAST(NULL AS long)", "text", "lang", "source", "n_chars", "1", "2", "'x'", "3"))
+    rows = quality_gbdt.score_quality(odd, labels).collect()
+    assert len(rows) == 3 * len(texts) and not any(r.held_out for r in rows if r.doc_id is None)
+    by = {}
+    for r in rows:
+        if r.doc_id is not None:
+            by.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in by.values())
