@@ -1,4 +1,4 @@
-"""Vietnamese addresses."""
+"""Vietnamese addresses."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Authority, type and trust of web domains."""
+"""Authority, type and trust of web domains."""
 
 from __future__ import annotations
 

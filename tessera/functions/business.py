@@ -1,4 +1,4 @@
-"""A business described in a text."""
+"""A business described in a text."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Dates in texts and metadata, and scores from them."""
+"""Dates in texts and metadata, and scores from them."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Geography scalars."""
+"""Geography scalars."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Hashes, ids and forms that name records, passages and paths."""
+"""Hashes, ids and forms that name records, passages and paths."""
 
 from __future__ import annotations
 

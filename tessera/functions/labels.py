@@ -1,4 +1,4 @@
-"""Category labels of providers and queries."""
+"""Category labels of providers and queries."""
 
 from __future__ import annotations
 

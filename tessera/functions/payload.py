@@ -1,4 +1,4 @@
-"""Fields from provider payloads, as JSON strings."""
+"""Fields from provider payloads, as JSON strings."""
 
 from __future__ import annotations
 

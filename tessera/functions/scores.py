@@ -1,4 +1,4 @@
-"""Time decays and composite scores."""
+"""Time decays and composite scores."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Scans whose next step depends on the last: chunkers, entity spans, local phrases.
+"""Scans whose next step depends on the last: chunkers, entity spans, local phrases.
 
 Arrow-batched functions; everything else of this package stays in the JVM.
 """

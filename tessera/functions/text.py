@@ -1,4 +1,4 @@
-"""Text scalars (X01-X90). Every function takes and returns a Column."""
+"""Text scalars. Every function takes and returns a Column."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-r"""What a query asks.
+r"""What a query asks.
 
 Word lists are matched as whole words by patterns that Java and RE2 read alike: neighbours are anything but
 letters, digits and underscores.

@@ -1,4 +1,4 @@
-"""URL scalars."""
+"""URL scalars."""
 
 from __future__ import annotations
 

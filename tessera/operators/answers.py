@@ -1,4 +1,4 @@
-"""Answer metrics, gaps and merged entities."""
+"""Answer metrics, gaps and merged entities."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Crawl rules and outcomes."""
+"""Crawl rules and outcomes."""
 
 from __future__ import annotations
 

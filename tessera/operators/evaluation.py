@@ -1,4 +1,4 @@
-"""Retrieval quality and operational metrics."""
+"""Retrieval quality and operational metrics."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Names to administrative units."""
+"""Names to administrative units."""
 
 from __future__ import annotations
 

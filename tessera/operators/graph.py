@@ -1,4 +1,4 @@
-"""Recursive walks over administrative units."""
+"""Recursive walks over administrative units."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Ingest and incremental serving: validation, change classes, upserts, deltas, reconciliation (S, K, F12)."""
+"""Ingest and incremental serving: validation, change classes, upserts, deltas, reconciliation."""
 
 from __future__ import annotations
 

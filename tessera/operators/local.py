@@ -1,4 +1,4 @@
-"""Candidates of local discovery: merging, gates, ranks."""
+"""Candidates of local discovery: merging, gates, ranks."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The serving projection: canonical places, their sources and provenance."""
+"""The serving projection: canonical places, their sources and provenance."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Provider rows, access and routing."""
+"""Provider rows, access and routing."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Reranking formulas over hits and passages."""
+"""Reranking formulas over hits and passages."""
 
 from __future__ import annotations
 

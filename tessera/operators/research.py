@@ -1,4 +1,4 @@
-"""The research loop as a dataflow over an indexed corpus, packages of evidence, endpoints."""
+"""The research loop as a dataflow over an indexed corpus, packages of evidence, endpoints."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Entity resolution: blocking, pair scores, clusters, field votes, audit."""
+"""Entity resolution: blocking, pair scores, clusters, field votes, audit."""
 
 from __future__ import annotations
 

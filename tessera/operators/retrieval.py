@@ -1,4 +1,4 @@
-"""Ranked retrieval: lexical and vector lanes, fusion, normalisation, reranking, caps (T, W)."""
+"""Ranked retrieval: lexical and vector lanes, fusion, normalisation, reranking, caps."""
 
 from __future__ import annotations
 

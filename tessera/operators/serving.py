@@ -1,4 +1,4 @@
-"""Place search over a serving table."""
+"""Place search over a serving table."""
 
 from __future__ import annotations
 

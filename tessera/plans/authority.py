@@ -1,4 +1,4 @@
-"""Domains: authority, type, trust."""
+"""Domains: authority, type, trust."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""From fetched bodies to documents: extractors, tiers, embeddings, place candidates."""
+"""From fetched bodies to documents: extractors, tiers, embeddings, place candidates."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""File sources."""
+"""File sources."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Tables kept as generations with a pointer to the current one, and their ledger.
+"""Tables kept as generations with a pointer to the current one, and their ledger.
 
 A generation is a folder of Parquet files that never changes. The pointer and the ledger are one small JSON
 file that is written beside and renamed into place, so readers see the old table or the new one.

@@ -1,4 +1,4 @@
-"""Columns and rows from HTML pages."""
+"""Columns and rows from HTML pages."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""OpenStreetMap PBF extracts as rows.
+"""OpenStreetMap PBF extracts as rows.
 
 Files are read as binary rows by Spark's own reader, so any store that Spark reaches will do; a file is
 decoded by one task, blob by blob. Cut a planet file into extracts of at most 2 GB before.

@@ -1,4 +1,4 @@
-"""Stateful streams: rate limits, circuit breakers, sessions, deduplicated ingest."""
+"""Stateful streams: rate limits, circuit breakers, sessions, deduplicated ingest."""
 
 from __future__ import annotations
 
