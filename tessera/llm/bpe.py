@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 #: Bytes of text encoded at once, tokens rendered at once, and pre-tokens that a worker remembers.
-CHUNK, BLOCK, MEMO = 1 << 20, 1 << 18, 1_000_000
+CHUNK, BLOCK, MEMO = 1 << 20, 1 << 18, 300_000
 #: The one pattern that pieces() implements. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LETTER, NUMBER, OTHER, WHITE = range(4)
