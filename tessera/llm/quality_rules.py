@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .docstats import counts
 from .labelled import training_rows
-from .runtime import written
+from .runtime import release, tables_written, written
 
 #: Rows trained on, and entries of their sparse matrix that the driver takes; both hold at any input size.
 TRAIN_ROWS, MOST_ENTRIES = 5_000, 2 << 20
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int
     """Train on at most `most` labelled rows outside the held-out fold. Executors turn whole texts into slots;
     the driver gets one row a slot that LEAST_ROWS rows use, then the rows' entries in chosen slots, at most
     `entries` in all, so its memory depends neither on the length of texts nor on their number."""
+    mark = tables_written()
     rows = written(training_rows(docs, labels, most).mapInArrow(_share_batches, "doc_id long, label int, slots binary, shares binary"), "shares")
     uses = rows.select("label", "slots").mapInArrow(_use_batches, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     uses = uses.where(F.col("n0") + F.col("n1") >= LEAST_ROWS).toPandas().sort_values("slot")
@@ -198,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int
 
     kept = rows.mapInArrow(narrowed, "doc_id long, label int, places binary, shares binary").toPandas().sort_values(["doc_id", "label"])
     shared.destroy()
+    release(docs.sparkSession, since=mark)  # everything that reads it has run
     columns, values = (np.frombuffer(b"".join(kept[k]), t) for k, t in (("places", np.int32), ("shares", np.float32)))
     cut = np.concatenate([[0], np.cumsum([len(p) // 4 for p in kept["places"]], dtype=np.int64)])
     y = kept["label"].to_numpy(np.float64)
