@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import text, urls
 
-#: The namespace of point ids. Fixed value.
-POINTS = uuid.uuid5(uuid.NAMESPACE_URL, "search-hub/passage")
+#: The namespace that point ids are made in. Fixed value.
+POINTS = uuid.UUID("b5180cfc-a0f2-59f0-ba59-75fef1c9195c")
 #: Parameters that only track, for pipeline_url. Fixed values.
 PIPELINE_TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid ref source _ga mc_cid mc_eid igshid si feature ref_src ref_url".split()
 
