@@ -273,8 +273,8 @@ def _wide_index(batches):
     bit = np.arange(SEGMENT_BITS, dtype=tk.U)
     mask = tk.U((1 << SEGMENT_BITS) - 1)
     for whole in batches:
-        for start in range(0, whole.num_rows, 8192):
-            batch = whole.slice(start, 8192)
+        for start in range(0, whole.num_rows, 2048):
+            batch = whole.slice(start, 2048)
             a, b, c, d, ident = (batch.column(k).to_numpy() for k in range(5))
             keys = []
             for word, word_of in enumerate((a, b)):
@@ -288,6 +288,7 @@ def _wide_index(batches):
             n = SEGMENTS * SEGMENT_BITS
             key = np.concatenate(keys, 1).ravel().astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, n)) for x in (ident, c, d))], schema=_WIDE)
+    tk.give_back()
 
 
 def wide_forest(ident: np.ndarray, c: np.ndarray, d: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -339,6 +340,7 @@ def _wide_links(bits: int):
                 held = []
             held.append([x[cut:] for x in rows])
         yield from given(held)
+        tk.give_back()
 
     return run
 
