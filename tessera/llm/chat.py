@@ -137,11 +137,13 @@ class Reader:
         """Take a role or a text off what is left to read, if it is complete."""
         t = self.template
         if self.role is None:
-            at = self.left.find(t.after_role)
-            if at < 0:
+            if len(self.left) < len(t.begin):
                 return False
             if not self.left.startswith(t.begin):
                 raise ValueError(f"conversation {self.conv}: no turn begins where one is due")
+            at = self.left.find(t.after_role, len(t.begin))
+            if at < 0:
+                return False
             self.role, self.left = t.unescape_role(self.left[len(t.begin) : at]), self.left[at + len(t.after_role) :]
             return True
         at = self.left.find(t.end)

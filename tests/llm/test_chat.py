@@ -73,7 +73,7 @@ def test_out_of_order_and_foreign_text_raise():
     with pytest.raises(ValueError, match="complete"):
         list(chat._read(iter(whole[:4]), Template()))
     with pytest.raises(ValueError, match="begins"):
-        list(chat._read(iter([(1, 0, 0, "hello\n", False, None)]), Template()))
+        list(chat._read(iter([(1, 0, 0, "hello, this is text\n", False, None)]), Template()))
 
 
 def test_empty_table_and_templates(spark):
