@@ -23,7 +23,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("text_key")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,13 +76,14 @@ def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _fingerprint_batches(batches):
     for batch, raw, offsets in tk.chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(raw, offsets).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fingerprints_of(raw, offsets).view(np.int64))], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id long, fp long (the 64 bits as a signed number) for each row of docs."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """doc_id long, text_key long (a hash of the text), fp long (the 64 bits as a signed number) for each row of docs."""
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
+    return plain.mapInArrow(_fingerprint_batches, "doc_id long, text_key long, fp long")
 
 
 def variants_of(fps: np.ndarray) -> np.ndarray:
@@ -205,7 +206,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id long, fingerprint string (16 hex digits), component_id long (the smallest doc_id that
-    links reach, itself included), one row for each row of docs.
+    links reach, itself included), text_key long (a hash of the text), one row for each row of docs.
 
     Null and empty texts have the fingerprint 0 and link like any other. Rows with a null doc_id
     link too; a component with no other id has a null component_id. Repeated rows return as often.
@@ -218,54 +219,86 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     known = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.join(least, "component").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
+
+
+def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the rows, told apart by doc_id and text, whose component has a smaller doc_id."""
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
+    own = F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit("")))
+    return docs.join(gone.hint("merge"), (docs.doc_id.cast("long") == F.col("__gone")) & (own == F.col("__text")), "left_anti")
 
 
 def dedup_near(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; rows with a null doc_id stay.
-    Of repeated rows of the staying doc_id all stay."""
-    found = near_duplicates(docs.where("doc_id is not null"), distance)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
+    Of rows that repeat the staying doc_id, those of its component stay."""
+    return _without(docs, near_duplicates(docs.where("doc_id is not null"), distance))
 
 
 # Similar texts: the same signatures over wider fingerprints, for a similarity of five-word shingles.
 
-#: The index cuts 126 bits of a fingerprint of two-word shingles, which edits move less, into SEGMENTS of SEGMENT_BITS;
-#: what it proposes is decided by 128 bits of a fingerprint of five-word shingles: at most SIMILAR_BITS differ where
-#: the similarity (Jaccard) is about 0.8 or more.
-SEGMENTS, SEGMENT_BITS, SIMILAR_BITS = 6, 21, 22
-INDEX_WORDS, SIMILAR_WORDS = 2, 5
-HUBS = 64
+#: The index cuts 126 bits of a fingerprint of two-word shingles, which edits move less, into SEGMENTS of SEGMENT_BITS.
+#: What it proposes is held against 128 bits of a fingerprint of five-word shingles, of which at most SIMILAR_BITS differ, and then
+#: decided by the texts themselves: the Jaccard similarity of their sets of five-word shingles is SIMILARITY per cent or more.
+SEGMENTS, SEGMENT_BITS, SIMILAR_BITS = 6, 21, 36
+INDEX_WORDS, SIMILAR_WORDS, SIMILARITY = 2, 5, 80
+#: Rows that all parts of a hot key share; links to so many of the nearest of its key that each row proposes besides the spanning ones; the
+#: largest group that is compared as one matrix.
+HUBS, NEAREST, MATRIX = 64, 3, 256
 _WIDE = pa.schema([("key", pa.int32()), ("id", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
 
 
 def wide_fingerprints_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Four columns of 64 bits for each text: 128 bits over two-word shingles, 128 over five-word ones. Letters A-Z
-    are lowered; fewer words: the whole sequence; none: 0."""
+    """Four columns of 64 bits for each text: 128 bits over its distinct two-word shingles, 128 over the five-word ones. Letters A-Z
+    are lowered; no words: 0."""
     raw = _LOWER[raw]
-    starts, ends, before = tk.spans_of(raw, offsets)
     out = np.zeros((len(offsets) - 1, 4), tk.U)
-    count = np.diff(before)
-    full = np.flatnonzero(count)
-    if not len(full):
+    starts, ends, before = tk.spans_of(raw, offsets)
+    if not len(starts):
         return out
     halves = tk.named(raw, starts, ends)
     for k, (half, size) in enumerate((h, n) for n in (INDEX_WORDS, SIMILAR_WORDS) for h in halves):
-        n = np.maximum(count[full] - size + 1, 1)
-        first = np.repeat(before[full], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        grams = tk.fixed_digest(half, size, k % 2)
-        few = count[full] < size  # their one shingle is the whole sequence
-        h = grams[np.minimum(first, max(len(grams) - 1, 0))] if len(grams) else np.zeros(len(first), tk.U)
-        h[(np.cumsum(n) - n)[few]] = tk.ranged_digest(half, before[full][few], before[full + 1][few], 2)
-        out[full, k] = majority(h, n)
+        full, grams, n = _distinct_grams(half, before, size, k % 2)
+        out[full, k] = majority(grams, n)
     return out
 
 
+def _distinct_grams(half: np.ndarray, before: np.ndarray, size: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with a word, digests of their distinct shingles, ascending in each text, and how many each has. A shingle counts once however
+    often it stands there, so that a separator or a number that repeats doesn't outweigh the rest. Fewer words: the whole sequence."""
+    count = np.diff(before)
+    full = np.flatnonzero(count)
+    n = np.maximum(count[full] - size + 1, 1)
+    first = np.repeat(before[full], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    grams = tk.fixed_digest(half, size, which)
+    few = count[full] < size  # their one shingle is the whole sequence
+    h = grams[np.minimum(first, max(len(grams) - 1, 0))] if len(grams) else np.zeros(len(first), tk.U)
+    h[(np.cumsum(n) - n)[few]] = tk.ranged_digest(half, before[full][few], before[full + 1][few], 2)
+    text = np.repeat(np.arange(len(full)), n)
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return full, h[fresh], np.bincount(text[fresh], minlength=len(full))
+
+
 def _wide_batches(batches):
     for batch, raw, offsets in tk.chunks(batches):
         f = wide_fingerprints_of(raw, offsets).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], ["doc_id", "a", "b", "c", "d"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], ["doc_id", "text_key", "a", "b", "c", "d"])
+
+
+def _shingle_sets(batches):
+    """nid and the digests of the distinct five-word shingles of its text."""
+    for batch, raw, offsets in tk.chunks(batches):
+        raw = _LOWER[raw]
+        starts, ends, before = tk.spans_of(raw, offsets)
+        sizes, grams = np.zeros(len(offsets) - 1, np.int64), np.zeros(0, tk.U)
+        if len(starts):
+            full, grams, n = _distinct_grams(tk.named(raw, starts, ends)[0], before, SIMILAR_WORDS, 0)
+            sizes[full] = n
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(grams.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["nid", "shingles"])
 
 
 def _wide_index(batches):
@@ -291,20 +324,38 @@ def _wide_index(batches):
     tk.give_back()
 
 
-def wide_forest(ident: np.ndarray, c: np.ndarray, d: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """forest_of() over two-word fingerprints, as links of ids."""
-    left, out = np.arange(len(ident)), []
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            at = frontier.pop()
-            near = _distance(c[left], c[at]) + _distance(d[left], d[at]) <= bits
-            if near.any():
-                found = left[near]
-                out += [(int(ident[at]), int(ident[x])) for x in found]
-                frontier += found.tolist()
-                left = left[~near]
-    return out
+def near_links(ident: np.ndarray, c: np.ndarray, d: np.ndarray, bits: int) -> np.ndarray:
+    """Links of a group by two-word fingerprints: a forest of least distances under `bits` bits, and from each row those to its NEAREST
+    nearest. A row of ids each; memory is linear in the group, or MATRIX squared."""
+    if len(ident) <= MATRIX:
+        apart = (_distance(c[:, None], c[None, :]) + _distance(d[:, None], d[None, :])).astype(np.int16)
+        np.fill_diagonal(apart, 255)
+        some = np.flatnonzero((apart <= bits).any(1))
+        ident, apart = ident[some], apart[np.ix_(some, some)]
+        row_of = apart.__getitem__
+    else:
+
+        def row_of(at):
+            row = (_distance(c, c[at]) + _distance(d, d[at])).astype(np.int16)
+            row[at] = 255
+            return row
+
+    out, n = [], len(ident)
+    if not n:
+        return np.zeros((0, 2), np.int64)
+    least, parent = np.full(n, 255, np.int16), np.zeros(n, np.int64)
+    left, at = np.ones(n, bool), 0
+    for _ in range(n):
+        left[at] = False
+        row = row_of(at)
+        close = np.argpartition(row, NEAREST - 1)[:NEAREST] if n > NEAREST else np.arange(n)
+        out += [(at, x) for x in close[row[close] <= bits].tolist()]
+        nearer = left & (row < least)
+        least[nearer], parent[nearer] = row[nearer], at
+        at = int(np.where(left, least, 256).argmin())
+        if left[at] and least[at] <= bits:
+            out.append((int(parent[at]), at))
+    return ident[np.array(out, np.int64).reshape(-1, 2)]
 
 
 def _wide_links(bits: int):
@@ -317,9 +368,8 @@ def _wide_links(bits: int):
         near = _distance(c[two], c[two + 1]) + _distance(d[two], d[two + 1]) <= bits
         pairs = [np.stack([ident[two[near]], ident[two[near] + 1]], 1)]
         for x, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if f := wide_forest(ident[x : x + n], c[x : x + n], d[x : x + n], bits):
-                pairs.append(np.array(f, np.int64))
-        return np.unique(np.concatenate(pairs), axis=0)
+            pairs.append(near_links(ident[x : x + n], c[x : x + n], d[x : x + n], bits))
+        return np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
 
     def given(held):
         if held:
@@ -346,11 +396,12 @@ def _wide_links(bits: int):
 
 
 def similar_links(nodes: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
-    """nodes: a, b, c, d (a fingerprint) and id. Links u, v of ids whose five-word fingerprints differ in at most
-    `bits` bits and whose two-word ones have a segment that differs in at most one: as forests of each index key.
+    """nodes: a, b, c, d (a fingerprint) and id. Links u < v of ids whose five-word fingerprints differ in at most
+    `bits` bits and whose two-word ones have a segment that differs in at most one: near_links() of each index key, not all pairs.
 
     A hot key, one that holds many rows of a sample, is dealt in parts by id, each with the same HUBS sampled rows of
-    the key, so that its parts hang together; HOT_KEYS of them at most are broadcast.
+    the key, so that its parts hang together; HOT_KEYS of them at most are broadcast. Rows of different parts meet at the
+    hubs and by their other keys only.
     """
     ddl = "key int, id long, c long, d long"
     fields = ["a", "b", "c", "d", "id"]
@@ -368,22 +419,39 @@ def similar_links(nodes: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
     return dealt.mapInArrow(_wide_links(bits), "u long, v long").where("u <> v").distinct()
 
 
-def similar_groups(docs: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
-    """doc_id long, component_id long (the smallest doc_id that links reach, itself included), one row for each row of
-    docs with a doc_id. Links: similar_links(); equal fingerprints are one node from the start. Texts without words are
-    alike; null counts as empty. The similarity is the fingerprints' estimate, and an edit to each of the segments hides
-    a pair: measured shares are in the README."""
-    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = written(plain.mapInArrow(_wide_batches, "doc_id long, a long, b long, c long, d long"), "wide")
+def verified_links(links: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Of links (u, v) those whose texts have `similarity` per cent of their five-word shingles in common, counted on the sets themselves (of 64-bit digests).
+    nodes: id, doc_id, text_key, one row of texts (doc_id, text, text_key) each. Only texts that a link names move."""
+    links = written(links, "links")
+    ends = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
+    named = nodes.join(ends, "id").select("id", F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"))
+    rows = texts.join(named.hint("merge"), (texts.doc_id == F.col("__d")) & (texts.text_key == F.col("__k"))).select(F.col("id").alias("nid"), "text")
+    sets = written(rows.mapInArrow(_shingle_sets, "nid long, shingles array<long>").dropDuplicates(["nid"]), "shingle_sets")
+    side = lambda end: sets.select(F.col("nid").alias(end), F.col("shingles").alias(f"s{end}"))
+    both = links.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common * 100 >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, bits: int = SIMILAR_BITS, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, text_key (a 64-bit hash of the text, which tells rows of a repeated doc_id apart), component_id (the smallest doc_id that links reach,
+    itself included), one row for each row of docs with a doc_id. Links: verified_links() of similar_links(), so no two texts are joined but by a chain of texts
+    that are similar indeed; equal fingerprints are one node from the start. Texts without words are alike; null counts as empty. An edit to each of the
+    segments hides a pair: measured recall is in the README."""
+    text = F.col("text").cast("string")
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
+    own = written(plain.mapInArrow(_wide_batches, "doc_id long, text_key long, a long, b long, c long, d long"), "wide")
     print4 = ["a", "b", "c", "d"]
-    nodes = written(own.groupBy(*print4).agg(F.min("doc_id").alias("id")), "wide_nodes")
-    labels = components(similar_links(nodes, bits)).withColumnsRenamed({"node": "id", "component": "component_id"})
-    named = nodes.join(labels, "id", "left").select(*print4, F.coalesce("component_id", "id").alias("component_id"))
-    return own.join(named, print4).select("doc_id", "component_id")
+    nodes = own.groupBy(*print4).agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(*print4, F.xxhash64(*print4, F.lit(SEED)).alias("id"), "r.doc_id", "r.text_key")
+    nodes = written(nodes, "wide_nodes")
+    labels = components(verified_links(similar_links(nodes, bits), nodes, plain, similarity)).withColumnRenamed("node", "id")
+    named = nodes.join(labels, "id", "left").select(*print4, "doc_id", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(least, "component").drop("component")
+    return own.join(named, print4).select("doc_id", "text_key", "component_id")
 
 
 def dedup_similar(docs: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
     """docs without the rows whose similar_groups() component has a smaller doc_id; rows with a null doc_id stay, and
-    so do all rows of a repeated doc_id that stays."""
-    gone = similar_groups(docs, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
+    so do all rows of a repeated doc_id that are in its component. A row goes for its own text, never for that of another row of its doc_id."""
+    return _without(docs, similar_groups(docs, bits))

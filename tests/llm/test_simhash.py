@@ -153,12 +153,19 @@ def brute_wide(text):
             grams = [mix((sum(h * pow(base, i, 2**64) for i, h in enumerate(half)) + len(w) * 0xC2B2AE3D27D4EB4F) & m)]
         else:
             grams = []
+        grams = set(grams)
         out.append(sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in grams) > len(grams)))
     return out
 
 
-def brute_similar(texts, bits=22):
-    prints = [brute_wide(t) for t in texts]
+def shingles(text, size=5):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
+def brute_similar(texts, bits=36):
+    """Components over all pairs that the index proposes and whose shingle sets agree to 0.8."""
+    prints, sets = [brute_wide(t) for t in texts], [shingles(t) for t in texts]
     segments = [[v >> 21 * s & (1 << 21) - 1 for v in p[:2] for s in range(3)] for p in prints]
     parent = list(range(len(texts)))
 
@@ -170,7 +177,7 @@ def brute_similar(texts, bits=22):
     for i in range(len(texts)):
         for j in range(i):
             apart = sum((prints[i][k] ^ prints[j][k]).bit_count() for k in (2, 3))
-            if apart <= bits and any((x ^ y).bit_count() <= 1 for x, y in zip(segments[i], segments[j])):
+            if prints[i] == prints[j] or apart <= bits and any((x ^ y).bit_count() <= 1 for x, y in zip(segments[i], segments[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(texts))]
@@ -193,13 +200,13 @@ def edited(seed=2, bases=12, copies=8, length=150):
 def test_similar_groups_match_brute_force(spark, monkeypatch):
     texts = edited() + awkward(6)[:40] + [None, "", "one", "One", "one two three"]
     want = dict(enumerate(brute_similar(texts)))
-    assert {r[0]: r[1] for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
     assert len(set(want.values())) < len(texts) - 60
     monkeypatch.setattr(simhash, "HOT_LEAST", 0)
     monkeypatch.setattr(simhash, "HOT_KEYS", 10**9)
     monkeypatch.setattr(simhash, "SAMPLE", 1)
     monkeypatch.setattr(simhash, "MANY", 4)  # on the driver: every key is dealt in parts that share its hubs
-    assert {r[0]: r[1] for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
 
 
 def test_dedup_similar_keeps_the_smallest_and_rows_without_id(spark):
@@ -211,3 +218,61 @@ def test_dedup_similar_keeps_the_smallest_and_rows_without_id(spark):
     want = [i for k, i in enumerate(ids) if groups[k] == k]
     assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want * 2 + [None] * 2))
     assert simhash.similar_groups(docs.where("false")).count() == 0
+
+
+def test_separators_join_nothing(spark):
+    """Texts that share a long run of dashes and nothing else."""
+    rng = random.Random(8)
+    for dashes, own in ((60, 140), (60, 400), (100, 1000)):
+        texts = [" ".join(["-"] * dashes + [f"w{rng.randint(0, 10**9)}" for _ in range(own)]) for _ in range(10)]
+        docs = frame(spark, texts)
+        assert simhash.dedup_similar(docs).count() == 10
+        assert simhash.dedup_similar(docs.union(frame(spark, [texts[3] + " end"]).selectExpr("doc_id + 50 AS doc_id", "text", "lang", "source", "n_chars"))).count() == 10
+
+
+def test_rows_of_a_repeated_id_go_for_their_own_text(spark):
+    rng = random.Random(9)
+    a, z = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(40)) for c in "az")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, z), (5, z + " end"), (7, z)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.dedup_similar(docs).collect())) == sorted([(1, a), (5, z), (5, z + " end")])
+    fine = simhash.dedup_near(docs)
+    assert sorted(map(tuple, fine.collect()))[:1] == [(1, a)] and (5, z) in map(tuple, fine.collect())
+
+
+def test_verification_keeps_similar_links_only(spark):
+    """Links of texts at 0.79 and at 0.8 of their shingles, and of a text with itself under two keys."""
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    cut = lambda n: " ".join(base[:-n])  # noqa: E731  100 - n shingles, all of them shared
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate([" ".join(base), cut(20), cut(21), " ".join(base), None, ""])], "doc_id long, text string, text_key long")
+    nodes = docs.selectExpr("doc_id + 10 AS id", "doc_id", "text_key")
+    links = spark.createDataFrame([(10, 11), (10, 12), (10, 13), (11, 12), (14, 15)], "u long, v long")
+    assert {tuple(r) for r in simhash.verified_links(links, nodes, docs).collect()} == {(10, 11), (10, 13), (11, 12), (14, 15)}
+
+
+def test_links_span_what_is_near(monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, (6, 2))
+    rows = np.repeat(centres, 9, axis=0)
+    for r in rows:
+        for b in rng.integers(0, 63, rng.integers(0, 5)):
+            r[b % 2] ^= 1 << int(b)
+    ident = np.arange(100, 154)
+    want = {(100 + i, 100 + j) for i in range(54) for j in range(i) if sum(int(a ^ b).bit_count() for a, b in zip(rows[i].tolist(), rows[j].tolist())) <= 8}
+    for most in (256, 8):
+        monkeypatch.setattr(simhash, "MATRIX", most)
+        got = simhash.near_links(ident, rows[:, 0].copy(), rows[:, 1].copy(), 8)
+        assert {(max(p), min(p)) for p in got.tolist()} <= want
+
+        def classes(pairs):
+            parent = dict(zip(ident.tolist(), ident.tolist()))
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in pairs:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+            return [root(int(i)) for i in ident]
+
+        assert classes(got.tolist()) == classes(want) and len(set(classes(want))) < 20
