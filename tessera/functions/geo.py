@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+METRES_A_DEGREE = EARTH_M * math.pi / 180
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -38,6 +41,28 @@ def neighbours(c: Column) -> Column:
     return F.sequence(c - 1, c + 1)
 
 
+def cells_of_band(band: Column, size: float) -> Column:
+    """Into how many cells a band of latitude `size` degrees high is cut: none is narrower, at its narrower edge, than it is high."""
+    edge = F.least(F.greatest(F.abs(band * size), F.abs((band + 1) * size)), F.lit(90.0))
+    return F.greatest(F.floor(F.cos(F.radians(edge)) * (360 / size)), F.lit(1)).cast("long")
+
+
+def cell_in_band(lon: Column, band: Column, size: float) -> Column:
+    """The number of a longitude's cell in a band; longitudes beyond 180 degrees wrap."""
+    n = cells_of_band(band, size)
+    return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+
+
+def cells_within(lat: Column, lon: Column, band: Column, size: float) -> Column:
+    """The cells of a band that a circle of `size` degrees around a point may touch, each once."""
+    n = cells_of_band(band, size)
+    near = F.sin(F.radians(F.lit(min(size, 90.0)))) / F.cos(F.radians(lat))
+    reach = F.when((F.abs(lat) + size < 90) & (near < 1), F.degrees(F.asin(F.least(near, F.lit(1.0))))).otherwise(180.0)
+    edge = lambda x: F.floor((x + 180) / 360 * n).cast("long")
+    first, last = edge(lon - reach), edge(lon + reach)
+    return F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n)), lambda c: F.pmod(c, n)))
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Even-odd ray casting. ring: array of structs (x, y), closed or not."""
     n = F.size(ring)

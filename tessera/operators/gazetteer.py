@@ -79,13 +79,10 @@ def forward(units: DataFrame, moves: DataFrame, closure: DataFrame) -> tuple[Dat
     found = found.unionByName(units.where("status = 'current'").select("key", F.col("key").alias("successor"))).distinct()
     # edges: the moves of the units on the way that aren't current
     status = units.select(F.col("key").alias("at"), "status")
-    seen = start.select("key", F.col("start").alias("at"))
-    front = seen
-    for _ in range(20):
-        front = front.join(status.where("status <> 'current'"), "at").join(steps, F.col("at") == F.col("from_key")).select("key", F.col("to_key").alias("at")).distinct().join(seen, ["key", "at"], "left_anti").persist()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+    open_ = status.where("status <> 'current'").select(F.col("at").alias("from_key"))
+    ways = graph.closure(steps.join(open_, "from_key").select(F.col("from_key").alias("key"), F.col("to_key").alias("parent")))
+    way = ways.select(F.col("key").alias("start"), F.col("ancestor").alias("at")).unionByName(start.select("start", F.col("start").alias("at")).distinct())
+    seen = start.join(way, "start").select("key", "at").distinct()
     edges = seen.join(status.where("status <> 'current'"), "at").join(steps.where("n = 1"), F.col("at") == F.col("from_key")).groupBy("key").agg(F.count("*").alias("edges"))
     return found, edges
 

@@ -114,26 +114,39 @@ def ranked(rows: DataFrame, spec: Spec) -> DataFrame:
     return rows.orderBy(*order.get(spec.sort or "", [F.desc("score"), *tail])).limit(spec.limit)
 
 
+def asked_tokens(q: str) -> Column:
+    """The words of a query, folded as names are: "Phở  Thìn" asks for pho and thin."""
+    return text.name_tokens(text.fold_diacritics(F.lit(q)))
+
+
 def place_search(places: DataFrame, spec: Spec) -> DataFrame:
     """Places (place_id, name, category, lat, lon, admin_unit_id, status, confidence, freshness, rating,
-    review_count, source_count; open_now if known): the ranked best. Relevance is the share of the asked words in
-    the name."""
+    review_count, source_count; open_now if known): the ranked best. Every asked word, folded, has to stand in the folded name, in
+    any order; a name that is the query itself is worth twice as much. Misspelt words are found by names.NameIndex, whose matches may be given as `relevance`."""
     rows = candidates(places, spec)
-    asked = [t for t in spec.q.lower().split() if len(t) >= 2]
-    if asked:
-        folded = text.fold(F.col("name"))
-        hits = sum((folded.contains(t).cast("int") for t in asked), F.lit(0))
-        rows = rows.withColumn("relevance", hits / len(asked)).where("relevance > 0")
-    else:
+    asked = asked_tokens(spec.q)
+    if spec.q.strip() and "relevance" not in places.columns:
+        folded = text.fold_diacritics(F.coalesce("name", F.lit("")))
+        rows = rows.where(F.forall(asked, lambda t: F.contains(folded, t))).withColumn("relevance", F.when(folded == text.fold_diacritics(F.lit(spec.q)), 1.0).otherwise(0.5))
+    elif "relevance" not in places.columns:
         rows = rows.withColumn("relevance", F.lit(0.0))
     return ranked(rows, spec)
 
 
+def open_filtered(rows: DataFrame, spec: Spec, open_now: bool) -> DataFrame:
+    """the best spec.limit of those that are open (or closed) now. The filter comes before the cut, so that it never starves the limit; a place
+    whose hours aren't known is neither."""
+    return ranked(rows.where(F.col("open_now") == open_now), spec)
+
+
 def autocomplete(places: DataFrame, prefix: str, limit: int = 10, lat: float | None = None, lon: float | None = None) -> DataFrame:
-    """Names with a token that begins so; nearness halves every 2 km squared-wise."""
-    if len(prefix) < 2:
+    """Names that have all asked words but the last, and a word that begins with the last, all folded; nearness halves every
+    2 km squared-wise. Fewer than two characters give none."""
+    if len(prefix.strip()) < 2:
         return places.limit(0).select("place_id", "name", F.lit(0.0).alias("score"))
-    begins = F.exists(F.split(text.fold(F.col("name")), r"\s+"), lambda t: t.startswith(prefix.lower()))
+    asked, names = asked_tokens(prefix), text.name_tokens(text.fold_diacritics(F.coalesce("name", F.lit(""))))
+    whole, last = F.slice(asked, 1, F.greatest(F.size(asked) - 1, F.lit(0))), F.element_at(asked, -1)
+    begins = (F.size(F.array_except(whole, names)) == 0) & F.exists(names, lambda t: F.startswith(t, last))
     near = F.lit(1.0) if lat is None else F.coalesce(F.exp(F.log(F.lit(0.5)) * F.pow(geo.haversine_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")) / 2000, 2)), F.lit(0.0))
     return places.where(begins).select("place_id", "name", F.round(near, 9).alias("score")).orderBy(F.desc("score"), "place_id").limit(limit)
 
@@ -152,10 +165,15 @@ def minutes(clock: Column) -> Column:
 
 def geo_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Left (id, lat, lon) and right (place_id, lat, lon) rows within radius_m of each other, with distance_m: an
-    equality join on grid cells and their neighbours."""
-    size = radius_m / 111_000 * 1.1
-    a = left.where("lat is not null and lon is not null").withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("lat"), size)))).withColumn("cx", F.explode(geo.neighbours(geo.cell(F.col("lon"), size))))
-    b = right.where("lat is not null and lon is not null").withColumnsRenamed({"lat": "plat", "lon": "plon"}).withColumn("cy", geo.cell(F.col("plat"), size)).withColumn("cx", geo.cell(F.col("plon"), size))
+    equality join on grid cells and their neighbours.
+
+    Bands of latitude have one height; each is cut into as many cells round the globe as its narrower edge allows, so a cell is as wide as high
+    anywhere. A left row meets the cells of three bands that its circle may touch, over the 180th meridian as well, and all of a band at the pole.
+    """
+    size = min(radius_m / geo.METRES_A_DEGREE * 1.01, 90.0)
+    a, b = (df.where("lat is not null and lon is not null") for df in (left, right))
+    a = a.withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("lat"), size)))).withColumn("cx", F.explode(geo.cells_within(F.col("lat"), F.col("lon"), F.col("cy"), size)))
+    b = b.withColumnsRenamed({"lat": "plat", "lon": "plon"}).withColumn("cy", geo.cell(F.col("plat"), size)).withColumn("cx", geo.cell_in_band(F.col("plon"), F.col("cy"), size))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     return a.join(b, ["cy", "cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("cy", "cx")
 
