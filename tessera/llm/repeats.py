@@ -13,6 +13,9 @@ document with a smaller id, in time and space linear in the text:
 3. Extension. The windows of kept stretches, left and right of the seed, are compared by 128-bit
    digests, again dealt out and sorted. What is covered merges into maximal runs.
 
+Rows that repeat a doc_id never cover each other, and each is judged and cut by its own text: a row is named
+by doc_id and a hash of its text.
+
 A unit is named by a keyed 128-bit digest of its bytes. Seeds and extents take one half each, windows
 both, so units or windows that share one 64-bit hash don't meet.
 
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -36,9 +39,10 @@ from .runtime import written
 SEED_CHUNK = 1 << 20
 MARK = -(2**63)
 COVERED, SEED, LONE_MARK = -2, -3, -1
-_ROWS = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("runs", pa.binary())])
-_FOUND = pa.schema([("doc", pa.int64()), ("seed", pa.bool_()), ("runs", pa.binary())])
-_ROWS_DDL = "key long, span long, doc long, at long, runs binary"
+_ROWS = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("runs", pa.binary()), ("tag", pa.int64())])
+_FOUND = pa.schema([("doc", pa.int64()), ("seed", pa.bool_()), ("runs", pa.binary()), ("tag", pa.int64())])
+_ROWS_DDL = "key long, span long, doc long, at long, runs binary, tag long"
+_FOUND_DDL = "doc long, seed boolean, runs binary, tag long"
 
 
 def units(kind: str, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,18 +56,18 @@ def units(kind: str, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return starts[full], ends[full], kept[before]
 
 
-def pack_runs(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Ranges by document, merged, as little-endian int32 pairs: documents, blobs."""
+def pack_runs(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ranges by row (doc and tag), merged unless they stay apart, as little-endian int32 pairs: docs, tags, blobs."""
     if not len(docs):
-        return docs, []
-    order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order], ends[order]
-    cut = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+        return docs, tags, []
+    order = np.lexsort((starts, tags, docs))
+    docs, tags, starts, ends = docs[order], tags[order], starts[order], ends[order]
+    cut = np.flatnonzero(_heads(docs, tags))
     blobs = []
     for a, b in zip(cut, np.append(cut[1:], len(docs)), strict=True):
-        s, e = tk.merged(starts[a:b], ends[a:b])
+        s, e = (starts[a:b], ends[a:b]) if apart else tk.merged(starts[a:b], ends[a:b])
         blobs.append(np.stack([s, e], 1).astype("<i4").tobytes())
-    return docs[cut], blobs
+    return docs[cut], tags[cut], blobs
 
 
 def unpack_runs(blobs) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +121,7 @@ def _seed_rows(kind: str, length: int, seed: int, within: bool, lone_words: int)
 
     def run(batches):
         for batch, raw, offsets in tk.chunks(batches, limit=limit):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
             starts, ends, before = units(kind, raw, offsets)
             if not len(starts):
                 continue
@@ -153,10 +157,10 @@ def _seed_rows(kind: str, length: int, seed: int, within: bool, lone_words: int)
             sent = ~covered & ~many[key_run]
             marks = np.unique(key[seeds])
             base = before[text]
-            s, e = s - base, e - base
-            again = [ids[text_of[w]], w - before[text_of[w]], w_end - before[text_of[w]]]
-            c_docs, c_runs = pack_runs(np.append(doc[covered], again[0]), np.append(s[covered], again[1]), np.append(e[covered], again[2]))
-            r_docs, r_runs = pack_runs_apart(doc[seeds], s[seeds], e[seeds])
+            s, e, tag = s - base, e - base, tags[text]
+            again = [ids[text_of[w]], tags[text_of[w]], w - before[text_of[w]], w_end - before[text_of[w]]]
+            c_docs, c_tags, c_runs = pack_runs(*(np.append(x[covered], y) for x, y in zip((doc, tag, s, e), again, strict=True)))
+            r_docs, r_tags, r_runs = pack_runs(doc[seeds], tag[seeds], s[seeds], e[seeds], apart=True)
             count = (int(sent.sum()), len(marks), len(c_docs), len(r_docs))
             passed = np.concatenate([c_docs, r_docs])
             yield _batch(
@@ -166,28 +170,19 @@ def _seed_rows(kind: str, length: int, seed: int, within: bool, lone_words: int)
                 np.concatenate([doc[sent], np.full(count[1], MARK), passed]),
                 np.concatenate([(s[sent] << 32) | e[sent], np.full(count[1], LONE_MARK), np.full(count[2], COVERED), np.full(count[3], SEED)]),
                 [None] * (count[0] + count[1]) + c_runs + r_runs,
+                np.concatenate([tag[sent], np.zeros(count[1], np.int64), c_tags, r_tags]),
             )
 
     return run
 
 
-def pack_runs_apart(docs, starts, ends) -> tuple[np.ndarray, list[bytes]]:
-    """As pack_runs, but ranges stay as they are."""
-    if not len(docs):
-        return docs, []
-    order = np.lexsort((starts, docs))
-    docs, pairs = docs[order], np.stack([starts, ends], 1)[order].astype("<i4")
-    cut = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-    return docs[cut], [pairs[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(docs)), strict=True)]
-
-
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5)]
 
 
 def _settle_seeds(batches):
     """Rows sorted by (key, span, doc). What is kept from batch to batch is bounded by one document."""
-    held = [np.zeros(0, np.int64)] * 4
+    held = [np.zeros(0, np.int64)] * 5
     told = np.zeros(0, bool)  # rows of held that were given out before
     for batch in batches:
         if not batch.num_rows:
@@ -196,7 +191,7 @@ def _settle_seeds(batches):
         through = (passed == COVERED) | (passed == SEED)
         if through.any():
             part = batch.filter(pa.array(through))
-            yield _batch(_FOUND, part.column(2), passed[through] == SEED, part.column(4))
+            yield _batch(_FOUND, part.column(2), passed[through] == SEED, part.column(4), part.column(5))
             batch = batch.filter(pa.array(~through))
         fresh = _columns(batch)
         out, held, told = _settled([np.concatenate(x) for x in zip(held, fresh, strict=True)], np.append(told, np.zeros(len(fresh[0]), bool)))
@@ -205,7 +200,7 @@ def _settle_seeds(batches):
 
 
 def _settled(rows, told):
-    key, span, doc, at = rows
+    key, span, doc, at, tag = rows
     if not len(key):
         return [], rows, told
     mark = at == LONE_MARK
@@ -223,14 +218,14 @@ def _settled(rows, told):
     seeds = rep & many[key_run] & ~told
     s, e = at >> 32, at & 0xFFFFFFFF
     out = []
-    for flag, mine, pack in ((False, covered, pack_runs), (True, seeds, pack_runs_apart)):
-        docs, runs = pack(doc[mine], s[mine], e[mine])
+    for flag, mine in ((False, covered), (True, seeds)):
+        docs, tags, runs = pack_runs(doc[mine], tag[mine], s[mine], e[mine], apart=flag)
         if len(docs):
-            out.append(_batch(_FOUND, docs, np.full(len(docs), flag), runs))
+            out.append(_batch(_FOUND, docs, np.full(len(docs), flag), runs, tags))
     last = key_run == key_run[-1]
     if many[-1]:
         keep = np.flatnonzero(last & rep)[-1:]  # of the last extent, the smallest id
-        held = [np.append(v, x[keep]) for v, x in zip((key[-1], MARK, MARK, LONE_MARK), rows, strict=True)]
+        held = [np.append(v, x[keep]) for v, x in zip((key[-1], MARK, MARK, LONE_MARK, 0), rows, strict=True)]
         return out, held, np.ones(len(held[0]), bool)
     keep = last & rep
     return out, [x[keep] for x in rows], np.zeros(int(keep.sum()), bool)
@@ -242,7 +237,7 @@ def _window_rows(kind: str, length: int):
 
     def run(batches):
         for batch, raw, offsets in tk.chunks(unpacked(batches), limit=limit):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
             starts, ends, before = units(kind, raw, offsets)
             left, right = tk.named(raw, starts, ends)
             at, text = [], []
@@ -256,15 +251,15 @@ def _window_rows(kind: str, length: int):
             at, text = np.concatenate(at), np.concatenate(text)
             where = at + before[text]
             d1, d2 = _signed(tk.fixed_digest(left, length, 1)[where]), _signed(tk.fixed_digest(right, length, 2)[where])
-            doc = ids[text]
-            order = np.lexsort((at, doc, d2, d1))
-            d1, d2, doc, at = d1[order], d2[order], doc[order], at[order]
+            doc, tag = ids[text], tags[text]
+            order = np.lexsort((at, tag, doc, d2, d1))
+            d1, d2, doc, tag, at = d1[order], d2[order], doc[order], tag[order], at[order]
             head = _heads(d1, d2)
             covered = doc > doc[head][np.cumsum(head) - 1]
-            docs, runs = pack_runs(doc[covered], at[covered], at[covered] + length)
-            # of a window that its document repeats, one row with all its places
+            docs, own, runs = pack_runs(doc[covered], tag[covered], at[covered], at[covered] + length)
+            # of a window that its row repeats, one row with all its places
             sent = np.flatnonzero(~covered)
-            first = np.flatnonzero(head[sent])
+            first = np.flatnonzero(_heads(d1[sent], d2[sent], tag[sent]))
             size = np.diff(np.append(first, len(sent)))
             places = [None] * len(first)
             for k in np.flatnonzero(size > 1):
@@ -278,6 +273,7 @@ def _window_rows(kind: str, length: int):
                 np.concatenate([doc[sent], docs]),
                 np.concatenate([at[sent], np.full(len(docs), COVERED)]),
                 places + runs,
+                np.concatenate([tag[sent], own]),
             )
 
     return run
@@ -293,7 +289,7 @@ def _settle_windows(length: int):
             through = at == COVERED
             if through.any():
                 part = batch.filter(pa.array(through))
-                yield _batch(_FOUND, part.column(2), np.zeros(part.num_rows, bool), part.column(4))
+                yield _batch(_FOUND, part.column(2), np.zeros(part.num_rows, bool), part.column(4), part.column(5))
                 batch = batch.filter(pa.array(~through))
                 if not batch.num_rows:
                     continue
@@ -303,19 +299,19 @@ def _settle_windows(length: int):
             if held is not None:
                 ahead = 1
                 rows = [np.append(v, x) for v, x in zip(held, rows, strict=True)]
-            d1, d2, doc, at = rows
+            d1, d2, doc, at, tag = rows
             head = _heads(d1, d2)
             first = doc[head][np.cumsum(head) - 1]
             covered = doc > first
             single = covered & ~np.append(np.zeros(ahead, bool), many)
-            docs, runs = pack_runs(doc[single], at[single], at[single] + length)
+            docs, tags, runs = pack_runs(doc[single], tag[single], at[single], at[single] + length)
             if len(docs):
-                yield _batch(_FOUND, docs, np.zeros(len(docs), bool), runs)
+                yield _batch(_FOUND, docs, np.zeros(len(docs), bool), runs, tags)
             several = pa.array(covered[ahead:] & many)
             part = batch.filter(several)
             if part.num_rows:
-                yield _batch(_FOUND, part.column(2), np.zeros(part.num_rows, bool), part.column(4))
-            held = (d1[-1], d2[-1], first[-1], 0)
+                yield _batch(_FOUND, part.column(2), np.zeros(part.num_rows, bool), part.column(4), part.column(5))
+            held = (d1[-1], d2[-1], first[-1], 0, 0)
 
     return run
 
@@ -348,23 +344,28 @@ def unpacked(batches, text: str = "text"):
             yield pa.RecordBatch.from_arrays([texts if i == where else c for i, c in enumerate(batch.columns)], names)
 
 
+def text_tag() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def repeated_runs(docs: DataFrame, kind: str, length: int, seed: int, within: bool = False, lone_words: int = 0) -> DataFrame:
-    """docs: columns doc_id (long) and text. One row for each document with a covered window:
-    doc long, runs array<binary> of [start, end) int32 pairs, in units of the document.
+    """docs: columns doc_id (long) and text. One row for each row of docs with a covered window (equal rows have one):
+    doc long, tag long (text_tag() of its text), runs array<binary> of [start, end) int32 pairs, in units of the text.
 
     within: windows that occur earlier in the same document are covered as well. lone_words: a unit of that
     many words or more is a window by itself too.
     Null ids take no part. A document of fewer than `length` units has no window.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_tag().alias("tag")).where("doc_id is not null")
     rows = plain.mapInArrow(_seed_rows(kind, length, seed, within, lone_words), _ROWS_DDL)
     dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "span", "doc")
-    found = written(dealt.mapInArrow(_settle_seeds, "doc long, seed boolean, runs binary"), "seeds")
-    seeds = found.where("seed").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    found = written(dealt.mapInArrow(_settle_seeds, _FOUND_DDL), "seeds")
+    seeds = found.where("seed").groupBy("doc", F.col("tag").alias("__tag")).agg(F.collect_list("runs").alias("runs"))
     texts = packed(plain)
     # a merge join at every size: the list of seeds grows with the corpus, so it is never broadcast
-    held = texts.join(seeds.hint("merge"), texts.doc_id == seeds.doc).select("doc_id", "__packed", "runs")
+    held = texts.join(seeds.hint("merge"), (texts.doc_id == seeds.doc) & (texts.tag == F.col("__tag"))).select("doc_id", "__packed", "runs", "tag")
     windows = held.mapInArrow(_window_rows(kind, length), _ROWS_DDL)
     dealt = windows.repartition(F.col("key")).sortWithinPartitions("key", "span", "doc")
-    more = dealt.mapInArrow(_settle_windows(length), "doc long, seed boolean, runs binary")
-    return found.where("not seed").union(more).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    more = dealt.mapInArrow(_settle_windows(length), _FOUND_DDL)
+    return found.where("not seed").union(more).groupBy("doc", "tag").agg(F.collect_list("runs").alias("runs"))

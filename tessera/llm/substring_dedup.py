@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .repeats import packed, repeated_runs, unpack_runs, units, unpacked
+from .repeats import packed, repeated_runs, text_tag, unpack_runs, units, unpacked
 
 WINDOW_WORDS = 13
 SEED_WORDS = 5
@@ -17,8 +17,9 @@ SEED_WORDS = 5
 def apply_runs(docs: DataFrame, runs: DataFrame, out_ddl: str, worker) -> DataFrame:
     """docs (doc_id, text and more) left-joined with their runs, given to a batch worker with the
     texts restored and a last column __runs (null: none)."""
-    texts = packed(docs)
-    joined = texts.join(runs.withColumnsRenamed({"doc": "__doc", "runs": "__runs"}).hint("merge"), texts.doc_id == F.col("__doc"), "left").drop("__doc")
+    texts = packed(docs.withColumn("__tag", text_tag()))
+    runs = runs.withColumnsRenamed({"doc": "__doc", "tag": "__own", "runs": "__runs"}).hint("merge")
+    joined = texts.join(runs, (texts.doc_id == F.col("__doc")) & (F.col("__tag") == F.col("__own")), "left").drop("__doc", "__tag", "__own")
     return joined.mapInArrow(lambda batches: worker(unpacked(batches)), out_ddl)
 
 

@@ -80,10 +80,10 @@ def test_stream_state_is_independent_of_batches():
     def run(size):
         out = set()
         cuts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cut)] + [pa.nulls(len(cut), pa.binary())], schema=repeats._ROWS) for cut in cuts]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cut)] + [pa.nulls(len(cut), pa.binary()), pa.array([0] * len(cut))], schema=repeats._ROWS) for cut in cuts]
         covered, seeds = {}, {}
         for b in repeats._settle_seeds(batches):
-            for doc, seed, runs in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, seed, runs, _ in zip(*(c.to_pylist() for c in b.columns)):
                 (seeds if seed else covered).setdefault(doc, set()).update(map(tuple, np.frombuffer(runs, "<i4").reshape(-1, 2).tolist()))
         flat = {d: {x for a, b in v for x in range(a, b)} for d, v in covered.items()}
         return flat, {d: frozenset(v) for d, v in seeds.items()}
@@ -134,3 +134,59 @@ def test_units_with_one_weak_hash_stay_apart(spark):
     got, _ = docstats.counts(np.frombuffer(blob.encode(), np.uint8), np.array([0, len(blob)]))
     want = brute_counts(blob)
     assert {k: int(got[k][0]) for k in want} == want
+
+
+def shared_ids(seed):
+    """Rows of which three share an id each, most with different texts."""
+    rng = random.Random(seed)
+    texts = [t for t in awkward(seed, 90)[:-1]]
+    lines = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 15))) for _ in range(12)]
+    texts += ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rows = [(i // 3, t) for i, t in enumerate(texts)] + [(1, "A b c d e f g h i j k l m n"), (5, "A b c d e f g h i j k l m n"), (5, " ".join(f"z{i}" for i in range(20)))]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_of_a_repeated_id_are_cut_by_their_own_text(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(repeats, "SEED_CHUNK", 300)
+    rows = shared_ids(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in substring_digests(docs).collect()) == sorted(want) and sum(r[2] for r in want) > 100
+
+    full = lambda t: [x for x in (t or "").split("\n") if words(x)]
+    runs, lone = {}, {}
+    for i, t in rows:
+        f = full(t)
+        for k, line in enumerate(f):
+            if k + 3 <= len(f):
+                runs[tuple(f[k : k + 3])] = min(i, runs.get(tuple(f[k : k + 3]), i))
+            if len(words(line)) >= 13:
+                lone[line] = min(i, lone.get(line, i))
+    want = []
+    for i, t in rows:
+        f, gone = full(t), set()
+        for k, line in enumerate(f):
+            if k + 3 <= len(f) and (runs[tuple(f[k : k + 3])] < i or any(f[j : j + 3] == f[k : k + 3] for j in range(k))):
+                gone |= {k, k + 1, k + 2}
+            if len(words(line)) >= 13 and (lone[line] < i or line in f[:k]):
+                gone.add(k)
+        kept, at = [], -1
+        for line in (t or "").split("\n"):
+            at += bool(words(line))
+            if not words(line) or at not in gone:
+                kept.append(line)
+        want.append((i, None if t is None else "\n".join(kept), len(gone)))
+    got = [(r.doc_id, r.text, r.n_removed_lines) for r in dedup_lines(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] for r in want) > 50
