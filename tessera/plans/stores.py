@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query
+from ..functions import text
 from ..operators.inverted import InvertedIndex
 from ..operators.names import NameIndex
 from ..operators.vectors import VectorIndex
@@ -62,7 +63,7 @@ def name_completions(spark, sf_dir):
     """Vendors with a word that begins as a client's name does, after three characters typed."""
     index = NameIndex(spark, new_folder(spark, "names"))
     index.rebuild(table(spark, sf_dir, "vendors").selectExpr("vendor_id AS place_id", "name"))
-    typed = table(spark, sf_dir, "clients").where("name IS NOT NULL AND client_id % 5 = 0").selectExpr("client_id AS query_id", "trim(substr(name, 1, 3)) AS q").where("q not like '% %' and q not like '%.%'")
+    typed = table(spark, sf_dir, "clients").where("name IS NOT NULL AND client_id % 5 = 0").selectExpr("client_id AS query_id", "substr(name, 1, 3) AS q").where(~F.contains(text.norm_name(F.col("q")), F.lit(" ")))
     return index.lookup(typed, 10, half_typed=True)
 
 
