@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text
+from . import covers
 
 #: Weight of each component, score of each status, related categories. Fixed values.
 WEIGHTS = {"text": 0.30, "distance": 0.20, "category": 0.08, "confidence": 0.08, "freshness": 0.07, "sources": 0.06, "status": 0.06, "rating_quality": 0.06, "popularity": 0.04, "open_now_boost": 0.05}
@@ -178,15 +179,17 @@ def geo_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     return a.join(b, ["cy", "cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("cy", "cx")
 
 
-def in_polygons(points: DataFrame, shapes: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Points (lon, lat) in the rings of shapes (unit, ring, admin_level if known): an equality join on the grid cells
-    that a ring's box covers, then its box, then ray casting; the deepest level first where levels are known."""
-    boxes = shapes.withColumn("box", geo.box_of(F.col("ring")))
-    span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long"))
-    boxes = boxes.withColumn("cx", F.explode(span(F.col("box.x0"), F.col("box.x1")))).withColumn("cy", F.explode(span(F.col("box.y0"), F.col("box.y1"))))
-    p = points.withColumn("cx", geo.cell(F.col("lon"), cell)).withColumn("cy", geo.cell(F.col("lat"), cell))
-    inside = F.col("lon").between(F.col("box.x0"), F.col("box.x1")) & F.col("lat").between(F.col("box.y0"), F.col("box.y1"))
-    return p.join(boxes, ["cx", "cy"]).where(inside).where(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).drop("cx", "cy", "box", "ring")
+def in_polygons(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Points (lon, lat) in shapes (rings or ring, and other columns that return): an equality join on the cells of their covers. Points in an
+    inner cell need no more; in a cell on the border rays are cast over the edges beside it. A point stands in one cell of a level and a cover's
+    cells are apart, so a pair comes once. Rows without coordinates are in no shape."""
+    cells = covers.cover(shapes)
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # covers.LEVELS numbers at most
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), geo.cell(F.col("lon"), covers.size_of(k)).alias("cx"), geo.cell(F.col("lat"), covers.size_of(k)).alias("cy")) for k in levels])) if levels else F.explode(F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>"))
+    p = points.where("lon is not null and lat is not null").select("*", at.alias("__at")).select("*", "__at.*").drop("__at")
+    lon, lat = F.col("lon"), F.col("lat")
+    crossed = F.filter("edges", lambda e: ((e.ay > lat) != (e.by > lat)) & (lon < (e.bx - e.ax) * (lat - e.ay) / (e.by - e.ay) + e.ax))
+    return p.join(cells, ["level", "cx", "cy"]).where(F.col("inner") | (F.size(crossed) % 2 == 1)).drop("level", "cx", "cy", "inner", "edges")
 
 
 #: Days by their names. Fixed values.
