@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import authority, understanding
+from ..functions import authority, text, understanding
+from ..sources.shared import new_folder, written
 from . import retrieval
+from .inverted import InvertedIndex
 
 #: What each mode may spend: queries, fetches, follow-ups, hops. Fixed values.
 BUDGETS = {"fast": (2, 3, 0, 1), "normal": (5, 8, 1, 2), "deep": (12, 20, 3, 3)}
@@ -62,34 +64,59 @@ def confidence(mean_score: Column) -> Column:
     return F.least(F.lit(1.0), mean_score / 2)
 
 
-def research(docs: DataFrame, queries: DataFrame, name: str = "normal", k: int = 10, year: int = 2024) -> tuple[DataFrame, DataFrame]:
+#: Names in found texts that a hop asks for, at most, and what a name looks like: words with a capital in a row.
+BRIDGES, NAME = 2, r"\p{Lu}[\p{L}\p{N}]+(?:[ \t]\p{Lu}[\p{L}\p{N}]+)*"
+
+
+def bridges(found: DataFrame, queries: DataFrame, most: int = BRIDGES) -> DataFrame:
+    """found (query_id, doc, text), queries (query_id, query): query_id, sub, asked: names that stand in what a query found and not in the query, those of
+    more words first, then those of more documents. Names of stopwords alone don't count."""
+    names = found.select("query_id", "doc", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(NAME), F.lit(0)))).alias("asked"))
+    rows = names.groupBy("query_id", "asked").agg(F.count_distinct("doc").alias("docs")).join(queries.select("query_id", "query"), "query_id")
+    words = text.index_terms(F.col("asked"))
+    fresh = rows.where((F.size(words) > 0) & (F.size(F.array_except(words, text.index_terms(F.col("query")))) > 0))
+    top = retrieval.top_k(fresh.withColumn("n", F.size(words)), most, ["query_id"], F.desc("n"), F.desc("docs"), F.col("asked"))
+    return top.select("query_id", (F.col("rank") + 999).alias("sub"), "asked")
+
+
+def research(docs: DataFrame, queries: DataFrame, name: str = "normal", k: int = 10, year: int = 2024, index: InvertedIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """Docs (doc_id, text), queries (query_id, query). (sources: query_id, doc, score, round; packs: query_id,
     rounds, n_sources, coverage, confidence, stopped).
 
     Round 0 asks the planned queries, fuses their lists by reciprocal rank and fetches the first documents. A query stops
-    at coverage .9 and confidence .85; else the next round asks it with " latest" behind, and only documents it has
-    not got count. All queries go through a round in one plan; there are as many rounds as the mode has follow-ups.
+    at coverage .9 and confidence .85; else the next round asks it with " latest" behind, as often as the mode has follow-ups, and,
+    within the mode's hops, for names that its last round's documents bring up (bridges); only documents it has
+    not got count. All queries go through a round in one plan. Lists come from a stored index, which is made of docs unless it is given, so a round reads the
+    postings of its words and no texts but those it fetched; each round's outcome is written before the next.
     """
+    spark = docs.sparkSession
     budget = Budget(name)
-    fetch = budget.limits["fetches"]
-    plan = planned_queries(queries, budget.limits["queries"], year)
-    held, open_, rounds = None, queries.select("query_id", "query"), None
+    fetch, follow, hops = budget.limits["fetches"], budget.limits["followups"], budget.hops
+    if index is None:
+        index = InvertedIndex(spark, new_folder(spark, "research"))
+        index.add(docs)
+    held, rounds, asked = None, None, planned_queries(queries, budget.limits["queries"], year)
     lengths = docs.select(F.col("doc_id").alias("doc"), F.length("text").alias("chars"))
-    for n in range(budget.limits["followups"] + 1):
-        asked = plan if n == 0 else open_.select("query_id", F.lit(0).alias("sub"), F.concat("query", F.lit(" latest")).alias("asked"))
+    last = max(follow, hops - 1)
+    for n in range(last + 1):
         named = asked.select(F.concat_ws("#", "query_id", "sub").alias("ask"), "query_id", F.col("asked").alias("query"))
-        hits = retrieval.bm25_topk(docs, named.select(F.col("ask").alias("query_id"), "query"), k).withColumnRenamed("query_id", "ask").join(named.select("ask", "query_id"), "ask")
+        hits = index.search(named.select(F.col("ask").alias("query_id"), "query"), k).withColumnRenamed("query_id", "ask").join(named.select("ask", "query_id"), "ask")
         best = hits.groupBy("query_id", "doc").agg(F.max("score").alias("score"), F.sum(1 / (60 + F.col("rank"))).alias("rrf"))
         if held is not None:
             best = best.join(held.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
         top = retrieval.top_k(best, fetch, ["query_id"], F.desc("rrf"), "doc").select("query_id", "doc", "score", F.lit(n).alias("round"))
-        held = top if held is None else held.unionByName(top)
+        held = written(top if held is None else held.unionByName(top), "sources")
         state = held.join(lengths, "doc").groupBy("query_id").agg(F.count("*").alias("n_sources"), F.round(coverage(F.sum("chars")), 6).alias("coverage"), F.round(confidence(F.avg("score")), 6).alias("confidence"), F.max("round").alias("last"))
         rounds = queries.select("query_id").join(state, "query_id", "left").fillna(0, ["n_sources", "coverage", "confidence", "last"])
         stop = (F.col("coverage") >= 0.9) & (F.col("confidence") >= 0.85)
-        rounds = rounds.select("query_id", (F.col("last") + 1).alias("rounds"), "n_sources", "coverage", "confidence", stop.alias("stopped"))
-        if n < budget.limits["followups"]:
+        rounds = written(rounds.select("query_id", (F.col("last") + 1).alias("rounds"), "n_sources", "coverage", "confidence", stop.alias("stopped")), "rounds")
+        if n < last:
             open_ = queries.select("query_id", "query").join(rounds.where("not stopped").select("query_id"), "query_id")
+            again = open_.select("query_id", F.lit(0).alias("sub"), F.concat("query", F.lit(" latest")).alias("asked")).where(F.lit(n < follow))
+            if n + 1 < hops:
+                fresh = held.where(F.col("round") == n).join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+                again = again.unionByName(bridges(fresh.select("query_id", "doc", "text"), open_))
+            asked = written(again, "asked")
     return held, rounds
 
 
@@ -156,7 +183,7 @@ def business_search(lanes: DataFrame, queries: DataFrame, most: int) -> tuple[Da
 def evidence_batch(sources: DataFrame, bodies: DataFrame, most_passages: int = 12, most_per_source: int = 3) -> tuple[DataFrame, DataFrame]:
     """Sources (query_id, pos, url, query) with what was read (url, text or null, error): (passages, rows of the sources that
     gave none and why). Each address once, private hosts refused, passages reranked and capped for the query and the source."""
-    from ..functions import text, urls
+    from ..functions import urls
     from . import rerank
 
     first = retrieval.first_per_key(sources, ["query_id", "url"])
