@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, scores, text
+from ..sources.shared import written
+from .nearest import nearest
 
 WEIGHTS = {"name": 0.45, "geo": 0.25, "phone": 0.15, "website": 0.10, "category": 0.05}
 THRESHOLD = 0.62
@@ -18,23 +20,43 @@ RELATED = {
 }
 
 
+#: Places that share a token and a unit, above which they are met by nearness.
+HOT = 500
+
+
+def _by_token(st: DataFrame, pt: DataFrame, s: DataFrame, p: DataFrame, most: int) -> DataFrame:
+    """s_id, p_id of equal unit and token: all of them where a token has HOT places or fewer (or `most` is more than that), else the nearest."""
+    same = (F.col("s_admin") == F.col("p_admin")) & (F.col("s_token") == F.col("p_token"))
+    if most > HOT:
+        return st.join(pt, same)
+    hot = pt.groupBy("p_admin", "p_token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("p_admin").alias("__a"), F.col("p_token").alias("__t"))
+    hot = written(hot, "hot_tokens")
+    plain = st.join(pt.join(hot, (F.col("p_admin") == F.col("__a")) & (F.col("p_token") == F.col("__t")), "left_anti"), same)
+    if hot.isEmpty():
+        return plain
+    theirs = pt.join(hot, (F.col("p_admin") == F.col("__a")) & (F.col("p_token") == F.col("__t"))).drop("__a", "__t")
+    mine = st.join(hot, (F.col("s_admin") == F.col("__a")) & (F.col("s_token") == F.col("__t"))).drop("__a", "__t")
+    spot = lambda rows, every, side: rows.join(every.select(f"{side}_id", F.col(f"{side}_lat").cast("double").alias("lat"), F.col(f"{side}_lon").cast("double").alias("lon")), f"{side}_id").select(f"{side}_id", "lat", "lon", F.col(f"{side}_admin").alias("admin"), F.col(f"{side}_token").alias("token"))
+    return plain.select("s_id", "p_id").union(nearest(spot(mine, s, "s"), spot(theirs, p, "p"), ["admin", "token"], most))
+
+
 def block_pairs(src: DataFrame, places: DataFrame, near_m: float = NEAR_M, most: int = 50) -> DataFrame:
     """Candidate places of each record: same phone, or same domain, or same admin unit and a shared name
     token of three characters, or within near_m; at most `most`, by phone, domain, distance, id.
 
     An OR over joins would be a nested loop; here each rule is its own equality join (the last on grid
-    cells and their neighbours) and the union is made distinct.
+    cells and their neighbours) and the union is made distinct. A token that more than HOT places of a unit share is met by nearest(): of its places
+    only the `most` nearest of a record can be among its best, since whoever shares phone or domain comes by those rules.
     """
     s, p = src.select(*[F.col(c).alias(f"s_{c}") for c in src.columns]), places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns])
     ids = ["s_id", "p_id"]
     by_phone = s.join(p, F.col("s_phone") == F.col("p_phone")).select(*ids)
     by_domain = s.join(p, F.col("s_domain") == F.col("p_domain")).select(*ids)
     long = lambda df, side: df.select(f"{side}_id", f"{side}_admin", F.explode(F.filter(text.name_tokens(F.col(f"{side}_name")), lambda t: F.length(t) >= 3)).alias(f"{side}_token"))
-    by_token = long(s, "s").join(long(p, "p"), (F.col("s_admin") == F.col("p_admin")) & (F.col("s_token") == F.col("p_token"))).select(*ids)
-    dy = near_m / 111_000 * 1.01
-    dx = dy * 3  # enough up to 70 degrees of latitude
-    around = s.where("s_lat is not null and s_lon is not null").withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("s_lat"), dy)))).withColumn("cx", F.explode(geo.neighbours(geo.cell(F.col("s_lon"), dx))))
-    located = p.where("p_lat is not null and p_lon is not null").withColumn("cy", geo.cell(F.col("p_lat"), dy)).withColumn("cx", geo.cell(F.col("p_lon"), dx))
+    by_token = _by_token(long(s, "s"), long(p, "p"), s, p, most).select(*ids)
+    dy = min(near_m / geo.METRES_A_DEGREE * 1.01, 90.0)
+    around = s.where("s_lat is not null and s_lon is not null").withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("s_lat"), dy)))).withColumn("cx", F.explode(geo.cells_within(F.col("s_lat"), F.col("s_lon"), F.col("cy"), dy)))
+    located = p.where("p_lat is not null and p_lon is not null").withColumn("cy", geo.cell(F.col("p_lat"), dy)).withColumn("cx", geo.cell_in_band(F.col("p_lon"), F.col("cy"), dy))
     dist = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("p_lat"), F.col("p_lon"))
     by_place = around.join(located, ["cy", "cx"]).where(dist <= near_m).select(*ids)
     pairs = by_phone.union(by_domain).union(by_token).union(by_place).distinct().join(s, "s_id").join(p, "p_id").withColumn("dist_m", dist)
