@@ -31,8 +31,11 @@ class Generations:
         at = self._path("state.json")
         if not self._fs().exists(at):
             return {}
-        rows = self.spark.read.text(f"{self.root}/state.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        stream = self._fs().open(at)
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _save(self, **changes) -> dict:
         now = self.state() | changes

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .generations import Generations
 
 #: Folders that keys are hashed to, deltas that are merged on reading before they are folded in, and delta rows whose keys may be broadcast.
-BUCKETS, MOST_DELTAS, BROADCAST_ROWS = 64, 8, 200_000
+BUCKETS, MOST_DELTAS, BROADCAST_ROWS = 32, 8, 200_000
 
 
 class KeyedTable:
@@ -52,6 +52,8 @@ class KeyedTable:
         state = self.state()
         if not state:
             return self.rebuild(rows)
+        if deleted is None and rows.isEmpty():
+            return state
         schema = self._schema(state)
         named = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
         delta = named.where(F.col(self.key).isNotNull()).withColumn("__gone", F.lit(False))
@@ -59,14 +61,16 @@ class KeyedTable:
             gone = deleted.select(F.col(self.key).cast(schema[self.key].dataType).alias(self.key)).where(F.col(self.key).isNotNull()).distinct().join(named.select(self.key), self.key, "left_anti")
             delta = delta.unionByName(gone.withColumn("__gone", F.lit(True)), allowMissingColumns=True)
         number = state["number"] + 1
-        if delta.isEmpty():
-            return state
         orderable = [f.name for f in schema if f.dataType.typeName() != "map"]
-        last = delta.groupBy(self.key).agg(F.max_by(F.struct(*delta.columns), F.struct(*orderable)).alias("r")).select("r.*")
-        self._write(last, f"d{number}", coalesce=True)
-        held = self.spark.read.schema(f"bucket int, {self.key} {schema[self.key].dataType.simpleString()}").parquet(f"{self.root}/d{number}")
-        counts = dict(held.groupBy("bucket").count().collect())  # `buckets` numbers at most
-        now = self._moved(number, deltas=[*state["deltas"], {"name": f"d{number}", "rows": sum(counts.values()), "buckets": sorted(counts)}])
+        # one exchange: rows of a key meet where their bucket goes, and a small delta is one file
+        dealt = delta.withColumn("bucket", self._bucket()).repartition("bucket")
+        last = dealt.groupBy("bucket", self.key).agg(F.max_by(F.struct(*delta.columns), F.struct(*orderable)).alias("r")).select("r.*", "bucket")
+        seen = Observation()
+        last.observe(seen, F.count(F.lit(1)).alias("rows"), F.collect_set("bucket").alias("buckets")).write.mode("overwrite").parquet(f"{self.root}/d{number}")
+        if not seen.get["rows"]:
+            self._drop(f"d{number}")
+            return state
+        now = self._moved(number, deltas=[*state["deltas"], {"name": f"d{number}", "rows": seen.get["rows"], "buckets": sorted(seen.get["buckets"])}])
         return self.compact() if len(now["deltas"]) >= self.most_deltas else now
 
     def delete(self, keys: DataFrame) -> dict:
@@ -90,8 +94,9 @@ class KeyedTable:
 
     def get(self, value) -> DataFrame:
         """One key's row, read from its bucket."""
-        wanted = self.spark.createDataFrame([(value,)], f"{self.key} {self._schema(self.state())[self.key].dataType.simpleString()}")
-        return self.read([wanted.select(self._bucket()).first()[0]]).where(F.col(self.key) == F.lit(value))
+        kind = self._schema(self.state())[self.key].dataType
+        bucket = self.spark.range(1).select(F.lit(value).cast(kind).alias(self.key)).select(self._bucket()).first()[0]
+        return self.read([bucket]).where(F.col(self.key) == F.lit(value))
 
     def compact(self) -> dict:
         """Deltas folded into the buckets that they touch; the others' files stay as they are. Files that no manifest names any more go."""
@@ -116,10 +121,8 @@ class KeyedTable:
     def _schema(self, state: dict):
         return StructType.fromJson(json.loads(state["schema"]))
 
-    def _write(self, rows: DataFrame, name: str, coalesce: bool = False) -> None:
-        dealt = rows.withColumn("bucket", self._bucket())
-        # a delta is one small shuffle; Spark merges its partitions by size, so it leaves few files
-        dealt = dealt.repartition("bucket") if coalesce else dealt.repartition(self.buckets, "bucket")
+    def _write(self, rows: DataFrame, name: str) -> None:
+        dealt = rows.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket")
         dealt.sortWithinPartitions("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}")
 
     def _base_files(self, name: str) -> list[int]:
@@ -130,9 +133,14 @@ class KeyedTable:
         self._manifest._fs().delete(self._manifest._path(name), True)
 
     def _base(self, state: dict, buckets: list[int] | None) -> DataFrame:
-        schema = self._schema(state)
-        chosen = [f"{self.root}/{n}/bucket={b}" for b, n in state["base"].items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*chosen) if chosen else self.spark.createDataFrame([], schema)
+        schema, out = self._schema(state), None
+        for name in sorted(set(state["base"].values())):
+            mine = [int(b) for b, n in state["base"].items() if n == name and (buckets is None or int(b) in buckets)]
+            if mine:
+                # buckets that a later folder has replaced, and those not asked for, are left out by the folder's name
+                rows = self.spark.read.schema(StructType([*schema]).add("bucket", "integer")).parquet(f"{self.root}/{name}").where(F.col("bucket").isin(*mine)).select(*schema.names)
+                out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def _deltas(self, state: dict, buckets: list[int] | None) -> DataFrame | None:
         schema = self._schema(state).add("__gone", "boolean").add("bucket", "integer")
