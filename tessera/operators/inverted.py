@@ -12,7 +12,7 @@ from ..sources.shared import written
 from .retrieval import top_k
 
 #: Buckets that terms are hashed to, documents in a span, bands of document lengths, spans that are scored first.
-BUCKETS, SPAN_DOCS, BANDS, PROBES = 64, 256, 16, 4
+BUCKETS, SPAN_DOCS, BANDS, PROBES = 16, 256, 16, 4
 BLOCK = "bucket int, term string, span int, n int, most_tf int, least_length int, postings array<struct<doc: long, tf: int, length: int>>"
 
 

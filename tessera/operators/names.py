@@ -10,7 +10,7 @@ from ..sources.generations import Generations
 from .retrieval import top_k
 
 #: Folders of the index, and the longest prefix that has an entry; longer ones are found by it and compared in full.
-BUCKETS, PREFIX = 32, 8
+BUCKETS, PREFIX = 16, 8
 #: Length from which a word may have one edit, and two. Fixed values.
 ONE_EDIT, TWO_EDITS = 3, 6
 #: What a word counts that is met in full, by its beginning, by a spelling one or two edits away. Fixed values.
