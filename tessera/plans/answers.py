@@ -76,11 +76,11 @@ def filtered_answers(spark, sf_dir):
     return out.select("key", F.md5(F.encode("answer", "UTF-8")).alias("answer"), "claims_verified", "claims_removed", "all_removed")
 
 
-@query("answer_confidence", "WITH c AS (SELECT user_id AS key, event_type = 'view' AS verified FROM events WHERE event_id % 3 = 0), e AS (SELECT user_id AS key, least(value / 100, 1.0) AS support FROM events WHERE event_id % 5 = 0), a AS (SELECT key, avg(CAST(verified AS INT)) AS share FROM c GROUP BY 1), b AS (SELECT key, avg(support) AS mean FROM e GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, round(CASE WHEN mean IS NULL THEN coalesce(share, 0.5) ELSE least(coalesce(share, 0.5) * (1 + mean), 1.0) END, 3) AS confidence FROM a FULL JOIN b ON a.key = b.key")
+@query("answer_confidence", "WITH c AS (SELECT user_id AS key, event_type = 'view' AS verified FROM events), e AS (SELECT user_id + 3 AS key, least(value / 100, 1.0) AS support FROM events), a AS (SELECT key, avg(CAST(verified AS INT)) AS share FROM c GROUP BY 1), b AS (SELECT key, avg(support) AS mean FROM e GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, round(CASE WHEN mean IS NULL THEN coalesce(share, 0.5) ELSE least(coalesce(share, 0.5) * (1 + mean), 1.0) END, 3) AS confidence FROM a FULL JOIN b ON a.key = b.key")
 def answer_confidence(spark, sf_dir):
-    """O33."""
+    """Claims of a user beside the evidence three numbers before, so that the first have claims and the last evidence alone."""
     e = table(spark, sf_dir, "events")
-    return synthesis.confidences(e.where("event_id % 3 = 0").selectExpr("user_id AS key", "event_type = 'view' AS verified"), e.where("event_id % 5 = 0").selectExpr("user_id AS key", "least(value / 100, 1D) AS support"))
+    return synthesis.confidences(e.selectExpr("user_id AS key", "event_type = 'view' AS verified"), e.selectExpr("user_id + 3 AS key", "least(value / 100, 1D) AS support"))
 
 
 @query("grounded_citations", f"""WITH b AS (SELECT item_id, list_distinct(list_filter({SQL_WORDS.format(x='text')}, lambda w: length(w) > 1 AND w NOT IN ({_STOP}))) AS k FROM benchmark), d AS (SELECT doc_id, doc_id % 40 AS item_id, {SQL_WORDS.format(x='text')} AS w FROM documents)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import payload, scores, text
+from ..functions import payload, scores, text, urls
 from ..operators import answers, crawl, rerank
 from .common import HITS, NOW, hits, table
-from .texts import _values
 
 
 @query("source_composites", f"""WITH x AS (SELECT o_orderkey AS key, (o_custkey % 100) / 100.0 AS rel, (o_custkey % 10) / 10.0 AS auth, greatest(0, 0) AS z, (o_orderkey % 15) / 10.0 AS engine, epoch({NOW} - o_orderdate) / 86400.0 AS age, CASE o_orderkey % 3 WHEN 0 THEN 'legal' WHEN 1 THEN 'news' ELSE '' END AS lane FROM orders),
@@ -53,49 +52,56 @@ def extraction_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rerank.extraction_quality(F.col("text"), F.col("n_chars") * 5).alias("quality"))
 
 
-_PAYLOADS = [
-    (1, '{"review_rating": 4.5, "review_count": "1,234", "price_range": " $$ ", "images": ["http://a/1", {"u": "http://a/2"}, "http://a/1", "ftp://x"]}'),
-    (2, '{"review_rating": "5.0000001", "review_count": 1.5}'),
-    (3, '{"review_rating": true, "review_count": "12,34", "price_range": ""}'),
-    (4, "not json"),
-    (5, '{"review_rating": 0, "review_count": 7, "images": []}'),
-]
-_RICH = [(1, "4.5", 1234, "$$", "http://a/1 http://a/2"), (2, None, None, None, None), (3, None, None, None, None), (4, None, None, None, None), (5, "0.0", 7, None, None)]
+_PAYLOADS = """SELECT click_id AS id, CASE WHEN click_id % 13 = 0 THEN concat('not json ', click_id) ELSE concat('{"review_rating": ', CASE WHEN click_id % 17 = 0 THEN 'true' WHEN click_id % 2 = 0 THEN concat(click_id % 70 // 10, '.', click_id % 10) ELSE concat('"', click_id % 7, '.0"') END,
+', "review_count": ', CASE click_id % 4 WHEN 0 THEN concat(click_id % 5000) WHEN 1 THEN concat('"', 1 + click_id % 9, ',', lpad(CAST(coalesce(client_id, 0) % 1000 AS string), 3, '0'), '"') WHEN 2 THEN '"12,34"' ELSE concat(click_id % 50, '.5') END,
+', "price_range": "', coalesce(concat(' ', kind, ' '), ' '), '", "images": [', CASE WHEN click_id % 3 = 0 THEN concat('"http://a/', coalesce(client_id, 0), '", {"u": ["https://b/', click_id, '"]}, "http://a/', coalesce(client_id, 0), '", "ftp://x"') ELSE '' END, ']}') END AS payload FROM clicks"""
 
 
-@query("rich_fields", f"SELECT * FROM (VALUES {_values(_RICH)}) AS t(id, rating, reviews, price, images)")
+def payload_fields(rows):
+    """rows (id, payload): the fields beyond the common ones, as strings where they are decimals."""
+    p = F.col("payload")
+    return rows.select("id", payload.rating(p).cast("string").alias("rating"), payload.review_count(p).alias("reviews"), payload.price_level(p).alias("price"), F.array_join(payload.image_urls(p), " ").alias("images"))
+
+
+@query("rich_fields", """SELECT click_id AS id, CASE WHEN ok AND click_id % 17 > 0 THEN CASE WHEN click_id % 2 = 0 THEN CASE WHEN click_id % 70 <= 50 THEN concat(click_id % 70 // 10, '.', click_id % 10) END WHEN click_id % 7 <= 5 THEN concat(click_id % 7, '.0') END END AS rating,
+CASE WHEN ok THEN CASE click_id % 4 WHEN 0 THEN click_id % 5000 WHEN 1 THEN (1 + click_id % 9) * 1000 + coalesce(client_id, 0) % 1000 END END AS reviews, CASE WHEN ok THEN kind END AS price, CASE WHEN ok AND click_id % 3 = 0 THEN concat('http://a/', coalesce(client_id, 0), ' https://b/', click_id) END AS images FROM (SELECT *, click_id % 13 > 0 AS ok FROM clicks)""")
 def rich_fields(spark, sf_dir):
     """N01, N02."""
-    r, p = spark.createDataFrame(_PAYLOADS, "id int, payload string"), F.col("payload")
-    return r.select("id", payload.rating(p).cast("string").alias("rating"), payload.review_count(p).alias("reviews"), payload.price_level(p).alias("price"), F.array_join(payload.image_urls(p), " ").alias("images"))
+    table(spark, sf_dir, "clicks").createOrReplaceTempView("tessera_clicks")
+    return payload_fields(spark.sql(_PAYLOADS.replace(" // ", " div ").replace("FROM clicks", "FROM tessera_clicks")))
 
 
-_ROBOTS = [("a.com", "User-agent: bot\nUser-agent: other\nDisallow: /x\nAllow: /x/ok\nSitemap: s\n\nUser-agent: *\nDisallow: /"), ("b.com", "Disallow: /\nUser-agent: *\nDisallow: /*.pdf$\nAllow: /p\nDisallow: /p\nCrawl-delay: 2")]
-_PATHS = [(1, "a.com", "/x/1", False), (2, "a.com", "/x/ok", True), (3, "a.com", "/y", True), (4, "b.com", "/f.pdf", False), (5, "b.com", "/f.pdf?q", True), (6, "b.com", "/p", True), (7, "c.com", "/", True), (8, "a.com", "/robots.txt", True)]
+_BODIES = ("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/4\nDisallow: /fr/$", "User-agent: Bot\nDisallow: /*.html$\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /", "User-agent: *\nDisallow: /")
+_HOSTS = r"SELECT page_id AS url_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages"
 
 
-@query("robots_verdicts", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, _, _, ok in _PATHS) + ") AS t(url_id, allowed)")
+@query("robots_verdicts", rf"""WITH r AS ({_HOSTS}) SELECT url_id, CASE length(host) % 4 WHEN 0 THEN NOT ((starts_with(path, '/en/') AND NOT starts_with(path, '/en/4')) OR path = '/fr/') WHEN 1 THEN NOT ends_with(path, '.html') WHEN 2 THEN path = '/robots.txt' ELSE true END AS allowed FROM r""")
 def robots_verdicts(spark, sf_dir):
-    """F25, F26."""
-    rules = crawl.robots_rules(spark.createDataFrame(_ROBOTS, "host string, body string"))
-    return crawl.robots_verdicts(spark.createDataFrame([p[:3] for p in _PATHS], "url_id int, host string, path string"), rules, "Bot")
+    """every page's address under its host's rules; hosts get one of three files, or none, by their length."""
+    r = table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    files = r.select("host", F.get(F.array(*map(F.lit, _BODIES)), F.length("host") % 4).alias("body")).where("body IS NOT NULL").distinct()
+    return crawl.robots_verdicts(r, crawl.robots_rules(files), "Bot")
+
+
+def answer_columns(rows):
+    """rows (id, answer, facts, cited, expected): what of the facts and sources an answer covers, to three places."""
+    c = F.col
+    three = lambda x: F.round(x, 3).cast("string")
+    return rows.select("id", three(answers.fact_coverage(c("answer"), c("facts"))).alias("facts"), three(answers.citation_precision(c("cited"), c("expected"))).alias("precision"), three(answers.citation_recall(c("cited"), c("expected"))).alias("recall"), three(answers.cited_source_coverage(c("cited"), c("expected"))).alias("sources"))
 
 
-_ANSWERS = [
-    (1, "Đà Nẵng has 1.2 million people", ["da nang", "1.2 million", "x", " "], ["https://www.a.com/p/", "http://b.org/1"], ["http://a.com/p", "https://c.net/z"]),
-    (2, "", [], [], ["http://a.com"]),
-    (3, None, ["f"], ["http://a.com/other"], []),
-]
-_METRICS = [(1, "0.667", "0.5", "0.5", "0.5"), (2, None, None, "0.0", "0.0"), (3, "0.0", None, None, None)]
+_HALVES = "CASE CAST(doc_id % 5 = doc_id % 3 AS INT) + CAST(doc_id % 4 = 1 AS INT) WHEN 2 THEN '1.0' WHEN 1 THEN '0.5' ELSE '0.0' END"
 
 
-@query("answer_metrics", f"SELECT * FROM (VALUES {_values(_METRICS)}) AS t(id, facts, precision, recall, sources)")
+@query("answer_metrics", f"""WITH d AS (SELECT doc_id, trim(substr(text, 1, 20)) <> '' AND text IS NOT NULL AS has, contains(strip_accents(lower(coalesce(text, ''))), 'the') AS the FROM documents)
+SELECT doc_id AS id, CASE WHEN has THEN CASE WHEN the THEN '0.667' ELSE '0.333' END WHEN the THEN '0.5' ELSE '0.0' END AS facts, CASE WHEN doc_id % 7 > 0 AND doc_id % 11 > 0 THEN {_HALVES} END AS precision,
+CASE WHEN doc_id % 11 > 0 THEN CASE WHEN doc_id % 7 > 0 THEN {_HALVES} ELSE '0.0' END END AS recall, CASE WHEN doc_id % 11 > 0 THEN CASE WHEN doc_id % 7 > 0 THEN {_HALVES} ELSE '0.0' END END AS sources FROM d""")
 def answer_metrics(spark, sf_dir):
-    """A31, A35-A37, A40, J17, O38."""
-    r = spark.createDataFrame(_ANSWERS, "id int, answer string, facts array<string>, cited array<string>, expected array<string>")
-    c = F.col
-    three = lambda x: F.round(x, 3).cast("string")
-    return r.select("id", three(answers.fact_coverage(c("answer"), c("facts"))).alias("facts"), three(answers.citation_precision(c("cited"), c("expected"))).alias("precision"), three(answers.citation_recall(c("cited"), c("expected"))).alias("recall"), three(answers.cited_source_coverage(c("cited"), c("expected"))).alias("sources"))
+    """Every document as an answer that is to hold its own beginning, a common word and a fact it lacks."""
+    cited = "CASE WHEN doc_id % 7 > 0 THEN array(concat('https://www.s', doc_id % 5, '.org/p/'), concat('http://c', doc_id % 4, '.net/1')) ELSE CAST(array() AS array<string>) END AS cited"
+    wanted = "CASE WHEN doc_id % 11 > 0 THEN array(concat('http://s', doc_id % 3, '.org/q'), concat('https://C1.net/', doc_id % 2)) ELSE CAST(array() AS array<string>) END AS expected"
+    d = table(spark, sf_dir, "documents")
+    return answer_columns(d.selectExpr("doc_id AS id", "text AS answer", "array(coalesce(substr(text, 1, 20), ' '), 'THE ', concat('no such fact ', doc_id), ' ') AS facts", cited, wanted))
 
 
 @query("passage_rerank")

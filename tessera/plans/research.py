@@ -87,16 +87,16 @@ def news_results(spark, sf_dir):
     return research.news(h, 5).select("query_id", "key", "score", "rank")
 
 
-@query("cached_answers", "WITH q AS (SELECT vec_id AS query_id, label % 3 AS suffix, embedding AS e FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 40 > 0), i AS (SELECT vec_id AS pos, label % 3 AS suffix, embedding AS x FROM embeddings WHERE vec_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id DESC) <= 200) SELECT query_id, concat('k', min(pos)) AS key FROM q JOIN i ON q.suffix = i.suffix AND list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(x AS DOUBLE[])) >= 0.5 GROUP BY 1")
+@query("cached_answers", "WITH q AS (SELECT vec_id AS query_id, label % 3 AS suffix, embedding AS e FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 40 > 0), i AS (SELECT vec_id AS pos, label % 3 AS suffix, embedding AS x FROM embeddings QUALIFY row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id DESC) <= 200) SELECT query_id, concat('k', min(pos)) AS key FROM q JOIN i ON q.suffix = i.suffix AND list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(x AS DOUBLE[])) >= 0.5 GROUP BY 1")
 def cached_answers(spark, sf_dir):
-    """The first cached answer whose question is near; questions about today never come from the cache."""
+    """The first of the last 200 cached answers of a suffix (the index's limit) whose question is near; questions about today never come from the cache."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "label % 3 AS suffix", "CASE WHEN vec_id % 40 > 0 THEN 'what is it' ELSE 'news today' END AS query", "embedding")
-    i = e.where("vec_id % 3 = 0").selectExpr("vec_id AS pos", "label % 3 AS suffix", "concat('k', vec_id) AS key", "embedding")
+    i = e.selectExpr("vec_id AS pos", "label % 3 AS suffix", "concat('k', vec_id) AS key", "embedding")
     return research.cached_answers(q, i, 0.5, 200)
 
 
-_CANDIDATES = f"SELECT s_suppkey % 7 AS query_id, s_suppkey AS pos, concat(CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'Quán Phở ' END, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE CAST(s_suppkey % 12 AS string) END) AS name, {_pick(('restaurant', 'cafe', '', None, 'bank'), 's_suppkey')} AS category, CASE WHEN s_suppkey % 2 = 0 THEN concat(s_suppkey % 12, ' Lê Lợi') END AS address, CASE WHEN s_suppkey % 3 = 0 THEN concat('0901', lpad(CAST(s_suppkey % 12 AS string), 6, '0')) END AS phone, CAST(NULL AS string) AS hours, CAST(NULL AS DOUBLE) AS rating, CAST(NULL AS string) AS price_level, CASE WHEN s_suppkey % 5 = 0 THEN 'https://pho.vn' END AS website, CASE WHEN s_suppkey % 4 > 0 THEN CAST({_LAT.format(k='s_suppkey')} AS DOUBLE) END AS lat, CASE WHEN s_suppkey % 4 > 0 THEN CAST({_LON.format(k='s_suppkey')} AS DOUBLE) END AS lon, CAST(NULL AS string) AS description, concat('u', s_suppkey % 30) AS source_url, 'web' AS origin FROM supplier"
+_CANDIDATES = f"SELECT CAST(floor(s_suppkey / 40) AS BIGINT) AS query_id, s_suppkey AS pos, concat(CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'Quán Phở ' END, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE CAST(s_suppkey % 12 AS string) END) AS name, {_pick(('restaurant', 'cafe', '', None, 'bank'), 's_suppkey')} AS category, CASE WHEN s_suppkey % 2 = 0 THEN concat(s_suppkey % 12, ' Lê Lợi') END AS address, CASE WHEN s_suppkey % 3 = 0 THEN concat('0901', lpad(CAST(s_suppkey % 12 AS string), 6, '0')) END AS phone, CAST(NULL AS string) AS hours, CAST(NULL AS DOUBLE) AS rating, CAST(NULL AS string) AS price_level, CASE WHEN s_suppkey % 5 = 0 THEN 'https://pho.vn' END AS website, CASE WHEN s_suppkey % 4 > 0 THEN CAST({_LAT.format(k='s_suppkey')} AS DOUBLE) END AS lat, CASE WHEN s_suppkey % 4 > 0 THEN CAST({_LON.format(k='s_suppkey')} AS DOUBLE) END AS lon, CAST(NULL AS string) AS description, concat('u', s_suppkey % 30) AS source_url, 'web' AS origin FROM supplier"
 _duck = lambda s: s.replace("AS string)", "AS VARCHAR)")
 
 
@@ -175,11 +175,11 @@ def place_candidates(spark, sf_dir):
     return extract.place_candidates(_sql(spark, _META)).select("external_id", "raw_name", "raw_address", "raw_phone", "lat", "lon", "raw_category")
 
 
-@query("pois_around", f"WITH p AS (SELECT s_suppkey AS id, s_name AS name, CAST({_LAT.format(k='s_suppkey')} AS DOUBLE) AS lat, CAST({_LON.format(k='s_suppkey')} AS DOUBLE) AS lon FROM supplier WHERE s_suppkey % 2 = 0) SELECT name, round({sql_haversine('15.5', '105.5', 'lat', 'lon')}, 3) AS distance_m FROM p WHERE {sql_haversine('15.5', '105.5', 'lat', 'lon')} <= 300000 ORDER BY 2, 1 LIMIT 50")
+@query("pois_around", f"WITH p AS (SELECT s_suppkey AS id, s_name AS name, CAST({_LAT.format(k='s_suppkey')} AS DOUBLE) AS lat, CAST({_LON.format(k='s_suppkey')} AS DOUBLE) AS lon FROM supplier) SELECT name, round({sql_haversine('15.5', '105.5', 'lat', 'lon')}, 3) AS distance_m FROM p WHERE {sql_haversine('15.5', '105.5', 'lat', 'lon')} <= 300000 ORDER BY 2, 1 LIMIT 50")
 def pois_around(spark, sf_dir):
     """The nearest points with a tag."""
-    p = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", f"CAST({_LAT.format(k='s_suppkey')} AS DOUBLE) AS lat", f"CAST({_LON.format(k='s_suppkey')} AS DOUBLE) AS lon", "CASE WHEN s_suppkey % 2 = 0 THEN map('amenity', 'cafe') ELSE map('shop', 'x') END AS tags")
-    return extract.pois_around(p, 15.5, 105.5, 300.0, "amenity", "cafe").select("name", F.round("distance_m", 3).alias("distance_m"))
+    p = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", f"CAST({_LAT.format(k='s_suppkey')} AS DOUBLE) AS lat", f"CAST({_LON.format(k='s_suppkey')} AS DOUBLE) AS lon", "map('amenity', CASE WHEN s_suppkey % 2 = 0 THEN 'cafe' ELSE 'bar' END) AS tags")
+    return extract.pois_around(p, 15.5, 105.5, 300.0, "amenity").select("name", F.round("distance_m", 3).alias("distance_m"))
 
 
 _DATED = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN '2024-01-05T10:00:00Z' WHEN 1 THEN '2024-01-05 10:00:00' WHEN 2 THEN '2023-12-01' WHEN 3 THEN '5/1/2024' WHEN 4 THEN 'soon' WHEN 5 THEN '' WHEN 6 THEN '2024-01-05T10:00:00+07:00' END AS raw, concat('{"a": {"datePublished": "', CASE event_id % 4 WHEN 0 THEN '2024-01-30' WHEN 1 THEN '2023-06-01' WHEN 2 THEN 'x' ELSE '2020-01-01' END, '"}, "first_seen": "2024-01-20", "meta": [{"property": "og:updated_time", "content": "', CASE WHEN event_id % 3 = 0 THEN '2024-01-25T00:00:00Z' ELSE '' END, '"}], "content_hash": "h', event_id % 2, '", "previous_content_hash": "h1"}') AS metadata FROM events"""

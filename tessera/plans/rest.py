@@ -120,17 +120,17 @@ def new_places(spark, sf_dir):
     return ingest.new_places(s, 1000).agg(F.count("*").alias("n"), F.min("place_id").alias("lowest"), F.max("place_id").alias("highest"), F.countDistinct("place_id").alias("ids"))
 
 
-_SITES = "SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\\\.', '') AS domain FROM pages WHERE page_id % 3 = 0"
+_SITES = "SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[.]', '') AS domain, page_id FROM pages"
 
 
-@query("expanded_seeds", rf"""WITH s AS ({_SITES.replace(chr(92) * 2, chr(92))}), m AS (SELECT domain, concat('https://', domain, '/m', page_id % 4) AS url, 0 AS how FROM s, pages WHERE page_id % 50 = 0), f AS (SELECT domain, concat('https://feeds.', domain, '/f') AS url, 1 AS how FROM s UNION ALL SELECT domain, 'https://other.org/f', 1 FROM s), p AS (SELECT domain, concat('https://', domain, x) AS url, 2 AS how FROM s, (VALUES ('/sitemap.xml'), ('/feed'), ('/rss')) t(x)),
+@query("expanded_seeds", rf"""WITH d AS ({_SITES}), s AS (SELECT DISTINCT domain FROM d), m AS (SELECT domain, concat('https://', domain, '/m', page_id % 4) AS url, 0 AS how FROM d), f AS (SELECT domain, concat('https://feeds.', domain, '/f') AS url, 1 AS how FROM s UNION ALL SELECT domain, 'https://other.org/f', 1 FROM s), p AS (SELECT domain, concat('https://', domain, x) AS url, 2 AS how FROM s, (VALUES ('/sitemap.xml'), ('/feed'), ('/rss')) t(x)),
 a AS (SELECT domain, url, min(how) AS how FROM (SELECT * FROM m UNION ALL SELECT * FROM f UNION ALL SELECT * FROM p) WHERE url NOT LIKE '%other.org%' GROUP BY 1, 2) SELECT domain, url, how FROM a QUALIFY row_number() OVER (PARTITION BY domain ORDER BY how, url) <= 5""")
 def expanded_seeds(spark, sf_dir):
-    """Five addresses a site, inside it alone."""
+    """Five addresses a site, inside it alone; every page names a sitemap of its site."""
     _view(spark, sf_dir, "pages")
-    s = _sql(spark, _SITES).cache()
-    nums = spark.sql("SELECT DISTINCT page_id % 4 AS k FROM tessera_pages WHERE page_id % 50 = 0")
-    maps = s.join(F.broadcast(nums)).selectExpr("domain", "concat('https://', domain, '/m', k) AS url")
+    d = _sql(spark, _SITES)
+    s = d.select("domain").distinct()
+    maps = d.selectExpr("domain", "concat('https://', domain, '/m', page_id % 4) AS url").distinct()
     feeds = s.selectExpr("domain", "concat('https://feeds.', domain, '/f') AS url").unionByName(s.selectExpr("domain", "'https://other.org/f' AS url"))
     return crawl.expanded_seeds(s, maps, feeds, cap=5)
 

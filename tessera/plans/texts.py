@@ -9,36 +9,29 @@ from ..functions import text, urls
 from ..sources import pages
 from .common import SQL_WORDS, table
 
-_NAMES = [
-    (1, "Công ty TNHH Cửa hàng Điện Máy Xanh", "0901234567", "https://www.dienmayxanh.com/a/?x=1", "OPERATIONAL"),
-    (2, "CUA HANG dien may xanh", "+84 901 234 567", "dienmayxanh.com/a", "Đã đóng cửa"),
-    (3, "Quán  Phở Bắc - 24", "0084-28-3822-1234", "http://pho24.vn#top", "temporarily closed - covid"),
-    (4, "Café Été", "123456789", "", None),
-    (5, "Nhà hàng Quán Ngon", "12", "https:///x", "???"),
-    (6, "", None, None, "Permanently Closed"),
-]
-_WANT = [
-    (1, "dien may xanh", "dien may xanh", "+84901234567", "dienmayxanh.com", "open"),
-    (2, "dien may xanh", "dien may xanh", "+84901234567", "dienmayxanh.com", "permanently_closed"),
-    (3, "pho bac 24", "24 bac pho", "+842838221234", "pho24.vn", "temporarily_closed"),
-    (4, "cafe ete", "cafe ete", "+0123456789", None, None),
-    (5, "ngon", "ngon", None, None, None),
-    (6, "", "", None, None, "permanently_closed"),
-]
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
-
-
-@query("name_normalisation", f"SELECT * FROM (VALUES {_values(_WANT)}) AS t(id, name, signature, phone, domain, status)")
-def name_normalisation(spark, sf_dir):
-    """Folding of names, phones, sites and statuses."""
-    rows = spark.createDataFrame(_NAMES, "id int, name string, phone string, site string, status string")
+_RAW = """SELECT client_id AS id, concat(CASE client_id % 5 WHEN 0 THEN 'Công ty TNHH ' WHEN 1 THEN 'CUA HANG ' WHEN 2 THEN 'Quán  Phở, ' ELSE '' END, coalesce(name, '')) AS name,
+CASE client_id % 6 WHEN 0 THEN concat('0901', lpad(CAST(client_id AS string), 6, '0')) WHEN 1 THEN concat('+84 901-', lpad(CAST(client_id AS string), 6, '0')) WHEN 2 THEN concat('0084 (28) ', lpad(CAST(client_id AS string), 7, '0')) WHEN 3 THEN concat('12', client_id % 10) WHEN 4 THEN lpad(CAST(client_id AS string), 9, '7') END AS phone,
+concat(CASE client_id % 3 WHEN 0 THEN 'HTTPS://www.' WHEN 1 THEN 'http://' ELSE '' END, split_part(coalesce(email, ''), '@', 2), CASE WHEN client_id % 2 = 0 THEN '/a/?x=1' ELSE '#top' END) AS site,
+CASE client_id % 5 WHEN 0 THEN 'OPERATIONAL' WHEN 1 THEN 'Đã đóng cửa' WHEN 2 THEN 'temporarily closed - repairs' WHEN 3 THEN segment END AS status FROM clients"""
+_DIGITS = "regexp_replace(phone, '[^0-9]', '', 'g')"
+
+
+def name_forms(rows):
+    """rows (id, name, phone, site, status) in their plain forms."""
     n = text.norm_name(F.col("name"))
     return rows.select("id", n.alias("name"), text.name_signature(n).alias("signature"), text.norm_phone(F.col("phone")).alias("phone"), F.nullif(urls.website_domain(F.col("site")), F.lit("")).alias("domain"), text.norm_status(F.col("status")).alias("status"))
 
 
+@query("name_normalisation", rf"""WITH r AS ({_RAW.replace("AS string)", "AS VARCHAR)")}), f AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower(coalesce(name, ''))), 'đ', 'd'), '^(?:(?:cong ty|tnhh|cua hang|quan)(?:[\s.\-,:]+|$))+', ''), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n, {_DIGITS} AS d FROM r),
+p AS (SELECT *, CASE WHEN starts_with(d, '00') THEN substr(d, 3) WHEN starts_with(d, '84') THEN d WHEN starts_with(d, '0') THEN concat('84', substr(d, 2)) WHEN length(d) > 10 THEN d WHEN d <> '' THEN concat('0', d) END AS full_d FROM f)
+SELECT id, n AS name, array_to_string(list_sort(list_filter(string_split(n, ' '), lambda t: t <> '')), ' ') AS signature, CASE WHEN length(full_d) BETWEEN 8 AND 13 THEN concat('+', full_d) END AS phone, nullif(regexp_replace(lower(regexp_extract(site, '^(?:[A-Za-z]+://)?([^/?#]*)', 1)), '^www\.', ''), '') AS domain,
+CASE lower(status) WHEN 'operational' THEN 'open' WHEN 'đã đóng cửa' THEN 'permanently_closed' WHEN 'temporarily closed - repairs' THEN 'temporarily_closed' END AS status FROM p""")
+def name_normalisation(spark, sf_dir):
+    """Folding of names, phones, sites and statuses."""
+    table(spark, sf_dir, "clients").createOrReplaceTempView("tessera_clients")
+    return name_forms(spark.sql(_RAW.replace("FROM clients", "FROM tessera_clients")))
+
+
 @query("document_text_stats", f"SELECT doc_id, len({SQL_WORDS.format(x='text')}) AS words, len(list_distinct({SQL_WORDS.format(x='text')})) AS distinct_words, substr(sha256(text), 1, 16) AS digest16, concat('doc_', substr(sha256(text), 1, 12)) AS doc_key FROM documents")
 def document_text_stats(spark, sf_dir):
     """X23, X44, X62, X65, K26, A09."""
@@ -107,23 +100,27 @@ def url_forms(spark, sf_dir):
     return p.select("page_id", urls.normalize_domain(urls.host(u)).alias("domain"), urls.eval_url(u).alias("eval_url"))
 
 
-_URLS = [(1, "https://www.Example.com/A/?b=2&utm_source=x&a=1#f"), (2, "http://m.example.co.uk/"), (3, "https://a.b.example.com.vn/p//"), (4, "not a url"), (5, "http://10.0.0.7/x"), (6, "https://casino-win.xyz/a/b/c/d/e/f/g/h")]
-_FORMS = [
-    (1, "https://example.com/A?a=1&b=2", "example.com/A?a=1&b=2", "example.com", 0, 0),
-    (2, "http://example.co.uk", "example.co.uk", "example.co.uk", 0, 0),
-    (3, "https://a.b.example.com.vn/p", "a.b.example.com.vn/p", "example.com.vn", 0, 0),
-    (4, "not a url", "not a url", "", 0, 0),
-    (5, "http://10.0.0.7/x", "10.0.0.7/x", "0.7", 1, 0),
-    (6, "https://casino-win.xyz/a/b/c/d/e/f/g/h", "casino-win.xyz/a/b/c/d/e/f/g/h", "casino-win.xyz", 0, 10),
-]
+_ADDRESSES = "SELECT page_id AS id, CASE WHEN page_id % 7 = 0 THEN concat('http://10.0.0.', page_id % 250, '/x/', page_id) WHEN page_id % 11 = 0 THEN concat('https://casino-win.xyz/a/b/c/d/e/f/g/', page_id) WHEN page_id % 5 = 0 THEN concat(replace(url, '.example.', '.EXAMPLE.com.vn/'), '?b=2&UTM_source=x&a=', page_id % 9) WHEN page_id % 13 = 0 THEN concat(' not a url ', page_id) ELSE url END AS url FROM pages"
+
+
+def url_columns(rows):
+    """rows (id, url): canonical and identifying forms, the registered domain, whether the host is a private one, tenths of a spam score."""
+    u = F.col("url")
+    h = urls.host(u)
+    return rows.select("id", urls.canonical_url(u).alias("canonical"), urls.identity(u).alias("identity"), urls.registrable_domain(h).alias("registrable"), urls.private_host(h).cast("int").alias("private"), F.round(urls.spam_score(h, urls.path(u)) * 10).cast("int").alias("spam_tenths"))
 
 
-@query("url_canonical", f"SELECT * FROM (VALUES {_values(_FORMS)}) AS t(id, canonical, identity, registrable, private, spam_tenths)")
+_TRACKING = ", ".join(f"'{p}'" for p in urls.TRACKING)
+
+
+@query("url_canonical", rf"""WITH u AS ({_ADDRESSES}), a AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda t: t <> '' AND lower(split_part(t, '=', 1)) NOT IN ({_TRACKING}))) AS q FROM u),
+b AS (SELECT *, string_split(regexp_replace(h, '^(?:www\.)+', ''), '.') AS l, concat(regexp_replace(h, '^(?:www\.|m\.)', ''), regexp_replace(p, '/+$', ''), CASE WHEN len(q) > 0 THEN concat('?', array_to_string(q, '&')) ELSE '' END) AS rest FROM a)
+SELECT id, CASE WHEN h = '' THEN trim(url) ELSE concat(regexp_extract(url, '^[a-z]+://'), rest) END AS canonical, CASE WHEN h = '' THEN trim(url) ELSE rest END AS identity, array_to_string(l[-(CASE WHEN l[-1] = 'vn' AND l[-2] = 'com' THEN 3 ELSE 2 END):], '.') AS registrable,
+CAST(starts_with(h, '10.') AS INT) AS private, CAST(5 * CAST(contains(h, 'casino') AS INT) + greatest(len(string_split(p, '/')) - 6, 0) + 2 * CAST(ends_with(h, '.xyz') AS INT) AS INT) AS spam_tenths FROM b""")
 def url_canonical(spark, sf_dir):
     """X17, X18, X22, F19-F21."""
-    r, u = spark.createDataFrame(_URLS, "id int, url string"), F.col("url")
-    h = urls.host(u)
-    return r.select("id", urls.canonical_url(u).alias("canonical"), urls.identity(u).alias("identity"), urls.registrable_domain(h).alias("registrable"), urls.private_host(h).cast("int").alias("private"), F.round(urls.spam_score(h, urls.path(u)) * 10).cast("int").alias("spam_tenths"))
+    table(spark, sf_dir, "pages").createOrReplaceTempView("tessera_pages")
+    return url_columns(spark.sql(_ADDRESSES.replace("FROM pages", "FROM tessera_pages")))
 
 
 @query("page_links", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"'']+)', 1)) AS href FROM pages)
@@ -150,11 +147,11 @@ def page_images(spark, sf_dir):
 _HALF = "bit_count(xor(CAST('0x' || substr(h, {0}, 8) AS UBIGINT), CAST('0x' || substr(p, {0}, 8) AS UBIGINT)))"
 
 
-@query("hamming_pairs", f"WITH d AS (SELECT doc_id, substr(sha256(text), 1, 16) AS h, lag(substr(sha256(text), 1, 16)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) SELECT doc_id, CAST({_HALF.format(1)} + {_HALF.format(9)} AS INT) AS bits FROM d WHERE p IS NOT NULL")
+@query("hamming_pairs", f"WITH d AS (SELECT doc_id, substr(sha256(text), 1, 16) AS h, lag(substr(sha256(text), 1, 16)) OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS p FROM documents) SELECT doc_id, CAST({_HALF.format(1)} + {_HALF.format(9)} AS INT) AS bits FROM d WHERE p IS NOT NULL")
 def hamming_pairs(spark, sf_dir):
-    """Documents against the next one by id, bits between their 16-digit digests."""
+    """Documents against the one before of their source and block of a thousand ids, bits between their 16-digit digests."""
     from pyspark.sql.window import Window
 
     d = table(spark, sf_dir, "documents").select("doc_id", "source", text.short_hash(F.col("text"), 16).alias("h"))
-    prior = F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))
+    prior = F.lag("h").over(Window.partitionBy("source", F.expr("doc_id div 1000")).orderBy("doc_id"))
     return d.withColumn("p", prior).where("p is not null").select("doc_id", text.hamming(F.col("h"), F.col("p")).alias("bits"))
