@@ -14,8 +14,8 @@ from .docstats import counts
 from .labelled import training_rows
 from .runtime import release, tables_written, written
 
-#: Rows trained on, and entries of their sparse matrix that the driver takes; both hold at any input size.
-TRAIN_ROWS, MOST_ENTRIES = 5_000, 2 << 20
+#: Rows trained on, and slots that have a weight: the matrix on the driver is of that size for texts of any number and length.
+TRAIN_ROWS, FEATURES = 5_000, 4_096
 BITS = 18
 STEPS, RATE, L2, LEAST_ROWS = 60, 0.5, 1e-6, 3
 THRESHOLD = 0.3
@@ -111,37 +111,30 @@ def _use_batches(batches):
 
 
 def chosen_slots(n0: np.ndarray, n1: np.ndarray, rows: tuple[int, int], most: int) -> np.ndarray:
-    """Which slots are trained on: those that tell the labels apart best (chi-square), as long as the
-    entries of all add up to at most `most`."""
+    """Which slots have a weight: the `most` that tell the labels apart best (chi-square), earlier ones first of equals."""
     n, total = n0 + n1, max(sum(rows), 1)
     expected = n * (rows[1] / total)
     spread = np.maximum(n * (rows[0] / total) * (rows[1] / total) * (total - n + 1) / total, 1e-9)
     order = np.lexsort((np.arange(len(n)), -((n1 - expected) ** 2) / spread))
-    return np.sort(order[: np.searchsorted(np.cumsum(n[order]), most, "right")])
+    return np.sort(order[:most])
 
 
-def train(cut: np.ndarray, columns: np.ndarray, values: np.ndarray, used: np.ndarray, y: np.ndarray) -> Model:
+def train(x: np.ndarray, used: np.ndarray, y: np.ndarray) -> Model:
     """AdaGrad on the logistic loss over four fifths of the rows, then Platt's scaling on the other fifth.
-    Row i has the entries cut[i] to cut[i + 1] of columns (places in used) and values; used: the slots.
+    x: the rows' shares of the slots `used`.
     Without rows of both classes the model gives the share of label 1 (one where there are no rows)."""
     share = float(np.clip(y.mean() if len(y) else 1.0, 1e-3, 1 - 1e-3))
     log_odds = float(np.log(share / (1 - share)))
     weights = np.zeros(BLOCKS << BITS, np.float32)
     if len(y) < 10 or y.min() == y.max():
         return Model(weights.reshape(BLOCKS, -1), 0.0, 0.0, log_odds)
-    size = np.diff(cut)
     fit_rows = np.arange(len(y)) % 5 != 0
     w, bias, squares = np.zeros(len(used)), log_odds, np.full(len(used), 1e-12)
     n = fit_rows.sum()
-    total = np.zeros(len(columns) + 1)
-
-    def margins():
-        np.cumsum(w[columns] * values, out=total[1:])
-        return total[cut[1:]] - total[cut[:-1]] + bias
-
+    margins = lambda: x @ w.astype(np.float32) + bias
     for _ in range(STEPS):
         error = np.where(fit_rows, 1 / (1 + np.exp(-np.clip(margins(), -40, 40))) - y, 0) / n
-        grad = np.bincount(columns, weights=np.repeat(error, size) * values, minlength=len(used)) + L2 * w
+        grad = error.astype(np.float32) @ x + L2 * w
         squares += grad**2
         w -= RATE * grad / np.sqrt(squares)
         bias -= RATE * error.sum()
@@ -173,19 +166,19 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, f
     return float(max(theta[0], 0.0)), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int = MOST_ENTRIES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
     """Train on at most `most` labelled rows outside the held-out fold. Executors turn whole texts into slots;
-    the driver gets one row a slot that LEAST_ROWS rows use, then the rows' entries in chosen slots, at most
-    `entries` in all, so its memory depends neither on the length of texts nor on their number."""
+    the driver gets one row a slot that LEAST_ROWS rows use, then the rows' shares of the `features` chosen slots,
+    a matrix of `most` by `features`, so its memory depends neither on the length of texts nor on their number."""
     mark = tables_written()
     rows = written(training_rows(docs, labels, most).mapInArrow(_share_batches, "doc_id long, label int, slots binary, shares binary"), "shares")
     uses = rows.select("label", "slots").mapInArrow(_use_batches, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     uses = uses.where(F.col("n0") + F.col("n1") >= LEAST_ROWS).toPandas().sort_values("slot")
     marks = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    picked = chosen_slots(uses["n0"].to_numpy(), uses["n1"].to_numpy(), (marks.get(0, 0), marks.get(1, 0)), entries)
+    picked = chosen_slots(uses["n0"].to_numpy(), uses["n1"].to_numpy(), (marks.get(0, 0), marks.get(1, 0)), features)
     used = uses["slot"].to_numpy()[picked].astype(np.int32)
     del uses
-    shared = docs.sparkSession.sparkContext.broadcast(used)  # BLOCKS x 2**BITS numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(used)  # `features` numbers
 
     def narrowed(batches):
         slots = shared.value
@@ -200,11 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int
     kept = rows.mapInArrow(narrowed, "doc_id long, label int, places binary, shares binary").toPandas().sort_values(["doc_id", "label"])
     shared.destroy()
     release(docs.sparkSession, since=mark)  # everything that reads it has run
-    columns, values = (np.frombuffer(b"".join(kept[k]), t) for k, t in (("places", np.int32), ("shares", np.float32)))
-    cut = np.concatenate([[0], np.cumsum([len(p) // 4 for p in kept["places"]], dtype=np.int64)])
+    x = np.zeros((len(kept), len(used)), np.float32)
+    for row, places, values in zip(x, kept["places"], kept["shares"], strict=True):
+        row[np.frombuffer(places, np.int32)] = np.frombuffer(values, np.float32)
     y = kept["label"].to_numpy(np.float64)
     del kept
-    model = train(cut, columns, values, used, y)
+    model = train(x, used, y)
     tk.give_back()
     return model
 

@@ -106,18 +106,26 @@ def test_character_grams_are_of_code_points():
     assert before.tolist() == [0, len(text) - 3] and len(set(slots.tolist())) == len(text) - 3
 
 
-def test_slots_are_chosen_within_the_bound():
+def test_the_slots_that_tell_labels_apart_are_chosen():
     n0, n1 = np.array([50, 0, 25, 3]), np.array([50, 40, 25, 0])
     assert quality_rules.chosen_slots(n0, n1, (100, 100), 10_000).tolist() == [0, 1, 2, 3]
-    assert quality_rules.chosen_slots(n0, n1, (100, 100), 45).tolist() == [1, 3]
+    assert quality_rules.chosen_slots(n0, n1, (100, 100), 2).tolist() == [1, 3]
+    assert quality_rules.chosen_slots(n0, n1, (100, 100), 3).tolist() == [0, 1, 3]
 
 
-def test_few_entries_still_separate(spark):
+def test_long_texts_have_as_many_features(spark):
+    texts, marks = sample(8, 60)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    short, long = (np.count_nonzero(quality_rules.fit(frame(spark, [t + f" {t}" * k for t in texts]), labels, features=500).weights) for k in (0, 40))
+    assert short == long == 500
+
+
+def test_few_features_still_separate(spark):
     texts, marks = sample(4, 150)
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     docs = frame(spark, texts)
-    model = quality_rules.fit(docs, labels, entries=2000)
-    assert np.count_nonzero(model.weights) < 200
+    model = quality_rules.fit(docs, labels, features=100)
+    assert np.count_nonzero(model.weights) <= 100
     rows = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels, model=model).collect()}
     assert np.mean([rows[i] == bool(q) for i, q, _ in marks]) > 0.9
     twice = docs.union(docs).union(docs.selectExpr("CAST(NULL AS long)", "text", "lang", "source", "n_chars"))
