@@ -20,7 +20,7 @@ def bm25_local(query_terms: Column, doc_terms: Column, mean_length: Column, k1:
     length = 1 - b + b * F.size(doc_terms) / F.greatest(mean_length, F.lit(1.0))
 
     def gain(t: Column) -> Column:
-        f = F.size(F.filter(doc_terms, lambda x: x == t)).cast("double")
+        f = (F.size(doc_terms) - F.size(F.array_remove(doc_terms, t))).cast("double")
         return PLAIN_IDF * f * (k1 + 1) / (f + k1 * length)
 
     return F.aggregate(F.transform(F.filter(query_terms, lambda t: F.array_contains(doc_terms, t)), gain), F.lit(0.0), lambda s, x: s + x)
@@ -37,10 +37,12 @@ def reranked_results(hits: DataFrame) -> DataFrame:
 
 
 def reranked_passages(passages: DataFrame, top: int, per_source: int) -> DataFrame:
-    """Passages (query_id, source_id, pos, query, text): .5 keyword + .3 bm25 + .2 phrase, the
-    best per_source of a source and top of a query."""
-    p = passages.withColumn("__q", text.tokenize(F.col("query"))).withColumn("__d", text.tokenize(F.col("text")))
-    p = p.withColumn("__m", F.avg(F.size("__d")).over(Window.partitionBy("query_id")))
+    """Passages (query_id, source_id, pos, query, text; tokens and n_tokens if they are known): .5 keyword + .3 bm25 + .2 phrase,
+    the best per_source of a source and top of a query. The mean length is summed apart, a row a query, so that only scores are sorted, no passages."""
+    p = passages if "tokens" in passages.columns else passages.withColumn("tokens", text.tokenize(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
+    means = p.groupBy("query_id").agg(F.avg("n_tokens").alias("__m")).withColumnRenamed("query_id", "__id")
+    p = p.withColumnRenamed("tokens", "__d").drop("n_tokens").withColumn("__q", text.tokenize(F.col("query")))
+    p = p.join(F.broadcast(means), F.col("query_id").eqNullSafe(F.col("__id"))).drop("__id")
     c = F.col
     score = 0.5 * text.overlap(c("__q"), c("__d")) + 0.3 * F.least(bm25_local(c("__q"), c("__d"), c("__m")) / 3, F.lit(1.0)) + 0.2 * text.phrase_bonus(c("query"), c("text"))
     p = p.withColumn("score", F.round(score, 9)).drop("__q", "__d", "__m")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import payload, scores, text, urls
 from ..operators import answers, crawl, rerank
+from ..sources.shared import written
 from .common import HITS, NOW, hits, table
 
 
@@ -109,10 +110,12 @@ def passage_rerank(spark, sf_dir):
     """The passages of the documents that cover half of a query's words."""
     from .texts import query_coverage
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.offset_passages(F.col("text"))).alias("pos", "c")).select("doc_id", "pos", F.col("c.text").alias("text"), text.tokenize(F.col("c.text")).alias("tokens"))
+    d = written(d.withColumn("n_tokens", F.size("tokens")), "passages")  # cut and read once, however many queries want them
     b = table(spark, sf_dir, "benchmark").selectExpr("item_id", "text AS query")
-    p = query_coverage(spark, sf_dir).join(d, "doc_id").join(b, "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("source_id"), "query", F.posexplode(text.offset_passages(F.col("text"))).alias("pos", "c"))
-    return rerank.reranked_passages(p.select("query_id", "source_id", "pos", "query", F.col("c.text").alias("text")), 5, 3).select("query_id", "source_id", "pos", "score", "rank")
+    wanted = written(query_coverage(spark, sf_dir).select("item_id", "doc_id"), "wanted")
+    p = wanted.join(d, "doc_id").join(b, "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("source_id"), "query", "pos", "text", "tokens", "n_tokens")
+    return rerank.reranked_passages(p, 5, 3).select("query_id", "source_id", "pos", "score", "rank")
 
 
 @query("result_rerank")
