@@ -56,14 +56,16 @@ def _best_lists(most: int):
             return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(near[rows, cols])], schema=_PAIR)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != now:
+            part = lambda name, i: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731  one row's list, not the batch's as Python objects
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                if block != now:
                     if now is not None:
                         yield give()
-                    now, ids = row["block"], np.array(row["s_ids"], np.int64)
-                    spots = np.stack([row["sx"], row["sy"], row["sz"]], 1).astype(float)
+                    now, ids = block, part("s_ids", i).astype(np.int64)
+                    spots = np.stack([part("sx", i), part("sy", i), part("sz", i)], 1).astype(float)
                     dist, near = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-                other, them = np.array(row["ids"], np.int64), np.stack([row["x"], row["y"], row["z"]], 1).astype(float)
+                other, them = part("ids", i).astype(np.int64), np.stack([part("x", i), part("y", i), part("z", i)], 1).astype(float)
                 d = np.sqrt(np.maximum(0, ((spots[:, None, :] - them[None, :, :]) ** 2).sum(2)))
                 dist, near = np.concatenate([dist, d], 1), np.concatenate([near, np.broadcast_to(other, d.shape)], 1)
                 if dist.shape[1] > most:

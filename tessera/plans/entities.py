@@ -31,21 +31,23 @@ def _sides(spark, sf_dir):
 @query("entity_blocking", f"WITH {_BLOCKS} SELECT s_id, p_id, place_rank FROM blocked")
 def entity_blocking(spark, sf_dir):
     """Candidate pairs by four equality joins."""
-    return resolution.block_pairs(*_sides(spark, sf_dir)).select("s_id", "p_id", "place_rank")
+    src, dst = _sides(spark, sf_dir)
+    return resolution.by_class(src, lambda s: resolution.block_pairs(s, dst).select("s_id", "p_id", "place_rank"))
 
 
 @query("pair_scores", f"WITH {_BLOCKS} SELECT s_id, p_id, round(pair_score, 6) AS pair_score, force FROM scored")
 def pair_scores(spark, sf_dir):
     """J05, X15, X16, M03."""
-    s = resolution.scored_pairs(resolution.block_pairs(*_sides(spark, sf_dir)))
-    return s.select("s_id", "p_id", F.round("pair_score", 6).alias("pair_score"), "force")
+    src, dst = _sides(spark, sf_dir)
+    scored = lambda s: resolution.scored_pairs(resolution.block_pairs(s, dst)).select("s_id", "p_id", F.round("pair_score", 6).alias("pair_score"), "force")
+    return resolution.by_class(src, scored)
 
 
 @query("resolved_entities", f"WITH {_BLOCKS}, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY s_id ORDER BY force IS NOT NULL DESC, pair_score DESC, p_id) = 1) SELECT s_id, p_id, force FROM best WHERE pair_score >= 0.62 OR force IS NOT NULL")
 def resolved_entities(spark, sf_dir):
     """Each record's place."""
-    s = resolution.scored_pairs(resolution.block_pairs(*_sides(spark, sf_dir)))
-    return resolution.matched(s).select("s_id", "p_id", "force")
+    src, dst = _sides(spark, sf_dir)
+    return resolution.by_class(src, lambda s: resolution.matched(resolution.scored_pairs(resolution.block_pairs(s, dst))).select("s_id", "p_id", "force"))
 
 
 _BALLOTS = "SELECT l_suppkey AS place_id, CASE l_linenumber % 3 WHEN 0 THEN 'hours' WHEN 1 THEN 'phone' ELSE 'name' END AS field, l_orderkey * 10 + l_linenumber AS record_id, l_returnflag AS provider, concat('v', l_partkey % 5) AS value, concat('v', l_partkey % 5) AS signature, CASE l_returnflag WHEN 'A' THEN 0.9D WHEN 'N' THEN 0.6D ELSE 0.5D END AS authority, l_shipdate AS observed_at FROM lineitem"
