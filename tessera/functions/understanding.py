@@ -226,7 +226,7 @@ def rewrites(q: Column, year: int, most: int = 3) -> Column:
         bare = F.regexp_replace(s, r"(?iu)^\s*(?:so sánh|compare)\s+", "")
         joined = F.regexp_replace(bare, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:so sánh|compare|so với|và|and|between)(?![\p{{L}}\p{{N}}_])", " vs ")
         sides = F.filter(F.transform(F.split(joined, "vs"), lambda p: F.regexp_replace(F.trim(p), r"^[?.]+|[?.]+$", "")), lambda p: p != "")
-        two = s.rlike(java(IS_COMPARE)) & (F.size(sides) == 2) & F.forall(sides, lambda p: F.length(p) > 2)
+        pair = text.let(sides, lambda p: F.when(s.rlike(java(IS_COMPARE)) & (F.size(p) == 2) & F.forall(p, lambda x: F.length(x) > 2), p).otherwise(F.array().cast("array<string>")))
         family_code = F.lower(s).rlike(IS_CODE)
         more = F.array_compact(F.array(
             F.when(s.rlike(java(IS_DEFINITION)) & ~s.rlike(java(HAS_MEANING)), F.concat(s, F.when(vi, " nghĩa là").otherwise(" meaning definition"))),
@@ -235,10 +235,8 @@ def rewrites(q: Column, year: int, most: int = 3) -> Column:
             F.when(~s.rlike(HAS_YEAR) & s.rlike(java(IS_RECENT)), F.concat(s, F.lit(f" {year}"))),
         ))
         tidy = lambda v: F.regexp_replace(F.trim(F.regexp_replace(v, r"\s+", " ")), r"^[ ?.]+|[ ?.]+$", "")
-        found = F.filter(F.transform(F.concat(F.when(two, sides).otherwise(F.array().cast("array<string>")), more), tidy), lambda v: v != "")
-        every = F.concat(F.array(s), found)
-        lows = F.transform(every, lambda v: F.lower(v))
-        first = F.filter(every, lambda v, i: F.array_position(lows, F.lower(v)) == i + 1)
+        found = F.filter(F.transform(F.concat(pair, more), tidy), lambda v: v != "")
+        first = text.first_of_equals(F.concat(F.array(s), found), F.lower)
         return F.when(s == "", F.array(F.coalesce(q, F.lit("")))).otherwise(F.slice(first, 1, most))
 
     return text.let(base, of)
