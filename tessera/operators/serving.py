@@ -170,13 +170,15 @@ def geo_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
 
     Bands of latitude have one height; each is cut into as many cells round the globe as its narrower edge allows, so a cell is as wide as high
     anywhere. A left row meets the cells of three bands that its circle may touch, over the 180th meridian as well, and all of a band at the pole.
+    Distances are found once a spot of the left side, however many rows stand there.
     """
     size = min(radius_m / geo.METRES_A_DEGREE * 1.01, 90.0)
-    a, b = (df.where("lat is not null and lon is not null") for df in (left, right))
-    a = a.withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("lat"), size)))).withColumn("cx", F.explode(geo.cells_within(F.col("lat"), F.col("lon"), F.col("cy"), size)))
+    located, b = (df.where("lat is not null and lon is not null") for df in (left, right))
+    a = located.select("lat", "lon").distinct().withColumn("cy", F.explode(geo.neighbours(geo.cell(F.col("lat"), size)))).withColumn("cx", F.explode(geo.cells_within(F.col("lat"), F.col("lon"), F.col("cy"), size)))
     b = b.withColumnsRenamed({"lat": "plat", "lon": "plon"}).withColumn("cy", geo.cell(F.col("plat"), size)).withColumn("cx", geo.cell_in_band(F.col("plon"), F.col("cy"), size))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return a.join(b, ["cy", "cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("cy", "cx")
+    near = a.join(b, ["cy", "cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("cy", "cx")
+    return located.join(near, ["lat", "lon"]).select(*left.columns, *[c for c in near.columns if c not in ("lat", "lon")])
 
 
 def in_polygons(points: DataFrame, shapes: DataFrame) -> DataFrame:
