@@ -66,3 +66,14 @@ def test_a_rebuild_replaces_all(spark, tmp_path):
     index.rebuild(spark.createDataFrame([(1, "one", None)], SCHEMA))
     index.rebuild(spark.createDataFrame([(2, "two", None)], SCHEMA))
     assert lookup(spark, NameIndex(spark, str(tmp_path / "n"), 4), "one", "two") == {0: [], 1: [(2, 1.0)]}
+
+
+def test_a_frequent_word_brings_no_candidates(spark, tmp_path):
+    index = NameIndex(spark, str(tmp_path / "n"), 4)
+    rare = ["".join("bcdfghjklm"[int(c)] for c in f"{i * 7919 % 100000:05d}") * 2 for i in range(300)]
+    index.rebuild(spark.createDataFrame([(i, f"common {w}", None) for i, w in enumerate(rare)], SCHEMA))
+    asked = spark.createDataFrame([(i, f"common {w}") for i, w in enumerate(rare[:50] * 2)], "query_id int, q string")
+    means = index.meanings(asked)
+    assert means.where("token = 'common'").count() == 100
+    assert index.candidates(means).count() < 300  # not 100 queries times 300 places
+    assert {i: r[0] for i, r in lookup(spark, index, *(f"common {w}" for w in rare[:50] * 2)).items()} == {i: (i % 50, 1.0) for i in range(100)}
