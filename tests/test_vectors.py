@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from tessera.operators import retrieval
+from tessera.operators import vectors as vectors_module
 from tessera.operators.retrieval import knn_topk
 from tessera.operators.vectors import VectorIndex
 
@@ -60,3 +62,17 @@ def test_awkward_vectors(spark, tmp_path):
     got = [(r.query_id, r.doc, r.score, r["rank"]) for r in index.search(rows.where("vec_id in (1, 4, 5)"), 5).orderBy("query_id", "rank").collect()]
     assert got[:2] == [(1, 2, 1.0, 1), (1, 3, 0.0, 2)] and {r[0] for r in got} <= {1, 4}
     assert index.search(rows.where("false")).count() == 0
+
+
+def test_slices_and_short_lists_of_any_size_give_the_same(spark, clustered, tmp_path, monkeypatch):
+    vectors = table(spark, clustered[:1000])
+    queries = vectors.where("vec_id % 20 = 0")
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.rebuild(vectors, cells=20, fit_rows=1000)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    exact, near = rows(knn_topk(vectors, queries, 10)), rows(index.search(queries, 10, probes=20))
+    monkeypatch.setattr(retrieval, "SCORED_ROWS", 3)
+    assert rows(knn_topk(vectors, queries, 10)) == exact and len(exact) == 500
+    for listed in (200, 5000):  # all is handed on at once; the best are kept
+        monkeypatch.setattr(vectors_module, "LISTED", listed)
+        assert rows(index.search(queries, 10, probes=20)) == near and len(near) == 500
