@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
 from ..sources.generations import Generations
 from ..sources.shared import written
+from . import lexical
 from .retrieval import top_k
 
 #: Buckets that terms are hashed to, documents in a span, bands of document lengths, spans that are scored first.
@@ -55,17 +55,14 @@ class InvertedIndex:
     def _write(self, rows: DataFrame, before: list[dict]) -> dict:
         number = 1 + max([s["number"] for s in self.segments()], default=0)
         at = f"{self.root}/s{number}"
-        rows.select("doc", F.size("terms").alias("length")).write.mode("overwrite").parquet(f"{at}/docs")
+        rows = written(lexical.counted(rows), "counted")
+        rows.select("doc", "length").write.mode("overwrite").parquet(f"{at}/docs")
         docs = self.spark.read.schema("doc long, length int").parquet(f"{at}/docs")
         n, distinct, total = docs.agg(F.count("*"), F.count_distinct("doc"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if n != distinct or before and not docs.join(self._docs(), "doc", "left_semi").isEmpty():
             self._manifest._fs().delete(self._manifest._path(f"s{number}"), True)
             raise ValueError("a document id is repeated, or is in the index already")
-        span = self._span(docs)
-        each = rows.select("doc", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        blocks = each.withColumn("span", span).groupBy("term", "span").agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(F.struct("doc", "tf", "length"))).alias("postings")
-        )
+        blocks = lexical.span_blocks(rows.withColumn("span", self._span(docs).cast("long"))).withColumn("span", F.col("span").cast("int"))
         blocks.withColumn("bucket", self.bucket_of(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term", "span").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/blocks")
         return self._manifest._save(buckets=self.buckets, segments=[*before, {"number": number, "docs": n, "length": int(total)}])
 
@@ -99,42 +96,47 @@ class InvertedIndex:
         folders = [r[0] for r in asked.select(self.bucket_of(F.col("term"))).distinct().collect()]
         return self._blocks().where(F.col("bucket").isin(*folders) if folders else F.lit(False)).join(asked.select("term").distinct(), "term", "left_semi")
 
-    def bounds(self, wanted: DataFrame, blocks: DataFrame, k1: float, b: float) -> tuple[DataFrame, Column]:
-        """(query_id, term, idf, segment, span, bound): the best gain that a term can have in a span; and the gain of a posting p beside idf."""
+    def _mean(self) -> float:
         n, total = (sum(s[k] for s in self.segments()) for k in ("docs", "length"))
-        mean = total / n if n else 0.0
-        damped = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (mean or 1.0)))
+        return total / n if total else 1.0
+
+    def bounds(self, wanted: DataFrame, blocks: DataFrame, k1: float, b: float) -> DataFrame:
+        """(query_id, slice, term, idf, segment, span, bound): the best gain that a term can have in a span."""
+        n, mean = sum(s["docs"] for s in self.segments()), self._mean()
+        damped = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
         df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
         idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        rows = blocks.select("term", "segment", "span", damped(F.col("most_tf"), F.col("least_length")).alias("most")).join(idf, "term").join(wanted, "term")
-        return rows.select("query_id", "term", "idf", "segment", "span", (F.col("idf") * F.col("most")).alias("bound")), F.col("idf") * damped(F.col("p.tf"), F.col("p.length"))
+        rows = blocks.select("term", "segment", "span", damped(F.col("most_tf"), F.col("least_length")).alias("most")).join(wanted.join(idf, "term"), "term")
+        return rows.select("query_id", "slice", "term", "idf", "segment", "span", (F.col("idf") * F.col("most")).alias("bound"))
 
     def search(self, queries: DataFrame, k: int = 60, k1: float = 1.2, b: float = 0.75, probes: int = PROBES) -> DataFrame:
         """queries (query_id, query): query_id, doc, score, rank: the best k by BM25, exactly those of a full scan.
 
         A span's bound for a query is the sum of its blocks' best gains. The `probes` spans of the highest bounds are scored first; the k-th best score
         there is a floor, and spans whose bound is below it are never opened. A query that finds fewer than k documents in them opens all.
+        The blocks of the asked terms are read from the index once; a span is scored as a matrix (lexical.scores).
         """
-        chosen, gain = self.chosen(queries, k, k1, b, probes)
-        return top_k(self._scored(chosen.where("kept"), gain), k, ["query_id"], F.desc("score"), "doc")
+        chosen, blocks = self.chosen(queries, k, k1, b, probes)
+        return top_k(self._scored(chosen.where("kept"), blocks, k, k1, b), k, ["query_id"], F.desc("score"), "doc")
 
-    def chosen(self, queries: DataFrame, k: int = 60, k1: float = 1.2, b: float = 0.75, probes: int = PROBES) -> tuple[DataFrame, Column]:
-        """What search() opens: (query_id, term, idf, segment, span, kept), and the gain of a posting."""
-        wanted = queries.select("query_id", F.explode(F.array_distinct(text.index_terms(F.col("query")))).alias("term"))
+    def chosen(self, queries: DataFrame, k: int = 60, k1: float = 1.2, b: float = 0.75, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
+        """What search() opens: (query_id, slice, term, idf, segment, span, floor, kept), and the blocks of the asked terms."""
+        part = lexical.sliced(queries)
+        wanted = queries.select("query_id", part("query_id").alias("slice"), F.explode(F.array_distinct(text.index_terms(F.col("query")))).alias("term"))
         wanted = written(wanted, "asked_terms")
-        blocks = self.of_terms(wanted)
-        rows, gain = self.bounds(wanted, blocks, k1, b)
-        rows = written(rows, "block_bounds")
+        blocks = written(self.of_terms(wanted), "asked_blocks")
+        rows = written(self.bounds(wanted, blocks, k1, b), "block_bounds")
         spans = written(rows.groupBy("query_id", "segment", "span").agg(F.sum("bound").alias("bound")), "span_bounds")
         first = top_k(spans, probes, ["query_id"], F.desc("bound"), F.col("segment"), F.col("span")).select("query_id", "segment", "span")
-        probed = top_k(self._scored(rows.join(first, ["query_id", "segment", "span"]), gain), k, ["query_id"], F.desc("score"), "doc")
+        none = F.lit(None).cast("double")
+        probed = top_k(self._scored(rows.join(first, ["query_id", "segment", "span"]).withColumn("floor", none), blocks, k, k1, b), k, ["query_id"], F.desc("score"), "doc")
         floor = written(probed.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "floors")
         # scores are rounded to nine digits; a bound may fall short of what it bounds by the rounding of sums
-        kept = spans.join(floor, "query_id", "left").select("query_id", "segment", "span", F.coalesce(F.col("bound") > F.col("floor") - 1e-8, F.lit(True)).alias("kept"))
-        return rows.join(kept, ["query_id", "segment", "span"]), gain
-
-    def _scored(self, rows: DataFrame, gain: Column) -> DataFrame:
-        """Scores from the postings of the given (query_id, term, idf, segment, span)."""
-        blocks = self.of_terms(rows.select("term")).select("term", "segment", "span", "postings")
-        hits = rows.join(blocks, ["term", "segment", "span"]).select("query_id", "idf", F.explode("postings").alias("p"))
-        return hits.groupBy("query_id", F.col("p.doc").alias("doc")).agg(F.round(F.sum(gain), 9).alias("score"))
+        kept = spans.join(floor, "query_id", "left").select("query_id", "segment", "span", "floor", F.coalesce(F.col("bound") > F.col("floor") - 1e-8, F.lit(True)).alias("kept"))
+        return rows.join(kept, ["query_id", "segment", "span"]), blocks
+
+    def _scored(self, rows: DataFrame, blocks: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+        """The best k of each span by the given (query_id, slice, term, idf, segment, span, floor); a list holds a slice's queries at most."""
+        lists = rows.groupBy("segment", "span", "slice", "term").agg(F.collect_list(F.struct("query_id", "idf", "floor")).alias("asked"))
+        hits = blocks.select("term", "segment", "span", "postings").join(lists, ["term", "segment", "span"])
+        return lexical.scores(hits, ["segment", "span", "slice"], k, self._mean(), k1, b)
