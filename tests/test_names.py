@@ -1,6 +1,9 @@
 import random
 from functools import lru_cache
 
+import pytest
+
+from tessera import catalog
 from tessera.operators.names import NameIndex
 
 SCHEMA = "place_id long, name string, aliases array<string>"
@@ -77,3 +80,9 @@ def test_a_frequent_word_brings_no_candidates(spark, tmp_path):
     assert means.where("token = 'common'").count() == 100
     assert index.candidates(means).count() < 300  # not 100 queries times 300 places
     assert {i: r[0] for i, r in lookup(spark, index, *(f"common {w}" for w in rare[:50] * 2)).items()} == {i: (i % 50, 1.0) for i in range(100)}
+
+
+@pytest.mark.parametrize("name", ["name_lookup"])
+def test_every_client_is_asked(spark, sf_dir, name):
+    got = {r.query_id for r in catalog.queries()[name](spark, sf_dir).select("query_id").distinct().collect()}
+    assert any(i % 5 for i in got)
