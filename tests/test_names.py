@@ -82,7 +82,7 @@ def test_a_frequent_word_brings_no_candidates(spark, tmp_path):
     assert {i: r[0] for i, r in lookup(spark, index, *(f"common {w}" for w in rare[:50] * 2)).items()} == {i: (i % 50, 1.0) for i in range(100)}
 
 
-@pytest.mark.parametrize("name", ["name_lookup"])
+@pytest.mark.parametrize("name", ["name_lookup", "name_completions"])
 def test_every_client_is_asked(spark, sf_dir, name):
     got = {r.query_id for r in catalog.queries()[name](spark, sf_dir).select("query_id").distinct().collect()}
     assert any(i % 5 for i in got)
