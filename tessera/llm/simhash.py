@@ -245,22 +245,30 @@ INDEX_WORDS, SIMILAR_WORDS, SIMILARITY = 2, 5, 80
 #: Rows that all parts of a hot key share; links to so many of the nearest of its key that each row proposes besides the spanning ones; the
 #: largest group that is compared as one matrix.
 HUBS, NEAREST, MATRIX = 64, 3, 256
-_WIDE = pa.schema([("key", pa.int32()), ("id", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
+#: Rows of a hot key that meet in one task once all are compared, or twice as many, and how many are held against MATRIX others at once.
+TILE, COLUMNS = 1 << 15, 2048
 
 
 def wide_fingerprints_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Four columns of 64 bits for each text: 128 bits over its distinct two-word shingles, 128 over the five-word ones. Letters A-Z
     are lowered; no words: 0."""
+    return _wide_of(raw, offsets)[0]
+
+
+def _wide_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """wide_fingerprints_of() and the number of distinct five-word shingles, as _shingle_sets() has them."""
     raw = _LOWER[raw]
-    out = np.zeros((len(offsets) - 1, 4), tk.U)
+    out, sizes = np.zeros((len(offsets) - 1, 4), tk.U), np.zeros(len(offsets) - 1, np.int32)
     starts, ends, before = tk.spans_of(raw, offsets)
     if not len(starts):
-        return out
+        return out, sizes
     halves = tk.named(raw, starts, ends)
     for k, (half, size) in enumerate((h, n) for n in (INDEX_WORDS, SIMILAR_WORDS) for h in halves):
         full, grams, n = _distinct_grams(half, before, size, k % 2)
         out[full, k] = majority(grams, n)
-    return out
+        if k == 2:
+            sizes[full] = n
+    return out, sizes
 
 
 def _distinct_grams(half: np.ndarray, before: np.ndarray, size: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,8 +292,9 @@ def _distinct_grams(half: np.ndarray, before: np.ndarray, size: int, which: int)
 
 def _wide_batches(batches):
     for batch, raw, offsets in tk.chunks(batches):
-        f = wide_fingerprints_of(raw, offsets).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], ["doc_id", "text_key", "a", "b", "c", "d"])
+        f, sizes = _wide_of(raw, offsets)
+        f = f.view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4)), pa.array(sizes)], ["doc_id", "text_key", "a", "b", "c", "d", "grams"])
 
 
 def _shingle_sets(batches):
@@ -302,13 +311,13 @@ def _shingle_sets(batches):
 
 
 def _wide_index(batches):
-    """SEGMENTS x SEGMENT_BITS rows for each fingerprint: a segment with one bit left out, its number and the bit's."""
+    """SEGMENTS x SEGMENT_BITS rows for each fingerprint: a segment with one bit left out, its number and the bit's. Columns behind the first five come along."""
     bit = np.arange(SEGMENT_BITS, dtype=tk.U)
     mask = tk.U((1 << SEGMENT_BITS) - 1)
     for whole in batches:
         for start in range(0, whole.num_rows, 2048):
             batch = whole.slice(start, 2048)
-            a, b, c, d, ident = (batch.column(k).to_numpy() for k in range(5))
+            a, b, c, d, ident, *more = (x.to_numpy() for x in batch.columns)
             keys = []
             for word, word_of in enumerate((a, b)):
                 for s in range(SEGMENTS // 2):
@@ -320,7 +329,7 @@ def _wide_index(batches):
                     keys.append(rest | bit << tk.U(20) | tk.U((word * SEGMENTS // 2 + s) << 25))
             n = SEGMENTS * SEGMENT_BITS
             key = np.concatenate(keys, 1).ravel().astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, n)) for x in (ident, c, d))], schema=_WIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, n)) for x in (ident, c, d, *more))], ["key", "id", "c", "d", *batch.schema.names[5:]])
     tk.give_back()
 
 
@@ -395,21 +404,114 @@ def _wide_links(bits: int):
     return run
 
 
+def crossing_pairs(ident, c, d, component, grams, part, bits: int, similarity: int):
+    """Arrays u, v of all pairs of a group, or of its two parts, that are of two components, differ in at most `bits` bits and have numbers of shingles that
+    allow the similarity. Rows stand by part. Memory is MATRIX times COLUMNS."""
+    n = len(ident)
+    cut = int(np.argmax(part != part[0]))  # 0: one part
+    for a in range(0, cut or n, MATRIX):
+        rows = slice(a, min(a + MATRIX, cut or n))
+        for b in range(cut or a, n, COLUMNS):
+            cols = slice(b, b + COLUMNS)
+            near = _distance(c[rows, None], c[None, cols]) + _distance(d[rows, None], d[None, cols]) <= bits
+            near &= component[rows, None] != component[None, cols]
+            i, j = (x + at for x, at in zip(np.nonzero(near), (a, b), strict=True))
+            good = np.minimum(grams[i], grams[j]) * 100 >= similarity * np.maximum(grams[i], grams[j])
+            good &= (i < j) | (cut > 0)
+            if good.any():
+                yield ident[i[good]], ident[j[good]]
+
+
+def _crossing(bits: int, similarity: int):
+    """Rows (key, sub, part, id, c, d, component, grams) sorted by key, sub and part: crossing_pairs() of each group."""
+
+    def given(held):
+        if not held:
+            return
+        key, sub, part, ident, c, d, component, grams = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(key):
+            return
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])))
+        mixed = np.minimum.reduceat(component, at) != np.maximum.reduceat(component, at)
+        end = np.append(at[1:], len(key))
+        found, n = [], 0
+        for x, y in zip(at[mixed].tolist(), end[mixed].tolist(), strict=True):
+            for u, v in crossing_pairs(*(z[x:y] for z in (ident, c, d, component, grams, part)), bits, similarity):
+                found.append((np.minimum(u, v), np.maximum(u, v)))
+                n += len(u)
+                if n > SLICE:
+                    yield from batch_of(found)
+                    found, n = [], 0
+        yield from batch_of(found)
+
+    def batch_of(found):
+        if found:
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [x.to_numpy() for x in batch.columns]
+            rows[7] = rows[7].astype(np.int64)
+            cut = int(np.argmax((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])))
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0])):
+                held.append([x[:cut] for x in rows])
+                yield from given(held)
+                held = []
+            held.append([x[cut:] for x in rows])
+        yield from given(held)
+        tk.give_back()
+
+    return run
+
+
+def crossing_links(nodes: DataFrame, labels: DataFrame, proposed: DataFrame, bits: int = SIMILAR_BITS, similarity: int = SIMILARITY) -> DataFrame:
+    """What similar_links() left out: all pairs u < v of ids that an index key brings together, differ in at most `bits` bits and belong to two of the components
+    that labels (node, component) name, without those that were proposed. nodes: a, b, c, d, id and grams, the number of distinct five-word shingles.
+
+    A row that was not proposed has no near one under a key that is not hot, since near_links() proposes the nearest. Rows of a hot key are dealt in parts of TILE,
+    and each pair of parts meets in a task of its own, so that a task holds two of them and none is left out; rows sent grow with the square of such a key's parts.
+    """
+    carried = ["id", "c", "d", "component", "grams"]
+    named = nodes.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("a", "b", "c", "d", "id", F.coalesce("component", "id").alias("component"), "grams")
+    named = written(named, "named_nodes")
+    indexed = lambda rows: rows.select("a", "b", "c", "d", "id", "component", "grams").mapInArrow(_wide_index, "key int, id long, c long, d long, component long, grams int")
+    hot = written(_hot_keys(nodes)[1].select("key", F.ceil(F.col("n") * SAMPLE / TILE).cast("int").alias("parts")), "hot_keys")
+    ends = proposed.select(F.col("u").alias("id")).union(proposed.select("v")).distinct()
+    dealt = indexed(named.join(ends, "id", "left_semi")).join(F.broadcast(hot), "key", "left_anti").select("key", F.lit(-1).alias("sub"), F.lit(0).alias("part"), *carried)
+    if not hot.isEmpty():
+        own = indexed(named).join(F.broadcast(hot), "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(SEED + 3)), F.col("parts")).cast("int"))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least("part", x) * F.col("parts") + F.greatest("part", x))
+        dealt = dealt.unionByName(own.select("key", F.explode(tiles).alias("sub"), "part", *carried))
+    dealt = dealt.repartition(F.col("key"), F.col("sub")).sortWithinPartitions("key", "sub", "part")
+    return dealt.mapInArrow(_crossing(bits, similarity), "u long, v long").distinct().join(proposed, ["u", "v"], "left_anti")
+
+
+def _hot_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index rows of a SAMPLE-th of the nodes, and the keys that hold many of them with their numbers n, HOT_KEYS at most."""
+    picked = nodes.select("a", "b", "c", "d", "id").where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(SAMPLE)) == 0)
+    sample = written(picked.mapInArrow(_wide_index, "key int, id long, c long, d long"), "sample")
+    least = max(HOT_LEAST, sample.count() // HOT_KEYS)
+    return sample, sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least)
+
+
 def similar_links(nodes: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
     """nodes: a, b, c, d (a fingerprint) and id. Links u < v of ids whose five-word fingerprints differ in at most
     `bits` bits and whose two-word ones have a segment that differs in at most one: near_links() of each index key, not all pairs.
 
     A hot key, one that holds many rows of a sample, is dealt in parts by id, each with the same HUBS sampled rows of
     the key, so that its parts hang together; HOT_KEYS of them at most are broadcast. Rows of different parts meet at the
-    hubs and by their other keys only.
+    hubs and by their other keys only; crossing_links() compares what is then left in two components.
     """
     ddl = "key int, id long, c long, d long"
     fields = ["a", "b", "c", "d", "id"]
     index = nodes.select(*fields).mapInArrow(_wide_index, ddl)
-    sample = written(nodes.select(*fields).where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(SAMPLE)) == 0).mapInArrow(_wide_index, ddl), "sample")
-    least = max(HOT_LEAST, sample.count() // HOT_KEYS)
+    sample, many = _hot_keys(nodes)
     parts = F.ceil(F.col("n") * SAMPLE / MANY).cast("int")
-    hot = written(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("key", parts.alias("parts")), "hot_keys")
+    hot = written(many.select("key", parts.alias("parts")), "hot_keys")
     order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(SEED + 1)), "id")
     hubs = sample.join(F.broadcast(hot), "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS)
     hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), "id", "c", "d")
@@ -436,16 +538,21 @@ def verified_links(links: DataFrame, nodes: DataFrame, texts: DataFrame, similar
 def similar_groups(docs: DataFrame, bits: int = SIMILAR_BITS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, text_key (a 64-bit hash of the text, which tells rows of a repeated doc_id apart), component_id (the smallest doc_id that links reach,
     itself included), one row for each row of docs with a doc_id. Links: verified_links() of similar_links(), so no two texts are joined but by a chain of texts
-    that are similar indeed; equal fingerprints are one node from the start. Texts without words are alike; null counts as empty. An edit to each of the
-    segments hides a pair: measured recall is in the README."""
+    that are similar indeed; equal fingerprints are one node from the start. Pairs of two components are then all compared (crossing_links()), so the groups are those of
+    all pairs that share an index key. Texts without words are alike; null counts as empty. An edit to each of the segments hides a pair: measured recall is in the README."""
     text = F.col("text").cast("string")
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
-    own = written(plain.mapInArrow(_wide_batches, "doc_id long, text_key long, a long, b long, c long, d long"), "wide")
+    own = written(plain.mapInArrow(_wide_batches, "doc_id long, text_key long, a long, b long, c long, d long, grams int"), "wide")
     print4 = ["a", "b", "c", "d"]
-    nodes = own.groupBy(*print4).agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(*print4, F.xxhash64(*print4, F.lit(SEED)).alias("id"), "r.doc_id", "r.text_key")
+    nodes = own.groupBy(*print4).agg(F.min(F.struct("doc_id", "text_key", "grams")).alias("r")).select(*print4, F.xxhash64(*print4, F.lit(SEED)).alias("id"), "r.doc_id", "r.text_key", "r.grams")
     nodes = written(nodes, "wide_nodes")
-    labels = components(verified_links(similar_links(nodes, bits), nodes, plain, similarity)).withColumnRenamed("node", "id")
-    named = nodes.join(labels, "id", "left").select(*print4, "doc_id", F.coalesce("component", "id").alias("component"))
+    proposed = written(similar_links(nodes, bits), "proposed")
+    good = written(verified_links(proposed, nodes, plain, similarity), "verified")
+    labels = components(good)
+    left = written(verified_links(crossing_links(nodes, labels, proposed, bits, similarity), nodes, plain, similarity), "crossing")
+    if not left.isEmpty():
+        labels = components(good.union(left))
+    named = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*print4, "doc_id", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.drop("doc_id").join(least, "component").drop("component")
     return own.join(named, print4).select("doc_id", "text_key", "component_id")

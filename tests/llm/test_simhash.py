@@ -209,6 +209,45 @@ def test_similar_groups_match_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
 
 
+def test_parts_of_a_hot_key_lose_no_pair(spark, monkeypatch):
+    """On the driver: every key is dealt in parts of a row that share no hub, and then in tiles of three rows."""
+    texts = edited(7, 4, 9)
+    want = dict(enumerate(brute_similar(texts)))
+    for name, value in {"HOT_LEAST": 0, "HOT_KEYS": 10**9, "SAMPLE": 1, "MANY": 1, "HUBS": 0, "TILE": 3}.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+    assert len(set(want.values())) < len(texts) - 12
+
+
+def test_what_was_proposed_is_compared_again_between_components(spark):
+    """Every pair under a key that is not hot, in two components and not proposed."""
+    texts = edited(7, 4, 9)
+    own = frame(spark, texts).selectExpr("doc_id", "text", "doc_id AS text_key").mapInArrow(simhash._wide_batches, "doc_id long, text_key long, a long, b long, c long, d long, grams int")
+    nodes = own.selectExpr("a", "b", "c", "d", "doc_id AS id", "grams")
+    every = spark.createDataFrame([(0, i) for i in range(len(texts))], "u long, v long")
+    alone = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, component long")
+    got = {tuple(r) for r in simhash.crossing_links(nodes, alone, every, 36, 80).collect()}
+    prints = [brute_wide(t) for t in texts]
+    apart = lambda i, j, ks: sum((prints[i][k] ^ prints[j][k]).bit_count() for k in ks)
+    segments = [[v >> 21 * s & (1 << 21) - 1 for v in p[:2] for s in range(3)] for p in prints]
+    alike = lambda i, j: 100 * min(len(shingles(texts[i])), len(shingles(texts[j]))) >= 80 * max(len(shingles(texts[i])), len(shingles(texts[j])))
+    assert got == {(i, j) for j in range(len(texts)) for i in range(1, j) if apart(i, j, (2, 3)) <= 36 and alike(i, j) and any((x ^ y).bit_count() <= 1 for x, y in zip(segments[i], segments[j]))} and got
+
+
+def test_crossing_pairs_are_all_pairs_of_two_components(monkeypatch):
+    rng = np.random.default_rng(5)
+    c, d = rng.integers(0, 2**63, (2, 60))
+    c[20:], d[20:] = np.resize(c[:20], 40) ^ 1 << np.arange(40), np.resize(d[:20], 40)
+    component, grams = np.arange(60) % 7, rng.integers(80, 120, 60)
+    for cut, matrix in ((60, 256), (25, 256), (25, 8), (60, 8)):
+        monkeypatch.setattr(simhash, "MATRIX", matrix)
+        monkeypatch.setattr(simhash, "COLUMNS", 16)
+        part = (np.arange(60) >= cut).astype(np.int64)
+        got = [p for u, v in simhash.crossing_pairs(np.arange(60), c, d, component, grams, part, 2, 80) for p in zip(u.tolist(), v.tolist())]
+        near = lambda i, j: sum(int(x[i] ^ x[j]).bit_count() for x in (c, d)) <= 2 and component[i] != component[j] and 100 * min(grams[i], grams[j]) >= 80 * max(grams[i], grams[j])
+        assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if near(i, j) and (cut == 60 or part[i] != part[j])] and got
+
+
 def test_dedup_similar_keeps_the_smallest_and_rows_without_id(spark):
     texts = edited(5, 3, 4)
     docs = frame(spark, texts).selectExpr("CASE WHEN doc_id <> 2 THEN doc_id END AS doc_id", "text", "1 AS a", "2 AS id", "3 AS sub", "4 AS component_id")
