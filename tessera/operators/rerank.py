@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import scores, text
@@ -36,16 +41,36 @@ def reranked_results(hits: DataFrame) -> DataFrame:
     return h.withColumn("reranked", F.round(score, 9)).drop("__q", "__d", "__m")
 
 
+@F.pandas_udf(DoubleType())
+def _passage_scores(query: pd.Series, tokens: pd.Series, low: pd.Series, mean: pd.Series) -> pd.Series:
+    """.5 text.overlap() + .3 bm25_local() / 3 up to 1 + .2 text.phrase_bonus() of a query's words and a passage's words and lower-case text. A query's
+    words, pairs and triples are made once a batch and a passage's words counted once a row."""
+    k1, b, known, out = 1.5, 0.75, {}, []
+    for q, d, t, m in zip(query, tokens, low, mean, strict=True):
+        q, count, n = tuple(q), Counter(d), len(d)
+        if q not in known:
+            known[q] = (set(q), *([" ".join(q[i : i + size]) for i in range(len(q) - size + 1)] for size in (3, 2)))
+        own, triples, pairs = known[q]
+        both = len(own & count.keys()) / math.sqrt(len(own) * len(count)) if own and count else 0.0
+        length = 1 - b + b * n / max(m, 1.0)
+        gain = 0.0
+        for w in q:
+            if f := count.get(w, 0):
+                gain += PLAIN_IDF * f * (k1 + 1) / (f + k1 * length)
+        bonus = min(sum(r in t for r in triples) * 0.15 + sum(r in t for r in pairs) * 0.10, 0.3) if t is not None else 0.0
+        out.append(0.5 * both + 0.3 * min(gain / 3, 1.0) + 0.2 * bonus)
+    return pd.Series(out, dtype="float64")
+
+
 def reranked_passages(passages: DataFrame, top: int, per_source: int) -> DataFrame:
-    """Passages (query_id, source_id, pos, query, text; tokens and n_tokens if they are known): .5 keyword + .3 bm25 + .2 phrase,
+    """Passages (query_id, source_id, pos, query, text; tokens and n_tokens, and asked, the query's words, if they are known): .5 keyword + .3 bm25 + .2 phrase,
     the best per_source of a source and top of a query. The mean length is summed apart, a row a query, so that only scores are sorted, no passages."""
     p = passages if "tokens" in passages.columns else passages.withColumn("tokens", text.tokenize(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
     means = p.groupBy("query_id").agg(F.avg("n_tokens").alias("__m")).withColumnRenamed("query_id", "__id")
-    p = p.withColumnRenamed("tokens", "__d").drop("n_tokens").withColumn("__q", text.tokenize(F.col("query")))
+    p = p.withColumnRenamed("tokens", "__d").drop("n_tokens")
+    p = p.withColumnRenamed("asked", "__q") if "asked" in p.columns else p.withColumn("__q", text.tokenize(F.col("query")))
     p = p.join(F.broadcast(means), F.col("query_id").eqNullSafe(F.col("__id"))).drop("__id")
-    c = F.col
-    score = 0.5 * text.overlap(c("__q"), c("__d")) + 0.3 * F.least(bm25_local(c("__q"), c("__d"), c("__m")) / 3, F.lit(1.0)) + 0.2 * text.phrase_bonus(c("query"), c("text"))
-    p = p.withColumn("score", F.round(score, 9)).drop("__q", "__d", "__m")
+    p = p.withColumn("score", F.round(_passage_scores("__q", "__d", F.lower("text"), "__m"), 9)).drop("__q", "__d", "__m")
     own = Window.partitionBy("query_id", "source_id").orderBy(F.desc("score"), "pos")
     p = p.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= per_source).drop("__n")
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id", "pos"))).where(F.col("rank") <= top)

@@ -112,9 +112,9 @@ def passage_rerank(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.offset_passages(F.col("text"))).alias("pos", "c")).select("doc_id", "pos", F.col("c.text").alias("text"), text.tokenize(F.col("c.text")).alias("tokens"))
     d = written(d.withColumn("n_tokens", F.size("tokens")), "passages")  # cut and read once, however many queries want them
-    b = table(spark, sf_dir, "benchmark").selectExpr("item_id", "text AS query")
+    b = written(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), text.tokenize(F.col("text")).alias("asked")), "asked")
     wanted = written(query_coverage(spark, sf_dir).select("item_id", "doc_id"), "wanted")
-    p = wanted.join(d, "doc_id").join(b, "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("source_id"), "query", "pos", "text", "tokens", "n_tokens")
+    p = wanted.join(d, "doc_id").join(b, "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("source_id"), "query", "asked", "pos", "text", "tokens", "n_tokens")
     return rerank.reranked_passages(p, 5, 3).select("query_id", "source_id", "pos", "score", "rank")
 
 
